@@ -7,13 +7,17 @@ from html.parser import HTMLParser
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tremor import schemas as S
 from tremor.functions import exprs as X
 from tremor.functions import text as TX
 
-# Feed stamps: RFC 822 (with a numeric or named zone) or ISO 8601.
-_FEED_FORMATS = ["EEE, d MMM yyyy HH:mm:ss Z", "EEE, d MMM yyyy HH:mm:ss z", "d MMM yyyy HH:mm:ss Z"]
+# Zone names of RFC 822 stamps.
+_ZONES = {"GMT": "+0000", "UT": "+0000", "UTC": "+0000", "Z": "+0000", "EST": "-0500", "EDT": "-0400",
+          "CST": "-0600", "CDT": "-0500", "MST": "-0700", "MDT": "-0600", "PST": "-0800", "PDT": "-0700"}
+_ISO = r"^\d{4}-\d{2}-\d{2}"
+_RFC822 = r"^(?:[A-Za-z]{3},)?\s*(\d{1,2} [A-Za-z]{3} \d{4} \d{2}:\d{2}(?::\d{2})?)\s+(\S+)\s*$"
 
 
 def read_feed_items(spark: SparkSession, path: str, row_tag: str = "item") -> DataFrame:
@@ -25,9 +29,12 @@ def read_news_payloads(spark: SparkSession, path: str) -> DataFrame:
 
 
 def parse_stamp(c: Column) -> Column:
-    tries = [F.try_to_timestamp(c, F.lit(f)) for f in _FEED_FORMATS]
-    iso = F.when(c.rlike(r"^\d{4}-\d{2}-\d{2}"), c.try_cast("timestamp"))
-    return F.coalesce(iso, *[F.when(~c.rlike(r"^\d{4}-\d{2}-\d{2}"), t) for t in tries])
+    """RFC 822 (named or numeric zone) or ISO 8601; null when neither."""
+    body, zone = F.regexp_extract(c, _RFC822, 1), F.regexp_extract(c, _RFC822, 2)
+    body = F.when(body.rlike(r":\d{2}:"), body).otherwise(F.concat(body, F.lit(":00")))
+    stamp = F.concat(body, F.lit(" "), F.coalesce(X.lookup(zone, _ZONES), zone))
+    return (F.when(c.rlike(_ISO), c.try_cast("timestamp"))
+            .when(c.rlike(_RFC822), F.try_to_timestamp(stamp, F.lit("d MMM yyyy HH:mm:ss Z"))))
 
 
 def feed_to_raw_events(items: DataFrame, feed_name: str, ingested_at: Column, source: str = "rss") -> DataFrame:
@@ -103,7 +110,7 @@ class _TitleParser(HTMLParser):
             self.title += data
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def html_title(html: pd.Series) -> pd.Series:
     """og:title, else <title>, trimmed; empty -> null."""
 

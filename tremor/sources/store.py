@@ -1,10 +1,8 @@
 """Write semantics of the stored tables, as merges of DataFrames.
 
-Each merge is a plan (anti join, union), so it can be tested and composed; the
-``Table`` class applies them to a Parquet folder.  A table folder holds
-immutable versions; a write lands in a new version folder and becomes visible
-by one small pointer file, so a lost executor or a failed job never leaves a
-half-written table, and readers keep the version they started with.
+Each merge is a plan (anti join, union), so it can be tested and composed;
+``Table`` applies them to a partitioned Parquet folder with Spark's own append
+and dynamic partition overwrite.
 """
 
 from __future__ import annotations
@@ -15,6 +13,8 @@ from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tremor.session import cut_lineage
+
 
 # -- merges -----------------------------------------------------------------
 def first_by(batch: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
@@ -83,71 +83,76 @@ def day_ledger(seen: DataFrame, start: Column, end: Column, spark: SparkSession)
 
 # -- tables -----------------------------------------------------------------
 class Table:
-    """A keyed Parquet table with the write modes above."""
+    """A keyed Parquet folder, partitioned by ``partition_by``.
+
+    Inserts append; every other mode rewrites only the partitions it touches,
+    by dynamic partition overwrite (staged and committed by Spark, so a failed
+    job leaves the old partitions in place).
+    """
 
     def __init__(self, spark: SparkSession, path: str, schema: T.StructType, keys: Sequence[str],
-                 partition_by: Sequence[str] = ()) -> None:
+                 partition_by: Sequence[str]) -> None:
         self.spark, self.path, self.schema = spark, path.rstrip("/"), schema
         self.keys, self.partition_by = list(keys), list(partition_by)
 
-    def _fs(self, p: str):
-        jvm = self.spark._jvm
-        hp = jvm.org.apache.hadoop.fs.Path(p)
-        return hp.getFileSystem(self.spark._jsc.hadoopConfiguration()), hp
+    def _path(self, p: str):
+        return self.spark._jvm.org.apache.hadoop.fs.Path(p)
 
-    def version(self) -> int:
-        """Newest committed version, 0 if the table does not exist yet."""
-        fs, root = self._fs(self.path)
-        if not fs.exists(root):
-            return 0
-        names = [s.getPath().getName() for s in fs.listStatus(root)]
-        done = [int(n[len("_commit-"):]) for n in names if n.startswith("_commit-")]
-        return max(done, default=0)
+    def exists(self) -> bool:
+        p = self._path(self.path + "/_SUCCESS")
+        return p.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(p)
 
     def read(self) -> DataFrame:
-        v = self.version()
-        if v == 0:
+        if not self.exists():
             return self.spark.createDataFrame([], self.schema)
-        return self.spark.read.schema(self.schema).parquet(*self._folders(v))
-
-    def _folders(self, v: int) -> list[str]:
-        # A commit file lists the data folders of its version, one per line.
-        return [r[0] for r in self.spark.read.text(f"{self.path}/_commit-{v}").collect()]
-
-    def _commit(self, rows: DataFrame, append: bool) -> None:
-        v = self.version()
-        folder = f"{self.path}/data-{v + 1}"
-        writer = rows.select(*self.schema.fieldNames()).write.mode("overwrite")
-        if self.partition_by:
-            writer = writer.partitionBy(*self.partition_by)
-        writer.parquet(folder)
-        folders = [*(self._folders(v) if append and v else []), folder]
-        fs, p = self._fs(f"{self.path}/_commit-{v + 1}.tmp")
-        out = fs.create(p, True)
-        out.write(bytearray("\n".join(folders).encode()))
-        out.close()
-        fs.rename(p, self._fs(f"{self.path}/_commit-{v + 1}")[1])
+        return self.spark.read.schema(self.schema).parquet(self.path).select(*self.schema.fieldNames())
+
+    def _append(self, rows: DataFrame) -> None:
+        rows.select(*self.schema.fieldNames()).write.mode("append").partitionBy(*self.partition_by).parquet(self.path)
+
+    def _rewrite(self, touched: DataFrame, merge) -> None:
+        """``touched``: distinct partition values; ``merge``: old rows -> rows."""
+        touched = cut_lineage(touched)
+        rows = merge(self.read().join(touched, self.partition_by, "left_semi"))
+        (rows.select(*self.schema.fieldNames()).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+         .partitionBy(*self.partition_by).parquet(self.path))
+        # A partition left without rows is not overwritten: remove its rows'
+        # folder.  Only partition values (days, sources) reach the driver.
+        left = touched.join(merge(self.read().join(touched, self.partition_by, "left_semi")).select(*self.partition_by).distinct(),
+                            self.partition_by, "left_anti")
+        for r in left.toLocalIterator():
+            p = self._path(self.path + "/" + "/".join(f"{c}={r[c]}" for c in self.partition_by))
+            p.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(p, True)
 
     def insert_or_ignore(self, batch: DataFrame, order: Sequence[str]) -> dict[str, int]:
         """Appends new keys only; counts come from the write job itself."""
         seen, kept = Observation(), Observation()
         batch = batch.observe(seen, F.count("*").alias("attempted"))
         rows = new_rows(self.read(), batch, self.keys, order).observe(kept, F.count("*").alias("inserted"))
-        self._commit(rows, append=True)
+        self._append(rows)
         attempted, inserted = seen.get["attempted"], kept.get["inserted"]
         return {"attempted": attempted, "inserted": inserted, "deduplicated": attempted - inserted}
 
     def insert_or_replace(self, batch: DataFrame) -> None:
-        self._commit(upsert(self.read(), batch, self.keys), append=False)
+        """The key contains the partition columns, so other partitions cannot
+        hold a replaced row."""
+        batch = cut_lineage(batch.select(*self.schema.fieldNames()))
+        self._rewrite(batch.select(*self.partition_by).distinct(), lambda old: upsert(old, batch, self.keys))
 
     def replace_groups(self, batch: DataFrame, group: Sequence[str]) -> None:
-        self._commit(replace_groups(self.read(), batch, group), append=False)
+        batch = cut_lineage(batch.select(*self.schema.fieldNames()))
+        self._rewrite(batch.select(*self.partition_by).distinct(), lambda old: replace_groups(old, batch, group))
 
-    def rebuild_window(self, batch: DataFrame, column: str, since: Column | None) -> None:
-        self._commit(rebuild_window(self.read(), batch, column, since), append=False)
+    def rebuild_window(self, batch: DataFrame, column: str, since: Column) -> None:
+        batch = cut_lineage(batch.select(*self.schema.fieldNames()))
+        touched = (batch.select(*self.partition_by)
+                   .unionByName(self.read().where(F.col(column) >= since).select(*self.partition_by)).distinct())
+        self._rewrite(touched, lambda old: rebuild_window(old, batch, column, since))
 
     def delete(self, deletes: DataFrame, keys: Sequence[str]) -> None:
-        self._commit(delete_rows(self.read(), deletes, keys), append=False)
+        deletes = cut_lineage(deletes)
+        touched = self.read().join(deletes.select(*keys).distinct(), list(keys), "left_semi").select(*self.partition_by).distinct()
+        self._rewrite(touched, lambda old: delete_rows(old, deletes, keys))
 
 
 def ingest_all(table: Table, sources: dict[str, DataFrame], order: Sequence[str]) -> list[dict]:
