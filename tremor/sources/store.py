@@ -99,7 +99,8 @@ class Table:
         return self.spark._jvm.org.apache.hadoop.fs.Path(p)
 
     def exists(self) -> bool:
-        p = self._path(self.path + "/_SUCCESS")
+        # Dynamic overwrite leaves no _SUCCESS at the root: test the folder.
+        p = self._path(self.path)
         return p.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(p)
 
     def read(self) -> DataFrame:
