@@ -1,7 +1,12 @@
 """Keyword matching on whole texts.
 
-Each test is ``contains`` (a byte scan) and only then the boundary regex, so a
-keyword that does not occur costs one pass and never starts the regex engine.
+A keyword stands alone when no word character touches it on either side.  Then
+each of its own words is a whole word of the text.  So a text is split into
+words once, the few that occur in any keyword are kept (:func:`known_words`),
+and every keyword is tested against that short list; only keywords of several
+words or with punctuation still look at the text, and only when all their
+words are there.  Cost: one pass over the text, whatever the number of
+keywords.
 """
 
 from __future__ import annotations
@@ -19,29 +24,52 @@ from tremor.functions.exprs import col
 WORD = r"[\p{L}\p{N}_]"
 
 
-def _quote(kw: str) -> str:
+def quote(kw: str) -> str:
     return re.sub(r"([\\.^$|?*+(){}\[\]\-])", r"\\\1", kw)
 
 
-def keyword_hit(lowered: Column | str, keyword: str) -> Column:
-    """``keyword`` stands alone in an already lower-cased text."""
-    c, kw = col(lowered), keyword.lower()
-    return c.contains(kw) & c.rlike(f"(?<!{WORD}){_quote(kw)}(?!{WORD})")
+def words_of(keyword: str) -> list[str]:
+    return re.findall(r"\w+", keyword.lower())
+
+
+def known_words(lowered: Column | str, keywords: Iterable[str]) -> Column:
+    """Distinct words of the text that occur in any of the keywords."""
+    vocabulary = sorted({w for k in keywords for w in words_of(k)})
+    words = F.regexp_extract_all(col(lowered), F.lit(f"{WORD}+"), F.lit(0))
+    return F.array_distinct(F.filter(words, lambda w: w.isin(vocabulary)))
+
+
+def _in_text(text: Column, keyword: str) -> Column:
+    return text.contains(keyword) & text.rlike(f"(?<!{WORD}){quote(keyword)}(?!{WORD})")
+
+
+def keyword_hit(lowered: Column | str, keyword: str, known: Column | str | None = None) -> Column:
+    """``keyword`` stands alone in an already lower-cased text.  ``known`` is
+    the text's :func:`known_words` column, if there is one."""
+    kw = keyword.lower()
+    words = words_of(kw)
+    if known is None or not words:
+        return _in_text(col(lowered), kw)
+    present = reduce(lambda a, b: a & b, [F.array_contains(col(known), w) for w in words])
+    return present if words == [kw] else present & _in_text(col(lowered), kw)
 
 
 def token_hit(text: Column | str, token: str) -> Column:
     """Case-sensitive whole-token match (bare upper-case country codes)."""
-    c = col(text)
-    return c.contains(token) & c.rlike(f"(?<!{WORD}){_quote(token)}(?!{WORD})")
+    return _in_text(col(text), token)
 
 
-def any_hit(lowered: Column | str, keywords: Iterable[str]) -> Column:
-    return reduce(lambda a, b: a | b, [keyword_hit(lowered, k) for k in keywords])
+def any_hit(lowered: Column | str, keywords: Iterable[str], known: Column | str | None = None) -> Column:
+    keywords = [k.lower() for k in keywords]
+    plain = [k for k in keywords if known is not None and words_of(k) == [k]]
+    tests = [F.arrays_overlap(col(known), F.array(*[F.lit(k) for k in plain]))] if plain else []
+    tests += [keyword_hit(lowered, k, known) for k in keywords if k not in plain]
+    return reduce(lambda a, b: a | b, tests)
 
 
-def hits(lowered: Column | str, keywords: Iterable[str]) -> Column:
+def hits(lowered: Column | str, keywords: Iterable[str], known: Column | str | None = None) -> Column:
     """The distinct keywords found, in list order."""
-    return F.array_compact(F.array(*[F.when(keyword_hit(lowered, k), F.lit(k)) for k in keywords]))
+    return F.array_compact(F.array(*[F.when(keyword_hit(lowered, k, known), F.lit(k)) for k in keywords]))
 
 
 def tokenize(text: Column | str) -> Column:

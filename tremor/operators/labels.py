@@ -28,27 +28,32 @@ class Dictionary:
     ticker_sector: dict[str, str] = field(default_factory=lambda: dims.TICKER_SECTOR)
     sectors: dict[str, list[str]] = field(default_factory=lambda: dims.SECTOR_KEYWORDS)
 
+    def all_keywords(self) -> list[str]:
+        lists = [*self.event_types.values(), *self.severity.values(), *self.countries.values(), *self.sectors.values()]
+        return [k for ks in lists for k in ks] + [alias for _, alias in self.companies]
 
-def event_type_match(lowered: Column | str, d: Dictionary) -> Column:
+
+def event_type_match(lowered: Column | str, d: Dictionary, known: Column | str | None = None) -> Column:
     """struct(n, ord, event_type, hits): most distinct keywords; the earlier
     category wins a tie; null when nothing matched."""
-    found = [TX.hits(lowered, kws) for kws in d.event_types.values()]
+    found = [TX.hits(lowered, kws, known) for kws in d.event_types.values()]
     cats = F.array(*[
         F.struct(F.size(h).alias("n"), F.lit(-i).alias("ord"), F.lit(t).alias("event_type"), h.alias("hits"))
         for i, (t, h) in enumerate(zip(d.event_types, found))])
     return F.array_max(F.filter(cats, lambda c: c["n"] > 0))
 
 
-def severity_match(lowered: Column | str, d: Dictionary) -> Column:
+def severity_match(lowered: Column | str, d: Dictionary, known: Column | str | None = None) -> Column:
     """First band, from 5 down to 1, with any keyword; null if none."""
     bands = sorted(d.severity, reverse=True)
-    return F.coalesce(*[F.when(TX.any_hit(lowered, d.severity[b]), F.lit(b)) for b in bands])
+    return F.coalesce(*[F.when(TX.any_hit(lowered, d.severity[b], known), F.lit(b)) for b in bands])
 
 
-def match_countries(original: Column | str, lowered: Column | str, d: Dictionary) -> Column:
+def match_countries(original: Column | str, lowered: Column | str, d: Dictionary,
+                    known: Column | str | None = None) -> Column:
     names = []
     for name, aliases in d.countries.items():
-        hit = TX.any_hit(lowered, aliases)
+        hit = TX.any_hit(lowered, aliases, known)
         if d.bare_token and d.bare_token[1] == name:
             hit = hit | TX.token_hit(original, d.bare_token[0])
         names.append(F.when(hit, F.lit(name)))
@@ -62,16 +67,16 @@ def _by_ticker(d: Dictionary) -> dict[str, list[str]]:
     return out
 
 
-def match_companies(lowered: Column | str, d: Dictionary) -> Column:
-    hits = [F.when(TX.any_hit(lowered, als), F.lit(t)) for t, als in _by_ticker(d).items()]
+def match_companies(lowered: Column | str, d: Dictionary, known: Column | str | None = None) -> Column:
+    hits = [F.when(TX.any_hit(lowered, als, known), F.lit(t)) for t, als in _by_ticker(d).items()]
     return F.array_sort(F.array_compact(F.array(*hits)))
 
 
-def match_sector(lowered: Column | str, d: Dictionary) -> Column:
+def match_sector(lowered: Column | str, d: Dictionary, known: Column | str | None = None) -> Column:
     """A named company decides (first in listing order), else the first sector
     with a keyword hit."""
-    named = [F.when(TX.any_hit(lowered, als), F.lit(d.ticker_sector[t])) for t, als in _by_ticker(d).items()]
-    worded = [F.when(TX.any_hit(lowered, kws), F.lit(s)) for s, kws in d.sectors.items()]
+    named = [F.when(TX.any_hit(lowered, als, known), F.lit(d.ticker_sector[t])) for t, als in _by_ticker(d).items()]
+    worded = [F.when(TX.any_hit(lowered, kws, known), F.lit(s)) for s, kws in d.sectors.items()]
     return F.coalesce(*named, *worded)
 
 
@@ -84,9 +89,10 @@ def label_by_rules(events: DataFrame, d: Dictionary | None = None, event_id: str
     """Full rule label of each (title, text) row: a map-only projection."""
     d = d or Dictionary()
     rows = events.withColumn("_all", TX.combined_text(title, text)).withColumn("_low", F.lower("_all"))
-    rows = rows.withColumn("_m", event_type_match("_low", d))
+    rows = rows.withColumn("_known", TX.known_words("_low", d.all_keywords()))
+    rows = rows.withColumn("_m", event_type_match("_low", d, "_known"))
     typed, n = F.col("_m").isNotNull(), F.col("_m.n")
-    severity = F.when(~typed, F.lit(1)).otherwise(F.coalesce(severity_match("_low", d), F.lit(2)))
+    severity = F.when(~typed, F.lit(1)).otherwise(F.coalesce(severity_match("_low", d, "_known"), F.lit(2)))
     rows = rows.withColumn("_sev", severity)
     reasoning = (F.when(F.col("_all") == "", "no title/text available for keyword matching")
                  .when(~typed, "no event-type keyword matched title/text")
@@ -99,9 +105,9 @@ def label_by_rules(events: DataFrame, d: Dictionary | None = None, event_id: str
         X.severity_midpoint("_sev").alias("severity_score"),
         F.when(typed, rule_confidence(n)).otherwise(F.lit(0.0)).alias("confidence"),
         F.lit(None).cast("double").alias("polarity"),
-        match_countries("_all", "_low", d).alias("countries"),
-        match_sector("_low", d).alias("sector"),
-        match_companies("_low", d).alias("companies"),
+        match_countries("_all", "_low", d, "_known").alias("countries"),
+        match_sector("_low", d, "_known").alias("sector"),
+        match_companies("_low", d, "_known").alias("companies"),
         reasoning.alias("reasoning"),
         F.lit(version).alias("labeler_version"))
 
@@ -143,12 +149,15 @@ def headline_tension_words() -> list[str]:
     return base + dims.HEADLINE_EXTRA_TENSION
 
 
-def headline_verdict(title: Column | str, confirm: list[str] | None = None,
-                     reject: list[str] | None = None) -> Column:
-    low = F.lower(X.col(title))
-    geo = TX.any_hit(low, confirm or headline_tension_words())
-    rej = TX.any_hit(low, reject or dims.HEADLINE_REJECT)
-    return F.when(geo & ~rej, "confirm").when(rej & ~geo, "reject").otherwise("uncertain")
+def screen_headlines(rows: DataFrame, title: str = "title", confirm: list[str] | None = None,
+                     reject: list[str] | None = None, out: str = "screen") -> DataFrame:
+    """Adds confirm / reject / uncertain: a hit in one list only decides."""
+    confirm, reject = confirm or headline_tension_words(), reject or dims.HEADLINE_REJECT
+    rows = rows.withColumn("_low", F.lower(title)).withColumn("_known", TX.known_words("_low", [*confirm, *reject]))
+    rows = rows.withColumn("_geo", TX.any_hit("_low", confirm, "_known")).withColumn("_rej", TX.any_hit("_low", reject, "_known"))
+    geo, rej = F.col("_geo"), F.col("_rej")
+    return (rows.withColumn(out, F.when(geo & ~rej, "confirm").when(rej & ~geo, "reject").otherwise("uncertain"))
+            .drop("_low", "_known", "_geo", "_rej"))
 
 
 def fold_verdicts(answers: DataFrame, event_id: str = "event_id", answer: str = "answer",
@@ -187,16 +196,15 @@ def recheck_candidates(catalog: DataFrame, ledger: DataFrame, label_source: str
     return rows.select("event_id", "title").join(ledger.select("event_id"), "event_id", "left_anti")
 
 
-def recheck(candidates: DataFrame, verdict_labels: DataFrame, screen: Column) -> DataFrame:
-    """Outcome of each candidate: reject_stage1, confirm_stage2, reject_stage2
+def recheck(candidates: DataFrame, verdict_labels: DataFrame) -> DataFrame:
+    """Outcome of each screened candidate (see :func:`screen_headlines`): reject_stage1, confirm_stage2, reject_stage2
     or null (no answer: left for the next run).
 
     From it: new labels = the verdict rows of confirm_stage2, labels to delete
     = any reject, ledger rows = any non-null outcome (:func:`recheck_outputs`).
     """
-    c = candidates.withColumn("screen", screen)
     v = verdict_labels.select("event_id", accepted().alias("ok"))
-    j = c.join(v, "event_id", "left")
+    j = candidates.join(v, "event_id", "left")
     return j.withColumn("verdict", F.when(F.col("screen") == "reject", "reject_stage1")
                         .when(F.col("ok"), dims.CONFIRMED)
                         .when(~F.col("ok"), "reject_stage2"))

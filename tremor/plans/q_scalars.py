@@ -24,11 +24,11 @@ def _lit(s: str) -> str:
 
 
 def hit(col: str, kw: str) -> str:
-    return f"regexp_matches({col}, '{B0}{_lit(TX._quote(kw.lower()))}{B1}')"
+    return f"regexp_matches({col}, '{B0}{_lit(TX.quote(kw.lower()))}{B1}')"
 
 
 def any_hit(col: str, kws) -> str:
-    alts = "|".join(_lit(TX._quote(k.lower())) for k in kws)
+    alts = "|".join(_lit(TX.quote(k.lower())) for k in kws)
     return f"regexp_matches({col}, '{B0}({alts}){B1}')"
 
 
@@ -217,29 +217,30 @@ TEXT = {"dlow": "SELECT *, lower(alltext) AS low FROM doc", "dcnt": f"SELECT *,
 
 
 def _low(f):
-    return f.docs.withColumn("all", TX.combined_text("title", "text")).withColumn("low", F.lower("all"))
+    d = f.docs.withColumn("all", TX.combined_text("title", "text")).withColumn("low", F.lower("all"))
+    return d.withColumn("known", TX.known_words("low", D.all_keywords()))
 
 
 @query("T2_event_type", f"SELECT id, {_TYPE} AS event_type, {_BEST} AS n_hits FROM dcnt", **TEXT)
 def t2(f):
-    m = _low(f).select("id", L.event_type_match("low", D).alias("m"))
+    m = _low(f).select("id", L.event_type_match("low", D, "known").alias("m"))
     return m.select("id", F.coalesce("m.event_type", F.lit("unclassified")).alias("event_type"), F.coalesce("m.n", F.lit(0)).alias("n_hits"))
 
 
 @query("T3_severity", f"SELECT id, CAST({_SEV} AS INTEGER) AS severity FROM dlow", **TEXT)
 def t3(f):
-    return _low(f).select("id", L.severity_match("low", D).alias("severity"))
+    return _low(f).select("id", L.severity_match("low", D, "known").alias("severity"))
 
 
 @query("T4_entities", f"SELECT id, array_to_string({_COUNTRY}, '|') AS countries, array_to_string({_COMPANY}, '|') AS companies FROM dlow", **TEXT)
 def t4(f):
-    return _low(f).select("id", F.array_join(L.match_countries("all", "low", D), "|").alias("countries"),
-                          F.array_join(L.match_companies("low", D), "|").alias("companies"))
+    return _low(f).select("id", F.array_join(L.match_countries("all", "low", D, "known"), "|").alias("countries"),
+                          F.array_join(L.match_companies("low", D, "known"), "|").alias("companies"))
 
 
 @query("T5_sector", f"SELECT id, {_SECTOR} AS sector FROM dlow", **TEXT)
 def t5(f):
-    return _low(f).select("id", L.match_sector("low", D).alias("sector"))
+    return _low(f).select("id", L.match_sector("low", D, "known").alias("sector"))
 
 
 @query("T6_confidence", "SELECT eid, round(least(0.25e0 + 0.1e0 * (eid % 9), 0.85e0), 4) AS confidence FROM ev")
@@ -264,7 +265,7 @@ _GEO, _REJ = any_hit("lower(title)", FX.HEADLINE_CONFIRM), any_hit("lower(title)
 
 @query("T8_headline_verdict", f"SELECT id, CASE WHEN {_GEO} AND NOT {_REJ} THEN 'confirm' WHEN {_REJ} AND NOT {_GEO} THEN 'reject' ELSE 'uncertain' END AS verdict FROM doc")
 def t8(f):
-    return f.docs.select("id", L.headline_verdict("title", FX.HEADLINE_CONFIRM, FX.HEADLINE_REJECT).alias("verdict"))
+    return L.screen_headlines(f.docs, "title", FX.HEADLINE_CONFIRM, FX.HEADLINE_REJECT, "verdict").select("id", "verdict")
 
 
 CODED = {"cdl": f"""SELECT event_id, quad, CASE WHEN eid % 10 <> 0 THEN goldstein END AS g, CASE WHEN eid % 8 <> 0 THEN k0 END AS m,
@@ -324,7 +325,7 @@ def t11(f):
 
 def _outcome(f):
     screen = F.when(F.col("event_id").cast("bigint") % 4 == 0, "reject").otherwise("uncertain")
-    return L.recheck(_candidates(f), L.fold_verdicts(_answers(f)), screen)
+    return L.recheck(_candidates(f).withColumn("screen", screen), L.fold_verdicts(_answers(f)))
 
 
 @query("T12_recheck_outcome", "SELECT event_id, verdict FROM outc", **ANS)

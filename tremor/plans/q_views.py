@@ -92,13 +92,9 @@ def q7h(f):
     return r.select("ticker", "variant", "label_date", F.round("actual", 6).alias("actual"), F.round("predicted", 6).alias("predicted"))
 
 
-@query("Q8_latest_forecast", "SELECT ticker, as_of_date, horizon_step, target_date, round(point_price, 6) AS point_price FROM fcs QUALIFY as_of_date = max(as_of_date) OVER (PARTITION BY ticker, variant)")
+@query("Q8_latest_forecast", "SELECT ticker, as_of_date, horizon_step, target_date, point_price, hi_price FROM fcs QUALIFY as_of_date = max(as_of_date) OVER (PARTITION BY ticker, variant)")
 def q8(f):
-    return V.latest_vintage(f.forecasts).select("ticker", "as_of_date", "horizon_step", "target_date", r6("point_price"))
-
-
-def r6(c):
-    return F.round(c, 6).alias(c)
+    return V.latest_vintage(f.forecasts).select("ticker", "as_of_date", "horizon_step", "target_date", "point_price", "hi_price")
 
 
 @query("Q9_future_forecast", "SELECT ticker, as_of_date, horizon_step, target_date FROM fcs JOIN (SELECT ticker, max(date) AS last FROM bars GROUP BY ticker) USING (ticker) WHERE target_date > last")
