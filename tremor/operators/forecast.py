@@ -8,7 +8,7 @@ from pyspark.ml import Pipeline, Transformer
 from pyspark.ml.feature import OneHotEncoder, StringIndexer, VectorAssembler
 from pyspark.ml.functions import array_to_vector
 from pyspark.ml.regression import LinearRegression
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -34,22 +34,18 @@ def predict(model: Transformer, windows: DataFrame, cols: Sequence[str]) -> Data
         "ticker", "label_date", "split", "y", "y_prior", F.col("prediction").alias("predicted"))
 
 
-def bootstrap_paths(steps: DataFrame, residuals: DataFrame, n_samples: int = 50, slots: int = 256,
-                    seed: int = 42) -> DataFrame:
-    """``n_samples`` paths per window: point forecast plus a residual drawn by
-    hash from a per-ticker pool.
+def bootstrap_paths(steps: DataFrame, residuals: DataFrame, n_samples: int = 50, seed: int = 42) -> DataFrame:
+    """``n_samples`` paths per window: the point forecast plus a residual of
+    the same ticker, drawn by hash.
 
     ``steps``: (ticker, window_id, step, predicted); ``residuals``: (ticker,
-    date, residual).  The pool is thinned to ``slots`` residuals per ticker
-    (one per hash slot), so each draw is an equi-join on (ticker, slot).
+    date, residual), one per day, so numbering them per ticker is bounded by
+    the calendar and a draw is an equi-join on (ticker, number).
     """
-    slot = lambda *c: F.pmod(F.xxhash64(*c, F.lit(seed)), F.lit(slots))
-    pool = (residuals.withColumn("slot", slot(F.col("ticker"), F.col("date"))).groupBy("ticker", "slot")
-            .agg(F.min_by("residual", F.xxhash64("date", F.lit(seed))).alias("residual")))
-    # Renumber the filled slots 0..m-1 per ticker (m <= slots).
-    packed = pool.groupBy("ticker").agg(F.transform(
-        F.array_sort(F.collect_list(F.struct("slot", "residual"))), lambda s: s["residual"]).alias("pool"))
-    draws = steps.withColumn("sample_id", F.explode(F.sequence(F.lit(1), F.lit(n_samples)))).join(packed, "ticker")
-    i = F.pmod(F.xxhash64("ticker", "window_id", "step", "sample_id", F.lit(seed)), F.size("pool").cast("bigint"))
-    return draws.select("ticker", "window_id", "step", "sample_id",
-                        (F.col("predicted") + F.get("pool", i.cast("int"))).alias("value"))
+    whole = Window.partitionBy("ticker")
+    pool = residuals.select("ticker", "residual", F.row_number().over(whole.orderBy("date")).cast("bigint").alias("i"))
+    n = pool.groupBy("ticker").agg(F.count("*").alias("n"))
+    draws = steps.join(n, "ticker").withColumn("sample_id", F.explode(F.sequence(F.lit(1), F.lit(n_samples))))
+    pick = F.pmod(F.xxhash64("ticker", "window_id", "step", "sample_id", F.lit(seed)), F.col("n")) + 1
+    return (draws.withColumn("i", pick).join(pool, ["ticker", "i"])
+            .select("ticker", "window_id", "step", "sample_id", (F.col("predicted") + F.col("residual")).alias("value")))

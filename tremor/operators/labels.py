@@ -246,12 +246,13 @@ def scorable(labels: DataFrame, raw: DataFrame, ledger: DataFrame | None, source
     published = raw.select(F.col("id").alias("event_id"), "published_at")
     if since is not None:
         published = published.where(F.col("published_at") >= since)
+    rows = rows.join(published, "event_id")
+    if ledger is None:
+        return rows
+    # Same key as the join above, so the labels are not shuffled again.
     gated = (F.col("label_source") == dims.CODED_SOURCE) & (F.col("event_type") == dims.TENSION)
-    if ledger is not None:
-        # Only the gated rows need the ledger, so only they are joined to it.
-        confirmed = ledger.where(F.col("verdict") == dims.CONFIRMED).select("event_id")
-        rows = rows.where(~gated).unionByName(rows.where(gated).join(confirmed, "event_id", "left_semi"))
-    return rows.join(published, "event_id")
+    confirmed = ledger.where(F.col("verdict") == dims.CONFIRMED).select("event_id", F.lit(True).alias("_confirmed"))
+    return rows.join(confirmed, "event_id", "left").where(~gated | F.col("_confirmed").isNotNull()).drop("_confirmed")
 
 
 def corpus_counts(labels: DataFrame) -> DataFrame:

@@ -17,6 +17,7 @@ from tremor.operators import features as FE
 from tremor.operators import graph as G
 from tremor.operators import labels as L
 from tremor.operators import scoring as SC
+from tremor.session import materialize
 
 NATIONS = [f"NATION_{i}" for i in range(25)]
 NATION_MAP = {n: n for n in NATIONS}
@@ -27,7 +28,6 @@ TYPE_MAP = {"error": "supply_chain_fab_disruption", "click": "geopolitical_milit
 SOURCE_OF = ["gdelt_derived", "rule_based", "llm_assisted", "manual", "ollama_assisted"]
 START, END = "2024-01-01", "2024-01-30"  # span of the events table
 SCORES_FROM = "1996-01-01"
-PATH_WINDOW = 20
 
 # Words that do occur in the test prose, added to the fixed lists.
 EXTRA = {"trade_export_control": ["the", "le"], "geopolitical_military_tension": ["that", "que"],
@@ -53,7 +53,11 @@ def day(s: str) -> Column:
 
 
 class Fixture:
-    """Lazily built input tables over one test-data folder."""
+    """Lazily built input tables over one test-data folder.
+
+    What the batch job keeps as a table (graph, clusters, attribution, bars,
+    features) is written once and read by every consumer.
+    """
 
     def __init__(self, spark: SparkSession, sf_dir: str) -> None:
         self.spark, self.dir = spark, sf_dir
@@ -143,7 +147,7 @@ class Fixture:
         weight = F.when(F.col("down"), F.col("w").cast("double") / top).otherwise(share)
         shares = w.select("src", "dst", "channel", weight.alias("weight"))
         note = F.concat(F.lit("§"), F.col("src"), F.lit("-"), F.col("dst"), F.lit(": "), F.coalesce("channel", F.lit("beta")), F.lit(" share"))
-        return shares.withColumn("note", note)
+        return materialize(shares.withColumn("note", note), "edges")
 
     @cached_property
     def nodes(self) -> DataFrame:
@@ -166,7 +170,7 @@ class Fixture:
     # -- scores -------------------------------------------------------------
     @cached_property
     def clusters(self) -> DataFrame:
-        return SC.build_clusters(self.scorable, NATIONS)
+        return materialize(SC.build_clusters(self.scorable, NATIONS), "clusters")
 
     @cached_property
     def cluster_reach(self) -> DataFrame:
@@ -182,7 +186,7 @@ class Fixture:
 
     @cached_property
     def attribution(self) -> DataFrame:
-        return SC.attribution(self.contributions)
+        return materialize(SC.attribution(self.contributions), "attribution")
 
     @cached_property
     def catalog(self) -> DataFrame:
@@ -201,7 +205,7 @@ class Fixture:
         b = t.groupBy("ticker", "date").agg(
             F.min_by("price", "key").alias("open"), F.max("price").alias("high"), F.min("price").alias("low"),
             F.max_by("price", "key").alias("close"), F.sum("l_quantity").cast("bigint").alias("volume"))
-        return b.select("ticker", "date", "open", "high", "low", "close", F.col("close").alias("adj_close"), "volume")
+        return materialize(b.select("ticker", "date", "open", "high", "low", "close", F.col("close").alias("adj_close"), "volume"), "bars")
 
     @cached_property
     def score_days(self) -> DataFrame:
@@ -216,7 +220,7 @@ class Fixture:
 
     @cached_property
     def features(self) -> DataFrame:
-        return FE.assign_splits(FE.usable(self.joined))
+        return materialize(FE.assign_splits(FE.usable(self.joined)), "features")
 
     @cached_property
     def predictions(self) -> DataFrame:
@@ -233,11 +237,10 @@ class Fixture:
 
     @cached_property
     def path_steps(self) -> DataFrame:
-        """Every 20th row opens a window of 5 steps; fold = window % 4."""
+        """Windows of 5 steps after one another; fold = window % 4."""
         r = self.features.select("ticker", "date", "daily_return", "rn")
-        win = F.floor((F.col("rn") - 1) / 20).cast("bigint")
-        return (r.withColumn("window_id", win).withColumn("step", ((F.col("rn") - 1) % 20 + 1).cast("int"))
-                .where("step <= 5").select("ticker", "window_id", "step", (win % 4).cast("int").alias("fold_id"),
+        win = F.floor((F.col("rn") - 1) / 5).cast("bigint")
+        return (r.withColumn("window_id", win).withColumn("step", ((F.col("rn") - 1) % 5 + 1).cast("int")).select("ticker", "window_id", "step", (win % 4).cast("int").alias("fold_id"),
                                            F.col("daily_return").alias("actual")))
 
     @cached_property

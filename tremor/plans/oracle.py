@@ -131,8 +131,8 @@ CTES = {
                f AS (PARTITION BY ticker ORDER BY date ROWS BETWEEN 5 PRECEDING AND 1 PRECEDING)""",
     "prd": """SELECT ticker, label_date, prior_date, split, actual, prior, 'baseline' AS variant, p AS predicted FROM prd0 WHERE rn > 5
         UNION ALL SELECT ticker, label_date, prior_date, split, actual, prior, 'with_score', p + (score - 0.5e0) * prior FROM prd0 WHERE rn > 5""",
-    "pst": """SELECT ticker, (rn - 1) // 20 AS window_id, CAST((rn - 1) % 20 + 1 AS INTEGER) AS step,
-        CAST(((rn - 1) // 20) % 4 AS INTEGER) AS fold_id, daily_return AS actual FROM ftr WHERE (rn - 1) % 20 + 1 <= 5""",
+    "pst": """SELECT ticker, (rn - 1) // 5 AS window_id, CAST((rn - 1) % 5 + 1 AS INTEGER) AS step,
+        CAST(((rn - 1) // 5) % 4 AS INTEGER) AS fold_id, daily_return AS actual FROM ftr""",
     "smp": """SELECT pst.*, CAST(s AS INTEGER) AS sample_id,
         actual * (1e0 + (s - 10) / 40e0) + (((window_id % 7) - 3) / 10e0) * 0.5e0 + ((s - 10) / 40e0) * 0.6e0 AS value
         FROM pst CROSS JOIN range(1, 21) t(s)""",

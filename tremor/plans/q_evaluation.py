@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from tremor.functions import exprs as X
 from tremor.operators import corpus as C
 from tremor.operators import evaluate as E
 from tremor.operators import features as FE
@@ -90,12 +91,16 @@ def e9(f):
     return calibration(f).select("step", "n_cal", F.round("q_hat", 6).alias("q_hat"))
 
 
-@query("E9_small_sample", """SELECT ticker, count(*) AS n_cal, round(coalesce(max(s) FILTER (r = ceil((n + 1) * 0.9e0)), 'inf'::DOUBLE), 6) AS q_hat FROM
-    (SELECT ticker, s, row_number() OVER (PARTITION BY ticker ORDER BY s) AS r, count(*) OVER (PARTITION BY ticker) AS n FROM ncf WHERE window_id < 8 AND step = 1 AND (window_id > 0 OR ticker > 'Brand#2')) GROUP BY ticker""")
+@query("E9_small_sample", """SELECT ticker, window_id // 2 AS pair, count(*) AS n_cal, CAST(round(coalesce(max(s) FILTER (r = ceil((n + 1) * 0.9e0)), 'inf'::DOUBLE), 6) AS VARCHAR) = 'inf' AS too_small,
+    CASE WHEN count(*) > 8 THEN round(max(s) FILTER (r = ceil((n + 1) * 0.9e0)), 6) END AS q_hat FROM
+    (SELECT ticker, window_id, s, row_number() OVER (PARTITION BY ticker, window_id // 2 ORDER BY s) AS r, count(*) OVER (PARTITION BY ticker, window_id // 2) AS n FROM ncf) GROUP BY ticker, window_id // 2""")
 def e9b(f):
-    s = scores(f).where("window_id < 8 and step = 1 and (window_id > 0 or ticker > 'Brand#2')")
-    c = E.fit_calibration(s, ["ticker"])
-    return c.select("ticker", "n_cal", F.round("q_hat", 6).alias("q_hat"))
+    """Pairs of windows: 10 scores give a band, a last single window (at most
+    5) is too small and gives +inf."""
+    s = scores(f).withColumn("pair", F.floor(F.col("window_id") / 2))
+    c = E.fit_calibration(s, ["ticker", "pair"])
+    inf = F.col("q_hat") == float("inf")
+    return c.select("ticker", "pair", "n_cal", inf.alias("too_small"), F.round(F.when(~inf, F.col("q_hat")), 6).alias("q_hat"))
 
 
 def calibrated(f, last=True):
@@ -132,11 +137,13 @@ def e18(f):
     ev = f.scorable.withColumn("published_at", F.to_date("published_at").cast("timestamp"))
     clusters = SC.build_clusters(ev, FX.NATIONS)
     proj = SC.projected_scores(SC.cluster_reach(clusters, f.reach), requests(f), FX.day(FX.START), FX.day("2024-02-24"))
-    # Recompute per (as_of, target) pair with the instant formula on the
-    # whole cluster set, ages taken at midnight of the target.
+    # Recompute with the instant formula cluster by cluster, ages taken
+    # between the midnights of cluster and target day.
     pairs = requests(f).select("as_of", "target").distinct()
-    hit = SC.cluster_reach(clusters, f.reach).join(pairs, F.col("cluster_date") <= F.col("as_of"))
-    age = F.datediff("target", "cluster_date")
+    spread = SC.cluster_reach(clusters, f.reach).withColumn(
+        "target", F.explode(F.sequence(F.col("cluster_date"), F.date_add("cluster_date", 40))))
+    hit = spread.join(pairs, "target").where(F.col("cluster_date") <= F.col("as_of"))
+    age = X.fractional_days(F.col("target").cast("timestamp"), F.col("cluster_date").cast("timestamp"))
     tau = F.pow(F.lit(0.5), age / F.lit(5.0))
     again = (hit.withColumn("tau", tau).where("tau >= 0.01").groupBy("ticker", "as_of", "target")
              .agg((1 - F.product(1 - F.col("k") * F.col("imp") * F.col("tau"))).alias("again")))
@@ -152,13 +159,17 @@ def e19(f):
 
 
 # -- text corpus -------------------------------------------------------------
-TOK = {"trn": "SELECT doc_id, text, lang FROM documents WHERE doc_id % 10 <> 0",
+STRAT = {"hsh": "SELECT doc_id, lang, substr(sha256(doc_id || '|42'), 1, 15) AS h FROM documents",
+         "hrn": "SELECT *, row_number() OVER (PARTITION BY lang ORDER BY h) AS r, count(*) OVER (PARTITION BY lang) AS n FROM hsh",
+         "spl": "SELECT doc_id, lang, CASE WHEN n >= 2 AND r <= least(round_even(n * 0.15e0, 0), n - 1) THEN 'val' ELSE 'train' END AS split FROM hrn"}
+TOK = {**STRAT, "trn": "SELECT doc_id, text FROM documents JOIN spl USING (doc_id) WHERE split = 'train'",
        "cnt": "SELECT token, count(*) AS c FROM (SELECT unnest(regexp_extract_all(lower(text), '[a-z0-9'']+')) AS token FROM trn) GROUP BY token",
        "voc": "SELECT token, c, row_number() OVER (ORDER BY c DESC, token) + 1 AS token_id FROM cnt QUALIFY row_number() OVER (ORDER BY c DESC, token) <= 19998"}
 
 
 def train_docs(f):
-    return f.table("documents").where("doc_id % 10 <> 0")
+    """Train rows of the stratified split."""
+    return C.stratified_split(f.table("documents").select("doc_id", "lang", "text"), "doc_id", "lang").where("split = 'train'")
 
 
 @query("N2_vocabulary", "SELECT token, c AS count, CAST(token_id AS INTEGER) AS token_id FROM voc", **TOK)
@@ -174,11 +185,7 @@ def n3(f):
     return e.select("doc_id", F.array_join(F.transform("ids", lambda x: x.cast("string")), " ").alias("ids"))
 
 
-STRAT = {"hsh": "SELECT doc_id, lang, substr(sha256(doc_id || '|42'), 1, 15) AS h FROM documents",
-         "hrn": "SELECT *, row_number() OVER (PARTITION BY lang ORDER BY h) AS r, count(*) OVER (PARTITION BY lang) AS n FROM hsh"}
-
-
-@query("N4_stratified_split", "SELECT doc_id, lang, CASE WHEN n >= 2 AND r <= least(round_even(n * 0.15e0, 0), n - 1) THEN 'val' ELSE 'train' END AS split FROM hrn", **STRAT)
+@query("N4_stratified_split", "SELECT doc_id, lang, split FROM spl", **STRAT)
 def n4(f):
     return C.stratified_split(f.table("documents").select("doc_id", "lang"), "doc_id", "lang").select("doc_id", "lang", "split")
 
@@ -231,9 +238,9 @@ def n10(f):
     return C.label_agreement(f.judged, "gold", "pred").select("n", F.round("agreement", 6).alias("agreement"))
 
 
-@query("J15_training_pool", "SELECT r.id, l.event_type FROM rawev r JOIN lab l ON l.event_id = r.id WHERE r.source = 'rss' AND l.label_source = 'rule_based' AND r.eid % 20 <> 6")
+@query("J15_training_pool", "SELECT r.id, l.event_type FROM rawev r JOIN lab l ON l.event_id = r.id WHERE r.source = 'rss' AND l.label_source = 'rule_based' AND r.published_at < TIMESTAMP '2024-01-29 00:00:00'")
 def j15(f):
-    holdout = f.events.where("eid % 20 = 6").select(F.col("event_id").alias("id"))
+    holdout = f.events.where(F.col("published_at") >= "2024-01-29").select(F.col("event_id").alias("id"))
     return C.training_pool(f.raw, f.labels, holdout, "rss", "rule_based").select("id", "event_type")
 
 

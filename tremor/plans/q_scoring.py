@@ -48,11 +48,11 @@ def j4(f):
     return f.labels.where("event_type <> 'unclassified'").join(f.ledger.select("event_id"), "event_id", "left_anti").select("event_id")
 
 
-SCRAPED = {"scr": "SELECT 'http://example.com/' || i AS url, CASE WHEN i % 3 <> 0 THEN 'page ' || i END AS title, CASE WHEN i % 3 <> 0 THEN 'ok' ELSE 'no_title' END AS status FROM (SELECT DISTINCT eid % 997 AS i FROM ev WHERE eid % 997 < 600)"}
+SCRAPED = {"scr": "SELECT 'http://example.com/' || i AS url, CASE WHEN i % 3 <> 0 THEN 'page ' || i END AS title, CASE WHEN i % 3 <> 0 THEN 'ok' ELSE 'no_title' END AS status FROM (SELECT DISTINCT eid % 997 AS i FROM ev WHERE d < DATE '2024-01-03')"}
 
 
 def scraped(f):
-    i = f.events.where("eid % 997 < 600").select((F.col("eid") % 997).alias("i")).distinct()
+    i = f.events.where(F.col("published_at") < "2024-01-03").select((F.col("eid") % 997).alias("i")).distinct()
     ok = F.col("i") % 3 != 0
     return i.select(F.concat(F.lit("http://example.com/"), F.col("i").cast("string")).alias("url"),
                     F.when(ok, F.concat(F.lit("page "), F.col("i").cast("string"))).alias("title"),
@@ -150,16 +150,14 @@ def g6(f):
 HOPS = {"hps": "SELECT a.*, unnest(range(1, len(path))) AS i FROM att a"}
 
 
-@query("G7_causal_edges", "SELECT DISTINCT h.ticker, h.date, e.src, e.dst, e.channel, e.weight, coalesce(e.channel, 'beta') || ' share' AS note FROM hps h JOIN edg e ON e.src = h.path[h.i] AND e.dst = h.path[h.i + 1] WHERE h.date = DATE '2024-01-20'", **HOPS)
+@query("G7_causal_edges", "SELECT DISTINCT h.ticker, h.date, e.src, e.dst, e.channel, e.weight, coalesce(e.channel, 'beta') || ' share' AS note FROM hps h JOIN edg e ON e.src = h.path[h.i] AND e.dst = h.path[h.i + 1]", **HOPS)
 def g7(f):
-    a = f.attribution.where(F.col("date") == FX.day("2024-01-20"))
-    return G.causal_edges(a, f.edges, ["ticker", "date"])
+    return G.causal_edges(f.attribution, f.edges, ["ticker", "date"])
 
 
-@query("G7_causal_nodes", "SELECT DISTINCT ticker, name, n.node_type, name = ticker AS is_focus FROM (SELECT ticker, unnest(path) AS name FROM att WHERE date = DATE '2024-01-20') JOIN nod n USING (name)")
+@query("G7_causal_nodes", "SELECT DISTINCT ticker, date, name, n.node_type, name = ticker AS is_focus FROM (SELECT ticker, date, unnest(path) AS name FROM att) JOIN nod n USING (name)")
 def g7n(f):
-    a = f.attribution.where(F.col("date") == FX.day("2024-01-20"))
-    return G.causal_nodes(a, f.nodes, ["ticker"], "ticker").select("ticker", "name", "node_type", "is_focus")
+    return G.causal_nodes(f.attribution, f.nodes, ["ticker", "date"], "ticker").select("ticker", "date", "name", "node_type", "is_focus")
 
 
 @query("G8_flow_links", "SELECT path[1] AS origin, CASE WHEN len(path) > 2 THEN path[2] END AS mid, path[-1] AS dest, count(*) AS n, round(max(contribution), 9) AS weight FROM att GROUP BY ALL")
@@ -283,9 +281,9 @@ def a14(f):
     return f.bars.groupBy("ticker").agg(F.count("*").alias("n"), F.min("date").alias("first_date"), F.max("date").alias("last_date"))
 
 
-@query("A15_narrative_candidates", "SELECT a.event_id, c.title, c.event_type, a.corridor FROM (SELECT event_id, min(ck) AS corridor FROM att GROUP BY event_id) a JOIN cat c USING (event_id) WHERE CAST(a.event_id AS BIGINT) % 4 <> 0")
+@query("A15_narrative_candidates", "SELECT a.event_id, c.title, c.event_type, a.corridor FROM (SELECT event_id, min(ck) AS corridor FROM att GROUP BY event_id) a JOIN cat c USING (event_id) WHERE c.published_at >= TIMESTAMP '2024-01-15 00:00:00'")
 def a15(f):
-    done = f.events.where("eid % 4 = 0").select("event_id")
+    done = f.events.where(F.col("published_at") < "2024-01-15").select("event_id")
     return V.narrative_candidates(f.attribution, f.catalog, done)
 
 

@@ -145,10 +145,9 @@ def s9(f):
     return good.select("ticker", "date", F.round("open", 4).alias("open"), F.round("high", 4).alias("high"), "volume")
 
 
-@query("S10_table_scan", "SELECT ticker, date, adj_close, volume FROM bars WHERE ticker IN ('Brand#1', 'Brand#2') AND date >= DATE '1998-01-01'")
+@query("S10_table_scan", "SELECT ticker, date, adj_close, volume FROM bars WHERE date >= DATE '1998-01-01'")
 def s10(f):
-    rows = f.bars.where(F.col("ticker").isin("Brand#1", "Brand#2"))
-    return V.history(rows, start="1998-01-01").select("ticker", "date", "adj_close", "volume")
+    return V.history(f.bars, start="1998-01-01").select("ticker", "date", "adj_close", "volume")
 
 
 @query("S11_unlabelled_scan", "SELECT id FROM rawev r WHERE source = 'gdelt' AND NOT EXISTS (SELECT 1 FROM lab l WHERE l.event_id = r.id AND l.label_source = 'gdelt_derived')")
@@ -182,18 +181,19 @@ def s14(f):
 
 
 # -- write semantics: the merge of an old table and a batch -----------------
-# Old table: events with eid % 3 <> 0; batch: eid % 2 = 0, each twice.
+# Two overlapping pulls: days before the 20th are stored, days from the 10th
+# on arrive, each row twice.
 def _old(f):
-    return f.events.where("eid % 3 <> 0").select("event_id", F.to_date("published_at").alias("d"), F.col("value").alias("v"))
+    return f.events.where(F.col("published_at") < "2024-01-20").select("event_id", F.to_date("published_at").alias("d"), F.col("value").alias("v"))
 
 
 def _batch(f):
-    b = f.events.where("eid % 2 = 0").select("event_id", F.to_date("published_at").alias("d"), F.col("value").alias("v"))
+    b = f.events.where(F.col("published_at") >= "2024-01-10").select("event_id", F.to_date("published_at").alias("d"), F.col("value").alias("v"))
     return b.select("event_id", "d", F.explode(F.array(F.col("v") + 1, F.col("v") + 2)).alias("v"))
 
 
-OLD = "SELECT event_id, d, value AS v FROM ev WHERE eid % 3 <> 0"
-BATCH = "SELECT event_id, d, unnest([value + 1, value + 2]) AS v FROM ev WHERE eid % 2 = 0"
+OLD = "SELECT event_id, d, value AS v FROM ev WHERE d < DATE '2024-01-20'"
+BATCH = "SELECT event_id, d, unnest([value + 1, value + 2]) AS v FROM ev WHERE d >= DATE '2024-01-10'"
 MERGE = {"oldt": OLD, "bat": BATCH, "one": "SELECT event_id, d, min(v) AS v FROM bat GROUP BY ALL"}
 
 
@@ -227,20 +227,18 @@ def w4(f):
     return ST.rebuild_window(_old(f), batch, "d", since).select("event_id", "d", F.round("v", 4).alias("v"))
 
 
-@query("W5_scoped_delete", """SELECT event_id, label_source FROM lab WHERE NOT (label_source = 'gdelt_derived' AND eid % 7 = 1)""")
+@query("W5_scoped_delete", "SELECT event_id, label_source FROM lab WHERE NOT (label_source = 'gdelt_derived' AND EXISTS (SELECT 1 FROM led g WHERE g.event_id = lab.event_id AND g.verdict = 'reject_stage2'))")
 def w5(f):
     deletes = f.ledger.where("verdict = 'reject_stage2'").select("event_id", F.lit("gdelt_derived").alias("label_source"))
-    more = f.events.where("eid % 7 = 1").select("event_id", F.lit("gdelt_derived").alias("label_source"))
     t = f.labels.select("event_id", "label_source")
-    return ST.delete_rows(t, deletes.unionByName(more), ["event_id", "label_source"])
+    return ST.delete_rows(t, deletes, ["event_id", "label_source"])
 
 
-@query("W6_run_summary", """SELECT CASE WHEN eid % 4 = 0 THEN 'a' ELSE 'b' END AS src, CAST(count(*) * 2 AS BIGINT) AS attempted,
-    count(*) FILTER (eid % 3 = 0) AS inserted, CAST(count(*) * 2 - count(*) FILTER (eid % 3 = 0) AS BIGINT) AS deduplicated
-    FROM ev WHERE eid % 2 = 0 GROUP BY 1""")
+@query("W6_run_summary", """SELECT raw_type AS src, CAST(count(*) * 2 AS BIGINT) AS attempted,
+    count(*) FILTER (d >= DATE '2024-01-20') AS inserted, CAST(count(*) * 2 - count(*) FILTER (d >= DATE '2024-01-20') AS BIGINT) AS deduplicated
+    FROM ev GROUP BY 1""")
 def w6(f):
-    b = f.events.where("eid % 2 = 0").select("event_id", F.when(F.col("eid") % 4 == 0, "a").otherwise("b").alias("src"),
-                                             F.explode(F.array(F.lit(1), F.lit(2))).alias("copy"))
+    b = f.events.select("event_id", F.col("raw_type").alias("src"), F.explode(F.array(F.lit(1), F.lit(2))).alias("copy"))
     return ST.insert_summary(_old(f), b, ["event_id"], ["src"])
 
 
@@ -274,11 +272,12 @@ def w1_table(f):
 
 
 # -- set operations ---------------------------------------------------------
-@query("U1_merge_sources", """SELECT id, min(rk) AS src_rank FROM (SELECT event_id AS id, 1 AS rk FROM ev WHERE eid % 2 = 0
-    UNION ALL SELECT event_id, 2 FROM ev WHERE eid % 3 = 0 UNION ALL SELECT event_id, 3 FROM ev WHERE eid % 5 = 0) GROUP BY id""")
+@query("U1_merge_sources", """SELECT id, min(rk) AS src_rank FROM (SELECT event_id AS id, 1 AS rk FROM ev WHERE raw_type IN ('error', 'click')
+    UNION ALL SELECT event_id, 2 FROM ev WHERE raw_type IN ('click', 'view') UNION ALL SELECT event_id, 3 FROM ev) GROUP BY id""")
 def u1(f):
-    parts = [f.events.where(f"eid % {m} = 0").select(F.col("event_id").alias("id"), F.lit(r).alias("src_rank"))
-             for r, m in ((1, 2), (2, 3), (3, 5))]
+    kinds = {1: ["error", "click"], 2: ["click", "view"], 3: ["error", "click", "view", "signup", "purchase"]}
+    parts = [f.events.where(F.col("raw_type").isin(k)).select(F.col("event_id").alias("id"), F.lit(r).alias("src_rank"))
+             for r, k in kinds.items()]
     return ST.union_sources(parts, "id", ["src_rank"])
 
 

@@ -11,9 +11,9 @@ from tremor.plans.registry import query
 from tremor.sources import bars as B
 
 
-@query("J11_attribution_catalog", "SELECT a.ticker, a.date, a.rank, a.event_id, c.title, CASE WHEN CAST(a.event_id AS BIGINT) % 4 = 0 THEN 'story ' || a.event_id END AS narrative FROM att a JOIN cat c ON c.event_id = a.event_id AND c.label_source = a.label_source")
+@query("J11_attribution_catalog", "SELECT a.ticker, a.date, a.rank, a.event_id, c.title, CASE WHEN c.published_at < TIMESTAMP '2024-01-15 00:00:00' THEN 'story ' || a.event_id END AS narrative FROM att a JOIN cat c ON c.event_id = a.event_id AND c.label_source = a.label_source")
 def j11(f):
-    stories = f.events.where("eid % 4 = 0").select("event_id", F.concat(F.lit("story "), F.col("event_id")).alias("narrative"))
+    stories = f.events.where(F.col("published_at") < "2024-01-15").select("event_id", F.concat(F.lit("story "), F.col("event_id")).alias("narrative"))
     return V.with_narratives(f.attribution, f.catalog, stories).select("ticker", "date", "rank", "event_id", "title", "narrative")
 
 
@@ -48,9 +48,9 @@ def j18(f):
     return V.uncached_urls(f.raw, scraped(f))
 
 
-@query("Q1_score_history", "SELECT ticker, date, round(score, 8) AS score, n_clusters FROM dly WHERE ticker = 'Brand#1' AND date BETWEEN DATE '2024-01-05' AND DATE '2024-01-20'")
+@query("Q1_score_history", "SELECT ticker, date, round(score, 8) AS score, n_clusters FROM dly WHERE date BETWEEN DATE '2024-01-05' AND DATE '2024-01-20'")
 def q1(f):
-    return V.history(f.daily, "Brand#1", "2024-01-05", "2024-01-20").select("ticker", "date", F.round("score", 8).alias("score"), "n_clusters")
+    return V.history(f.daily, None, "2024-01-05", "2024-01-20").select("ticker", "date", F.round("score", 8).alias("score"), "n_clusters")
 
 
 @query("Q2_price_history", "SELECT ticker, date, open, high, low, close, volume FROM (SELECT *, max(date) OVER (PARTITION BY ticker) AS newest FROM bars) WHERE date >= newest - 730")
@@ -86,9 +86,9 @@ def q7(f):
     return r.select("ticker", "variant", "label_date", "prior_date", F.round("predicted", 6).alias("predicted"))
 
 
-@query("Q7_prediction_history", "SELECT ticker, variant, label_date, round(actual, 6) AS actual, round(predicted, 6) AS predicted FROM prd WHERE ticker = 'Brand#2'")
+@query("Q7_prediction_history", "SELECT ticker, variant, label_date, round(actual, 6) AS actual, round(predicted, 6) AS predicted FROM prd")
 def q7h(f):
-    r = f.predictions.where("ticker = 'Brand#2'").orderBy("variant", "label_date")
+    r = f.predictions.orderBy("ticker", "variant", "label_date")
     return r.select("ticker", "variant", "label_date", F.round("actual", 6).alias("actual"), F.round("predicted", 6).alias("predicted"))
 
 
