@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -10,47 +10,60 @@ from pyspark.sql import functions as F
 from tremor import dims
 
 # RFC 3986 splitting; lenient, unlike parse_url which rejects loose URLs.
-_URL = r"^(?:([A-Za-z][A-Za-z0-9+.\-]*):)?(?://([^/?#]*))?([^?#]*)(?:\?([^#]*))?(?:#.*)?$"
+_URL = r"(?s)^(?:([A-Za-z][A-Za-z0-9+.\-]*):)?(?://([^/?#]*))?([^?#]*)(?:\?([^#]*))?(?:#.*)?$"
+# What counts as white space at the ends of a text.
+_BLANKS = " \t\n\x0b\x0c\r\x1c\x1d\x1e\x1f\x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
 
 
 def col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with ``value`` evaluated once, however often it is
+    used: a plain Python variable would repeat the whole expression."""
+    return F.transform(F.array(value), body)[0]
+
+
 def strip(c: Column | str) -> Column:
-    """Trim all white space (``trim`` only removes blanks)."""
-    return F.regexp_replace(col(c), r"^\s+|\s+$", "")
+    """Trim all white space (``trim`` alone only removes blanks)."""
+    return F.trim(col(c), F.lit(_BLANKS))
 
 
 def null_if_blank(c: Column | str) -> Column:
-    s = strip(c)
-    return F.when(s != "", s)
+    return F.nullif(strip(c), F.lit(""))
 
 
 def normalize_url(u: Column | str) -> Column:
     """Lower-case scheme and host, strip trailing slashes, drop the fragment,
-    keep the query; blank -> null.  A URL without scheme gets ``http``."""
-    s = null_if_blank(u)
-    part = lambda i: F.regexp_extract(s, _URL, i)
-    scheme = F.when(part(1) == "", F.lit("http")).otherwise(F.lower(part(1)))
-    host = F.lower(part(2))
-    stripped = F.regexp_replace(part(3), "/+$", "")
-    path = F.when(stripped == "", F.lit("/")).otherwise(stripped)
-    slashes = F.when((host != "") | path.startswith("/"), F.concat(F.lit("//"), host)).otherwise(F.lit(""))
-    # A relative path after a host always starts with "/" by the pattern.
-    query = F.when(part(4) != "", F.concat(F.lit("?"), part(4))).otherwise(F.lit(""))
-    return F.when(s.isNotNull(), F.concat(scheme, F.lit(":"), slashes, path, query))
+    keep the query; blank -> null.  A URL without scheme gets ``http``.
+
+    One regex pass cuts the URL into four pieces; the rest works on those.
+    """
+    sep = "\x01"
+    clean = F.translate(strip(u), "\t\r\n", "")
+    pieces = F.split(F.regexp_replace(F.nullif(clean, F.lit("")), _URL, f"$1{sep}$2{sep}$3{sep}$4"), sep, -1)
+
+    def build(p: Column) -> Column:
+        scheme = F.when(p[0] == "", F.lit("http")).otherwise(F.lower(p[0]))
+        path = F.rtrim(p[2], F.lit("/"))
+        path = F.when(path == "", F.lit("/")).otherwise(path)
+        host = F.when((p[1] != "") | (F.rtrim(p[2], F.lit("/")) == "") | p[2].startswith("/"),
+                      F.concat(F.lit("//"), F.lower(p[1]))).otherwise(F.lit(""))
+        query = F.when(p[3] != "", F.concat(F.lit("?"), p[3])).otherwise(F.lit(""))
+        return F.concat(scheme, F.lit(":"), host, path, query)
+
+    return let(pieces, build)
 
 
 def event_id(source: Column | str, url: Column | str, source_id: Column | str) -> Column:
     """sha256 of ``source|normalized url`` (or native id); null = reject."""
     key = F.coalesce(normalize_url(url), F.when(col(source_id) != "", col(source_id)))
-    return F.when(key.isNotNull(), F.sha2(F.concat(col(source), F.lit("|"), key), 256))
+    return F.sha2(F.concat(col(source), F.lit("|"), key), 256)
 
 
 def http_only(u: Column | str) -> Column:
-    s = strip(u)
-    return F.when(F.lower(s).startswith("http"), s)
+    return F.nullif(F.regexp_extract(col(u), r"(?is)^\s*(http.*?)\s*$", 1), F.lit(""))
 
 
 def clip(x: Column | str, lo: float, hi: float) -> Column:

@@ -18,7 +18,7 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from tremor.functions.exprs import col
+from tremor.functions.exprs import col, strip
 
 # Letters, digits and underscore of any script, as the word class.
 WORD = r"[\p{L}\p{N}_]"
@@ -80,4 +80,4 @@ def tokenize(text: Column | str) -> Column:
 def combined_text(title: Column | str, text: Column | str) -> Column:
     """Title and text, nulls as empty, trimmed."""
     joined = F.concat(F.coalesce(col(title), F.lit("")), F.lit(" "), F.coalesce(col(text), F.lit("")))
-    return F.regexp_replace(joined, r"^\s+|\s+$", "")
+    return strip(joined)
