@@ -58,7 +58,7 @@ def _ingest(f: Fixture):
     table = _table(f, place, IDS, ["id"], ["d"])
     stream = ST.deduplicated(_repeated(StreamFixture(f.spark, f.dir)))
     # The keyed sink runs a shuffle per micro-batch, as a batch job would.
-    q = ST.start(stream, ST.insert_sink(table, ["published_us"]), f"{place}/checkpoint", "r1_ingest")
+    q = ST.start(stream, ST.insert_sink(table, ["published_us"]), f"{place}/checkpoint", place.rsplit("/", 1)[-1])
     q.awaitTermination()
     return table, q
 
@@ -82,7 +82,7 @@ def r2(f):
     lab = L.label_coded(s, F.col("event_id"), F.col("quad"), F.col("goldstein"), F.col("k0"),
                         X.coded_countries("actor1", "actor2", F.lit("-"), FX.NATION_MAP, {"x": "x"}))
     table = _table(f, place, LABELS, ["event_id", "label_source"], ["label_source"])
-    ST.start(lab.select(*LABELS.fieldNames()), ST.insert_sink(table, ["event_id"]), f"{place}/checkpoint", "r2_labels").awaitTermination()
+    ST.start(lab.select(*LABELS.fieldNames()), ST.insert_sink(table, ["event_id"]), f"{place}/checkpoint", place.rsplit("/", 1)[-1]).awaitTermination()
     return table.read()
 
 
@@ -94,7 +94,7 @@ def r3(f):
     place = _place(f, "r3")
     clusters = ST.daily_clusters(StreamFixture(f.spark, f.dir).labels, FX.NATIONS, "40 days")
     table = _table(f, place, ST.CLUSTERS, ["cluster_date", "event_type", "corridor_key"], ["cluster_date"])
-    ST.start(clusters, ST.upsert_sink(table), f"{place}/checkpoint", "r3_clusters", mode="update").awaitTermination()
+    ST.start(clusters, ST.upsert_sink(table), f"{place}/checkpoint", place.rsplit("/", 1)[-1], mode="update").awaitTermination()
     return table.read().withColumn("k", F.round("k", 9))
 
 
