@@ -83,6 +83,8 @@ CTES = {
         (SELECT ck, event_type, unnest(corridor) AS country FROM (SELECT DISTINCT ck, event_type, corridor FROM clu)) x
         JOIN rch USING (country, event_type) WHERE imp > 0
         QUALIFY row_number() OVER (PARTITION BY ck, event_type, stock ORDER BY imp DESC, len(path), path) = 1""",
+    "cnp": """SELECT ck || '#' || event_type AS ce, stock, max(imp) AS imp FROM (SELECT ck, event_type, unnest(corridor) AS country
+        FROM (SELECT DISTINCT ck, event_type, corridor FROM clu)) x JOIN rch USING (country, event_type) WHERE imp > 0 GROUP BY ALL""",
     "con0": f"""SELECT clu.*, cre.stock AS ticker, cre.imp, cre.path, CAST(a AS INTEGER) AS days_since,
         CAST(cluster_date + CAST(a AS INTEGER) AS DATE) AS date, pow(0.5e0, a / 5e0) AS tau
         FROM clu JOIN cre USING (ck, event_type) CROSS JOIN range(0, 35) t(a)
@@ -172,4 +174,5 @@ def sql(query: str, **extra: str) -> str:
     order = [n for n in [*names, *extra] if n in need]
     if not order:
         return query
-    return "WITH " + ",\n".join(f"{n} AS ({bodies[n]})" for n in order) + "\n" + query
+    # Materialized: each expression is evaluated once, in isolation.
+    return "WITH " + ",\n".join(f"{n} AS MATERIALIZED ({bodies[n]})" for n in order) + "\n" + query

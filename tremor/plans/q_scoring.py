@@ -166,8 +166,7 @@ def g8(f):
     return links.groupBy("origin", "mid", "dest").agg(F.count("*").alias("n"), r9(F.max("weight"), "weight"))
 
 
-GROUND = {"evr": """SELECT e.event_id, c.stock, c.imp, c.path FROM (SELECT event_id, min(ck) AS ck, min(event_type) AS event_type FROM att GROUP BY event_id) e JOIN cre c USING (ck, event_type)
-    QUALIFY row_number() OVER (PARTITION BY e.event_id ORDER BY c.imp DESC, c.stock, c.path) = 1""",
+GROUND = {"evr": """SELECT ck || '#' || event_type AS event_id, stock, path FROM cre QUALIFY row_number() OVER (PARTITION BY ck, event_type ORDER BY imp DESC, stock, path) = 1""",
           "gnt": """SELECT event_id, stock, note, min(row(i, ch)) AS pos_ FROM (SELECT v.event_id, v.stock, i, coalesce(channel, '') AS ch, coalesce(channel, 'beta') || ' share' AS note
     FROM (SELECT *, unnest(range(1, len(path))) AS i FROM evr) v JOIN edg e ON e.src = v.path[v.i] AND e.dst = v.path[v.i + 1]) GROUP BY ALL"""}
 
@@ -180,9 +179,10 @@ def _event_reach(f):
 
 @query("G9_grounding_facts", "SELECT event_id, stock, array_to_string(list_slice(list(note ORDER BY pos_), 1, 3), '; ') AS notes FROM gnt GROUP BY event_id, stock", **GROUND)
 def g9(f):
-    e, cr = _event_reach(f)
-    rows = e.join(cr, ["corridor_key", "event_type"]).where("imp > 0")
-    return G.grounding(rows, f.edges).select("event_id", "stock", F.array_join("notes", "; ").alias("notes"))
+    """Facts depend on corridor and type only, so one case per pair."""
+    cr = G.corridor_reach(f.clusters.select("corridor_key", "corridor", "event_type").dropDuplicates(["corridor_key", "event_type"]), f.reach)
+    cases = cr.where("imp > 0").select(F.concat("corridor_key", F.lit("#"), "event_type").alias("event_id"), "stock", "imp", "path")
+    return G.grounding(cases, f.edges).select("event_id", "stock", F.array_join("notes", "; ").alias("notes"))
 
 
 @query("G10_tied_impacts", "SELECT country, event_type, round(imp, 4) AS imp, count(*) AS n_stocks FROM rch GROUP BY country, event_type, round(imp, 4) HAVING count(*) > 1")

@@ -28,9 +28,8 @@ def j13(f):
     return e.groupBy("ticker", "src", "dst", "channel").agg(F.count("*").alias("n"))
 
 
-IMP = {"evs": "SELECT event_id, min(row(ck, event_type, k_value)) AS r FROM att GROUP BY event_id",
-       "evk": "SELECT event_id, r[1] AS ck, r[2] AS event_type, r[3] AS k FROM evs",
-       "evx": "SELECT v.event_id, c.stock AS ticker, c.imp, c.path, v.k * c.imp AS g, EXISTS (SELECT 1 FROM att a WHERE a.event_id = v.event_id AND a.ticker = c.stock) AS ever_top FROM evk v JOIN cre c USING (ck, event_type)"}
+IMP = {"evk": "SELECT event_id, ck || '#' || event_type AS ce, k FROM clu WHERE event_id IN (SELECT event_id FROM att) QUALIFY row_number() OVER (PARTITION BY event_id ORDER BY ck, event_type, k) = 1",
+       "evx": "SELECT v.event_id, c.stock AS ticker, c.imp, v.k * c.imp AS g, t.event_id IS NOT NULL AS ever_top FROM evk v JOIN cnp c ON c.ce = v.ce LEFT JOIN (SELECT DISTINCT event_id, ticker FROM att) t ON t.event_id = v.event_id AND t.ticker = c.stock"}
 
 
 def impacts(f):
@@ -38,9 +37,10 @@ def impacts(f):
     return V.event_impacts(e, cr.where("imp > 0"), f.attribution)
 
 
-@query("J14_cross_stock_impact", f"SELECT event_id, ticker, round(imp, 9) AS imp, {P} AS path, round(g, 9) AS gross_contribution, ever_top FROM evx", **IMP)
+@query("J14_cross_stock_impact", "SELECT event_id, ticker, round(imp, 9) AS imp, round(g, 9) AS gross_contribution, ever_top FROM evx", **IMP)
 def j14(f):
-    return impacts(f).select("event_id", "ticker", r9("imp"), path_text().alias("path"), r9("gross_contribution"), "ever_top")
+    # Paths are checked by the reach and attribution queries.
+    return impacts(f).select("event_id", "ticker", r9("imp"), r9("gross_contribution"), "ever_top")
 
 
 @query("J18_uncached_urls", "SELECT DISTINCT url FROM rawev WHERE url NOT IN (SELECT url FROM scr)", **SCRAPED)
