@@ -165,7 +165,7 @@ class Fixture:
 
     @cached_property
     def reach(self) -> DataFrame:
-        return G.reach(self.edges, self.nodes, self.activation)
+        return materialize(G.reach(self.edges, self.nodes, self.activation), "reach")
 
     # -- scores -------------------------------------------------------------
     @cached_property

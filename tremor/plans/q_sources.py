@@ -165,7 +165,9 @@ def s12(f):
     return e.select("eid", F.col("p.k").alias("k"), F.size(F.filter(items, lambda x: x.isNotNull())).alias("n_items"))
 
 
-@query("S13_page_titles")
+@query("S13_page_titles", """SELECT url, nullif(trim(replace(replace(replace(replace(replace(regexp_extract(html, '<title>(.*?)</title>', 1),
+    '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', chr(39)), '&amp;', '&')), '') AS title,
+    CASE WHEN regexp_extract(html, '<title>(.*?)</title>', 1) = '' THEN 'no_title' ELSE 'ok' END AS status FROM pages""")
 def s13(f):
     return FD.page_titles(f.pages)
 
