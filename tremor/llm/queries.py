@@ -6,7 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tremor.llm import mixing, packing, pii_crf, repetition, simhash_trie
+from tremor.llm import (
+    cover_tree,
+    html_consensus,
+    langid_em,
+    lm_backoff,
+    mixing,
+    packing,
+    pii_crf,
+    quality_ordinal,
+    repetition,
+    simhash_trie,
+)
 from tremor.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -47,3 +58,28 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op8_simhash_trie")
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_trie.simhash_classes(table(spark, sf_dir, "documents"))
+
+
+@query("op6_host_path_text")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_consensus.extract_pages(table(spark, sf_dir, "pages"))
+
+
+@query("op7_language_mixture")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid_em.identify(table(spark, sf_dir, "documents"))
+
+
+@query("op1_ordinal_quality")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_ordinal.rate_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query("op9_cover_tree_top_k")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cover_tree.top_k(table(spark, sf_dir, "embeddings"))
+
+
+@query("op10_stupid_backoff")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_backoff.score(table(spark, sf_dir, "documents"))
