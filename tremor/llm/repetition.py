@@ -3,7 +3,8 @@
 A text's words are numbered; rolling hashes over the numbers (prefix sums of a
 polynomial, in numpy) give the key of every n-word window for several n in one
 subtraction.  What counts is how many characters lie inside windows, and
-inside lines, that occur more than once.
+inside lines, that have occurred before: the first occurrence is no repetition,
+so a heading that returns once at the end of a short text does no harm.
 
 A window of n words can only repeat where its first n-1 words repeat, so each
 length looks at the windows left by the one before; most texts end at once.
@@ -32,11 +33,11 @@ MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 
 @dataclass(frozen=True)
 class Rules:
-    """Largest share of the word characters inside repeated windows, by window
-    length; inside repeated lines; and most symbols per word."""
+    """Largest share of the word characters inside windows seen before, by
+    window length; inside lines seen before; and most symbols per word."""
 
-    coverage: dict[int, float] = field(default_factory=lambda: {5: 0.15, 6: 0.14, 7: 0.13, 8: 0.12, 9: 0.11, 10: 0.10})
-    line_coverage: float = 0.20
+    coverage: dict[int, float] = field(default_factory=lambda: {5: 0.30, 6: 0.28, 7: 0.26, 8: 0.24, 9: 0.22, 10: 0.20})
+    line_coverage: float = 0.30
     symbols_per_word: float = 0.30
     min_words: int = 50
     max_repeat_percent: int = 50
@@ -54,15 +55,16 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def _repeated(keys: np.ndarray) -> np.ndarray:
-    """Which keys occur at least twice."""
+def _repeated(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which keys occur at least twice, and which of those are not the first."""
     order = np.argsort(keys, kind="stable")
     s = keys[order]
     same = s[1:] == s[:-1]
-    hit = np.zeros(len(keys), dtype=bool)
-    hit[order[1:][same]] = True
+    later = np.zeros(len(keys), dtype=bool)
+    later[order[1:][same]] = True
+    hit = later.copy()
     hit[order[:-1][same]] = True
-    return hit
+    return hit, later
 
 
 def _covered(starts: np.ndarray, n: int, weights: np.ndarray) -> int:
@@ -105,7 +107,7 @@ def measure(text: str | None, lengths: list[int]) -> list[int]:
     if n <= BASE_N:
         return out
     ids = _numbers(words)
-    starts = np.flatnonzero(_repeated(_exact_keys(ids)))
+    starts = np.flatnonzero(_repeated(_exact_keys(ids))[0])
     if not len(starts):
         return out
     out[4] = _covered(starts, BASE_N, np.ones(n, dtype=np.int64))
@@ -118,10 +120,11 @@ def measure(text: str | None, lengths: list[int]) -> list[int]:
         unshift = np.cumprod(np.concatenate([[np.uint64(1)], np.full(n, base, dtype=np.uint64)]))
         for k, length in enumerate(lengths):
             starts = starts[starts + length <= n]
-            starts = starts[_repeated((prefix[starts + length] - prefix[starts]) * unshift[starts])]
-            if not len(starts):
+            hit, later = _repeated((prefix[starts + length] - prefix[starts]) * unshift[starts])
+            if not hit.any():
                 break
-            out[6 + k] = _covered(starts, length, chars)
+            out[6 + k] = _covered(starts[later], length, chars)
+            starts = starts[hit]
     return out
 
 
