@@ -12,6 +12,7 @@ from tremor.llm import (
     langid_em,
     lm_backoff,
     mixing,
+    oracles,
     packing,
     pii_crf,
     quality_ordinal,
@@ -34,7 +35,7 @@ def query(name: str, oracle: str | None = None):
     return deco
 
 
-@query("op2_repetition_coverage")
+@query("op2_repetition_coverage", oracles.repetition_sql())
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repetition.repetition_rules(table(spark, sf_dir, "documents"))
 
@@ -50,7 +51,7 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"))
 
 
-@query("op5_source_mixing")
+@query("op5_source_mixing", oracles.mixing_sql())
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixed_counts(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -75,7 +76,7 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_ordinal.rate_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-@query("op9_cover_tree_top_k")
+@query("op9_cover_tree_top_k", oracles.TOP_K)
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cover_tree.top_k(table(spark, sf_dir, "embeddings"))
 
