@@ -1,22 +1,26 @@
-"""Session defaults and lineage cutting."""
+"""Session defaults, tables between jobs, lineage cutting."""
 
 from __future__ import annotations
 
 import os
 import tempfile
 import uuid
+import weakref
 
 from pyspark.sql import DataFrame, SparkSession
 
 
 def build_session(app_name: str = "tremor", master: str | None = None,
-                  shuffle_partitions: int | None = None) -> SparkSession:
-    """UTC, AQE on (coalescing, skew splitting, size-checked broadcasts)."""
+                  shuffle_partitions: int | None = None, shared: str | None = None) -> SparkSession:
+    """UTC, AQE on (coalescing, skew splitting, size-checked broadcasts).
+    ``shared`` is the folder that all machines see (``spark.checkpoint.dir``)."""
     b = SparkSession.builder.appName(app_name)
     if master:
         b = b.master(master)
     if shuffle_partitions:
         b = b.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
+    if shared:
+        b = b.config("spark.checkpoint.dir", shared)
     return (
         b.config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.adaptive.enabled", "true")
@@ -30,22 +34,49 @@ def build_session(app_name: str = "tremor", master: str | None = None,
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder (``spark.checkpoint.dir``).  Only where the
-    setting is absent -- local tests -- is a temporary folder used."""
-    path = spark.conf.get("spark.checkpoint.dir", None) or os.environ.get("TREMOR_SHARED_DIR")
-    if not path:
-        path = getattr(spark, "_tremor_shared_dir", None) or tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-        spark._tremor_shared_dir = path
+    """The cluster's shared folder: ``spark.checkpoint.dir``, else the one set
+    on the context.  A temporary folder serves local masters only; elsewhere
+    each machine would have its own, so the lack of a folder is an error."""
+    sc = spark.sparkContext
+    path = spark.conf.get("spark.checkpoint.dir", None) or os.environ.get("TREMOR_SHARED_DIR") or sc.getCheckpointDir()
+    if path:
+        return path
+    if not (sc.master == "local" or sc.master.startswith("local[")):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    path = getattr(spark, "_tremor_shared_dir", None) or tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+    spark._tremor_shared_dir = path
     return path
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    jvm = spark._jvm
+    if jvm is None:
+        return
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
+_WRITTEN: "weakref.WeakKeyDictionary[SparkSession, list[str]]" = weakref.WeakKeyDictionary()
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Writes a table to the shared folder and reads it back: what follows is
     planned on its real size, scans only the columns it needs, and survives
-    the loss of executors."""
-    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    the loss of executors.  ``release`` deletes what a session has written."""
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    _WRITTEN.setdefault(spark, []).append(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def release(spark: SparkSession) -> int:
+    """Deletes the tables between jobs that this session has written; results
+    that still read them must have been stored before.  Returns their number."""
+    paths = _WRITTEN.pop(spark, [])
+    for path in paths:
+        _delete(spark, path)
+    return len(paths)
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
