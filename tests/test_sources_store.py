@@ -2,6 +2,7 @@
 
 import datetime as dt
 import json
+import os
 import zipfile
 
 import pytest
@@ -69,6 +70,74 @@ def test_news_files(spark, folder):
     assert [(r["title"], r["text"], r["published_at"]) for r in rows] == [("T", "c", dt.datetime(2024, 1, 2, 3, 4, 5))]
 
 
+def test_atom_files(spark, folder):
+    with open(f"{folder}/feed.xml", "w") as f:
+        f.write("""<feed xmlns="http://www.w3.org/2005/Atom"><title>feed</title>
+        <entry><id>tag:1</id><title type="html">A &amp;amp; B</title><link rel="self" href="http://h/self"/><link href="http://h/a"/><author><name>Ann</name></author>
+          <category term="x"/><category term=""/><published>2024-01-09T08:00:00Z</published><updated>2024-01-10T08:00:00Z</updated><content type="text">body</content></entry>
+        <entry><id>tag:2</id><title>C</title><updated>2024-01-10T09:00:00+01:00</updated><summary>short</summary></entry></feed>""")
+    got = {r["source_id"]: r for r in FD.feed_to_raw_events(FD.read_atom_entries(spark, folder), "f", F.lit(NOW), feed_url="http://f").collect()}
+    a, b = got["tag:1"], got["tag:2"]
+    assert (a["url"], a["title"], a["text"], a["published_at"]) == ("http://h/a", "A &amp; B", "body", dt.datetime(2024, 1, 9, 8))
+    assert json.loads(a["raw_metadata"]) == {"feed_name": "f", "feed_url": "http://f", "author": "Ann", "tags": ["x"], "guid": "tag:1"}
+    assert (b["url"], b["text"], b["published_at"]) == (None, "short", dt.datetime(2024, 1, 10, 8))
+    assert json.loads(b["raw_metadata"])["published_at_fallback"] == "updated_parsed"
+
+
+def test_files_reach_the_stored_table(spark, folder):
+    """XML, JSON and zipped lines through the ingest job; metadata survives."""
+    import os
+    import zipfile
+
+    from tremor.plans import jobs
+
+    for d in ("rss", "news", "zip"):
+        os.makedirs(f"{folder}/{d}")
+    with open(f"{folder}/rss/f.xml", "w") as f:
+        f.write("<rss><channel><item><title>A</title><link>http://h/a</link><pubDate>Wed, 10 Jan 2024 10:00:00 GMT</pubDate></item><item><link>http://h/b</link></item></channel></rss>")
+    with open(f"{folder}/news/a.json", "w") as f:
+        json.dump({"status": "ok", "articles": [{"url": "http://n/1", "title": "T", "author": "me", "urlToImage": "http://i", "source": {"id": "s", "name": "S"}, "publishedAt": "2024-01-02T03:04:05Z"}]}, f)
+    with zipfile.ZipFile(f"{folder}/zip/20240106.export.CSV.zip", "w") as z:
+        z.writestr("one.csv", line(58, {0: "1", 7: "TWN", 29: "4", 56: "20240105"}))
+        z.writestr("two.csv", line(58, {0: "2", 17: "KOR", 56: "n/a"}))
+    store = jobs.Store(spark, f"{folder}/store")
+    sources = {"rss": FD.feed_to_raw_events(FD.read_feed_items(spark, f"{folder}/rss"), "f", F.lit(NOW)),
+               "newsapi": FD.news_to_raw_events(FD.read_news_payloads(spark, f"{folder}/news"), F.lit(NOW), query="chips"),
+               "gdelt": C.to_raw_events(C.read_zipped_lines(spark, f"{folder}/zip"), C.DAILY, F.lit(NOW))}
+    for k in range(2):
+        out = jobs.ingest(store, sources)
+        assert [(r["inserted"], r["error"]) for r in out] == [(2 - 2 * k, None), (1 - k, None), (2 - 2 * k, None)]
+    meta = {(r["source"], r["url"] or r["source_id"]): json.loads(r["raw_metadata"]) for r in store.raw_events.read().collect()}
+    assert meta["newsapi", "http://n/1"] == {"query": "chips", "author": "me", "source_name": "S", "source_id": "s", "url_to_image": "http://i"}
+    assert meta["rss", "http://h/b"]["published_at_fallback"] == "ingested_at"
+    assert meta["gdelt", "1"]["QuadClass"] == 4 and meta["gdelt", "1"]["granularity"] == "daily" and "published_at_fallback" not in meta["gdelt", "1"]
+    assert meta["gdelt", "2"]["published_at_fallback"] == "file_date"
+    assert jobs.label(store)["gdelt"]["inserted"] == 2
+
+
+def test_only_touched_partitions_are_read(spark, folder):
+    t = ST.Table(spark, f"{folder}/t", SCHEMA, ["k", "d"], ["d", "b"], {"b": ("pmod(xxhash64(k), 4)", ["k"])})
+    t.insert_or_ignore(spark.createDataFrame([(f"k{i}", i, d) for i in range(8) for d in (D1, D2, D3)], SCHEMA), ["v"])
+    some = t.read(F.col("d") >= F.lit(D3))
+    plan = some._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(d" in plan and some.count() == 8
+    before = {f: os.stat(f.removeprefix("file:")).st_mtime_ns for f in t.read().inputFiles()}
+    t.delete(spark.createDataFrame([("k1", D1)], "k string, d date"), ["k", "d"])
+    after = {f: os.stat(f.removeprefix("file:")).st_mtime_ns for f in t.read().inputFiles()}
+    assert t.read().count() == 23
+    changed = {f for f in before if before[f] != after.get(f)}
+    assert changed and all("d=2024-01-01" in f for f in changed) and len({f.rsplit("/", 1)[0] for f in changed}) == 1
+    with pytest.raises(ValueError):
+        ST.Table(spark, f"{folder}/u", SCHEMA, ["k"], ["d"]).insert_or_replace(t.read())
+
+
+@pytest.mark.parametrize("bad", ["<![foo[ x", "<![ ]><title>t</title>"])
+def test_bad_markup_costs_one_title(spark, bad):
+    pages = spark.createDataFrame([("a", bad), ("b", "<title>fine</title>")], "url string, html string")
+    got = {r["url"]: (r["title"], r["status"]) for r in FD.page_titles(pages).collect()}
+    assert got["b"] == ("fine", "ok") and got["a"][0] is None and got["a"][1] in ("error", "no_title")
+
+
 def test_titles(spark):
     pages = [("a", '<head><meta property="og:title" content=" Og &amp; co "><title>T</title></head>'), ("b", "<title> Plain\n</title>"), ("c", "<title> </title>"),
              ("d", "<p>none</p>"), ("e", None), ("f", '<meta property="og:title" content=""><title>Back &lt;up&gt;</title>'), ("g", "<!-- <title>no</title> --><title>yes</title>")]

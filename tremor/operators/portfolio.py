@@ -39,14 +39,28 @@ def random_signal(rows: DataFrame, n_seeds: int = 10) -> DataFrame:
 
 
 def net_returns(weights: DataFrame, book: list[str], ret: str = "daily_return") -> DataFrame:
-    """Row costs: turnover against the previous day's weight, and a carry on
-    shorts."""
-    w = Window.partitionBy(*book, "ticker").orderBy("date")
-    turn = F.abs(F.col("weight") - F.coalesce(F.lag("weight").over(w), F.lit(0.0)))
+    """Row costs: turnover against the weight on the book's previous day, and a
+    carry on shorts.
+
+    A stock that the book no longer lists has weight 0: on the first day
+    without it a closing row (no return) carries its turnover.  The previous
+    day is the book's, so a stock that comes back is bought anew.
+    """
+    days = weights.select(*book, "date").distinct()
+    calendar = Window.partitionBy(*book).orderBy("date")  # one row per day and book
+    days = days.withColumn("_day", F.row_number().over(calendar)).withColumn("_next", F.lead("date").over(calendar))
+    own = Window.partitionBy(*book, "ticker").orderBy("date")
+    rows = weights.join(days, [*book, "date"])
+    held = F.lag("_day").over(own) == F.col("_day") - 1
+    rows = rows.withColumn("_before", F.when(held, F.lag("weight").over(own)).otherwise(F.lit(0.0)))
+    rows = rows.withColumn("_leaves", F.col("_next").isNotNull() & (F.coalesce(F.lead("_day").over(own), F.lit(0)) != F.col("_day") + 1))
+    stays = rows.withColumn("turnover", F.abs(F.col("weight") - F.coalesce("_before", F.lit(0.0))))
+    closing = rows.where("_leaves").select(*book, "ticker", F.col("_next").alias("date"), F.abs("weight").alias("turnover"),
+                                           F.lit(0.0).alias("weight"), F.lit(0.0).alias(ret))
+    rows = stays.drop("_day", "_next", "_before", "_leaves").unionByName(closing, allowMissingColumns=True)
     short = F.when(F.col("weight") < 0, F.abs("weight")).otherwise(0.0)
-    return (weights.withColumn("turnover", turn)
-            .withColumn("cost", turn * TURNOVER_COST + short * SHORT_COST)
-            .withColumn("net", F.col("weight") * F.col(ret) - turn * TURNOVER_COST - short * SHORT_COST))
+    cost = F.col("turnover") * TURNOVER_COST + short * SHORT_COST
+    return rows.withColumn("cost", cost).withColumn("net", F.coalesce(F.col("weight") * F.col(ret), F.lit(0.0)) - F.col("cost"))
 
 
 def daily_returns(net: DataFrame, book: list[str]) -> DataFrame:
@@ -55,10 +69,12 @@ def daily_returns(net: DataFrame, book: list[str]) -> DataFrame:
 
 
 def cumulative(daily: DataFrame, book: list[str]) -> DataFrame:
-    """Compounded return; one row per day and book, so the ordered window is
-    bounded by the calendar."""
+    """Compounded return; a book that loses everything stays at zero.  One row
+    per day and book, so the ordered window is bounded by the calendar."""
     w = Window.partitionBy(*book).orderBy("date").rowsBetween(Window.unboundedPreceding, 0)
-    return daily.withColumn("wealth", F.exp(F.sum(F.log1p("ret")).over(w)))
+    ruined = F.max((F.col("ret") <= -1).cast("int")).over(w) == 1
+    growth = F.product(F.greatest(1 + F.coalesce("ret", F.lit(0.0)), F.lit(0.0))).over(w)
+    return daily.withColumn("wealth", F.when(ruined, F.lit(0.0)).otherwise(growth))
 
 
 def risk(wealth: DataFrame, book: list[str]) -> DataFrame:
@@ -90,12 +106,13 @@ def hit_rate(table: DataFrame) -> DataFrame:
                      F.bool_and("beats").alias("shown"))
 
 
-def fold_summary(risk_rows: DataFrame, base: str) -> DataFrame:
-    """Per variant over folds (a handful of rows): Sharpe mean, median, std,
-    and the share of folds in which it beats ``base``."""
-    b = risk_rows.where(F.col("variant") == base).select("fold_id", F.col("sharpe").alias("base_sharpe"))
-    j = risk_rows.join(b, "fold_id", "left")
-    return j.groupBy("variant").agg(
+def fold_summary(risk_rows: DataFrame, base: str, by: list[str] = ()) -> DataFrame:
+    """Per ``by`` and variant over folds (a handful of rows): Sharpe mean,
+    median, std, and the share of folds in which it beats ``base``."""
+    keys = [*by, "fold_id"]
+    b = risk_rows.where(F.col("variant") == base).select(*keys, F.col("sharpe").alias("base_sharpe"))
+    j = risk_rows.join(b, keys, "left")
+    return j.groupBy(*by, "variant").agg(
         F.count("*").alias("n_folds"), F.avg("sharpe").alias("mean_sharpe"), F.median("sharpe").alias("median_sharpe"),
         F.stddev_samp("sharpe").alias("std_sharpe"),
         F.avg((F.col("sharpe") > F.col("base_sharpe")).cast("double")).alias("hit_rate"))

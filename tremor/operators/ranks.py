@@ -1,12 +1,10 @@
 """Exact order statistics and quantiles without one task per group.
 
-A group may hold a third of all rows, so a group is only ever sorted in one
-window once its candidate values are known to be few.  Equal values collapse
-first.  While a group's distinct values exceed ``MAX_GROUP``, the value axis is
-cut at approximate quantiles (a mergeable sketch of bounded size), exact counts
-tell in which interval a wanted rank lies, and only that interval is kept: each
-round divides the candidates by about ``N_CUTS``.  The cuts only steer the
-search; the result is exact whatever they are.
+A group may hold a third of all rows, so no task may sort a whole group.  Equal
+values collapse first.  The distinct values are then range-partitioned by
+(group, value) and numbered by partition: sums per partition, a row per group
+and partition, tell which partition holds a wanted rank, and only those are
+ranked inside, each by itself.  One plan at every size.
 """
 
 from __future__ import annotations
@@ -16,65 +14,43 @@ from pyspark.sql import functions as F
 
 from tremor.session import materialize
 
-N_CUTS = 32
-MAX_GROUP = 1_000_000
 
-
-def order_statistic(df: DataFrame, group: list[str], value: str, rank: Column, out: str = "value",
-                    max_group: int = MAX_GROUP) -> DataFrame:
+def order_statistic(df: DataFrame, group: list[str], value: str, rank: Column, out: str = "value") -> DataFrame:
     """(group, n, rank, out): the ``rank``-th smallest ``value`` (1-based) of
     each group, null when the rank is outside 1..n.
 
     ``rank`` is an expression over ``n``, the group's row count.
     """
-    stats = order_statistics(df, group, value, {"rank": rank}, max_group)
+    stats = order_statistics(df, group, value, {"rank": rank})
     return stats.drop("which").withColumnRenamed("value", out)
 
 
-def order_statistics(df: DataFrame, group: list[str], value: str, ranks: dict[str, Column],
-                     max_group: int = MAX_GROUP) -> DataFrame:
+def order_statistics(df: DataFrame, group: list[str], value: str, ranks: dict[str, Column]) -> DataFrame:
     """As above for several ranks: rows (group, n, which, rank, value)."""
     # A value shared by a third of the rows is one row with a count from here.
-    counted = materialize(df.where(F.col(value).isNotNull()).groupBy(*group, F.col(value).alias("_v"))
-                          .agg(F.count("*").alias("_c")), "ranks")
-    sizes = counted.groupBy(*group).agg(F.sum("_c").alias("n"), F.count("*").alias("_d"))
-    wanted = sizes.select(*group, "n", "_d", F.explode(F.array(*[
+    counted = (df.where(F.col(value).isNotNull()).groupBy(*group, F.col(value).alias("_v")).agg(F.count("*").alias("_c")))
+    # Written, so that a value's partition is fixed whatever is computed again.
+    placed = materialize(counted.repartitionByRange(*group, "_v").withColumn("_p", F.spark_partition_id()), "ranks")
+    parts = placed.groupBy(*group, "_p").agg(F.sum("_c").alias("_m"))
+    order = Window.partitionBy(*group).orderBy("_p")
+    before = F.coalesce(F.sum("_m").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    parts = parts.withColumn("_lo", before)
+    sizes = parts.groupBy(*group).agg(F.sum("_m").alias("n"))
+    wanted = sizes.select(*group, "n", F.explode(F.array(*[
         F.struct(F.lit(k).alias("which"), r.cast("bigint").alias("rank")) for k, r in ranks.items()])).alias("w"))
-    wanted = wanted.select(*group, "n", "_d", "w.which", "w.rank")
+    wanted = wanted.select(*group, "n", "w.which", "w.rank")
     keys = [*group, "which"]
-    cand = counted.join(wanted.select(*keys, "rank"), group).withColumn("_lo", F.lit(0).cast("bigint"))
-    while _largest(cand, keys, counted, group) > max_group:
-        cand = materialize(_narrow(cand, keys), "ranks")
-        counted, group = cand, keys
-    run = Window.partitionBy(*keys).orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
+    holding = (wanted.join(parts, group).where((F.col("rank") > F.col("_lo")) & (F.col("rank") <= F.col("_lo") + F.col("_m")))
+               .select(*keys, "rank", "_p", "_lo"))
+    run = Window.partitionBy(*keys, "_p").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
     upto = F.col("_lo") + F.sum("_c").over(run)
-    found = (cand.withColumn("_upto", upto).where((F.col("_upto") >= F.col("rank")) & (F.col("_upto") - F.col("_c") < F.col("rank")))
+    found = (placed.join(holding, [*group, "_p"]).withColumn("_upto", upto)
+             .where((F.col("_upto") >= F.col("rank")) & (F.col("_upto") - F.col("_c") < F.col("rank")))
              .select(*keys, F.col("_v").alias("value")))
-    return wanted.drop("_d").join(found, keys, "left")
-
-
-def _largest(cand: DataFrame, keys: list[str], counted: DataFrame, group: list[str]) -> int:
-    """Most candidate values in any group: one number reaches the driver."""
-    row = counted.groupBy(*group).count().agg(F.max("count")).first()
-    return row[0] or 0
-
-
-def _narrow(cand: DataFrame, keys: list[str]) -> DataFrame:
-    """Keeps, per key, the interval of values that holds the wanted rank."""
-    fractions = F.array(*[F.lit(i / N_CUTS) for i in range(1, N_CUTS)])
-    cuts = cand.groupBy(*keys).agg(F.percentile_approx("_v", fractions, F.lit(20 * N_CUTS)).alias("_cuts"))
-    b = cand.join(cuts, keys).withColumn("_b", F.size(F.filter("_cuts", lambda q: q < F.col("_v")))).drop("_cuts")
-    hist = b.groupBy(*keys, "rank", "_lo", "_b").agg(F.sum("_c").alias("_m"))
-    # At most N_CUTS rows per key in the histogram.
-    upto = F.sum("_m").over(Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, 0))
-    hist = hist.withColumn("_hi", F.col("_lo") + upto).withColumn("_lo2", F.col("_hi") - F.col("_m"))
-    target = hist.where((F.col("rank") > F.col("_lo2")) & (F.col("rank") <= F.col("_hi"))).select(*keys, "_b", "_lo2")
-    return (b.join(target, [*keys, "_b"])
-            .select(*keys, "_v", "_c", "rank", F.col("_lo2").alias("_lo")))
+    return wanted.join(found, keys, "left")
 
 
-def quantiles(df: DataFrame, group: list[str], value: str, fractions: dict[str, float],
-              max_group: int = MAX_GROUP) -> DataFrame:
+def quantiles(df: DataFrame, group: list[str], value: str, fractions: dict[str, float]) -> DataFrame:
     """Exact linearly interpolated quantiles, one column per fraction."""
     n = F.col("n")
     ranks: dict[str, Column] = {}
@@ -82,7 +58,7 @@ def quantiles(df: DataFrame, group: list[str], value: str, fractions: dict[str,
         pos = (n - 1) * F.lit(q)
         ranks[f"{name}|lo"] = F.floor(pos) + 1
         ranks[f"{name}|hi"] = F.least(F.floor(pos) + 2, n)
-    stats = order_statistics(df, group, value, ranks, max_group)
+    stats = order_statistics(df, group, value, ranks)
     cols = []
     for name, q in fractions.items():
         pos = (F.max("n") - 1) * F.lit(q)

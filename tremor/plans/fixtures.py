@@ -26,7 +26,6 @@ PRIORITY_CHANNEL = {"1-URGENT": "manufacturing", "2-HIGH": "demand", "3-MEDIUM":
 TYPE_MAP = {"error": "supply_chain_fab_disruption", "click": "geopolitical_military_tension",
             "signup": "corporate_strategic", "purchase": "macroeconomic_conditions"}
 SOURCE_OF = ["gdelt_derived", "rule_based", "llm_assisted", "manual", "ollama_assisted"]
-START, END = "2024-01-01", "2024-01-30"  # span of the events table
 SCORES_FROM = "1996-01-01"
 
 # Words that do occur in the test prose, added to the fixed lists.
@@ -66,6 +65,13 @@ class Fixture:
         return self.spark.read.parquet(f"{self.dir}/{name}.parquet")
 
     # -- events -------------------------------------------------------------
+    @cached_property
+    def span(self) -> tuple[Column, Column]:
+        """First and last event day; one row reaches the driver."""
+        d = F.to_date("published_at")
+        first, last = self.events.agg(F.min(d), F.max(d)).first()
+        return F.lit(first).cast("date"), F.lit(last).cast("date")
+
     @cached_property
     def events(self) -> DataFrame:
         e = self.table("events")
@@ -178,11 +184,11 @@ class Fixture:
 
     @cached_property
     def contributions(self) -> DataFrame:
-        return SC.spread_days(self.cluster_reach, day(START), day(END))
+        return SC.spread_days(self.cluster_reach, *self.span)
 
     @cached_property
     def daily(self) -> DataFrame:
-        return SC.daily_scores(self.contributions, self.stocks, day(START), day(END))
+        return SC.daily_scores(self.contributions, self.stocks, *self.span)
 
     @cached_property
     def attribution(self) -> DataFrame:

@@ -48,6 +48,10 @@ PREDICTIONS = T.StructType([
     T.StructField("predicted", T.DoubleType()), T.StructField("split", T.StringType()), T.StructField("label_date", T.DateType())])
 
 
+#: folders per label source: deletes and rewrites touch the buckets of their ids
+BUCKETS = 32
+
+
 @dataclass
 class Graph:
     """Edges, nodes and activation; the built-in dimensions by default."""
@@ -72,13 +76,15 @@ class Store:
     """The tables under one root folder."""
 
     def __init__(self, spark: SparkSession, root: str) -> None:
-        def table(name: str, schema: T.StructType, keys: list[str], part: list[str]) -> Table:
-            return Table(spark, f"{root.rstrip('/')}/{name}", schema, keys, part)
+        def table(name: str, schema: T.StructType, keys: list[str], part: list[str], derive: dict | None = None) -> Table:
+            return Table(spark, f"{root.rstrip('/')}/{name}", schema, keys, part, derive)
+
+        bucket = {"bucket": (f"pmod(xxhash64(event_id), {BUCKETS})", ["event_id"])}
 
         self.spark = spark
-        self.raw_events = table("raw_events", S.RAW_EVENTS, ["id"], ["source"])
-        self.labels = table("classified_events", S.CLASSIFIED, ["event_id", "label_source"], ["label_source"])
-        self.ledger = table("content_checked", S.CONTENT_LEDGER, ["event_id"], ["verdict"])
+        self.raw_events = table("raw_events", S.RAW_EVENTS, ["id"], ["day"], {"day": ("to_date(published_at)", ["published_at"])})
+        self.labels = table("classified_events", S.CLASSIFIED, ["event_id", "label_source"], ["label_source", "bucket"], bucket)
+        self.ledger = table("content_checked", S.CONTENT_LEDGER, ["event_id"], ["bucket"], bucket)
         self.bars = table("daily_prices", S.DAILY_BARS, ["ticker", "date"], ["date"])
         self.scores = table("scores_daily", S.DAILY_SCORES, ["ticker", "date"], ["date"])
         self.attribution = table("attribution_daily", ATTRIBUTION, ["ticker", "date", "rank"], ["date"])
@@ -87,12 +93,6 @@ class Store:
         self.predictions = table("predictions", PREDICTIONS, ["ticker", "variant", "label_date"], ["variant", "label_date"])
 
 
-def coded_to_raw(rows: DataFrame) -> DataFrame:
-    """Parsed export rows with their typed metadata as JSON text."""
-    return rows.select("id", "source", "source_id", "published_at", "ingested_at", "title", "text", "url",
-                       F.to_json("metadata").alias("raw_metadata"))
-
-
 def ingest(store: Store, sources: dict[str, DataFrame]) -> list[dict]:
     """Each source on its own; the first row of an id stays."""
     return ingest_all(store.raw_events, sources, ["published_at", "ingested_at", "source"])
@@ -119,7 +119,8 @@ def rebuild_scores(store: Store, graph: Graph, start: Column, end: Column, since
                    titles: DataFrame | None = None) -> None:
     """Clusters once; then catalog, daily scores and attribution from them."""
     ledger = store.ledger.read() if store.ledger.exists() else None
-    raw = store.raw_events.read()
+    # the day folder bounds what is read; the scorable filter then cuts at the instant
+    raw = store.raw_events.read(None if since is None else F.col("day") >= F.to_date(since))
     events = L.scorable(store.labels.read(), raw, ledger, since=since)
     clusters = materialize(SC.build_clusters(events, graph.country_nodes), "clusters")
 
@@ -133,7 +134,7 @@ def rebuild_scores(store: Store, graph: Graph, start: Column, end: Column, since
     catalog = (catalog.withColumn("title", F.coalesce("own_title", "scraped"))
                .withColumn("published_date", F.to_date("published_at")))
     first = F.lit("1900-01-01").cast("timestamp") if since is None else since
-    store.catalog.rebuild_window(catalog, "published_at", first)
+    store.catalog.rebuild_window(catalog, "published_at", first, F.col("published_date") >= F.to_date(first))
 
     spread = materialize(SC.spread_days(SC.cluster_reach(clusters, graph.reach()), start, end), "contributions")
     store.scores.insert_or_replace(SC.daily_scores(spread, graph.stocks(), start, end))

@@ -17,7 +17,7 @@ def _values(rows) -> str:
     return ", ".join("(" + ", ".join(q(v) for v in r) + ")" for r in rows)
 
 
-_ACT = _values([(t, ch, float(v)) for t, vs in dims.ACTIVATION.items() for ch, v in zip(dims.CHANNELS, vs)])
+_ACT = _values([(t, ch, float(v)) for t, vs in dims.ACTIVATION.items() for ch, v in vs.items()])
 _REL = "CASE label_source " + " ".join(f"WHEN '{s}' THEN {v!r}e0" for s, v in dims.RELIABILITY.items()) + " ELSE 0e0 END"
 _BAND = ("CASE WHEN {s} < 0.15e0 THEN 1 WHEN {s} < 0.35e0 THEN 2 WHEN {s} < 0.55e0 THEN 3 "
          "WHEN {s} < 0.75e0 THEN 4 ELSE 5 END")
@@ -85,12 +85,12 @@ CTES = {
         QUALIFY row_number() OVER (PARTITION BY ck, event_type, stock ORDER BY imp DESC, len(path), path) = 1""",
     "cnp": """SELECT ck || '#' || event_type AS ce, stock, max(imp) AS imp FROM (SELECT ck, event_type, unnest(corridor) AS country
         FROM (SELECT DISTINCT ck, event_type, corridor FROM clu)) x JOIN rch USING (country, event_type) WHERE imp > 0 GROUP BY ALL""",
-    "con0": f"""SELECT clu.*, cre.stock AS ticker, cre.imp, cre.path, CAST(a AS INTEGER) AS days_since,
+    "con0": """SELECT clu.*, cre.stock AS ticker, cre.imp, cre.path, CAST(a AS INTEGER) AS days_since,
         CAST(cluster_date + CAST(a AS INTEGER) AS DATE) AS date, pow(0.5e0, a / 5e0) AS tau
         FROM clu JOIN cre USING (ck, event_type) CROSS JOIN range(0, 35) t(a)
-        WHERE cluster_date + CAST(a AS INTEGER) <= DATE '{FX.END}' AND pow(0.5e0, a / 5e0) >= 0.01e0""",
+        WHERE cluster_date + CAST(a AS INTEGER) <= (SELECT max(d) FROM ev) AND pow(0.5e0, a / 5e0) >= 0.01e0""",
     "con": """SELECT *, k * imp * tau AS contribution FROM con0 WHERE k * imp * tau > 0""",
-    "cal": f"""SELECT ticker, CAST(unnest(generate_series(DATE '{FX.START}', DATE '{FX.END}', INTERVAL 1 DAY)) AS DATE) AS date FROM stk""",
+    "cal": """SELECT ticker, CAST(unnest(generate_series(lo, hi, INTERVAL 1 DAY)) AS DATE) AS date FROM stk, (SELECT min(d) AS lo, max(d) AS hi FROM ev)""",
     "dly": """SELECT ticker, date, coalesce(1 - x.prod, 0e0) AS score, x.direction, coalesce(x.cov, 0e0) AS direction_coverage,
         coalesce(x.n, 0) AS n_clusters FROM cal LEFT JOIN
         (SELECT ticker, date, product(1 - contribution) AS prod,

@@ -136,7 +136,7 @@ def e18(f):
     day-granular events: no row may differ."""
     ev = f.scorable.withColumn("published_at", F.to_date("published_at").cast("timestamp"))
     clusters = SC.build_clusters(ev, FX.NATIONS)
-    proj = SC.projected_scores(SC.cluster_reach(clusters, f.reach), requests(f), FX.day(FX.START), FX.day("2024-02-24"))
+    proj = SC.projected_scores(SC.cluster_reach(clusters, f.reach), requests(f), f.span[0], FX.day("2024-02-24"))
     # Recompute with the instant formula cluster by cluster, ages taken
     # between the midnights of cluster and target day.
     pairs = requests(f).select("as_of", "target").distinct()
@@ -286,15 +286,15 @@ def e22(f):
 RNK = {"sig": "SELECT p.ticker, label_date AS date, variant, predicted, actual, CASE WHEN CAST(substr(p.ticker, 7) AS INTEGER) % 3 = 0 THEN 's0' WHEN CAST(substr(p.ticker, 7) AS INTEGER) % 3 = 1 THEN 's1' ELSE 's2' END AS sector FROM prd p",
        "rk0": "SELECT *, row_number() OVER (PARTITION BY variant, sector, date ORDER BY predicted DESC, ticker) AS rank, count(*) OVER (PARTITION BY variant, sector, date) AS n FROM sig",
        "wts": "SELECT *, coalesce(((n + 1) / 2 - rank) / nullif(sum(abs((n + 1) / 2 - rank)) OVER (PARTITION BY variant, sector, date), 0), 0e0) AS weight FROM rk0",
-       "net0": "SELECT *, abs(weight - coalesce(lag(weight) OVER (PARTITION BY variant, sector, ticker ORDER BY date), 0)) AS turn FROM wts",
-       "day0": "SELECT variant, sector, date, sum(weight * actual - turn * 0.001e0 - CASE WHEN weight < 0 THEN -weight ELSE 0 END * 0.0002e0) AS ret, sum(turn) AS turnover FROM net0 GROUP BY ALL",
-       "wlt": "SELECT *, exp(sum(ln(1 + ret)) OVER w) AS wealth FROM day0 WINDOW w AS (PARTITION BY variant, sector ORDER BY date ROWS UNBOUNDED PRECEDING)",
+       "grid": "SELECT * FROM (SELECT DISTINCT variant, sector, ticker FROM wts) JOIN (SELECT DISTINCT variant, sector, date FROM wts) USING (variant, sector)",
+       "net0": "SELECT g.*, coalesce(w.weight, 0e0) AS weight, coalesce(w.weight * w.actual, 0e0) AS gain, abs(coalesce(w.weight, 0e0) - coalesce(lag(w.weight) OVER (PARTITION BY g.variant, g.sector, g.ticker ORDER BY g.date), 0e0)) AS turn FROM grid g LEFT JOIN wts w USING (variant, sector, ticker, date)",
+       "day0": "SELECT variant, sector, date, sum(gain) - 0.001e0 * sum(turn) - 0.0002e0 * sum(greatest(-weight, 0e0)) AS ret, sum(turn) AS turnover FROM net0 GROUP BY ALL",
+       "wlt": "SELECT variant, sector, unnest(dates) AS date, unnest(rets) AS ret, unnest(turns) AS turnover, unnest(list_transform(range(1, len(rets) + 1), lambda i: CASE WHEN list_min(rets[1:i]) <= -1 THEN 0e0 ELSE exp(list_sum(list_transform(rets[1:i], lambda r: ln(greatest(1 + r, 1e-300))))) END)) AS wealth FROM (SELECT variant, sector, list(date ORDER BY date) AS dates, list(ret ORDER BY date) AS rets, list(turnover ORDER BY date) AS turns FROM day0 GROUP BY variant, sector)",
        "ddn": "SELECT *, wealth / greatest(max(wealth) OVER (PARTITION BY variant, sector ORDER BY date ROWS UNBOUNDED PRECEDING), 1e0) - 1 AS dd FROM wlt",
        "rsk": "SELECT variant, sector, count(*) AS n_days, avg(ret) / stddev_samp(ret) * sqrt(252e0) AS sharpe, avg(ret) / sqrt(avg(CASE WHEN ret < 0 THEN ret * ret ELSE 0 END)) * sqrt(252e0) AS sortino, min(dd) AS max_drawdown, arg_max(wealth, date) - 1 AS cumulative_return FROM ddn GROUP BY variant, sector"}
 SECTORS = ["s0", "s1", "s2"]
 BY = ["variant", "sector", "date"]
 BOOK = ["variant", "sector"]
-DAMP = 0.0001  # fixture returns are far beyond daily ones: log1p needs > -1
 
 
 def with_sector(df):
@@ -303,13 +303,10 @@ def with_sector(df):
 
 
 def signals(f):
-    p = f.predictions.select("ticker", F.col("label_date").alias("date"), "variant", "predicted", (F.col("actual") * DAMP).alias("daily_return"))
+    p = f.predictions.select("ticker", F.col("label_date").alias("date"), "variant", "predicted", F.col("actual").alias("daily_return"))
     return with_sector(p)
 
 
-RNK["day0"] = RNK["day0"].replace("weight * actual", f"weight * (actual * {DAMP:.4f}e0)")
-
-
 def weights(f):
     return PF.rank_weights(signals(f), "predicted", BY)
 
@@ -350,7 +347,7 @@ def wealth(f):
     return PF.cumulative(PF.daily_returns(net(f), BOOK), BOOK)
 
 
-@query("B5_daily_cumulative", "SELECT variant, sector, date, round(ret, 8) AS ret, round(ln(wealth), 6) AS log_wealth FROM wlt", **RNK)
+@query("B5_daily_cumulative", "SELECT variant, sector, date, round(ret, 8) AS ret, round(CASE WHEN wealth > 0 THEN ln(wealth) END, 6) AS log_wealth FROM wlt", **RNK)
 def b5(f):
     return wealth(f).select(*BY, F.round("ret", 8).alias("ret"), F.round(F.log("wealth"), 6).alias("log_wealth"))
 
@@ -376,15 +373,15 @@ def b7(f):
 
 
 FSUM = {**RNK, "fw": "SELECT *, CAST(year(date) AS INTEGER) AS fold_id FROM day0",
-        "fr": "SELECT variant, fold_id, avg(ret) / stddev_samp(ret) * sqrt(252e0) AS sharpe FROM fw WHERE sector = 's1' GROUP BY ALL"}
+        "fr": "SELECT sector, variant, fold_id, avg(ret) / stddev_samp(ret) * sqrt(252e0) AS sharpe FROM fw GROUP BY ALL"}
 
 
-@query("B8_fold_summary", "SELECT variant, count(*) AS n_folds, round(avg(sharpe), 6) AS mean_sharpe, round(median(sharpe), 6) AS median_sharpe, round(stddev_samp(sharpe), 6) AS std_sharpe, round(avg(CAST(sharpe > b AS DOUBLE)), 6) AS hit_rate FROM fr JOIN (SELECT fold_id, sharpe AS b FROM fr WHERE variant = 'baseline') USING (fold_id) GROUP BY variant", **FSUM)
+@query("B8_fold_summary", "SELECT sector, variant, count(*) AS n_folds, round(avg(sharpe), 6) AS mean_sharpe, round(median(sharpe), 6) AS median_sharpe, round(stddev_samp(sharpe), 6) AS std_sharpe, round(avg(CAST(sharpe > b AS DOUBLE)), 6) AS hit_rate FROM fr LEFT JOIN (SELECT sector, fold_id, sharpe AS b FROM fr WHERE variant = 'baseline') USING (sector, fold_id) GROUP BY sector, variant", **FSUM)
 def b8(f):
-    d = PF.daily_returns(net(f), BOOK).where("sector = 's1'").withColumn("fold_id", F.year("date"))
-    r = PF.risk(PF.cumulative(d, ["variant", "fold_id"]), ["variant", "fold_id"])
-    s = PF.fold_summary(r, "baseline")
-    return s.select("variant", "n_folds", *[F.round(c, 6).alias(c) for c in ("mean_sharpe", "median_sharpe", "std_sharpe", "hit_rate")])
+    d = PF.daily_returns(net(f), BOOK).withColumn("fold_id", F.year("date"))
+    by = [*BOOK, "fold_id"]
+    s = PF.fold_summary(PF.risk(PF.cumulative(d, by), by), "baseline", ["sector"])
+    return s.select("sector", "variant", "n_folds", *[F.round(c, 6).alias(c) for c in ("mean_sharpe", "median_sharpe", "std_sharpe", "hit_rate")])
 
 
 @query("B9_display_gate", "SELECT count(*) FILTER (variant_sharpe > base_sharpe) AS hits, count(*) AS n_sectors, bool_and(variant_sharpe > base_sharpe) AS shown FROM stb", **STB)

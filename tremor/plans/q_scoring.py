@@ -96,7 +96,7 @@ def requests(f):
 
 
 def projected(f):
-    return SC.projected_scores(f.cluster_reach, requests(f), FX.day(FX.START), FX.day("2024-02-24"))
+    return SC.projected_scores(f.cluster_reach, requests(f), f.span[0], FX.day("2024-02-24"))
 
 
 @query("J10_projected_scores", "SELECT r.ticker, as_of, r.target, round(1 - coalesce(product(1 - c), 1e0), 8) AS score FROM req r LEFT JOIN exp e ON e.ticker = r.ticker AND e.target = r.target AND e.cluster_date <= r.as_of GROUP BY ALL", **PROJ)

@@ -1,5 +1,7 @@
 """Sources, sinks and set operations."""
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from tremor import schemas as S
@@ -8,6 +10,7 @@ from tremor.functions import text as TX
 from tremor.operators import features as FE
 from tremor.operators import views as V
 from tremor.plans import fixtures as FX
+from tremor.plans import jobs
 from tremor.plans.registry import query
 from tremor.sources import bars as B
 from tremor.sources import coded as C
@@ -73,12 +76,7 @@ def s5(f):
     return rows.groupBy("actor1", "actor2").agg(F.count("*").alias("n"))
 
 
-@query("S6_feed_items", """SELECT sha256('rss|' || CASE WHEN eid % 4 <> 0 THEN 'http://feed.example/' || eid ELSE 'g' || eid END) AS id,
-    epoch_us(CASE WHEN eid % 3 = 0 THEN date_trunc('second', published_at) WHEN eid % 3 = 1 THEN date_trunc('second', published_at) + INTERVAL 1 HOUR
-      ELSE TIMESTAMP '2024-02-01 00:00:00' END) AS published_us,
-    CASE WHEN eid % 3 = 1 THEN 'updated_parsed' WHEN eid % 3 = 2 THEN 'ingested_at' END AS fallback,
-    CASE WHEN eid % 2 = 0 THEN 'sum ' || raw_type ELSE 'desc' END AS text, 'tag' || (eid % 5) AS tags FROM ev""")
-def s6(f):
+def feed_rows(f):
     eid = F.col("eid")
     items = f.events.select(
         F.when(eid % 4 != 0, F.concat(F.lit("http://Feed.example/"), F.col("event_id"))).alias("link"),
@@ -89,11 +87,31 @@ def s6(f):
         F.when(eid % 3 == 0, F.concat(F.date_format("published_at", "EEE, d MMM yyyy HH:mm:ss"), F.lit(" +0000")))
         .when(eid % 3 == 1, F.lit("yesterday")).alias("pubDate"),
         F.when(eid % 3 == 1, F.date_format(F.col("published_at") + F.expr("INTERVAL 1 HOUR"), "yyyy-MM-dd'T'HH:mm:ss'Z'")).alias("updated"))
-    r = FD.feed_to_raw_events(items, "fixture", F.lit(NOW).cast("timestamp"))
+    return FD.feed_to_raw_events(items, "fixture", F.lit(NOW).cast("timestamp"), feed_url="http://feed.example/rss")
+
+
+@query("S6_feed_items", """SELECT sha256('rss|' || CASE WHEN eid % 4 <> 0 THEN 'http://feed.example/' || eid ELSE 'g' || eid END) AS id,
+    epoch_us(CASE WHEN eid % 3 = 0 THEN date_trunc('second', published_at) WHEN eid % 3 = 1 THEN date_trunc('second', published_at) + INTERVAL 1 HOUR
+      ELSE TIMESTAMP '2024-02-01 00:00:00' END) AS published_us,
+    CASE WHEN eid % 3 = 1 THEN 'updated_parsed' WHEN eid % 3 = 2 THEN 'ingested_at' END AS fallback,
+    CASE WHEN eid % 2 = 0 THEN 'sum ' || raw_type ELSE 'desc' END AS text, 'tag' || (eid % 5) AS tags FROM ev""")
+def s6(f):
+    r = feed_rows(f)
     return r.select("id", F.unix_micros("published_at").alias("published_us"), F.col("published_at_fallback").alias("fallback"),
                     "text", F.array_join("tags", ",").alias("tags"))
 
 
+@query("S6_stored_metadata", """SELECT sha256('rss|' || CASE WHEN eid % 4 <> 0 THEN 'http://feed.example/' || eid ELSE 'g' || eid END) AS id,
+    '{"feed_name":"fixture","feed_url":"http://feed.example/rss","author":null,"tags":["tag' || (eid % 5) || '"],"guid":"g' || eid || '"' ||
+    CASE eid % 3 WHEN 0 THEN '' WHEN 1 THEN ',"published_at_fallback":"updated_parsed"' ELSE ',"published_at_fallback":"ingested_at"' END || '}' AS raw_metadata FROM ev""")
+def s6_stored(f):
+    """Feed rows through the ingest job into the stored table and back."""
+    store = jobs.Store(f.spark, f"{shared_dir(f.spark)}/s6-{uuid.uuid4().hex}")
+    out = jobs.ingest(store, {"rss": feed_rows(f)})
+    assert out[0]["error"] is None, out
+    return store.raw_events.read().select("id", "raw_metadata")
+
+
 @query("S7_news_articles", """SELECT sha256('newsapi|http://news.example/a/' || eid || '?p=1') AS id,
     epoch_us(CASE WHEN eid % 4 = 0 THEN TIMESTAMP '2024-02-01 00:00:00' ELSE date_trunc('second', published_at) END) AS published_us,
     CASE WHEN eid % 4 = 0 THEN 'ingested_at' END AS fallback, CASE WHEN eid % 2 = 0 THEN 'd' ELSE 'c' || raw_type END AS text

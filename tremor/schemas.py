@@ -116,3 +116,16 @@ FEED_ITEM = T.StructType([
     T.StructField("pubDate", T.StringType()),
     T.StructField("updated", T.StringType()),
 ])
+_TEXT = T.StructType([T.StructField("_VALUE", T.StringType()), T.StructField("_type", T.StringType())])
+ATOM_ENTRY = T.StructType([
+    T.StructField("link", T.ArrayType(T.StructType([
+        T.StructField("_href", T.StringType()), T.StructField("_rel", T.StringType())]))),
+    T.StructField("id", T.StringType()),
+    T.StructField("title", _TEXT),
+    T.StructField("summary", _TEXT),
+    T.StructField("content", _TEXT),
+    T.StructField("author", T.StructType([T.StructField("name", T.StringType())])),
+    T.StructField("category", T.ArrayType(T.StructType([T.StructField("_term", T.StringType())]))),
+    T.StructField("published", T.StringType()),
+    T.StructField("updated", T.StringType()),
+])

@@ -50,26 +50,26 @@ def read_lines(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_zipped_lines(spark: SparkSession, path: str, batch_lines: int = 50_000) -> DataFrame:
-    """Zipped exports: one task per archive, streamed out in batches so that an
-    archive is never held decompressed as a whole."""
+    """Zipped exports, all members: one task per archive, streamed out in batches
+    so that an archive is never held decompressed as a whole."""
 
     def unzip(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for name, content in zip(pdf["path"], pdf["content"]):
                 with zipfile.ZipFile(io.BytesIO(content)) as zf:
-                    members = zf.namelist()
-                    if not members:
-                        continue
-                    with zf.open(members[0]) as raw:
-                        text = io.TextIOWrapper(raw, encoding="utf-8", errors="replace")
-                        chunk: list[str] = []
-                        for line in text:
-                            chunk.append(line.rstrip("\r\n"))
-                            if len(chunk) >= batch_lines:
+                    for member in zf.infolist():
+                        if member.is_dir():
+                            continue
+                        with zf.open(member) as raw:
+                            text = io.TextIOWrapper(raw, encoding="utf-8", errors="replace")
+                            chunk: list[str] = []
+                            for line in text:
+                                chunk.append(line.rstrip("\r\n"))
+                                if len(chunk) >= batch_lines:
+                                    yield pd.DataFrame({"value": chunk, "file": name})
+                                    chunk = []
+                            if chunk:
                                 yield pd.DataFrame({"value": chunk, "file": name})
-                                chunk = []
-                        if chunk:
-                            yield pd.DataFrame({"value": chunk, "file": name})
 
     return (spark.read.format("binaryFile").load(path).select("path", "content")
             .mapInPandas(unzip, "value string, file string"))
@@ -133,11 +133,23 @@ def to_raw_events(lines: DataFrame, layout: Layout, ingested_at: Column,
         F.lit(None).cast("string").alias("text"),
         url.alias("url"),
         F.col("m").alias("metadata"),
+        _raw_metadata(fallback, daily).alias("raw_metadata"),
         F.lit("date" if daily else "time").alias("published_at_fidelity"),
         fallback.alias("published_at_fallback"),
     ).where(F.col("id").isNotNull() & F.col("published_at").isNotNull()))
 
 
+def _raw_metadata(fallback: Column, daily: bool) -> Column:
+    """JSON of the typed columns with their nulls; rows of the daily layout are
+    tagged as such, and a fallback is named where one was used."""
+    fields = [F.col(f"m.{n}").alias(n) for n in LIVE.positions]
+    if daily:  # fixed values: provenance tags of date-only rows
+        fields += [F.lit(True).alias("backfill"), F.lit("daily").alias("granularity"), F.lit("1.0").alias("gdelt_version"),
+                   F.lit("date").alias("published_at_fidelity")]
+    text = lambda cols: F.to_json(F.struct(*cols), {"ignoreNullFields": "false"})
+    return F.when(fallback.isNull(), text(fields)).otherwise(text([*fields, fallback.alias("published_at_fallback")]))
+
+
 def malformed_count(lines: DataFrame, layout: Layout, value: str = "value") -> DataFrame:
     ok = F.size(F.split(F.col(value), "\t", -1)) == layout.width
     return lines.agg(F.count_if(ok).alias("n_ok"), F.count_if(~ok).alias("n_malformed"))

@@ -24,6 +24,20 @@ def read_feed_items(spark: SparkSession, path: str, row_tag: str = "item") -> Da
     return spark.read.format("xml").option("rowTag", row_tag).schema(S.FEED_ITEM).load(path)
 
 
+def read_atom_entries(spark: SparkSession, path: str) -> DataFrame:
+    """Atom entries under the names of RSS items: the alternate link (else the
+    first), the author's name, the categories' terms."""
+    e = spark.read.format("xml").option("rowTag", "entry").schema(S.ATOM_ENTRY).load(path)
+    links = F.coalesce("link", F.array().cast(S.ATOM_ENTRY["link"].dataType))
+    alternate = F.filter(links, lambda x: x["_rel"].isNull() | (x["_rel"] == "alternate"))
+    return e.select(
+        F.coalesce(F.get(alternate, F.lit(0))["_href"], F.get(links, F.lit(0))["_href"]).alias("link"),
+        F.col("id").alias("guid"), F.col("title._VALUE").alias("title"), F.col("summary._VALUE").alias("summary"),
+        F.col("content._VALUE").alias("description"), F.col("author.name").alias("author"),
+        F.transform("category", lambda c: c["_term"]).alias("category"),
+        F.col("published").alias("pubDate"), F.col("updated").alias("updated"))
+
+
 def read_news_payloads(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(S.NEWS_PAYLOAD).option("multiLine", True).json(path)
 
@@ -37,11 +51,22 @@ def parse_stamp(c: Column) -> Column:
             .when(c.rlike(_RFC822), F.try_to_timestamp(stamp, F.lit("d MMM yyyy HH:mm:ss Z"))))
 
 
-def feed_to_raw_events(items: DataFrame, feed_name: str, ingested_at: Column, source: str = "rss") -> DataFrame:
-    """Publish time = published, else updated, else ingest time; the fallback
-    used is recorded.  Rows with neither link nor id are rejected."""
+def metadata(fallback: Column, **fields: Column) -> Column:
+    """JSON of the fields with their nulls; the fallback only where one was used."""
+    named = [c.alias(n) for n, c in fields.items()]
+    text = lambda cols: F.to_json(F.struct(*cols), {"ignoreNullFields": "false"})
+    return F.when(fallback.isNull(), text(named)).otherwise(text([*named, fallback.alias("published_at_fallback")]))
+
+
+def feed_to_raw_events(items: DataFrame, feed_name: str, ingested_at: Column, source: str = "rss", feed_url: str | None = None) -> DataFrame:
+    """Rows of ``RAW_EVENTS`` and the parts of their metadata.  Publish time =
+    published, else updated, else ingest time; the fallback used is recorded.
+    Rows with neither link nor id are rejected."""
     published, updated = parse_stamp(F.col("pubDate")), parse_stamp(F.col("updated"))
     url, guid = X.null_if_blank("link"), X.null_if_blank("guid")
+    tags = F.filter(F.coalesce("category", F.array().cast("array<string>")), lambda t: t.isNotNull() & (t != ""))
+    fallback = (F.when(published.isNotNull(), F.lit(None).cast("string"))
+                .when(updated.isNotNull(), "updated_parsed").otherwise("ingested_at"))
     return items.select(
         X.event_id(F.lit(source), url, guid).alias("id"),
         F.lit(source).alias("source"),
@@ -51,18 +76,19 @@ def feed_to_raw_events(items: DataFrame, feed_name: str, ingested_at: Column, so
         X.null_if_blank("title").alias("title"),
         F.coalesce(X.null_if_blank("summary"), X.null_if_blank("description")).alias("text"),
         url.alias("url"),
+        metadata(fallback, feed_name=F.lit(feed_name), feed_url=F.lit(feed_url).cast("string"), author=X.null_if_blank("author"),
+                 tags=tags, guid=guid).alias("raw_metadata"),
         F.lit(feed_name).alias("feed_name"),
-        F.filter(F.coalesce("category", F.array().cast("array<string>")),
-                 lambda t: t.isNotNull() & (t != "")).alias("tags"),
-        F.when(published.isNotNull(), F.lit(None).cast("string"))
-        .when(updated.isNotNull(), "updated_parsed").otherwise("ingested_at").alias("published_at_fallback"),
+        tags.alias("tags"),
+        fallback.alias("published_at_fallback"),
     ).where(F.col("id").isNotNull())
 
 
-def news_to_raw_events(payloads: DataFrame, ingested_at: Column, source: str = "newsapi") -> DataFrame:
+def news_to_raw_events(payloads: DataFrame, ingested_at: Column, source: str = "newsapi", query: str | None = None) -> DataFrame:
     """Articles of payloads whose status is ok; those without URL are rejected."""
     a = payloads.where(F.col("status") == "ok").select(F.explode("articles").alias("a"))
     stamp = F.col("a.publishedAt").try_cast("timestamp")
+    fallback = F.when(stamp.isNull(), F.lit("ingested_at"))
     return a.select(
         X.event_id(F.lit(source), F.col("a.url"), F.lit(None).cast("string")).alias("id"),
         F.lit(source).alias("source"),
@@ -73,7 +99,9 @@ def news_to_raw_events(payloads: DataFrame, ingested_at: Column, source: str = "
         F.coalesce(F.when(F.col("a.description") != "", F.col("a.description")),
                    F.when(F.col("a.content") != "", F.col("a.content"))).alias("text"),
         F.when(F.col("a.url") != "", F.col("a.url")).alias("url"),
-        F.when(stamp.isNull(), "ingested_at").alias("published_at_fallback"),
+        metadata(fallback, query=F.lit(query).cast("string"), author=F.col("a.author"), source_name=F.col("a.source.name"),
+                 source_id=F.col("a.source.id"), url_to_image=F.col("a.urlToImage")).alias("raw_metadata"),
+        fallback.alias("published_at_fallback"),
     ).where(F.col("id").isNotNull())
 
 
@@ -110,24 +138,27 @@ class _TitleParser(HTMLParser):
             self.title += data
 
 
-@F.pandas_udf(T.StringType())
-def html_title(html: pd.Series) -> pd.Series:
-    """og:title, else <title>, trimmed; empty -> null."""
-
-    def one(doc):
-        if doc is None:
-            return None
-        p = _TitleParser()
+def title_of(doc: str | None) -> tuple[str | None, str]:
+    """(title, status) of one page: og:title, else <title>, trimmed.  Markup
+    that the parser refuses costs the page its title, not the job."""
+    if doc is None:
+        return None, "no_title"
+    p = _TitleParser()
+    try:
         p.feed(doc)
         p.close()
-        for candidate in (p.og, p.title):
-            if candidate and candidate.strip():
-                return candidate.strip()
-        return None
+    except Exception:  # noqa: BLE001 - bad declarations raise from inside the parser
+        return None, "error"
+    for candidate in (p.og, p.title):
+        if candidate and candidate.strip():
+            return candidate.strip(), "ok"
+    return None, "no_title"
+
 
-    return html.map(one)
+@F.pandas_udf(T.StructType([T.StructField("title", T.StringType()), T.StructField("status", T.StringType())]))
+def html_title(html: pd.Series) -> pd.DataFrame:
+    return pd.DataFrame([title_of(d) for d in html], columns=["title", "status"])
 
 
 def page_titles(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
-    t = pages.select(F.col(url).alias("url"), html_title(html).alias("title"))
-    return t.withColumn("status", F.when(F.col("title").isNotNull(), "ok").otherwise("no_title"))
+    return pages.select(F.col(url).alias("url"), html_title(html).alias("t")).select("url", "t.title", "t.status")

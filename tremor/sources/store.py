@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tremor.session import cut_lineage
+from tremor.session import cut_lineage, materialize
 
 
 # -- merges -----------------------------------------------------------------
@@ -85,15 +85,23 @@ def day_ledger(seen: DataFrame, start: Column, end: Column, spark: SparkSession)
 class Table:
     """A keyed Parquet folder, partitioned by ``partition_by``.
 
-    Inserts append; every other mode rewrites only the partitions it touches,
-    by dynamic partition overwrite (staged and committed by Spark, so a failed
-    job leaves the old partitions in place).
+    A partition column is a column of the schema or derived: ``derive`` maps
+    its name to (SQL expression, columns it is made of), e.g. the day of a time
+    stamp or a bucket of an id.  Derived columns exist as folders only.
+
+    Rows are dealt to tasks by partition before a write, so a folder gets few
+    files.  Inserts append; every other mode rewrites only the partitions it
+    touches, by dynamic partition overwrite (staged and committed by Spark, so
+    a failed job leaves the old partitions in place).
     """
 
     def __init__(self, spark: SparkSession, path: str, schema: T.StructType, keys: Sequence[str],
-                 partition_by: Sequence[str]) -> None:
+                 partition_by: Sequence[str], derive: dict[str, tuple[str, Sequence[str]]] | None = None) -> None:
         self.spark, self.path, self.schema = spark, path.rstrip("/"), schema
-        self.keys, self.partition_by = list(keys), list(partition_by)
+        self.keys, self.partition_by, self.derive = list(keys), list(partition_by), dict(derive or {})
+        unknown = [c for c in self.partition_by if c not in schema.fieldNames() and c not in self.derive]
+        if unknown:
+            raise ValueError(f"partition columns {unknown} are neither in the schema nor derived")
 
     def _path(self, p: str):
         return self.spark._jvm.org.apache.hadoop.fs.Path(p)
@@ -103,65 +111,119 @@ class Table:
         p = self._path(self.path)
         return p.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(p)
 
-    def read(self) -> DataFrame:
-        if not self.exists():
-            return self.spark.createDataFrame([], self.schema)
-        return self.spark.read.schema(self.schema).parquet(self.path).select(*self.schema.fieldNames())
+    def _with_partitions(self, rows: DataFrame) -> DataFrame:
+        rows = rows.select(*self.schema.fieldNames())
+        return rows.withColumns({c: F.expr(e) for c, (e, _) in self.derive.items()})
+
+    def _stored(self) -> DataFrame:
+        """All columns, the derived ones as the folders have them."""
+        empty = self._with_partitions(self.spark.createDataFrame([], self.schema))
+        return self.spark.read.schema(empty.schema).parquet(self.path) if self.exists() else empty
+
+    def read(self, partitions: Column | None = None) -> DataFrame:
+        """``partitions``: a condition on partition columns; folders outside
+        are not listed as input."""
+        rows = self._stored()
+        if partitions is not None:
+            rows = rows.where(partitions)
+        return rows.select(*self.schema.fieldNames())
+
+    def _clustered(self, rows: DataFrame) -> DataFrame:
+        """Rows of a partition in one task, or several if it is large."""
+        return self._with_partitions(rows).hint("rebalance", *[F.col(c) for c in self.partition_by])
 
     def _append(self, rows: DataFrame) -> None:
-        rows.select(*self.schema.fieldNames()).write.mode("append").partitionBy(*self.partition_by).parquet(self.path)
+        self._clustered(rows).write.mode("append").partitionBy(*self.partition_by).parquet(self.path)
+
+    def _touched(self, rows: DataFrame) -> DataFrame:
+        return self._with_partitions(rows).select(*self.partition_by).distinct()
 
     def _rewrite(self, touched: DataFrame, merge) -> None:
-        """``touched``: distinct partition values; ``merge``: old rows -> rows."""
+        """``touched``: distinct partition values; ``merge``: old rows -> rows.
+        The merge runs once; its result decides both the new content and which
+        partitions are left empty."""
         touched = cut_lineage(touched)
-        rows = merge(self.read().join(touched, self.partition_by, "left_semi"))
-        (rows.select(*self.schema.fieldNames()).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-         .partitionBy(*self.partition_by).parquet(self.path))
-        # A partition left without rows is not overwritten: remove its rows'
-        # folder.  Only partition values (days, sources) reach the driver.
-        left = touched.join(merge(self.read().join(touched, self.partition_by, "left_semi")).select(*self.partition_by).distinct(),
-                            self.partition_by, "left_anti")
-        for r in left.toLocalIterator():
-            p = self._path(self.path + "/" + "/".join(f"{c}={r[c]}" for c in self.partition_by))
+        # A partition's values may be null (its folder then has Hive's name for it).
+        same = [F.col(f"o.{c}").eqNullSafe(F.col(f"t.{c}")) for c in self.partition_by]
+        old = self._stored().alias("o").join(touched.alias("t"), same, "left_semi").select(*self.schema.fieldNames())
+        rows = materialize(self._with_partitions(merge(old)), "merged")
+        (rows.hint("rebalance", *[F.col(c) for c in self.partition_by]).write.mode("overwrite")
+         .option("partitionOverwriteMode", "dynamic").partitionBy(*self.partition_by).parquet(self.path))
+        # A partition left without rows is not overwritten: remove its folder.
+        # Only partition values reach the driver, as they do for any listing.
+        full = rows.select(*self.partition_by).distinct()
+        same = [F.col(f"t.{c}").eqNullSafe(F.col(f"n.{c}")) for c in self.partition_by]
+        for r in touched.alias("t").join(full.alias("n"), same, "left_anti").toLocalIterator():
+            p = self._path(self.path + "/" + "/".join(f"{c}={'__HIVE_DEFAULT_PARTITION__' if r[c] is None else r[c]}" for c in self.partition_by))
             p.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(p, True)
 
     def insert_or_ignore(self, batch: DataFrame, order: Sequence[str]) -> dict[str, int]:
-        """Appends new keys only; counts come from the write job itself."""
+        """Appends new keys only; counts come from the write job itself.  Of
+        the stored rows only the key columns are read."""
         seen, kept = Observation(), Observation()
-        batch = batch.observe(seen, F.count("*").alias("attempted"))
-        rows = new_rows(self.read(), batch, self.keys, order).observe(kept, F.count("*").alias("inserted"))
+        observed = batch.observe(seen, F.count("*").alias("attempted"))
+        rows = new_rows(self.read(), observed, self.keys, order).observe(kept, F.count("*").alias("inserted"))
         self._append(rows)
-        attempted, inserted = seen.get["attempted"], kept.get["inserted"]
+        attempted, inserted = _observed(seen, "attempted"), _observed(kept, "inserted") or 0
+        if attempted is None:
+            attempted = batch.count()
         return {"attempted": attempted, "inserted": inserted, "deduplicated": attempted - inserted}
 
+    def _require_key_partitions(self) -> None:
+        """Replacing by key looks into the batch's partitions only, so the key
+        has to determine the partition."""
+        for c in self.partition_by:
+            made_of = self.derive[c][1] if c in self.derive else [c]
+            if not set(made_of) <= set(self.keys):
+                raise ValueError(f"partition column {c} does not follow from the key {self.keys}")
+
     def insert_or_replace(self, batch: DataFrame) -> None:
-        """The key contains the partition columns, so other partitions cannot
-        hold a replaced row."""
+        self._require_key_partitions()
         batch = cut_lineage(batch.select(*self.schema.fieldNames()))
-        self._rewrite(batch.select(*self.partition_by).distinct(), lambda old: upsert(old, batch, self.keys))
+        self._rewrite(self._touched(batch), lambda old: upsert(old, batch, self.keys))
 
     def replace_groups(self, batch: DataFrame, group: Sequence[str]) -> None:
+        for c in self.partition_by:
+            if not set(self.derive[c][1] if c in self.derive else [c]) <= set(group):
+                raise ValueError(f"partition column {c} does not follow from the group {list(group)}")
         batch = cut_lineage(batch.select(*self.schema.fieldNames()))
-        self._rewrite(batch.select(*self.partition_by).distinct(), lambda old: replace_groups(old, batch, group))
+        self._rewrite(self._touched(batch), lambda old: replace_groups(old, batch, group))
 
-    def rebuild_window(self, batch: DataFrame, column: str, since: Column) -> None:
+    def rebuild_window(self, batch: DataFrame, column: str, since: Column, partitions: Column | None = None) -> None:
+        """``partitions``: the same bound on partition columns, if there is
+        one, so that older folders are not read."""
         batch = cut_lineage(batch.select(*self.schema.fieldNames()))
-        touched = (batch.select(*self.partition_by)
-                   .unionByName(self.read().where(F.col(column) >= since).select(*self.partition_by)).distinct())
+        touched = self._touched(batch).unionByName(self._touched(self.read(partitions).where(F.col(column) >= since))).distinct()
         self._rewrite(touched, lambda old: rebuild_window(old, batch, column, since))
 
     def delete(self, deletes: DataFrame, keys: Sequence[str]) -> None:
+        """Where the delete keys determine the partition, no other is read."""
         deletes = cut_lineage(deletes)
-        touched = self.read().join(deletes.select(*keys).distinct(), list(keys), "left_semi").select(*self.partition_by).distinct()
+        own = [c for c in self.partition_by if set(self.derive[c][1] if c in self.derive else [c]) <= set(keys)]
+        if own == self.partition_by:
+            exprs = {c: F.expr(self.derive[c][0]) for c in own if c in self.derive}
+            touched = deletes.withColumns(exprs).select(*own).distinct()
+        else:
+            touched = self._touched(self.read().join(deletes.select(*keys).distinct(), list(keys), "left_semi"))
         self._rewrite(touched, lambda old: delete_rows(old, deletes, keys))
 
 
+def _observed(observation: Observation, name: str) -> int | None:
+    """A count of the write job; None where adaptive execution found the result
+    empty and dropped the rest of the plan with its counters."""
+    try:
+        return observation.get[name]
+    except Exception:  # noqa: BLE001 - the missing metric surfaces as a JVM assertion
+        return None
+
+
 def ingest_all(table: Table, sources: dict[str, DataFrame], order: Sequence[str]) -> list[dict]:
-    """Runs each source on its own; a failing source is reported, not fatal."""
+    """Runs each source on its own; a failing source is reported with its whole
+    error, not fatal."""
     out = []
     for name, df in sources.items():
         try:
             out.append({"source": name, **table.insert_or_ignore(df, order), "error": None})
         except Exception as exc:  # one bad source must not stop the others
-            out.append({"source": name, "attempted": 0, "inserted": 0, "deduplicated": 0, "error": str(exc)[:500]})
+            out.append({"source": name, "attempted": 0, "inserted": 0, "deduplicated": 0, "error": str(exc)})
     return out
