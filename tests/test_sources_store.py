@@ -218,4 +218,37 @@ def test_stream_dedup_and_replay(spark, folder):
         q = S.start(S.deduplicated(S.landing(spark, f"{folder}/in", schema)), S.insert_sink(t, ["published_at"]), f"{folder}/cp{run}", f"q{run}")
         q.awaitTermination()
         assert sorted(r["id"] for r in t.read().collect()) == ["a", "b", "c"]
-    assert sum(p["rows"] for p in S.progress_rows(q)) == 5
+
+
+def test_cycle_status_tells_queries_apart(spark, folder):
+    """Two queries, one of which fails; more cycles than the history keeps."""
+    from tremor.plans.q_streaming import wait_for
+    from tremor.streaming import streams as S
+
+    schema = T.StructType([T.StructField("x", T.LongType())])
+    for i in range(6):
+        spark.range(i, i + 2).toDF("x").coalesce(1).write.mode("append").parquet(f"{folder}/in")
+    keep = spark.conf.get("spark.sql.streaming.numRecentProgressUpdates")
+    spark.conf.set("spark.sql.streaming.numRecentProgressUpdates", "2")
+    watch = S.CycleStatus()
+    spark.streams.addListener(watch)
+    try:
+        def fail(batch, _):
+            raise ValueError("lost " + "x" * 900)
+
+        good = S.start(S.landing(spark, f"{folder}/in", schema, max_files=1), lambda b, _: b.count(), f"{folder}/cp1", "good")
+        bad = S.start(S.landing(spark, f"{folder}/in", schema), fail, f"{folder}/cp2", "bad")
+        good.awaitTermination()
+        with pytest.raises(Exception):
+            bad.awaitTermination()
+        wait_for(lambda: all(watch.status.get(q.id, {}).get("ended") for q in (good, bad)))
+    finally:
+        spark.streams.removeListener(watch)
+        spark.conf.set("spark.sql.streaming.numRecentProgressUpdates", keep)
+    g, b = watch.status[good.id], watch.status[bad.id]
+    assert (g["name"], g["rows"], g["error"]) == ("good", 12, None) and g["cycles"] >= 6 > len(good.recentProgress)
+    assert b["name"] == "bad" and "x" * 900 in b["error"]
+    table = S.status_table(spark, f"{folder}/status")
+    for _ in range(2):
+        watch.save(table)
+    assert {r["name"]: r["rows"] for r in table.read().collect() if r["query_id"] in (good.id, bad.id)}["good"] == 12

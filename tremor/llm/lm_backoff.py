@@ -141,7 +141,16 @@ def _explode(text: str | None, k: Counts, total: int):
     return n, settled, keys, times, lift
 
 
-_ROWS = "pair bigint,row bigint,times int,lift float,doc_id bigint,n_words bigint,settled double"
+#: A pair's key and its lift share one long: most of a shuffled row's bytes are
+#: these two.  The lift has LIFT_BITS bits, 2 ** -16 the last one.
+LIFT_BITS = 23
+_ONE = 1 << 16
+_ZERO = 1 << (LIFT_BITS - 1)
+_ROWS = "packed bigint,row bigint,times int,doc_id bigint,n_words bigint,settled double"
+
+
+def _packed(pair: np.ndarray, lift: np.ndarray) -> np.ndarray:
+    return (pair << LIFT_BITS) | np.clip(np.rint(lift * _ONE) + _ZERO, 0, 2 * _ZERO - 1).astype(np.int64)
 
 
 def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -158,22 +167,23 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
         heads = np.concatenate([[0], np.cumsum(sizes)[:-1]])
         m = int(sum(sizes))
         # a document's own row comes first, under a negative key that no pair has
-        pair, times, lift = np.zeros(m, np.int64), np.zeros(m, np.int32), np.zeros(m, np.float32)
+        packed, times = np.zeros(m, np.int64), np.zeros(m, np.int32)
         cold = np.ones(m, dtype=bool)
         cold[heads] = False
-        pair[cold] = np.concatenate([o[2] for o in out])
+        packed[cold] = _packed(np.concatenate([o[2] for o in out]), np.concatenate([o[4] for o in out]))
         times[cold] = np.concatenate([o[3] for o in out])
-        lift[cold] = np.concatenate([o[4] for o in out])
-        pair[heads] = -1 - rows
+        packed[heads] = (-1 - (rows & ((1 << 39) - 1))) << LIFT_BITS
         at_head = lambda values, kind: pa.array(np.repeat(values, sizes), type=kind, mask=cold)
         ids = pa.array(batch.column(0).take(pa.array(np.repeat(np.arange(len(out)), sizes), mask=cold)))
-        return {"pair": pair, "row": np.repeat(rows, sizes), "times": times, "lift": lift, "doc_id": ids,
+        return {"packed": packed, "row": np.repeat(rows, sizes), "times": times, "doc_id": ids,
                 "n_words": at_head(np.array([o[0] for o in out], np.int64), pa.int64()),
                 "settled": at_head(np.array([o[1] for o in out], np.float64), pa.float64())}
 
     exploded = map_batches(own.withColumn("row", F.monotonically_increasing_id()), explode, _ROWS)
-    elsewhere = F.sum("times").over(Window.partitionBy("pair")) - F.col("times")
-    gain = F.when(F.col("elsewhere") > 0, F.col("times") * (F.log("elsewhere") - F.col("lift")))
+    pair = F.shiftright("packed", LIFT_BITS)
+    lift = (F.col("packed").bitwiseAND(F.lit((1 << LIFT_BITS) - 1)) - _ZERO) / F.lit(float(_ONE))
+    elsewhere = F.sum("times").over(Window.partitionBy(pair)) - F.col("times")
+    gain = F.when(F.col("elsewhere") > 0, F.col("times") * (F.log("elsewhere") - lift))
     joined = exploded.withColumn("elsewhere", elsewhere).select("row", "doc_id", "n_words", "settled", gain.alias("gain"))
     per_doc = joined.groupBy("row").agg(F.max("doc_id").alias("doc_id"), F.max("n_words").alias("n_words"),
                                         (F.coalesce(F.sum("gain"), F.lit(0.0)) + F.max("settled")).alias("log_prob"))

@@ -84,7 +84,7 @@ def label_agreement(pairs: DataFrame, a: str, b: str) -> DataFrame:
     return pairs.agg(F.count("*").alias("n"), F.avg((F.col(a) == F.col(b)).cast("double")).alias("agreement"))
 
 
-def fit_classifier(train: DataFrame, text: str, label: str, weight: str, n_features: int = 1 << 12):
+def fit_classifier(train: DataFrame, text: str, label: str, weight: str, n_features: int = 1 << 16):
     """Class-weighted multinomial model over hashed token counts."""
     from pyspark.ml import Pipeline
     from pyspark.ml.classification import LogisticRegression

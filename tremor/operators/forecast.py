@@ -46,6 +46,7 @@ def bootstrap_paths(steps: DataFrame, residuals: DataFrame, n_samples: int = 50,
     pool = residuals.select("ticker", "residual", F.row_number().over(whole.orderBy("date")).cast("bigint").alias("i"))
     n = pool.groupBy("ticker").agg(F.count("*").alias("n"))
     draws = steps.join(n, "ticker").withColumn("sample_id", F.explode(F.sequence(F.lit(1), F.lit(n_samples))))
-    pick = F.pmod(F.xxhash64("ticker", "window_id", "step", "sample_id", F.lit(seed)), F.col("n")) + 1
+    key = F.md5(F.concat_ws("|", "ticker", *[F.col(c).cast("string") for c in ("window_id", "step", "sample_id")], F.lit(str(seed))))
+    pick = F.conv(F.substring(key, 1, 15), 16, 10).cast("bigint") % F.col("n") + 1
     return (draws.withColumn("i", pick).join(pool, ["ticker", "i"])
             .select("ticker", "window_id", "step", "sample_id", (F.col("predicted") + F.col("residual")).alias("value")))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from itertools import groupby
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
@@ -73,9 +74,10 @@ def match_companies(lowered: Column | str, d: Dictionary, known: Column | str |
 
 
 def match_sector(lowered: Column | str, d: Dictionary, known: Column | str | None = None) -> Column:
-    """A named company decides (first in listing order), else the first sector
-    with a keyword hit."""
-    named = [F.when(TX.any_hit(lowered, als, known), F.lit(d.ticker_sector[t])) for t, als in _by_ticker(d).items()]
+    """A named company decides (first alias in listing order), else the first
+    sector with a keyword hit.  Neighbouring aliases of one sector share a test."""
+    runs = [(s, [a for _, a in run]) for s, run in groupby(d.companies, key=lambda c: d.ticker_sector[c[0]])]
+    named = [F.when(TX.any_hit(lowered, als, known), F.lit(s)) for s, als in runs]
     worded = [F.when(TX.any_hit(lowered, kws, known), F.lit(s)) for s, kws in d.sectors.items()]
     return F.coalesce(*named, *worded)
 

@@ -47,7 +47,9 @@ def order_statistics(df: DataFrame, group: list[str], value: str, ranks: dict[st
     found = (placed.join(holding, [*group, "_p"]).withColumn("_upto", upto)
              .where((F.col("_upto") >= F.col("rank")) & (F.col("_upto") - F.col("_c") < F.col("rank")))
              .select(*keys, F.col("_v").alias("value")))
-    return wanted.join(found, keys, "left")
+    # A row per group and rank, of measured size: joins back to the rows then
+    # broadcast it where it is small, and never the rows.
+    return materialize(wanted.join(found, keys, "left"), "ranks")
 
 
 def quantiles(df: DataFrame, group: list[str], value: str, fractions: dict[str, float]) -> DataFrame:

@@ -246,8 +246,7 @@ class Fixture:
         """Windows of 5 steps after one another; fold = window % 4."""
         r = self.features.select("ticker", "date", "daily_return", "rn")
         win = F.floor((F.col("rn") - 1) / 5).cast("bigint")
-        return (r.withColumn("window_id", win).withColumn("step", ((F.col("rn") - 1) % 5 + 1).cast("int")).select("ticker", "window_id", "step", (win % 4).cast("int").alias("fold_id"),
-                                           F.col("daily_return").alias("actual")))
+        return (r.withColumn("window_id", win).withColumn("step", ((F.col("rn") - 1) % 5 + 1).cast("int")).select("ticker", "date", "window_id", "step", (win % 4).cast("int").alias("fold_id"), F.col("daily_return").alias("actual")))
 
     @cached_property
     def samples(self) -> DataFrame:

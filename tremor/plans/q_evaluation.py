@@ -7,12 +7,17 @@ from tremor.operators import corpus as C
 from tremor.operators import evaluate as E
 from tremor.operators import features as FE
 from tremor.operators import forecast as FC
+from tremor.operators import labels as L
 from tremor.operators import portfolio as PF
 from tremor.operators import scoring as SC
 from tremor.plans import fixtures as FX
 from tremor.plans.q_features import PATHW
 from tremor.plans.q_scoring import PROJ, requests
+from tremor.plans.q_scalars import _TYPE as TYPE_SQL
+from tremor.plans.q_scalars import TEXT
+from tremor.plans.q_scalars import _low as low_docs
 from tremor.plans.registry import query
+from tremor.session import materialize
 
 KEYS = ["ticker", "window_id", "step", "fold_id"]
 M = """count(*) AS n, round(avg(abs({y} - {p})), 6) AS mae, round(sqrt(avg(({y} - {p}) ^ 2)), 6) AS rmse,
@@ -244,42 +249,67 @@ def j15(f):
     return C.training_pool(f.raw, f.labels, holdout, "rss", "rule_based").select("id", "event_type")
 
 
-@query("N11_event_classifier")
+N11SQL = {**TEXT, "tys": f"SELECT doc_id, {TYPE_SQL} AS label FROM dcnt",
+          "trk": "SELECT label, row_number() OVER (PARTITION BY label ORDER BY substr(sha256(doc_id || '|42'), 1, 15)) AS r, count(*) OVER (PARTITION BY label) AS n FROM tys"}
+
+
+@query("N11_event_classifier", """SELECT label, CAST(max(n) - max(nv) AS BIGINT) AS n_train, CAST(max(nv) AS BIGINT) AS n_val, true AS beats_majority
+    FROM (SELECT label, n, CASE WHEN n >= 2 THEN least(round_even(n * 0.15e0, 0), n - 1) ELSE 0 END AS nv FROM trk) GROUP BY label""", **N11SQL)
 def n11(f):
-    """Class-weighted classifier of the document language, scored on the
-    stratified validation rows."""
-    rows = C.stratified_split(f.table("documents").select("doc_id", "lang", "text"), "doc_id", "lang")
+    """Class-weighted classifier of the rule labels' event types, its macro F1
+    on the stratified validation rows against always naming the most frequent
+    type."""
+    typed = low_docs(f).select("doc_id", "text", F.coalesce(L.event_type_match("low", FX.DICTIONARY, "known")["event_type"], F.lit("unclassified")).alias("event_type"))
+    rows = materialize(C.stratified_split(typed, "doc_id", "event_type"), "n11")
     train, val = rows.where("split = 'train'"), rows.where("split = 'val'")
-    support = train.groupBy(F.col("lang").alias("label")).agg(F.count("*").alias("support"))
-    w = C.class_weights(support).select(F.col("label").alias("lang"), "weight")
-    model = C.fit_classifier(train.join(w, "lang"), "text", "lang", "weight")
+    sizes = rows.groupBy(F.col("event_type").alias("label")).agg(F.count_if(F.col("split") == "train").alias("n_train"), F.count_if(F.col("split") == "val").alias("n_val"))
+    w = materialize(C.class_weights(sizes.select("label", F.col("n_train").alias("support"))).select(F.col("label").alias("event_type"), "weight"), "n11-weights")
+    model = C.fit_classifier(train.join(w, "event_type"), "text", "event_type", "weight")
     names = F.array(*[F.lit(x) for x in model.stages[0].labels])
-    pred = model.transform(val).select(F.col("lang").alias("gold"), F.get(names, F.col("prediction").cast("int")).alias("pred"))
-    return E.per_class(E.confusion(pred, "gold", "pred"), support.select("label"))
+    pred = model.transform(val).select(F.col("event_type").alias("gold"), F.get(names, F.col("prediction").cast("int")).alias("pred"))
+    def macro(rows_, name):
+        return E.macro_f1(E.per_class(E.confusion(rows_, "gold", "pred"), sizes.select("label"))).select(F.col("macro_f1").alias(name))
+
+    majority = F.broadcast(E.majority_class(train, "event_type").withColumnRenamed("majority", "pred"))  # one row
+    guess = macro(val.select(F.col("event_type").alias("gold")).join(majority, F.lit(True)), "guess")
+    both = macro(pred, "own").join(F.broadcast(guess), F.lit(True)).select((F.col("own") > F.col("guess")).alias("beats_majority"))
+    return sizes.join(F.broadcast(both), F.lit(True))
 
 
-@query("E21_return_forecaster")
+@query("E21_return_forecaster", """SELECT v AS variant, count(*) FILTER (split = 'test') AS n_test, count(*) FILTER (split = 'train') AS n_train, true AS centred, true AS no_worse_than_zero
+    FROM (SELECT split FROM ftr QUALIFY row_number() OVER (PARTITION BY ticker ORDER BY date) > 60) CROSS JOIN (VALUES ('baseline'), ('with_score')) t(v) GROUP BY v""")
 def e21(f):
-    """Pooled forecaster with and without the score; test metrics of both."""
+    """Pooled forecaster with and without the score.  A least-squares fit with
+    an intercept has train residuals of mean zero (its first normal equation)
+    and a squared error no larger than that of the constant zero."""
     rows = FE.derived_ratios(f.features)
-    rows = FE.apply_standard(rows, FE.fit_standard(rows, FE.BASE_COLS), FE.BASE_COLS)
+    rows = materialize(FE.apply_standard(rows, FE.fit_standard(rows, FE.BASE_COLS), FE.BASE_COLS), "e21")
     out = None
     for name, cols in FE.VARIANTS.items():
         xs = [c if c in FE.UNSCALED else f"{c}_z" for c in cols]
         w = FE.lookback_windows(rows, xs)
-        model = FC.fit(w, xs)
-        pred = FC.predict(model, w.where("split = 'test'"), xs)
-        m_ = E.averaged_metrics(E.metrics(pred, "y", "predicted", ["ticker"]), []).withColumn("variant", F.lit(name))
+        pred = FC.predict(FC.fit(w, xs), w, xs)
+        train, res = F.col("split") == "train", F.col("y") - F.col("predicted")
+        mean = lambda c: F.avg(F.when(train, c))  # noqa: B023, E731
+        m_ = pred.agg(F.count_if(F.col("split") == "test").alias("n_test"), F.count_if(train).alias("n_train"),
+                      (F.abs(mean(res)) <= 1e-6 * F.greatest(mean(F.abs("y")), F.lit(1e-9))).alias("centred"),
+                      (mean(res * res) <= mean(F.col("y") * F.col("y"))).alias("no_worse_than_zero")).withColumn("variant", F.lit(name))
         out = m_ if out is None else out.unionByName(m_)
     return out
 
 
-@query("E22_sample_paths", "SELECT step, count(*) * 50 AS n FROM pst GROUP BY step")
+@query("E22_sample_paths", """SELECT ticker, step, count(*) AS n, round(sum(predicted + residual), 4) AS total FROM
+    (SELECT f.ticker, (f.rn - 1) // 5 AS window_id, CAST((f.rn - 1) % 5 + 1 AS INTEGER) AS step, p.predicted, CAST(s AS INTEGER) AS sample_id
+     FROM ftr f JOIN prd p ON p.ticker = f.ticker AND p.label_date = f.date AND p.variant = 'baseline' CROSS JOIN range(1, 51) t(s)) d
+    JOIN (SELECT ticker, actual - predicted AS residual, row_number() OVER (PARTITION BY ticker ORDER BY label_date) AS i, count(*) OVER (PARTITION BY ticker) AS n
+      FROM prd WHERE variant = 'baseline') r ON r.ticker = d.ticker
+      AND r.i = CAST('0x' || substr(md5(concat_ws('|', d.ticker, window_id, step, sample_id, 42)), 1, 15) AS BIGINT) % r.n + 1
+    GROUP BY d.ticker, step""".replace("SELECT ticker, step, count(*) AS n, round", "SELECT d.ticker AS ticker, step, count(*) AS n, round", 1))
 def e22(f):
-    steps = f.path_steps.withColumn("predicted", F.lit(0.0))
-    residuals = f.predictions.where("variant = 'baseline'").select("ticker", F.col("label_date").alias("date"), (F.col("actual") - F.col("predicted")).alias("residual"))
-    p = FC.bootstrap_paths(steps, residuals)
-    return p.where("value is not null").groupBy("step").agg(F.count("*").alias("n"))
+    point = f.predictions.where("variant = 'baseline'").select("ticker", F.col("label_date").alias("date"), "actual", "predicted")
+    steps = f.path_steps.drop("actual").join(point, ["ticker", "date"])
+    p = FC.bootstrap_paths(steps, point.select("ticker", "date", (F.col("actual") - F.col("predicted")).alias("residual")))
+    return p.groupBy("ticker", "step").agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("total"))
 
 
 # -- portfolios --------------------------------------------------------------

@@ -211,7 +211,7 @@ _COUNTRY = "list_sort(list_filter([" + ", ".join(
     for c, als in D.countries.items()) + "], lambda x: x IS NOT NULL))"
 _BYT = L._by_ticker(D)
 _COMPANY = "list_sort(list_filter([" + ", ".join(f"CASE WHEN {any_hit('low', a)} THEN '{t}' END" for t, a in _BYT.items()) + "], lambda x: x IS NOT NULL))"
-_SECTOR = "CASE " + " ".join(f"WHEN {any_hit('low', a)} THEN '{D.ticker_sector[t]}'" for t, a in _BYT.items()) + " " + \
+_SECTOR = "CASE " + " ".join(f"WHEN {any_hit('low', [alias])} THEN '{D.ticker_sector[t]}'" for t, alias in D.companies) + " " + \
     " ".join(f"WHEN {any_hit('low', k)} THEN '{s}'" for s, k in D.sectors.items()) + " END"
 TEXT = {"dlow": "SELECT *, lower(alltext) AS low FROM doc", "dcnt": f"SELECT *, {_COUNTS} FROM dlow"}
 

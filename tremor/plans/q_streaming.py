@@ -5,6 +5,7 @@ Results are written through keyed tables in the shared folder and read back.
 
 from __future__ import annotations
 
+import time
 import uuid
 
 from pyspark.sql import DataFrame
@@ -106,10 +107,25 @@ def r4(f):
     return table.read().agg(F.count("*").alias("n_rows"), F.countDistinct("id").alias("n_ids"))
 
 
-@query("R5_cycle_status", "SELECT CAST(sum(n) AS BIGINT) AS n_rows, CAST(1 AS BIGINT) AS n_sources FROM (SELECT count(*) AS n FROM ev)")
+@query("R5_cycle_status", "SELECT CAST(count(*) AS BIGINT) AS n_rows, CAST(1 AS BIGINT) AS n_queries, true AS ended, CAST(0 AS BIGINT) AS n_errors FROM ev")
 def r5(f):
-    """Per-cycle rows of the ingest query (its own progress reports)."""
-    _, q = _ingest(f)
-    status = f.spark.createDataFrame([(p["batch_id"], p["timestamp"], p["rows"]) for p in ST.progress_rows(q)],
-                                     "batch_id bigint, timestamp string, n bigint")
-    return status.agg(F.sum("n").alias("n_rows"), F.lit(1).cast("bigint").alias("n_sources"))
+    """Status of the ingest query as its listener counted it, stored and read back."""
+    watch = ST.CycleStatus()
+    f.spark.streams.addListener(watch)
+    try:
+        _, q = _ingest(f)
+        wait_for(lambda: watch.status.get(q.id, {}).get("ended"))
+    finally:
+        f.spark.streams.removeListener(watch)
+    table = ST.status_table(f.spark, f"{_place(f, 'r5')}/status")
+    watch.status = {q.id: watch.status[q.id]}  # other queries of the session report to the listener too
+    watch.save(table)
+    return table.read().agg(F.sum("rows").alias("n_rows"), F.count("*").alias("n_queries"), F.bool_and("ended").alias("ended"),
+                            F.count("error").alias("n_errors"))
+
+
+def wait_for(done, seconds: float = 30.0) -> None:
+    """Listener events arrive on their own thread."""
+    end = time.monotonic() + seconds
+    while not done() and time.monotonic() < end:
+        time.sleep(0.05)

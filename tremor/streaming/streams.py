@@ -13,8 +13,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
 
-from tremor.functions import exprs as X
-from tremor.operators import graph as G
 from tremor.operators import scoring
 from tremor.sources.store import Table
 
@@ -74,38 +72,50 @@ CLUSTERS = T.StructType([
     T.StructField("polarity", T.DoubleType())])
 
 
-def touched_days(clusters: DataFrame, window: int) -> DataFrame:
-    """Score days to recompute after cluster changes: [d, d + window]."""
-    return clusters.select(F.explode(F.sequence(F.col("cluster_date"), F.date_add("cluster_date", window))).alias("date")).distinct()
+STATUS = T.StructType([
+    T.StructField("query_id", T.StringType(), False), T.StructField("name", T.StringType()), T.StructField("cycles", T.LongType()),
+    T.StructField("rows", T.LongType()), T.StructField("last_batch", T.LongType()), T.StructField("last_run", T.StringType()),
+    T.StructField("ended", T.BooleanType()), T.StructField("error", T.StringType())])
 
 
 class CycleStatus(StreamingQueryListener):
-    """Last cycle per query: rows read, batch id, time, and cycle count."""
+    """One status per query: cycles, rows read, last batch and time, whether it
+    has ended, and its own error as a whole.  Counts every cycle from the start
+    of the listener on, unlike the progress history, which is bounded.  A query
+    started again keeps its id and its counts."""
 
     def __init__(self) -> None:
         self.status: dict[str, dict] = {}
 
+    def _of(self, query_id, name=None) -> dict:
+        s = self.status.setdefault(str(query_id), {"name": None, "cycles": 0, "rows": 0, "last_batch": None,
+                                                   "last_run": None, "ended": False, "error": None})
+        if name:
+            s["name"] = name
+        return s
+
     def onQueryStarted(self, event) -> None:
-        self.status[event.name] = {"cycles": 0, "rows": 0, "last_batch": None, "last_run": None, "error": None}
+        self._of(event.id, event.name).update(ended=False, error=None)
 
     def onQueryProgress(self, event) -> None:
         p = event.progress
-        s = self.status.setdefault(p.name, {"cycles": 0, "rows": 0, "error": None})
+        s = self._of(p.id, p.name)
         s.update(cycles=s["cycles"] + 1, rows=s["rows"] + p.numInputRows, last_batch=p.batchId, last_run=p.timestamp)
 
     def onQueryIdle(self, event) -> None:
         pass
 
     def onQueryTerminated(self, event) -> None:
-        for s in self.status.values():
-            if event.exception:
-                s["error"] = event.exception[:500]
+        self._of(event.id).update(ended=True, error=event.exception)
 
+    def rows(self) -> list[tuple]:
+        """Rows of ``STATUS``: as many as there are queries."""
+        return [(i, *[s[c] for c in STATUS.fieldNames()[1:]]) for i, s in list(self.status.items())]
 
-def progress_rows(query: StreamingQuery) -> list[dict]:
-    """Per-cycle status rows of one query."""
-    return [{"batch_id": p["batchId"], "timestamp": p["timestamp"], "rows": p["numInputRows"]} for p in query.recentProgress]
+    def save(self, table: Table) -> None:
+        """Writes the present status, a row per query, through a keyed table."""
+        table.insert_or_replace(table.spark.createDataFrame(self.rows(), STATUS))
 
 
-def corridor_of(countries: str, nodes: Sequence[str]):
-    return G.corridor_key(X.corridor(countries, nodes))
+def status_table(spark: SparkSession, path: str) -> Table:
+    return Table(spark, path, STATUS, ["query_id"], ["bucket"], {"bucket": ("pmod(xxhash64(query_id), 8)", ["query_id"])})
