@@ -12,6 +12,8 @@ from tremor.plans.oracle import sql
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+#: the same queries over a fixture that the caller keeps
+ON_FIXTURE: dict[str, Callable[[Fixture], DataFrame]] = {}
 
 
 def query(name: str, oracle: str | None = None, **ctes: str):
@@ -24,6 +26,7 @@ def query(name: str, oracle: str | None = None, **ctes: str):
         run.__name__ = name
         assert name not in QUERIES, name
         QUERIES[name] = run
+        ON_FIXTURE[name] = fn
         if oracle is not None:
             ORACLES[name] = sql(oracle, **ctes)
         return fn
