@@ -2,11 +2,11 @@
 
 A keyword stands alone when no word character touches it on either side.  Then
 each of its own words is a whole word of the text.  So a text is split into
-words once, the few that occur in any keyword are kept (:func:`known_words`),
-and every keyword is tested against that short list; only keywords of several
-words or with punctuation still look at the text, and only when all their
-words are there.  Cost: one pass over the text, whatever the number of
-keywords.
+words once and the few that occur in any keyword are kept; keywords of one word
+are found by that alone, the others look at the text only where all their words
+are there.  :func:`found_keywords` does this once for all lists; testing a list
+is then an overlap of two short arrays.  Cost: one pass over the text, whatever
+the number of keywords.
 """
 
 from __future__ import annotations
@@ -39,19 +39,34 @@ def known_words(lowered: Column | str, keywords: Iterable[str]) -> Column:
     return F.array_distinct(F.filter(words, lambda w: w.isin(vocabulary)))
 
 
-def _in_text(text: Column, keyword: str) -> Column:
-    return text.contains(keyword) & text.rlike(f"(?<!{WORD}){quote(keyword)}(?!{WORD})")
+def _alone(keyword: str) -> str:
+    return f"(?<!{WORD}){quote(keyword)}(?!{WORD})"
 
 
-def keyword_hit(lowered: Column | str, keyword: str, known: Column | str | None = None) -> Column:
-    """``keyword`` stands alone in an already lower-cased text.  ``known`` is
-    the text's :func:`known_words` column, if there is one."""
+def _in_text(text: Column, keyword: str) -> Column:
+    return text.contains(keyword) & text.rlike(_alone(keyword))
+
+
+def found_keywords(lowered: Column | str, keywords: Iterable[str], known: Column | str) -> Column:
+    """The distinct keywords that stand alone in the text, in no set order.
+    ``known`` is the text's :func:`known_words` column for these keywords."""
+    lists = sorted({k.lower() for k in keywords})
+    plain = [k for k in lists if words_of(k) == [k]]
+    others = [F.struct(F.lit(k).alias("k"), F.array(*[F.lit(w) for w in words_of(k)]).cast("array<string>").alias("words"), F.lit(_alone(k)).alias("alone"))
+              for k in lists if words_of(k) != [k]]
+    single = F.filter(col(known), lambda w: w.isin(plain))
+    if not others:
+        return single
+    there = lambda p: (F.forall(p["words"], lambda w: F.array_contains(col(known), w))
+                       & F.contains(col(lowered), p["k"]) & F.regexp_like(col(lowered), p["alone"]))
+    return F.concat(single, F.transform(F.filter(F.array(*others), there), lambda p: p["k"]))
+
+
+def keyword_hit(lowered: Column | str, keyword: str, found: Column | str | None = None) -> Column:
+    """``keyword`` stands alone in an already lower-cased text.  ``found`` is
+    the text's :func:`found_keywords` column, if there is one."""
     kw = keyword.lower()
-    words = words_of(kw)
-    if known is None or not words:
-        return _in_text(col(lowered), kw)
-    present = reduce(lambda a, b: a & b, [F.array_contains(col(known), w) for w in words])
-    return present if words == [kw] else present & _in_text(col(lowered), kw)
+    return _in_text(col(lowered), kw) if found is None else F.array_contains(col(found), kw)
 
 
 def token_hit(text: Column | str, token: str) -> Column:
@@ -59,17 +74,18 @@ def token_hit(text: Column | str, token: str) -> Column:
     return _in_text(col(text), token)
 
 
-def any_hit(lowered: Column | str, keywords: Iterable[str], known: Column | str | None = None) -> Column:
+def any_hit(lowered: Column | str, keywords: Iterable[str], found: Column | str | None = None) -> Column:
     keywords = [k.lower() for k in keywords]
-    plain = [k for k in keywords if known is not None and words_of(k) == [k]]
-    tests = [F.arrays_overlap(col(known), F.array(*[F.lit(k) for k in plain]))] if plain else []
-    tests += [keyword_hit(lowered, k, known) for k in keywords if k not in plain]
-    return reduce(lambda a, b: a | b, tests)
+    if found is not None:
+        return F.arrays_overlap(col(found), F.array(*[F.lit(k) for k in keywords]))
+    return reduce(lambda a, b: a | b, [keyword_hit(lowered, k) for k in keywords])
 
 
-def hits(lowered: Column | str, keywords: Iterable[str], known: Column | str | None = None) -> Column:
+def hits(lowered: Column | str, keywords: Iterable[str], found: Column | str | None = None) -> Column:
     """The distinct keywords found, in list order."""
-    return F.array_compact(F.array(*[F.when(keyword_hit(lowered, k, known), F.lit(k)) for k in keywords]))
+    if found is not None:
+        return F.filter(F.array(*[F.lit(k) for k in keywords]), lambda k: F.array_contains(col(found), F.lower(k)))
+    return F.array_compact(F.array(*[F.when(keyword_hit(lowered, k), F.lit(k)) for k in keywords]))
 
 
 def tokenize(text: Column | str) -> Column:

@@ -34,27 +34,27 @@ class Dictionary:
         return [k for ks in lists for k in ks] + [alias for _, alias in self.companies]
 
 
-def event_type_match(lowered: Column | str, d: Dictionary, known: Column | str | None = None) -> Column:
+def event_type_match(lowered: Column | str, d: Dictionary, found: Column | str | None = None) -> Column:
     """struct(n, ord, event_type, hits): most distinct keywords; the earlier
     category wins a tie; null when nothing matched."""
-    found = [TX.hits(lowered, kws, known) for kws in d.event_types.values()]
+    found = [TX.hits(lowered, kws, found) for kws in d.event_types.values()]
     cats = F.array(*[
         F.struct(F.size(h).alias("n"), F.lit(-i).alias("ord"), F.lit(t).alias("event_type"), h.alias("hits"))
         for i, (t, h) in enumerate(zip(d.event_types, found))])
     return F.array_max(F.filter(cats, lambda c: c["n"] > 0))
 
 
-def severity_match(lowered: Column | str, d: Dictionary, known: Column | str | None = None) -> Column:
+def severity_match(lowered: Column | str, d: Dictionary, found: Column | str | None = None) -> Column:
     """First band, from 5 down to 1, with any keyword; null if none."""
     bands = sorted(d.severity, reverse=True)
-    return F.coalesce(*[F.when(TX.any_hit(lowered, d.severity[b], known), F.lit(b)) for b in bands])
+    return F.coalesce(*[F.when(TX.any_hit(lowered, d.severity[b], found), F.lit(b)) for b in bands])
 
 
 def match_countries(original: Column | str, lowered: Column | str, d: Dictionary,
-                    known: Column | str | None = None) -> Column:
+                    found: Column | str | None = None) -> Column:
     names = []
     for name, aliases in d.countries.items():
-        hit = TX.any_hit(lowered, aliases, known)
+        hit = TX.any_hit(lowered, aliases, found)
         if d.bare_token and d.bare_token[1] == name:
             hit = hit | TX.token_hit(original, d.bare_token[0])
         names.append(F.when(hit, F.lit(name)))
@@ -68,17 +68,17 @@ def _by_ticker(d: Dictionary) -> dict[str, list[str]]:
     return out
 
 
-def match_companies(lowered: Column | str, d: Dictionary, known: Column | str | None = None) -> Column:
-    hits = [F.when(TX.any_hit(lowered, als, known), F.lit(t)) for t, als in _by_ticker(d).items()]
+def match_companies(lowered: Column | str, d: Dictionary, found: Column | str | None = None) -> Column:
+    hits = [F.when(TX.any_hit(lowered, als, found), F.lit(t)) for t, als in _by_ticker(d).items()]
     return F.array_sort(F.array_compact(F.array(*hits)))
 
 
-def match_sector(lowered: Column | str, d: Dictionary, known: Column | str | None = None) -> Column:
+def match_sector(lowered: Column | str, d: Dictionary, found: Column | str | None = None) -> Column:
     """A named company decides (first alias in listing order), else the first
     sector with a keyword hit.  Neighbouring aliases of one sector share a test."""
     runs = [(s, [a for _, a in run]) for s, run in groupby(d.companies, key=lambda c: d.ticker_sector[c[0]])]
-    named = [F.when(TX.any_hit(lowered, als, known), F.lit(s)) for s, als in runs]
-    worded = [F.when(TX.any_hit(lowered, kws, known), F.lit(s)) for s, kws in d.sectors.items()]
+    named = [F.when(TX.any_hit(lowered, als, found), F.lit(s)) for s, als in runs]
+    worded = [F.when(TX.any_hit(lowered, kws, found), F.lit(s)) for s, kws in d.sectors.items()]
     return F.coalesce(*named, *worded)
 
 
@@ -91,10 +91,11 @@ def label_by_rules(events: DataFrame, d: Dictionary | None = None, event_id: str
     """Full rule label of each (title, text) row: a map-only projection."""
     d = d or Dictionary()
     rows = events.withColumn("_all", TX.combined_text(title, text)).withColumn("_low", F.lower("_all"))
-    rows = rows.withColumn("_known", TX.known_words("_low", d.all_keywords()))
-    rows = rows.withColumn("_m", event_type_match("_low", d, "_known"))
+    rows = rows.withColumn("_words", TX.known_words("_low", d.all_keywords()))
+    rows = rows.withColumn("_found", TX.found_keywords("_low", d.all_keywords(), "_words"))
+    rows = rows.withColumn("_m", event_type_match("_low", d, "_found"))
     typed, n = F.col("_m").isNotNull(), F.col("_m.n")
-    severity = F.when(~typed, F.lit(1)).otherwise(F.coalesce(severity_match("_low", d, "_known"), F.lit(2)))
+    severity = F.when(~typed, F.lit(1)).otherwise(F.coalesce(severity_match("_low", d, "_found"), F.lit(2)))
     rows = rows.withColumn("_sev", severity)
     reasoning = (F.when(F.col("_all") == "", "no title/text available for keyword matching")
                  .when(~typed, "no event-type keyword matched title/text")
@@ -107,9 +108,9 @@ def label_by_rules(events: DataFrame, d: Dictionary | None = None, event_id: str
         X.severity_midpoint("_sev").alias("severity_score"),
         F.when(typed, rule_confidence(n)).otherwise(F.lit(0.0)).alias("confidence"),
         F.lit(None).cast("double").alias("polarity"),
-        match_countries("_all", "_low", d, "_known").alias("countries"),
-        match_sector("_low", d, "_known").alias("sector"),
-        match_companies("_low", d, "_known").alias("companies"),
+        match_countries("_all", "_low", d, "_found").alias("countries"),
+        match_sector("_low", d, "_found").alias("sector"),
+        match_companies("_low", d, "_found").alias("companies"),
         reasoning.alias("reasoning"),
         F.lit(version).alias("labeler_version"))
 
@@ -155,11 +156,12 @@ def screen_headlines(rows: DataFrame, title: str = "title", confirm: list[str] |
                      reject: list[str] | None = None, out: str = "screen") -> DataFrame:
     """Adds confirm / reject / uncertain: a hit in one list only decides."""
     confirm, reject = confirm or headline_tension_words(), reject or dims.HEADLINE_REJECT
-    rows = rows.withColumn("_low", F.lower(title)).withColumn("_known", TX.known_words("_low", [*confirm, *reject]))
-    rows = rows.withColumn("_geo", TX.any_hit("_low", confirm, "_known")).withColumn("_rej", TX.any_hit("_low", reject, "_known"))
+    rows = rows.withColumn("_low", F.lower(title)).withColumn("_words", TX.known_words("_low", [*confirm, *reject]))
+    rows = rows.withColumn("_found", TX.found_keywords("_low", [*confirm, *reject], "_words"))
+    rows = rows.withColumn("_geo", TX.any_hit("_low", confirm, "_found")).withColumn("_rej", TX.any_hit("_low", reject, "_found"))
     geo, rej = F.col("_geo"), F.col("_rej")
     return (rows.withColumn(out, F.when(geo & ~rej, "confirm").when(rej & ~geo, "reject").otherwise("uncertain"))
-            .drop("_low", "_known", "_geo", "_rej"))
+            .drop("_low", "_words", "_found", "_geo", "_rej"))
 
 
 def fold_verdicts(answers: DataFrame, event_id: str = "event_id", answer: str = "answer",

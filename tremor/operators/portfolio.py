@@ -109,9 +109,9 @@ def hit_rate(table: DataFrame) -> DataFrame:
 def fold_summary(risk_rows: DataFrame, base: str, by: list[str] = ()) -> DataFrame:
     """Per ``by`` and variant over folds (a handful of rows): Sharpe mean,
     median, std, and the share of folds in which it beats ``base``."""
-    keys = [*by, "fold_id"]
-    b = risk_rows.where(F.col("variant") == base).select(*keys, F.col("sharpe").alias("base_sharpe"))
-    j = risk_rows.join(b, keys, "left")
+    # A window, not a self-join: summed twice, a Sharpe ratio may differ from itself.
+    fold = Window.partitionBy(*by, "fold_id")  # one row per variant
+    j = risk_rows.withColumn("base_sharpe", F.max(F.when(F.col("variant") == base, F.col("sharpe"))).over(fold))
     return j.groupBy(*by, "variant").agg(
         F.count("*").alias("n_folds"), F.avg("sharpe").alias("mean_sharpe"), F.median("sharpe").alias("median_sharpe"),
         F.stddev_samp("sharpe").alias("std_sharpe"),

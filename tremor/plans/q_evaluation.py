@@ -406,7 +406,7 @@ FSUM = {**RNK, "fw": "SELECT *, CAST(year(date) AS INTEGER) AS fold_id FROM day0
         "fr": "SELECT sector, variant, fold_id, avg(ret) / stddev_samp(ret) * sqrt(252e0) AS sharpe FROM fw GROUP BY ALL"}
 
 
-@query("B8_fold_summary", "SELECT sector, variant, count(*) AS n_folds, round(avg(sharpe), 6) AS mean_sharpe, round(median(sharpe), 6) AS median_sharpe, round(stddev_samp(sharpe), 6) AS std_sharpe, round(avg(CAST(sharpe > b AS DOUBLE)), 6) AS hit_rate FROM fr LEFT JOIN (SELECT sector, fold_id, sharpe AS b FROM fr WHERE variant = 'baseline') USING (sector, fold_id) GROUP BY sector, variant", **FSUM)
+@query("B8_fold_summary", "SELECT sector, variant, count(*) AS n_folds, round(avg(sharpe), 6) AS mean_sharpe, round(median(sharpe), 6) AS median_sharpe, round(stddev_samp(sharpe), 6) AS std_sharpe, round(avg(CAST(sharpe > b AS DOUBLE)), 6) AS hit_rate FROM (SELECT *, max(sharpe) FILTER (variant = 'baseline') OVER (PARTITION BY sector, fold_id) AS b FROM fr) GROUP BY sector, variant", **FSUM)
 def b8(f):
     d = PF.daily_returns(net(f), BOOK).withColumn("fold_id", F.year("date"))
     by = [*BOOK, "fold_id"]

@@ -218,7 +218,8 @@ TEXT = {"dlow": "SELECT *, lower(alltext) AS low FROM doc", "dcnt": f"SELECT *,
 
 def _low(f):
     d = f.docs.withColumn("all", TX.combined_text("title", "text")).withColumn("low", F.lower("all"))
-    return d.withColumn("known", TX.known_words("low", D.all_keywords()))
+    d = d.withColumn("words", TX.known_words("low", D.all_keywords()))
+    return d.withColumn("known", TX.found_keywords("low", D.all_keywords(), "words"))
 
 
 @query("T2_event_type", f"SELECT id, {_TYPE} AS event_type, {_BEST} AS n_hits FROM dcnt", **TEXT)
