@@ -220,6 +220,18 @@ def test_extraction_leaves_only_the_article(spark):
     assert {r.text for r in rows} == {want} and {r.n_chars for r in rows} == {len(want)}
 
 
+@pytest.mark.parametrize("page, want", [
+    ("<body><div class='site-header'>Site</div><div id='main'><div class='entry-header'><h1>T</h1></div><p>one two three four</p></div><ol class='commentlist'><li>no</ol></body>", "T one two three four"),
+    ("<main><article><p>one two three four five</p></article><article class='comment'><p>no no no</p></article></main>", "one two three four five"),
+    ("<body><p>one <a href=x>linked</a> two</p><p style='display: none'>no</p><p hidden>no</p><ins class=adsbygoogle>no</ins></body>", "one linked two"),
+    ("<div role=navigation>no</div><div role=main><p>yes it is</p></div><div role=contentinfo>no</div>", "yes it is"),
+    ("<article>a<span>b</span><b>c</b> d<br>e<table><tr><td>1<td>2</table></article><![CDATA[no]]>", "abc d e 1 2"),
+    ("<p>1 &lt; 2 &amp;&nbsp;3<p>4<script>no<p>no</script><!-- no --><p>5", "1 < 2 & 3 4 5"),
+])
+def test_layouts(page, want):
+    assert html_consensus.extract(page, [html_consensus.vote(page)[0]]) == want
+
+
 def test_the_host_decides_for_an_odd_page(spark):
     """A page whose sidebar is larger than its article follows its host."""
     even = '<div class="main-col">{}</div><div class="extra">{}</div>'

@@ -38,7 +38,8 @@ _TOKEN = re.compile(
     r"|<(?P<end>/?)(?P<name>[a-zA-Z][\w:-]*)(?P<attrs>(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>"
     r"|<(?P<end2>/?)(?P<name2>[a-zA-Z][\w:-]*)(?P<attrs2>[^>]*)>"
     r"|<[!?][^>]*>|</[^>]*>", re.S)
-_ATTR = re.compile(r"(?i)(?<![\w-])(class|id|role|hidden|itemprop|aria-hidden)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?")
+_ATTR = re.compile(r"(?i)(?<![\w-])(class|id|role|hidden|itemprop|style|aria-hidden)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?")
+_NOT_SHOWN = re.compile(r"(?i)display\s*:\s*none|visibility\s*:\s*hidden")
 _WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark nobr q s samp small span strike strong sub sup time tt u var wbr".split())
@@ -52,9 +53,13 @@ CLOSES = {"li": ("li", ("ul", "ol")), "dt": ("dt dd", ("dl",)), "dd": ("dt dd",
 #: words in a class, id or role that mark what is not the article
 OUTSIDE_WORDS = frozenset(
     "ad ads advert advertisement adverts advertising banner breadcrumb breadcrumbs comment comments consent cookie cookies disqus footer "
-    "foot gdpr header masthead menu modal nav navbar navigation newsletter notice notices pagination pager popup promo promoted promotion "
+    "foot gdpr masthead menu modal nav navbar navigation newsletter notice notices pagination pager popup promo promoted promotion "
     "recommended related respond share sharing sidebar signup skip social sponsor sponsored subscribe subscription teaser teasers toolbar "
     "widget widgets complementary contentinfo search login disclaimer alert toc replies reply discussion".split())
+#: beginnings that mark it in run-together names (commentlist, adsbygoogle)
+OUTSIDE_STARTS = ("comment", "sidebar", "advert", "adsby", "newsletter", "breadcrumb", "navig", "cookie", "sponsor", "subscri", "footer", "topbar", "menubar")
+#: what marks even an article element as not the page's own
+OUTSIDE_ARTICLE = frozenset("comment comments reply replies teaser teasers related recommended promo promoted sponsored ad ads advert".split())
 #: words that mark the article itself
 INSIDE_WORDS = frozenset("article articlebody body content entry main post story text".split())
 
@@ -79,6 +84,8 @@ def _classes(attrs: str) -> tuple[frozenset, str, bool]:
         name, value = m.group(1).lower(), (m.group(2) or "").strip("\"'")
         if name == "hidden" or name == "aria-hidden" and value == "true":
             hidden = True
+        elif name == "style":
+            hidden = hidden or bool(_NOT_SHOWN.search(value))
         elif name != "aria-hidden":
             words.update(w.lower() for w in _WORDS.findall(value))
         if name == "class":
@@ -86,6 +93,10 @@ def _classes(attrs: str) -> tuple[frozenset, str, bool]:
     return frozenset(words), ".".join(shown), hidden
 
 
+def _marked(words: frozenset) -> bool:
+    return bool(words & OUTSIDE_WORDS) or any(w.startswith(OUTSIDE_STARTS) for w in words)
+
+
 def parse(html: str) -> list[Node]:
     """A page's elements; open ends, stray tags and bad markup are borne."""
     nodes = [Node("", -1, frozenset(), False, "")]
@@ -139,8 +150,11 @@ def parse(html: str) -> list[Node]:
                 words, shown, hidden = _classes(attrs)
                 inside_article = any(nodes[i].tag in ("article", "main") for i in open_)
                 outside = hidden or name in OUTSIDE or name == "header" and not inside_article
-                if not outside and name not in ("html", "body", "article", "main"):
-                    outside = bool(words & OUTSIDE_WORDS) and not words & {"article", "articlebody"}
+                if not outside and name in ("article", "main"):
+                    outside = name == "article" and bool(words & OUTSIDE_ARTICLE)
+                elif not outside and name not in ("html", "body"):
+                    outside = _marked(words) and not words & {"article", "articlebody"}
+                    outside = outside or "header" in words and not inside_article and not words & INSIDE_WORDS
                 path = nodes[up].path if name in INLINE or name in ("html", "p") else f"{nodes[up].path}/{name}" + (f".{shown}" if shown and name != "body" else "")
                 nodes.append(Node(name, up, words, outside, path))
                 nodes[up].parts.append(len(nodes) - 1)
