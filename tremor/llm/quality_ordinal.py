@@ -5,9 +5,9 @@ shared by all grades; ordered thresholds cut its score:
 P(grade <= k) = sigmoid(threshold_k - w.x).  The expected grade and the tail
 probability P(grade >= ``tail``) select documents.
 
-Features: the distinct letter runs and symbol runs of the lower-cased text,
-hashed, plus a few marks of form (repetition, capitals, length), each with
-value 1.  No feature looks at the id or the source.
+Features: the distinct letter runs and symbol runs of the lower-cased text and
+the beginnings of longer runs (inflected forms share them), hashed, plus a few
+marks of form (repetition, capitals, length), each with value 1.  No feature looks at the id or the source.
 
 Weights go only to slots whose presence in the rated sample departs from
 chance (``Fit.least_z`` standard deviations at some cut of the grades, seen
@@ -39,6 +39,8 @@ from pyspark.sql import functions as F
 from tremor.llm.common import bounded_sample, id_text, map_batches
 
 BITS = 18
+STEM = 4
+LEAST_TAIL = 0.6
 GRADES = 3
 _RUNS = re.compile(r"[^\W_]+|[^\w\s]+").findall
 _MEMO_ROWS = 400_000
@@ -65,7 +67,7 @@ def tokens(text: str | None) -> set[str]:
     capitals = 8 * sum(map(str.isupper, words)) // len(words) if words else 0
     marks = {f"\0new{10 * len(kinds) // n if n else -1}" if n < 200 else f"\0New{20 * len(kinds) // n}",
              f"\0size{n.bit_length()}", f"\0caps{capitals}"}
-    return kinds | marks
+    return kinds | {f"\1{w[:STEM]}" for w in kinds if len(w) > STEM} | marks
 
 
 def _slot(token: str) -> int:
@@ -191,7 +193,7 @@ class Scorer:
         return self.model.tails(total)
 
 
-def classify(docs: DataFrame, model: Ordinal, tail: int = GRADES - 1, least: float = 0.5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def classify(docs: DataFrame, model: Ordinal, tail: int = GRADES - 1, least: float = LEAST_TAIL, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, expected_grade, tail_probability, kept), one row per document."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
     scorers: list[Scorer] = []
@@ -206,7 +208,7 @@ def classify(docs: DataFrame, model: Ordinal, tail: int = GRADES - 1, least: flo
     return map_batches(id_text(docs, id_col, text_col), judge, "doc_id bigint,expected_grade double,tail_probability double,kept boolean")
 
 
-def rate_documents(docs: DataFrame, labels: DataFrame, settings: Fit = Fit(), tail: int = GRADES - 1, least: float = 0.5) -> DataFrame:
+def rate_documents(docs: DataFrame, labels: DataFrame, settings: Fit = Fit(), tail: int = GRADES - 1, least: float = LEAST_TAIL) -> DataFrame:
     """Fits on the labels and scores every document."""
     ratings = labels.select(F.col("doc_id").cast("long").alias("doc_id"), graded(labels).alias("grade")).filter("doc_id is not null and grade is not null")
     return classify(docs, fit(id_text(docs), ratings, settings), tail, least)
