@@ -78,3 +78,44 @@ def test_features_and_forecast(spark, world, tmp_path):
         jobs.forecast(store, lookback=10)
         p = store.predictions.read()
         assert p.count() == 2 * n["test"] and p.where("predicted is null").count() == 0
+
+
+def test_multi_step_chain(spark, tmp_path):
+    """Folds, calibration, coverage and stored price paths."""
+    import math
+
+    from tremor.operators import features as FE
+    from tremor.operators import views as V
+
+    store = jobs.Store(spark, str(tmp_path))
+    d0 = dt.date(2022, 1, 3)
+    feed = [(t, d0 + dt.timedelta(days=i), *[50 + 5 * math.sin(i / 3 + k) + (i * 7919 % 13) / 10] * 5, 100, i) for k, t in enumerate(("A", "B")) for i in range(260)]
+    feed.append(("A", d0, 1.0, 2.0, 3.0, 1.0, 1.0, 100, -1))
+    bars = spark.createDataFrame(feed, "ticker string, date date, open double, high double, low double, close double, adj_close double, volume long, pos int")
+    assert [tuple(r) for r in jobs.ingest_bars(store, bars, ["pos"]).collect()] == [("A", "inconsistent range", 1)]
+    sc = [(t, d0 + dt.timedelta(days=i), i / 400, None, 0.0, 0) for t in ("A", "B") for i in range(260)]
+    store.scores.insert_or_replace(spark.createDataFrame(sc, S.DAILY_SCORES))
+    jobs.build_features(store)
+    bounds = jobs.walk_forward(store, n_folds=2, test_days=30)
+    assert bounds.count() == 2 * 2 * 3 and FE.fold_violations(bounds.where("ticker = 'A'")).count() == 0
+    projected = spark.createDataFrame([("A", d0 + dt.timedelta(days=259), d0 + dt.timedelta(days=260), 0.5)], "ticker string, as_of date, target date, score double")
+    jobs.calibrate_and_forecast(store, projected, lookback=10, horizon=5, n_samples=10)
+    cal = store.calibration.read().collect()
+    assert len(cal) == 2 * 5 and all(r["q_hat"] < float("inf") and r["calibrated_pct"] >= 50 for r in cal)
+    fc = store.forecasts.read()
+    assert fc.count() == 2 * 2 * 5
+    rows = V.latest_vintage(fc).where("ticker = 'A' and variant = 'with_score'").orderBy("horizon_step").collect()
+    assert [r["horizon_step"] for r in rows] == [1, 2, 3, 4, 5] and all(r["target_date"].weekday() < 5 for r in rows)
+    close = store.bars.read().where("ticker = 'A'").orderBy(F.col("date").desc()).first()["adj_close"]
+    price = close
+    for r in rows:
+        price *= 1 + r["point_return"]
+        assert r["point_price"] == pytest.approx(price) and r["lo_price"] < r["point_price"] < r["hi_price"]
+
+
+def test_one_labeller_failing_does_not_stop_the_others(spark, tmp_path):
+    store = jobs.Store(spark, str(tmp_path))
+    rows = raw(spark, [("n1", "rss", T0, "Earthquake", "", "http://a/1", None), ("c1", "gdelt", T0, None, None, "http://b/1", '{"QuadClass": 4, "GoldsteinScale": -8.0, "NumMentions": 1}')])
+    jobs.ingest(store, {"all": rows})
+    out = jobs.label(store, dictionary=object())  # no word lists at all
+    assert out["rss"]["error"] and out["gdelt"]["error"] is None and out["gdelt"]["inserted"] == 1

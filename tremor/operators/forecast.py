@@ -11,6 +11,8 @@ from pyspark.ml.regression import LinearRegression
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tremor.operators import features as FE
+
 
 def flat_windows(windows: DataFrame, cols: Sequence[str]) -> DataFrame:
     """Window structs flattened to one dense vector."""
@@ -50,3 +52,67 @@ def bootstrap_paths(steps: DataFrame, residuals: DataFrame, n_samples: int = 50,
     pick = F.conv(F.substring(key, 1, 15), 16, 10).cast("bigint") % F.col("n") + 1
     return (draws.withColumn("i", pick).join(pool, ["ticker", "i"])
             .select("ticker", "window_id", "step", "sample_id", (F.col("predicted") + F.col("residual")).alias("value")))
+
+
+# -- paths of several steps ---------------------------------------------------
+def sequence_steps(rows: DataFrame, cols: Sequence[str], lookback: int = FE.LOOKBACK, horizon: int = FE.HORIZON,
+                   projected: DataFrame | None = None) -> DataFrame:
+    """Rows (ticker, label_start, split, feature_end, x, step, target, y,
+    projected_score): every label path of ``horizon`` steps with the feature
+    matrix of the ``lookback`` rows before it.
+
+    ``projected``: (ticker, as_of, target, score), scores of future days from
+    what was known at ``as_of``; joined at as_of = feature_end, so no step sees
+    a later event.  Without it, or without a row, the projected score is 0.
+    """
+    x = FE.lookback_windows(rows, cols, lookback).select("ticker", F.col("label_date").alias("label_start"), "x")
+    steps = FE.path_steps(FE.path_windows(rows, lookback, horizon)).join(x, ["ticker", "label_start"])
+    return _with_projection(steps, projected)
+
+
+def future_steps(rows: DataFrame, cols: Sequence[str], lookback: int = FE.LOOKBACK, horizon: int = FE.HORIZON,
+                 projected: DataFrame | None = None) -> DataFrame:
+    """The same rows for the path after each ticker's last day (no y): targets
+    are the next weekdays."""
+    w = FE.by_ticker()
+    last = rows.withColumn("_after", F.lead("date").over(w)).withColumn(
+        "x", F.collect_list(F.struct(*[F.col(c) for c in cols])).over(w.rowsBetween(1 - lookback, 0)))
+    last = last.where(F.col("_after").isNull() & (F.size("x") == lookback))
+    days = F.filter(F.sequence(F.date_add("date", 1), F.date_add("date", 2 * horizon + 4)), lambda d: F.weekday(d) < 5)
+    steps = last.select("ticker", F.col("date").alias("feature_end"), F.col("adj_close").alias("close"), "x",
+                        F.posexplode(F.slice(days, 1, horizon)).alias("i", "target")).withColumn("step", F.col("i") + 1).drop("i")
+    return _with_projection(steps, projected)
+
+
+def _with_projection(steps: DataFrame, projected: DataFrame | None) -> DataFrame:
+    if projected is None:
+        return steps.withColumn("projected_score", F.lit(0.0))
+    p = projected.select("ticker", F.col("as_of").alias("feature_end"), "target", F.col("score").alias("projected_score"))
+    return steps.join(p, ["ticker", "feature_end", "target"], "left").na.fill(0.0, ["projected_score"])
+
+
+def fit_steps(steps: DataFrame, cols: Sequence[str], reg: float = 0.01) -> Transformer:
+    """One pooled ridge model of all tickers and steps on the train paths."""
+    train = flat_windows(steps, cols).where("split = 'train'")
+    return Pipeline(stages=[
+        StringIndexer(inputCol="ticker", outputCol="_t", handleInvalid="keep", stringOrderType="alphabetAsc"),
+        OneHotEncoder(inputCols=["_t", "step"], outputCols=["_tv", "_sv"], handleInvalid="keep"),
+        VectorAssembler(inputCols=["xv", "_tv", "_sv", "projected_score"], outputCol="_x"),
+        LinearRegression(featuresCol="_x", labelCol="y", regParam=reg, solver="normal"),
+    ]).fit(train)
+
+
+def predict_steps(model: Transformer, steps: DataFrame, cols: Sequence[str]) -> DataFrame:
+    keep = [c for c in steps.columns if c != "x"]
+    return model.transform(flat_windows(steps, cols)).select(*keep, F.col("prediction").alias("predicted"))
+
+
+def price_paths(steps: DataFrame, lo: str = "lo", hi: str = "hi") -> DataFrame:
+    """Return paths as price paths: the close compounded with the predicted
+    returns up to each step; the band replaces the step's own return.
+    A path is ``horizon`` rows, so its window is short."""
+    path = Window.partitionBy("ticker", "feature_end").orderBy("step")
+    before = F.coalesce(F.product(1 + F.col("predicted")).over(path.rowsBetween(Window.unboundedPreceding, -1)), F.lit(1.0))
+    base = F.col("close") * before
+    return (steps.withColumn("point_price", base * (1 + F.col("predicted"))).withColumn("lo_price", base * (1 + F.col(lo)))
+            .withColumn("hi_price", base * (1 + F.col(hi))))

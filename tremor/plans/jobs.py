@@ -18,12 +18,14 @@ from pyspark.sql import types as T
 from tremor import dims
 from tremor import schemas as S
 from tremor.functions import exprs as X
+from tremor.operators import evaluate as EV
 from tremor.operators import features as FE
 from tremor.operators import forecast as FC
 from tremor.operators import graph as G
 from tremor.operators import labels as L
 from tremor.operators import scoring as SC
 from tremor.session import materialize
+from tremor.sources import bars as BR
 from tremor.sources.store import Table, ingest_all
 
 _ARRAY = T.ArrayType(T.StringType())
@@ -52,6 +54,19 @@ PREDICTIONS = T.StructType([
 BUCKETS = 32
 
 
+SPLIT_BOUNDS = T.StructType([
+    T.StructField("fold_id", T.IntegerType()), T.StructField("ticker", T.StringType()), T.StructField("split", T.StringType()),
+    T.StructField("start_date", T.DateType()), T.StructField("end_date", T.DateType()), T.StructField("n_label_days", T.LongType())])
+CALIBRATION = T.StructType([
+    T.StructField("variant", T.StringType()), T.StructField("step", T.IntegerType()), T.StructField("n_cal", T.LongType()),
+    T.StructField("q_hat", T.DoubleType()), T.StructField("raw_pct", T.DoubleType()), T.StructField("calibrated_pct", T.DoubleType())])
+FORECAST = T.StructType([
+    T.StructField("ticker", T.StringType()), T.StructField("variant", T.StringType()), T.StructField("as_of_date", T.DateType()),
+    T.StructField("horizon_step", T.IntegerType()), T.StructField("target_date", T.DateType()), T.StructField("point_return", T.DoubleType()),
+    T.StructField("lo_return", T.DoubleType()), T.StructField("hi_return", T.DoubleType()), T.StructField("point_price", T.DoubleType()),
+    T.StructField("lo_price", T.DoubleType()), T.StructField("hi_price", T.DoubleType())])
+
+
 @dataclass
 class Graph:
     """Edges, nodes and activation; the built-in dimensions by default."""
@@ -90,6 +105,9 @@ class Store:
         self.attribution = table("attribution_daily", ATTRIBUTION, ["ticker", "date", "rank"], ["date"])
         self.catalog = table("event_catalog", CATALOG, ["event_id", "label_source"], ["published_date"])
         self.features = table("features_daily", FEATURES, ["ticker", "date"], ["date"])
+        self.bounds = table("walk_forward_bounds", SPLIT_BOUNDS, ["fold_id", "ticker", "split"], ["fold_id"])
+        self.calibration = table("calibration", CALIBRATION, ["variant", "step"], ["variant"])
+        self.forecasts = table("forecasts", FORECAST, ["ticker", "variant", "as_of_date", "horizon_step"], ["as_of_date"])
         self.predictions = table("predictions", PREDICTIONS, ["ticker", "variant", "label_date"], ["variant", "label_date"])
 
 
@@ -98,20 +116,35 @@ def ingest(store: Store, sources: dict[str, DataFrame]) -> list[dict]:
     return ingest_all(store.raw_events, sources, ["published_at", "ingested_at", "source"])
 
 
+def ingest_bars(store: Store, feed: DataFrame, order_by: Sequence[str]) -> DataFrame:
+    """The first valid bar of each (ticker, day) is inserted; rejected rows
+    come back as (ticker, problem, count)."""
+    good, rejected = BR.scan_bars(feed, list(order_by))
+    store.bars.insert_or_ignore(good, ["volume"])
+    return rejected
+
+
 def label(store: Store, dictionary: L.Dictionary | None = None, text_sources: Sequence[str] = ("rss", "newsapi"),
           coded_source: str = "gdelt") -> dict[str, dict]:
-    """Labels every row no labeller of its kind has labelled or checked."""
+    """Labels every row no labeller of its kind has labelled or checked.  Each
+    labeller runs on its own: one that fails reports its whole error."""
     raw, done, checked = store.raw_events.read(), store.labels.read(), store.ledger.read()
-    out = {}
-    for s in text_sources:
-        rows = L.unlabelled(raw, done, s, dims.RULE_SOURCE, checked)
-        out[s] = store.labels.insert_or_ignore(L.label_by_rules(rows, dictionary), ["labeler_version"])
-    rows = L.unlabelled(raw, done, coded_source, dims.CODED_SOURCE, checked)
-    rows = rows.withColumn("m", F.from_json("raw_metadata", S.CODED_METADATA))
-    m = lambda c: F.col(f"m.{c}")
-    coded = L.label_coded(rows, F.col("id"), m("QuadClass"), m("GoldsteinScale"), m("NumMentions"),
-                          X.coded_countries(m("Actor1CountryCode"), m("Actor2CountryCode"), m("ActionGeo_CountryCode")))
-    out[coded_source] = store.labels.insert_or_ignore(coded, ["labeler_version"])
+
+    def by_rules(source: str) -> DataFrame:
+        return L.label_by_rules(L.unlabelled(raw, done, source, dims.RULE_SOURCE, checked), dictionary)
+
+    def by_codes(source: str) -> DataFrame:
+        rows = L.unlabelled(raw, done, source, dims.CODED_SOURCE, checked).withColumn("m", F.from_json("raw_metadata", S.CODED_METADATA))
+        m = lambda c: F.col(f"m.{c}")
+        return L.label_coded(rows, F.col("id"), m("QuadClass"), m("GoldsteinScale"), m("NumMentions"),
+                             X.coded_countries(m("Actor1CountryCode"), m("Actor2CountryCode"), m("ActionGeo_CountryCode")))
+
+    out: dict[str, dict] = {}
+    for source, labeller in [*[(t, by_rules) for t in text_sources], (coded_source, by_codes)]:
+        try:
+            out[source] = {**store.labels.insert_or_ignore(labeller(source), ["labeler_version"]), "error": None}
+        except Exception as exc:  # one bad labeller must not stop the others
+            out[source] = {"attempted": 0, "inserted": 0, "deduplicated": 0, "error": str(exc)}
     return out
 
 
@@ -170,3 +203,66 @@ def forecast(store: Store, lookback: int = FE.LOOKBACK) -> None:
         pred = FC.predict(model, windows.where("split = 'test'"), xs)
         store.predictions.insert_or_replace(
             pred.select("ticker", F.lit(variant).alias("variant"), F.col("y").alias("actual"), "predicted", "split", "label_date"))
+
+
+def walk_forward(store: Store, n_folds: int = 4, test_days: int = 50) -> DataFrame:
+    """Expanding folds over the shared usable days, stored per ticker."""
+    features = store.features.read()
+    first = features.agg(F.min("date").alias("first_date"))
+    usable = features.where(F.col("rn") > FE.LOOKBACK).select("date")
+    folds = FE.walk_forward_folds(usable, first, n_folds, test_days)
+    store.bounds.insert_or_replace(FE.fold_bounds(folds, features.select("ticker")).select(*SPLIT_BOUNDS.fieldNames()))
+    return store.bounds.read()
+
+
+def calibrate_and_forecast(store: Store, projected: DataFrame | None = None, lookback: int = FE.LOOKBACK, horizon: int = FE.HORIZON,
+                           n_samples: int = 50) -> None:
+    """Multi-step chain: per stored fold a model on its train paths, sample
+    paths and bands on its test paths; conformal widths from all folds but the
+    last, coverage on the last; then the stored forecast of each ticker's next
+    ``horizon`` days with calibrated bands.
+
+    The loops run over folds and variants (a handful), each turn one set of
+    Spark jobs.
+    """
+    features = store.features.read()
+    rows = FE.derived_ratios(features)
+    bounds = store.bounds.read()
+    folds = sorted(r["fold_id"] for r in bounds.select("fold_id").distinct().collect())
+    keys = ["ticker", "window_id", "step"]
+    for variant, cols in FE.VARIANTS.items():
+        xs = [c if c in FE.UNSCALED else f"{c}_z" for c in cols]
+        scored = None
+        for fold in folds:
+            own = FE.split_by_bounds(rows.drop("split"), bounds.where(F.col("fold_id") == fold).drop("n_label_days"))
+            own = own.select(*[c for c in rows.columns if c != "split"], "split")
+            own = FE.apply_standard(own, FE.fit_standard(own, FE.BASE_COLS), FE.BASE_COLS)
+            steps = materialize(FC.sequence_steps(own, xs, lookback, horizon, projected), "sequence-steps")
+            model = FC.fit_steps(steps, xs)
+            pred = materialize(FC.predict_steps(model, steps, xs).withColumn("window_id", F.unix_date("label_start").cast("bigint")), "step-predictions")
+            # residuals of the first step on train: one per day, as the draw needs
+            residuals = pred.where("split = 'train' and step = 1").select("ticker", F.col("target").alias("date"), (F.col("y") - F.col("predicted")).alias("residual"))
+            test = pred.where("split = 'test'")
+            bands = EV.band_quantiles(FC.bootstrap_paths(test, residuals, n_samples), keys)
+            s = EV.nonconformity(bands, test.select(*keys, F.col("y").alias("actual")), keys).withColumn("fold_id", F.lit(fold))
+            scored = s if scored is None else scored.unionByName(s)
+        scored = materialize(scored, "nonconformity")
+        calibration = EV.fit_calibration(scored.where(F.col("fold_id") < folds[-1]), ["step"])
+        held = EV.apply_calibration(scored.where(F.col("fold_id") == folds[-1]), calibration, ["step"])
+        table = calibration.join(EV.coverage(held, ["step"]).drop("n"), "step", "left").withColumn("variant", F.lit(variant))
+        store.calibration.insert_or_replace(table.select(*[F.col(c).cast(CALIBRATION[c].dataType) for c in CALIBRATION.fieldNames()]))
+
+        full = materialize(FE.apply_standard(rows, FE.fit_standard(rows, FE.BASE_COLS), FE.BASE_COLS), "scaled")
+        steps = materialize(FC.sequence_steps(full, xs, lookback, horizon, projected), "sequence-steps")
+        model = FC.fit_steps(steps, xs)
+        past = FC.predict_steps(model, steps.where("split = 'train' and step = 1"), xs)
+        residuals = past.select("ticker", F.col("target").alias("date"), (F.col("y") - F.col("predicted")).alias("residual"))
+        ahead = materialize(FC.predict_steps(model, FC.future_steps(full, xs, lookback, horizon, projected), xs)
+                            .withColumn("window_id", F.lit(0).cast("bigint")), "future-steps")
+        bands = EV.band_quantiles(FC.bootstrap_paths(ahead, residuals, n_samples), keys)
+        wide = EV.apply_calibration(ahead.join(bands, keys), calibration, ["step"])
+        priced = FC.price_paths(wide, "lo_cal", "hi_cal")
+        store.forecasts.insert_or_replace(priced.select(
+            "ticker", F.lit(variant).alias("variant"), F.col("feature_end").alias("as_of_date"), F.col("step").cast("int").alias("horizon_step"),
+            F.col("target").alias("target_date"), F.col("predicted").alias("point_return"), F.col("lo_cal").alias("lo_return"),
+            F.col("hi_cal").alias("hi_return"), "point_price", "lo_price", "hi_price"))
