@@ -182,7 +182,9 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     exploded = map_batches(own.withColumn("row", F.monotonically_increasing_id()), explode, _ROWS)
     pair = F.shiftright("packed", LIFT_BITS)
     lift = (F.col("packed").bitwiseAND(F.lit((1 << LIFT_BITS) - 1)) - _ZERO) / F.lit(float(_ONE))
-    elsewhere = F.sum("times").over(Window.partitionBy(pair)) - F.col("times")
+    # dealt before the pair becomes a column of its own, so that it is not shuffled twice over
+    exploded = exploded.repartition(pair).withColumn("pair", pair)
+    elsewhere = F.sum("times").over(Window.partitionBy("pair")) - F.col("times")
     gain = F.when(F.col("elsewhere") > 0, F.col("times") * (F.log("elsewhere") - lift))
     joined = exploded.withColumn("elsewhere", elsewhere).select("row", "doc_id", "n_words", "settled", gain.alias("gain"))
     per_doc = joined.groupBy("row").agg(F.max("doc_id").alias("doc_id"), F.max("n_words").alias("n_words"),

@@ -9,7 +9,7 @@ then path ascending.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tremor.functions import exprs as X
@@ -71,8 +71,10 @@ def corridor_key(corridor: Column | str) -> Column:
 
 
 def ranked_stocks(reach_table: DataFrame) -> DataFrame:
-    """Affected stocks of each (country, event_type), strongest first."""
-    return reach_table.orderBy("country", "event_type", F.col("imp").desc(), "stock")
+    """Affected stocks of each (country, event_type) with their rank, strongest
+    first.  A group is as large as there are stocks."""
+    w = Window.partitionBy("country", "event_type").orderBy(F.col("imp").desc(), "stock")
+    return reach_table.withColumn("rank", F.row_number().over(w).cast("bigint"))
 
 
 def bad_queries(queries: DataFrame, nodes: DataFrame, activation: DataFrame) -> DataFrame:
@@ -134,10 +136,6 @@ def flow_links(path_rows: DataFrame, keep: list[str]) -> DataFrame:
         F.element_at("path", -1).alias("dest"), "weight")
 
 
-def flow_destinations(links: DataFrame) -> DataFrame:
-    return links.groupBy("dest").agg(F.max("weight").alias("weight")).orderBy(F.col("weight").desc(), "dest")
-
-
 def grounding(event_reach: DataFrame, edges: DataFrame, limit: int = 3) -> DataFrame:
     """Per event, the single highest-impact stock and up to ``limit`` distinct
     notes along its path, in path order.

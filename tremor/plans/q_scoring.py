@@ -117,10 +117,7 @@ def g2(f):
 
 @query("G3_ranked_stocks", "SELECT country, event_type, stock, round(imp, 9) AS imp, row_number() OVER (PARTITION BY country, event_type ORDER BY imp DESC, stock) AS rank FROM rch")
 def g3(f):
-    from pyspark.sql import Window
-
-    w = Window.partitionBy("country", "event_type").orderBy(F.col("imp").desc(), "stock")
-    return f.reach.select("country", "event_type", "stock", r9("imp"), F.row_number().over(w).cast("bigint").alias("rank"))
+    return G.ranked_stocks(f.reach).select("country", "event_type", "stock", r9("imp"), "rank")
 
 
 @query("G4_bad_queries", """SELECT DISTINCT CASE WHEN user_id % 25 = 0 THEN 'Atlantis' ELSE actor1 END AS country, CASE WHEN raw_type = 'view' THEN 'gossip' ELSE 'natural_disaster' END AS event_type,
