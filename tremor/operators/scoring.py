@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from tremor import dims
 from tremor.functions import exprs as X
 from tremor.operators import graph as G
+from tremor.session import materialize
 
 CLUSTER_KEY = ["cluster_date", "event_type", "corridor_key"]
 
@@ -58,7 +59,9 @@ def build_clusters(events: DataFrame, country_nodes: Sequence[str],
 def cluster_reach(clusters: DataFrame, reach_table: DataFrame) -> DataFrame:
     """Clusters x the stocks they reach with a non-zero impact."""
     pairs = clusters.select("corridor_key", "corridor", "event_type").dropDuplicates(["corridor_key", "event_type"])
-    cr = G.corridor_reach(pairs, reach_table).where("imp > 0")
+    # Written, so that its measured size decides: it follows the corridors seen,
+    # while the clusters grow with the days.
+    cr = materialize(G.corridor_reach(pairs, reach_table).where("imp > 0"), "corridor-reach")
     return clusters.join(cr.withColumnRenamed("stock", "ticker"), ["corridor_key", "event_type"])
 
 
