@@ -351,6 +351,13 @@ def b2(f):
     return PF.neutrality_violations(weights(f), BY).select("variant", "sector", "date")
 
 
+@query("B2_violations_found", "SELECT variant, sector, date FROM wts GROUP BY variant, sector, date HAVING sum(abs(weight)) > 1e-9", **RNK)
+def b2b(f):
+    """Long-only weights are not neutral and must all be reported."""
+    long_only = weights(f).withColumn("weight", F.abs("weight"))
+    return PF.neutrality_violations(long_only, BY).select("variant", "sector", "date")
+
+
 @query("B3_momentum_control", "SELECT ticker, date, round(coalesce(((n + 1) / 2 - r) / nullif(sum(abs((n + 1) / 2 - r)) OVER (PARTITION BY date), 0), 0e0), 9) AS weight FROM (SELECT ticker, date, row_number() OVER (PARTITION BY date ORDER BY round(sma_short / sma_long - 1, 8) DESC, ticker) AS r, count(*) OVER (PARTITION BY date) AS n FROM ftr)")
 def b3(f):
     s = PF.momentum_signal(f.features).withColumn("momentum", F.round("momentum", 8))

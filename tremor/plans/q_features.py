@@ -176,6 +176,23 @@ def e14(f):
     return FE.path_leaks(FE.path_windows(f.features), FE.split_bounds(f.features))
 
 
+@query("E14_leakage_found", """SELECT p.ticker, p.split, count(*) AS n FROM pw p JOIN bnd b ON b.ticker = p.ticker AND b.split = p.split
+    JOIN (SELECT ticker, max(start_date) FILTER (split = 'val') + 30 AS v30, max(start_date) FILTER (split = 'test') + 30 AS t30 FROM bnd GROUP BY ticker) v ON v.ticker = p.ticker
+    WHERE NOT label_start BETWEEN b.start_date + 30 AND b.end_date OR (p.split = 'train' AND (feature_end >= v30 OR label_end >= v30)) OR (p.split = 'val' AND label_end >= t30)
+    GROUP BY p.ticker, p.split""", **PATHW)
+def e14b(f):
+    """Bounds moved by 30 days must report rows."""
+    moved = FE.split_bounds(f.features).select("ticker", "split", F.date_add("start_date", 30).alias("start_date"), "end_date")
+    return FE.path_leaks(FE.path_windows(f.features), moved).groupBy("ticker", "split").agg(F.count("*").alias("n"))
+
+
+@query("E15_violations_found", "SELECT fold_id FROM (SELECT fold_id, start_date, lag(end_date + 100) OVER (ORDER BY fold_id) AS before FROM fold WHERE split = 'test') WHERE start_date <= before", **FOLDS)
+def e15b(f):
+    """Test slices drawn out by 100 days overlap the next ones."""
+    late = F.when(F.col("split") == "test", F.date_add("end_date", 100)).otherwise(F.col("end_date"))
+    return FE.fold_violations(folds(f).withColumn("end_date", late))
+
+
 @query("E15_fold_violations", "SELECT fold_id FROM fold WHERE false", **FOLDS)
 def e15(f):
     return FE.fold_violations(folds(f))
