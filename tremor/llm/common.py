@@ -15,7 +15,9 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -31,15 +33,28 @@ def id_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
 
 
-def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], dict], schema: str) -> DataFrame:
+SLICE_BYTES = 1 << 20
+
+
+def slices(batch: pa.RecordBatch, text: int) -> Iterator[pa.RecordBatch]:
+    """Parts of a batch with about ``SLICE_BYTES`` of the text column each."""
+    upto = np.cumsum(pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False))
+    cuts = np.flatnonzero(np.diff(upto // SLICE_BYTES)) + 1
+    for s, e in zip([0, *cuts.tolist()], [*cuts.tolist(), batch.num_rows]):
+        yield batch.slice(s, e - s)
+
+
+def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], dict], schema: str, slice_on: int | None = None) -> DataFrame:
     """``fn`` turns a record batch into columns; each task streams its batches,
-    so memory follows the batch and not the partition."""
+    so memory follows the batch and not the partition.  Where many rows come
+    of one, ``slice_on`` names the text column by which batches are cut."""
     arrow = schema_of(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if b.num_rows:
-                yield pa.RecordBatch.from_pydict(fn(b), schema=arrow)
+                for part in [b] if slice_on is None else slices(b, slice_on):
+                    yield pa.RecordBatch.from_pydict(fn(part), schema=arrow)
 
     return df.mapInArrow(run, schema)
 

@@ -64,7 +64,7 @@ def hot_pairs(docs: DataFrame) -> np.ndarray:
     def own(batch):
         return {"pair": np.concatenate([np.unique(pairs(classes(t))) for t in batch.column(1).to_pylist()])}
 
-    seen = map_batches(sample, own, "pair bigint").groupBy("pair").count()
+    seen = map_batches(sample, own, "pair bigint", slice_on=1).groupBy("pair").count()
     least = max(2, int(HOT_SHARE * sample.count()))
     return np.sort(seen.filter(F.col("count") >= least).select("pair").toArrow()["pair"].to_numpy()).astype(np.int64)
 
@@ -179,7 +179,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
                 "n_words": at_head(np.array([o[0] for o in out], np.int64), pa.int64()),
                 "settled": at_head(np.array([o[1] for o in out], np.float64), pa.float64())}
 
-    exploded = map_batches(own.withColumn("row", F.monotonically_increasing_id()), explode, _ROWS)
+    exploded = map_batches(own.withColumn("row", F.monotonically_increasing_id()), explode, _ROWS, slice_on=1)
     pair = F.shiftright("packed", LIFT_BITS)
     lift = (F.col("packed").bitwiseAND(F.lit((1 << LIFT_BITS) - 1)) - _ZERO) / F.lit(float(_ONE))
     # dealt before the pair becomes a column of its own, so that it is not shuffled twice over
