@@ -148,6 +148,8 @@ def _features(text: str, atoms: list[tuple[int, int]], i: int, j: int, before: s
     left, right = text[start - 1:start], text[end:end + 1]
     kind = lambda c: "^" if not c else "_" if c.isspace() else "a" if c.isalpha() else "d" if c.isdigit() else c
     out = ["bias", f"digits{_bucket(digits)}", f"length{_bucket(len(span))}", f"left{kind(left)}", f"right{kind(right)}", f"mix{'a' in shape}{'@' in span}"]
+    if 13 <= digits <= 19:
+        out.append(f"checksum{luhn(''.join(c for c in span if c.isdecimal()))}")
     out.append(f"shape{shape}" if len(shape) <= 16 else f"runs{_bucket(len(shape))}{set(span) <= set('0123456789abcdefABCDEF')}")
     if i == 0 or before:
         out.append(f"before{before}")
