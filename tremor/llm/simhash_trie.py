@@ -293,23 +293,26 @@ def simhash_classes(docs: DataFrame, shingle: int = 3, budget: int = 2, id_col:
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def drop_near_duplicates(docs: DataFrame, shingle: int = 3, budget: int = 2, id_col: str = "doc_id",
-                         text_col: str = "text") -> DataFrame:
-    """One document of each component, every column kept: the smallest id
-    (nulls last), then the smallest hash of the whole row.  Rows that are equal
-    in every column count as one document."""
-    mark_o, mark_t = fresh(docs, "row_order"), fresh(docs, "row_tie")
+def _order_and_tie(docs: DataFrame, id_col: str) -> tuple:
     row = F.xxhash64(*[F.coalesce(F.col(quoted(c)).cast("string"), F.lit("\0")) for c in docs.columns])
-    order, tie, fp = F.coalesce(F.col(id_col).cast("long"), F.lit((1 << 63) - 1)), "tie", "fp"
-    narrow = docs.select(order.alias("order"), row.alias(tie), F.col(text_col).cast("string").alias("text"))
-    prints = materialize(map_batches(
-        narrow, lambda b: {"order": b.column(0), "tie": b.column(1),
-                           "fp": [_signed(fingerprint(t, shingle)) for t in b.column(2).to_pylist()]},
-        "order bigint,tie bigint,fp bigint"), "simhash")
-    # of each fingerprint, then of each component, the first row; n counts rows equal to it
-    first = F.min(F.struct("order", "tie")).alias("first")
-    by_print = materialize(prints.groupBy("fp").agg(first), "simhash-distinct")
-    roots = connected(near_links(by_print.select(fp), budget))
+    return F.coalesce(F.col(id_col).cast("long"), F.lit((1 << 63) - 1)), row
+
+
+def narrow_rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(order, tie, text): ids, nulls last, and hashes of whole rows."""
+    order, row = _order_and_tie(docs, id_col)
+    return docs.select(order.alias("order"), row.alias("tie"), F.col(text_col).cast("string").alias("text"))
+
+
+def first_rows(prints: DataFrame) -> DataFrame:
+    """(fp, first): the first (order, tie) of every fingerprint."""
+    return materialize(prints.groupBy("fp").agg(F.min(F.struct("order", "tie")).alias("first")), "simhash-distinct")
+
+
+def keep_first(docs: DataFrame, prints: DataFrame, by_print: DataFrame, roots: DataFrame, id_col: str) -> DataFrame:
+    """The first document of each component; n counts rows equal to it."""
+    mark_o, mark_t = fresh(docs, "row_order"), fresh(docs, "row_tie")
+    order, row = _order_and_tie(docs, id_col)
     best = (by_print.join(roots, "fp", "left").groupBy(F.coalesce("root", "fp").alias("root")).agg(F.min("first").alias("first"))
             .select(F.col("first.order").alias("order"), F.col("first.tie").alias("tie")))
     counts = prints.groupBy("order", "tie").agg(F.count("*").alias("n"))
@@ -322,3 +325,16 @@ def drop_near_duplicates(docs: DataFrame, shingle: int = 3, budget: int = 2, id_
         return single
     repeated = key.join(more, on(more), "left_semi").dropDuplicates([mark_o, mark_t]).select(columns(docs))
     return single.unionByName(repeated)
+
+
+def drop_near_duplicates(docs: DataFrame, shingle: int = 3, budget: int = 2, id_col: str = "doc_id",
+                         text_col: str = "text") -> DataFrame:
+    """One document of each component, every column kept: the smallest id
+    (nulls last), then the smallest hash of the whole row.  Rows that are equal
+    in every column count as one document."""
+    prints = materialize(map_batches(
+        narrow_rows(docs, id_col, text_col), lambda b: {"order": b.column(0), "tie": b.column(1),
+                                                        "fp": [_signed(fingerprint(t, shingle)) for t in b.column(2).to_pylist()]},
+        "order bigint,tie bigint,fp bigint"), "simhash")
+    by_print = first_rows(prints)
+    return keep_first(docs, prints, by_print, connected(near_links(by_print.select("fp"), budget)), id_col)
