@@ -3,18 +3,20 @@
 Pass 1 parses every page, scores its containers by the running text they hold
 against links and boilerplate, and votes with the generalised path (tags and
 classes, digits removed) of the best one.  Spark sums the votes per host and
-path; paths with at least ``SHARE`` of their host's best path's votes win.
-Pass 2 takes each page's container on a winning path: its own best one if that
-has won, else the most voted path that the page has, else, when the page has
-none of them, its own best.
+path.  A host whose best path has at least half of its votes has a consensus;
+there paths with at least ``SHARE`` of the best path's votes win, however many
+(at most six can).  Pass 2 takes each page's container on a winning path: its
+own best one if that has won, else the most voted path that the page has
+running text on.  A page that has none, or whose host has no consensus, keeps
+its own best.
 
 Votes are summed in each task first, so a host with a third of all pages costs
 a row per task and path.  The winners are one row per host; Spark picks a
 broadcast only if their measured size allows it and otherwise splits skewed
 hosts.
 
-Defined results: null and empty html give an empty text; a null url is a host
-of its own; nothing is cut off, whatever the length; repeated rows are treated
+Defined results: null and empty html give an empty text; a page without a url
+or host stands alone; nothing is cut off, whatever the length; repeated rows are treated
 alike (each votes); an empty table gives an empty result.
 """
 
@@ -30,8 +32,8 @@ from pyspark.sql import functions as F
 from tremor.llm.common import map_batches
 from tremor.session import materialize
 
-#: winning paths of a host: its page templates
-WINNERS = 4
+#: least share of the best path's votes with which a path wins
+SHARE = 0.2
 
 _TOKEN = re.compile(
     r"<!--(?:.*?-->|.*)"
@@ -265,7 +267,8 @@ _HOST = r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?(?://)?(?:[^/?#@]*@)?([^/?#:]*)"
 def with_host(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     url = F.col(url_col).cast("string")
     host = F.lower(F.regexp_extract(F.coalesce(url, F.lit("")), _HOST, 1))
-    return pages.select(F.col(id_col).cast("long").alias("page_id"), url.alias("url"), F.col(html_col).cast("string").alias("html"), host.alias("host"))
+    return pages.select(F.col(id_col).cast("long").alias("page_id"), url.alias("url"), F.col(html_col).cast("string").alias("html"),
+                        F.when(host != "", host).alias("host"))
 
 
 def host_paths(pages: DataFrame) -> DataFrame:
@@ -275,12 +278,13 @@ def host_paths(pages: DataFrame) -> DataFrame:
         votes = [vote(h) for h in batch.column(1).to_pylist()]
         return {"host": batch.column(0), "path": [v[0] for v in votes], "votes": [v[1] for v in votes]}
 
-    cast_ = map_batches(pages.select("host", "html"), cast, "host string,path string,votes double")
+    cast_ = map_batches(pages.filter("host is not null").select("host", "html"), cast, "host string,path string,votes double")
     # hundredths, so that sums do not depend on their order
-    sums = cast_.groupBy("host", "path").agg(F.sum(F.round(F.col("votes") * 100).cast("long")).alias("votes")).filter("votes > 0")
-    place = F.row_number().over(Window.partitionBy("host").orderBy(F.col("votes").desc(), "path"))  # pruned in each task
-    won = sums.withColumn("place", place).filter(F.col("place") <= WINNERS)
-    return won.groupBy("host").agg(F.sort_array(F.collect_list(F.struct("place", "path")))["path"].alias("paths"))
+    sums = materialize(cast_.groupBy("host", "path").agg(F.sum(F.round(F.col("votes") * 100).cast("long")).alias("votes"))
+                       .filter("votes > 0"), "host-votes")
+    clear = sums.groupBy("host").agg(F.max("votes").alias("best"), F.sum("votes").alias("total")).filter("2 * best >= total")
+    won = sums.join(clear, "host").filter(F.col("votes") >= SHARE * F.col("best"))
+    return won.groupBy("host").agg(F.sort_array(F.collect_list(F.struct(-F.col("votes"), "path")))["path"].alias("paths"))
 
 
 def extract_pages(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
