@@ -62,6 +62,9 @@ OUTSIDE_WORDS = frozenset(
 OUTSIDE_STARTS = ("comment", "sidebar", "advert", "adsby", "newsletter", "breadcrumb", "navig", "cookie", "sponsor", "subscri", "footer", "topbar", "menubar")
 #: what marks even an article element as not the page's own
 OUTSIDE_ARTICLE = frozenset("comment comments reply replies teaser teasers related recommended promo promoted sponsored ad ads advert".split())
+#: what marks a section of the article by its id alone, if no other word is in it
+OUTSIDE_SECTION = frozenset("comment comments reply replies respond disqus sidebar ad ads advert".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: words that mark the article itself
 INSIDE_WORDS = frozenset("article articlebody body content entry main post story text".split())
 
@@ -73,14 +76,16 @@ class Node:
     words: frozenset
     outside: bool
     path: str
+    certain: bool = False  # outside by its tag or hidden, not by a word alone
     parts: list = field(default_factory=list)  # strings and child numbers, in page order
     text: int = 0      # characters of running text below, outside links and boilerplate
     linked: int = 0    # characters of link text below
     blocks: int = 0    # paragraphs below
 
 
-def _classes(attrs: str) -> tuple[frozenset, str, bool]:
-    """(words of class, id and role; class names for the path; hidden)."""
+def _classes(attrs: str, tag: str = "", inside: bool = False) -> tuple[frozenset, str, bool]:
+    """(words of class, id and role; class names for the path; hidden).  Ids of
+    headings, and of sections inside an article, are made from their titles."""
     words, shown, hidden = set(), [], False
     for m in _ATTR.finditer(attrs):
         name, value = m.group(1).lower(), (m.group(2) or "").strip("\"'")
@@ -89,7 +94,9 @@ def _classes(attrs: str) -> tuple[frozenset, str, bool]:
         elif name == "style":
             hidden = hidden or bool(_NOT_SHOWN.search(value))
         elif name != "aria-hidden":
-            words.update(w.lower() for w in _WORDS.findall(value))
+            own = {w.lower() for w in _WORDS.findall(value)}
+            if name != "id" or tag not in HEADINGS and not (inside and tag == "section" and not own <= OUTSIDE_SECTION):
+                words.update(own)
         if name == "class":
             shown = sorted(filter(None, (re.sub(r"[0-9]+", "", c).strip("-_").lower() for c in value.split())))
     return frozenset(words), ".".join(shown), hidden
@@ -149,23 +156,59 @@ def parse(html: str) -> list[Node]:
                 nodes[open_[-1]].parts.append("" if name in INLINE else " ")
             elif not (name in ("html", "body") and any(nodes[i].tag == name for i in open_)):
                 up = open_[-1]
-                words, shown, hidden = _classes(attrs)
                 inside_article = any(nodes[i].tag in ("article", "main") for i in open_)
-                outside = hidden or name in OUTSIDE or name == "header" and not inside_article
+                inside = inside_article or any(nodes[i].words & INSIDE_WORDS for i in open_ if nodes[i].tag != "body")
+                words, shown, hidden = _classes(attrs, name, inside)
+                certain = outside = hidden or name in OUTSIDE or name == "header" and not inside_article
                 if not outside and name in ("article", "main"):
-                    outside = name == "article" and bool(words & OUTSIDE_ARTICLE)
+                    certain = outside = name == "article" and bool(words & OUTSIDE_ARTICLE)
                 elif not outside and name not in ("html", "body"):
                     outside = _marked(words) and not words & {"article", "articlebody"}
                     outside = outside or "header" in words and not inside_article and not words & INSIDE_WORDS
                 path = nodes[up].path if name in INLINE or name in ("html", "p") else f"{nodes[up].path}/{name}" + (f".{shown}" if shown and name != "body" else "")
-                nodes.append(Node(name, up, words, outside, path))
+                nodes.append(Node(name, up, words, outside, path, certain))
                 nodes[up].parts.append(len(nodes) - 1)
                 open_.append(len(nodes) - 1)
         m = _TOKEN.search(html, pos, limit) if pos < limit else None
     text(html[pos:])
+    _spare(nodes)
     return nodes
 
 
+def _spare(nodes: list[Node]) -> None:
+    """A word alone shuts no element that holds the page's article or main; on
+    a page without these, none that holds most of the running text."""
+    marked = [n.outside and not n.certain for n in nodes]
+    if not any(marked):
+        return
+    size, gone, link, under = [0] * len(nodes), [False] * len(nodes), [False] * len(nodes), [False] * len(nodes)
+    for i, n in enumerate(nodes):
+        if i:
+            gone[i], link[i] = n.certain or gone[n.parent], n.tag == "a" or link[n.parent]
+            under[i] = marked[i] or under[n.parent]
+        if not gone[i] and not link[i]:
+            size[i] = sum(len(p.strip()) for p in n.parts if isinstance(p, str))
+    for i in range(len(nodes) - 1, 0, -1):
+        size[nodes[i].parent] += size[i]
+    articles = [i for i, n in enumerate(nodes) if n.tag in ("article", "main") and not gone[i] and size[i]]
+    if articles:
+        largest = max(size[i] for i in articles)
+        # an article in the open, unless it is a mere teaser beside the largest
+        if any(not under[i] and 2 * size[i] >= largest for i in articles):
+            held = {i for i in articles if nodes[i].tag == "main"}
+        else:
+            held = {i for i in articles if nodes[i].tag == "main" or size[i] == largest}
+        for i in held:
+            while i > 0:
+                if marked[i]:
+                    nodes[i].outside = False
+                i = nodes[i].parent
+    else:
+        for i, n in enumerate(nodes):
+            if marked[i] and 2 * size[i] > size[0]:
+                n.outside = False
+
+
 def _weigh(nodes: list[Node]) -> None:
     """Sums text, links and paragraphs upwards; children come after parents."""
     shut, link = [False] * len(nodes), [False] * len(nodes)
@@ -194,7 +237,8 @@ def _score(n: Node) -> float:
 
 
 def best_container(nodes: list[Node]) -> int:
-    """The best score; of nested ones that hold nearly the same text the inner."""
+    """The best score; of nested ones that hold nearly the same text the inner.
+    Where nothing scores, the body without what is certainly boilerplate."""
     scores = [0.0 if n.outside else _score(n) for n in nodes]
     shut = [False] * len(nodes)
     for i, n in enumerate(nodes[1:], 1):
@@ -202,6 +246,10 @@ def best_container(nodes: list[Node]) -> int:
         if shut[i]:
             scores[i] = 0.0
     best = max(range(len(nodes)), key=lambda i: (scores[i], -i))
+    if not scores[best]:
+        for n in nodes:
+            n.outside = n.certain
+        return next((i for i, n in enumerate(nodes) if n.tag == "body"), 0)
     inner = [i for i in range(best + 1, len(nodes)) if scores[i] >= 0.9 * scores[best] and _within(nodes, i, best)]
     return inner[-1] if inner else best
 
