@@ -1,8 +1,8 @@
 """Stupid-backoff language model scores, computed relationally.
 
-Words hash into ``2 ** CLASS_BITS`` classes, the vocabulary of the model; an
-n-gram's key is exact in the classes.  Each document is scored by the counts
-of all *other* documents (its own are subtracted), word after word:
+Words and pairs of words are keyed by 64-bit hashes; the vocabulary is as
+large as the corpus makes it.  Each document is scored by the counts of all
+*other* documents (its own are subtracted), word after word:
 
     count(v w) / count(v)            if the pair occurs elsewhere,
     BACKOFF * count(w) / total       else, if the word does,
@@ -11,16 +11,16 @@ of all *other* documents (its own are subtracted), word after word:
 and by the last two without the first factor for the first word.  The score is
 the mean logarithm per word.
 
-Unigram counts are one table of the fixed size of the vocabulary, shared as a
-broadcast variable.  Pair counts grow with the corpus: documents are exploded
-into (pair, document) rows dealt by the hash of the pair; there counts meet
-the documents' rows, and one more aggregate sums per document.  Only one
-shuffle carries pairs.
+Documents are exploded into (pair, document) rows dealt by the pair, where
+counts meet the documents' rows: a found pair then asks for the count of its
+first word, any other for that of its second.  These requests and the
+(word, document) rows are dealt by the word, where counts meet them in the same
+way, and one more aggregate sums per document.
 
-Hot pairs.  Pairs found in at least ``HOT_SHARE`` of ``HOT_SAMPLE`` sampled
-documents (a bounded set) are summed per task instead, exactly, and joined as
-a broadcast; the sample decides where a pair is counted, never what its count
-is.  What remains has no hot key.
+Hot keys.  Words and pairs found in at least ``HOT_SHARE`` of ``HOT_SAMPLE``
+sampled documents (a bounded set) are summed per task instead, exactly, and
+broadcast; the sample decides where a key is counted, never what its count is.
+What remains has no hot key.
 
 Defined results: null and empty texts have no words and a null score; repeated
 rows are scored one by one and count as other documents to each other; an
@@ -31,126 +31,147 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
-from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tremor.llm.common import bounded_sample, id_text, map_batches
 
-CLASS_BITS = 20
+#: bits of a word's key
+CLASS_BITS = 64
 BACKOFF = 0.4
 HOT_SAMPLE = 4096
 HOT_SHARE = 0.01
 
 
-def classes(text: str | None) -> np.ndarray:
-    """Class of every word, in order."""
+def word_keys(text: str | None) -> np.ndarray:
+    """Key of every word, in order."""
     words = (text or "").encode().lower().split()
-    return np.fromiter(map(crc32, words), dtype=np.int64, count=len(words)) & ((1 << CLASS_BITS) - 1)
+    return np.fromiter(map(xxhash.xxh64_intdigest, words), dtype=np.uint64, count=len(words)).view(np.int64)
 
 
 def pairs(c: np.ndarray) -> np.ndarray:
-    return (c[:-1] << CLASS_BITS) | c[1:]
+    v, w = c[:-1].view(np.uint64), c[1:].view(np.uint64)
+    x = v * np.uint64(0x9E3779B97F4A7C15) + ((w << np.uint64(31)) | (w >> np.uint64(33)))
+    x = (x ^ (x >> np.uint64(32))) * np.uint64(0xC2B2AE3D27D4EB4F)
+    return (x ^ (x >> np.uint64(29))).view(np.int64)
 
 
-def hot_pairs(docs: DataFrame) -> np.ndarray:
-    """Sorted keys of pairs common enough to be a hot key.  At most
-    1 / HOT_SHARE times the distinct pairs of a document."""
+def hot_keys(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted keys of the words and of the pairs common enough to be a hot key.
+    At most 1 / HOT_SHARE times the distinct ones of a document."""
     sample = bounded_sample(docs, HOT_SAMPLE, "doc_id", "text")
 
     def own(batch):
-        return {"pair": np.concatenate([np.unique(pairs(classes(t))) for t in batch.column(1).to_pylist()])}
+        keys = [word_keys(t) for t in batch.column(1).to_pylist()]
+        kinds = [[np.unique(c) for c in keys], [np.unique(pairs(c)) for c in keys]]
+        sizes = [sum(map(len, k)) for k in kinds]
+        return {"kind": np.repeat(np.arange(2, dtype=np.int32), sizes), "key": np.concatenate(kinds[0] + kinds[1])}
 
-    seen = map_batches(sample, own, "pair bigint", slice_on=1).groupBy("pair").count()
+    seen = map_batches(sample, own, "kind int,key bigint", slice_on=1).groupBy("kind", "key").count()
     least = max(2, int(HOT_SHARE * sample.count()))
-    return np.sort(seen.filter(F.col("count") >= least).select("pair").toArrow()["pair"].to_numpy()).astype(np.int64)
+    found = seen.filter(F.col("count") >= least).select("kind", "key").toArrow()
+    kind, key = found["kind"].to_numpy(), found["key"].to_numpy().astype(np.int64)
+    return np.sort(key[kind == 0]), np.sort(key[kind == 1])
 
 
 @dataclass
 class Counts:
-    """Counts of all classes and of the hot pairs."""
+    """Counts of the hot words and pairs, and of all words together."""
 
     words: np.ndarray
-    hot: np.ndarray
-    hot_counts: np.ndarray
+    word_counts: np.ndarray
+    pairs: np.ndarray
+    pair_counts: np.ndarray
+    total: int
 
-    @property
-    def total(self) -> int:
-        return int(self.words.sum())
 
+def _among(known: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(place, whether it is there) of keys in a sorted run."""
+    if not len(known):
+        return np.zeros(len(keys), dtype=np.int64), np.zeros(len(keys), dtype=bool)
+    at = np.minimum(np.searchsorted(known, keys), len(known) - 1)
+    return at, known[at] == keys
 
-def _count_task(hot: np.ndarray):
-    schema = pa.schema([("key", pa.int64()), ("n", pa.int64())])
+
+def _count_task(words: np.ndarray, hot: np.ndarray):
+    schema = pa.schema([("place", pa.int64()), ("n", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, common = np.zeros(1 << CLASS_BITS, dtype=np.int64), np.zeros(len(hot), dtype=np.int64)
+        sums = np.zeros(1 + len(words) + len(hot), dtype=np.int64)  # the first for all words
         for batch in batches:
             for text in batch.column(1).to_pylist():
-                c = classes(text)
-                if len(c):
-                    np.add.at(words, c, 1)
-                if len(c) > 1 and len(hot):
-                    p = pairs(c)
-                    at = np.minimum(np.searchsorted(hot, p), len(hot) - 1)
-                    np.add.at(common, at[hot[at] == p], 1)
-        for table, base in ((words, 0), (common, 1 << CLASS_BITS)):
-            used = np.flatnonzero(table)
-            yield pa.RecordBatch.from_pydict({"key": used + base, "n": table[used]}, schema=schema)
+                c = word_keys(text)
+                sums[0] += len(c)
+                for known, keys, base in ((words, c, 1), (hot, pairs(c), 1 + len(words))):
+                    at, there = _among(known, keys)
+                    np.add.at(sums, base + at[there], 1)
+        used = np.flatnonzero(sums)
+        yield pa.RecordBatch.from_pydict({"place": used, "n": sums[used]}, schema=schema)
 
     return run
 
 
 def count(docs: DataFrame) -> Counts:
-    """Sums the tasks' tables; the driver gets a row per class and hot pair."""
-    hot = hot_pairs(docs)
-    sums = docs.mapInArrow(_count_task(hot), "key bigint,n bigint").groupBy("key").agg(F.sum("n").alias("n")).toArrow()
-    table = np.zeros((1 << CLASS_BITS) + len(hot), dtype=np.int64)
-    table[sums["key"].to_numpy()] = sums["n"].to_numpy()
-    return Counts(table[:1 << CLASS_BITS], hot, table[1 << CLASS_BITS:])
-
-
-def _explode(text: str | None, k: Counts, total: int):
-    """(words, sum of what is settled here, cold pairs, their number in the
-    text, logarithm of the backoff value times the context's count)."""
-    c = classes(text)
-    n = len(c)
+    """Sums the tasks' tables; the driver gets a row per hot word and pair."""
+    words, hot = hot_keys(docs)
+    rows = docs.mapInArrow(_count_task(words, hot), "place bigint,n bigint").groupBy("place").agg(F.sum("n").alias("n")).toArrow()
+    sums = np.zeros(1 + len(words) + len(hot), dtype=np.int64)
+    sums[rows["place"].to_numpy().astype(np.int64)] = rows["n"].to_numpy()
+    return Counts(words, sums[1:1 + len(words)], hot, sums[1 + len(words):], int(sums[0]))
+
+
+_COLUMNS = ("pair", "word", "word2", "times", "own", "starts", "ends", "log1", "log2", "settled")
+_ROWS = ("row bigint,doc_id bigint,n_words bigint,pair bigint,word bigint,word2 bigint,times int,own int,starts int,ends int,"
+         "log1 float,log2 float,settled double")
+
+
+def _explode(text: str | None, k: Counts) -> dict[str, np.ndarray]:
+    """Rows of a document: its own, with what is settled here; a row per cold
+    word, with its own count and the requests that hot pairs make; a row per
+    cold pair.  A hot word's logarithm takes the place of its key (log1 of the
+    count, log2 of the backoff value); a pair row has own = -1."""
+    c = word_keys(text)
+    n, rest = len(c), max(1, k.total - len(c))
     if not n:
-        return 0, 0.0, c, c, np.zeros(0)
-    kinds, at, own = np.unique(c, return_inverse=True, return_counts=True)
-    other = k.words[kinds] - own
-    rest = max(1, total - n)
-    word = np.log(np.where(other > 0, other, BACKOFF) / rest)
-    log_other = np.log(np.maximum(other, 1))
-    settled = float(word[at[0]])
-    if n == 1:
-        return 1, settled, c[:0], c[:0], np.zeros(0)
+        kinds, at, own = c, c, c
+    else:
+        kinds, at, own = np.unique(c, return_inverse=True, return_counts=True)
+    place, is_hot = _among(k.words, kinds)
+    other = np.where(is_hot, k.word_counts[place] if len(k.words) else 0, 0) - own
+    log1 = np.log(np.maximum(other, 1))
+    log2 = np.log(np.where(other > 0, other, BACKOFF) / rest)
+    starts, ends = np.zeros(len(kinds), np.int64), np.zeros(len(kinds), np.int64)
+    settled = 0.0
     keys, first, times = np.unique(pairs(c), return_index=True, return_counts=True)
-    back = word[at[first + 1]] + np.log(BACKOFF)
-    settled += float((times * back).sum())
-    lift = log_other[at[first]] + back
-    if len(k.hot):
-        i = np.minimum(np.searchsorted(k.hot, keys), len(k.hot) - 1)
-        is_hot = k.hot[i] == keys
-        others = k.hot_counts[i[is_hot]] - times[is_hot]
-        found = others > 0
-        settled += float((times[is_hot][found] * (np.log(others[found]) - lift[is_hot][found])).sum())
-        keys, times, lift = keys[~is_hot], times[~is_hot], lift[~is_hot]
-    return n, settled, keys, times, lift
-
-
-#: A pair's key and its lift share one long: most of a shuffled row's bytes are
-#: these two.  The lift has LIFT_BITS bits, 2 ** -16 the last one.
-LIFT_BITS = 23
-_ONE = 1 << 16
-_ZERO = 1 << (LIFT_BITS - 1)
-_ROWS = "packed bigint,row bigint,times int,doc_id bigint,n_words bigint,settled double"
-
-
-def _packed(pair: np.ndarray, lift: np.ndarray) -> np.ndarray:
-    return (pair << LIFT_BITS) | np.clip(np.rint(lift * _ONE) + _ZERO, 0, 2 * _ZERO - 1).astype(np.int64)
+    if n:
+        ends[at[0]] += 1
+    v, w = at[first], at[first + 1] if len(first) else at[first]
+    p, hot = _among(k.pairs, keys)
+    others = (k.pair_counts[p] if len(k.pairs) else np.zeros(len(keys), np.int64)) - times
+    found, missed = hot & (others > 0), hot & (others <= 0)
+    settled += float((times[found] * np.log(others[found])).sum() + times[missed].sum() * np.log(BACKOFF))
+    np.add.at(starts, v[found], times[found])
+    np.add.at(ends, w[missed], times[missed])
+    settled += float((ends * log2 - starts * log1)[is_hot].sum())
+    cold, cold_words = ~hot, ~is_hot
+    a, b, m = int(cold_words.sum()), int(cold.sum()), 1
+    out = {name: np.zeros(m + a + b, dtype=np.float64 if name in ("log1", "log2", "settled") else np.int64) for name in _COLUMNS}
+    out["settled"][0] = settled
+    words_, pairs_ = slice(m, m + a), slice(m + a, m + a + b)
+    out["word"][words_], out["own"][words_] = kinds[cold_words], own[cold_words]
+    out["starts"][words_], out["ends"][words_] = starts[cold_words], ends[cold_words]
+    v, w = v[cold], w[cold]
+    out["pair"][pairs_], out["times"][pairs_], out["own"][pairs_] = keys[cold], times[cold], -1
+    # most of a shuffled row's bytes are these: a key or a logarithm, not both
+    out["word"][pairs_], out["word2"][pairs_] = np.where(is_hot[v], 0, kinds[v]), np.where(is_hot[w], 0, kinds[w])
+    out["log1"][pairs_] = np.where(is_hot[v], log1[v], np.nan)
+    out["log2"][pairs_] = np.where(is_hot[w], log2[w], np.nan)
+    out["n"] = n
+    return out
 
 
 def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -162,33 +183,47 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
 
     def explode(batch):
         rows = batch.column(2).to_numpy()
-        out = [_explode(t, shared.value, total) for t in batch.column(1).to_pylist()]
-        sizes = [1 + len(o[2]) for o in out]
-        heads = np.concatenate([[0], np.cumsum(sizes)[:-1]])
-        m = int(sum(sizes))
-        # a document's own row comes first, under a negative key that no pair has
-        packed, times = np.zeros(m, np.int64), np.zeros(m, np.int32)
-        cold = np.ones(m, dtype=bool)
-        cold[heads] = False
-        packed[cold] = _packed(np.concatenate([o[2] for o in out]), np.concatenate([o[4] for o in out]))
-        times[cold] = np.concatenate([o[3] for o in out])
-        packed[heads] = (-1 - (rows & ((1 << 39) - 1))) << LIFT_BITS
-        at_head = lambda values, kind: pa.array(np.repeat(values, sizes), type=kind, mask=cold)
-        ids = pa.array(batch.column(0).take(pa.array(np.repeat(np.arange(len(out)), sizes), mask=cold)))
-        return {"packed": packed, "row": np.repeat(rows, sizes), "times": times, "doc_id": ids,
-                "n_words": at_head(np.array([o[0] for o in out], np.int64), pa.int64()),
-                "settled": at_head(np.array([o[1] for o in out], np.float64), pa.float64())}
+        out = [_explode(t, shared.value) for t in batch.column(1).to_pylist()]
+        sizes = [len(o["pair"]) for o in out]
+        heads = np.concatenate([[0], np.cumsum(sizes)[:-1]]).astype(np.int64)
+        inner = np.ones(sum(sizes), dtype=bool)
+        inner[heads] = False
+        columns = {name: np.concatenate([o[name] for o in out]) for name in _COLUMNS}
+        for name in ("times", "own", "starts", "ends"):
+            columns[name] = columns[name].astype(np.int32)
+        # words and a document's own row are spread over the tasks by their row
+        columns["log1"], columns["log2"] = columns["log1"].astype(np.float32), columns["log2"].astype(np.float32)
+        not_pair = columns["own"] >= 0
+        row = np.repeat(rows, sizes)
+        columns["pair"] = np.where(not_pair, columns["word"] ^ row, columns["pair"])
+        return {"row": row, "doc_id": batch.column(0).take(pa.array(np.repeat(np.arange(len(out)), sizes), mask=inner)),
+                "n_words": np.where(inner, 0, np.repeat(np.array([o["n"] for o in out], np.int64), sizes)), **columns}
 
     exploded = map_batches(own.withColumn("row", F.monotonically_increasing_id()), explode, _ROWS, slice_on=1)
-    pair = F.shiftright("packed", LIFT_BITS)
-    lift = (F.col("packed").bitwiseAND(F.lit((1 << LIFT_BITS) - 1)) - _ZERO) / F.lit(float(_ONE))
-    # dealt before the pair becomes a column of its own, so that it is not shuffled twice over
-    exploded = exploded.repartition(pair).withColumn("pair", pair)
-    elsewhere = F.sum("times").over(Window.partitionBy("pair")) - F.col("times")
-    gain = F.when(F.col("elsewhere") > 0, F.col("times") * (F.log("elsewhere") - lift))
-    joined = exploded.withColumn("elsewhere", elsewhere).select("row", "doc_id", "n_words", "settled", gain.alias("gain"))
-    per_doc = joined.groupBy("row").agg(F.max("doc_id").alias("doc_id"), F.max("n_words").alias("n_words"),
-                                        (F.coalesce(F.sum("gain"), F.lit(0.0)) + F.max("settled")).alias("log_prob"))
+    is_pair = F.col("own") < 0
+    elsewhere = F.sum(F.when(is_pair, F.col("times")).otherwise(0)).over(Window.partitionBy("pair")) - F.col("times")
+    met = exploded.withColumn("elsewhere", elsewhere)
+    found, missed = is_pair & (F.col("elsewhere") > 0), is_pair & (F.col("elsewhere") <= 0)
+    known = lambda c: ~F.isnan(c)
+    # what a pair row still asks for: its first word's count, or its second word's
+    gain = (F.when(found, F.col("times") * (F.log("elsewhere") - F.when(known("log1"), F.col("log1")).otherwise(0.0)))
+            .when(missed, F.col("times") * (F.lit(float(np.log(BACKOFF))) + F.when(known("log2"), F.col("log2")).otherwise(0.0)))
+            .otherwise(F.col("settled")))
+    asks = (found & ~known("log1")) | (missed & ~known("log2")) | (F.col("own") > 0)
+    word = F.when(~asks, F.xxhash64("row")).when(missed, F.col("word2")).otherwise(F.col("word"))
+    requests = met.select(
+        "row", "doc_id", "n_words", word.alias("word"), F.greatest("own", F.lit(0)).alias("own"),
+        F.when(found & asks, F.col("times")).otherwise(F.col("starts")).alias("starts"),
+        F.when(missed & asks, F.col("times")).otherwise(F.col("ends")).alias("ends"), gain.alias("gain"))
+    per_word = (requests.repartition("word").groupBy("word", "row")
+                .agg(F.max("doc_id").alias("doc_id"), F.max("n_words").alias("n_words"), F.sum("own").alias("own"),
+                     F.sum("starts").alias("starts"), F.sum("ends").alias("ends"), F.sum("gain").alias("gain")))
+    other = F.sum("own").over(Window.partitionBy("word")) - F.col("own")
+    rest = F.log(F.greatest(F.lit(1), F.lit(total) - F.max("n_words")))
+    value = (F.col("gain") + F.col("ends") * F.log(F.when(F.col("other") > 0, F.col("other")).otherwise(F.lit(BACKOFF)))
+             - F.col("starts") * F.log(F.greatest("other", F.lit(1))))
+    per_doc = (per_word.withColumn("other", other).select("row", "doc_id", "n_words", "ends", value.alias("value"))
+               .groupBy("row").agg(F.max("doc_id").alias("doc_id"), F.max("n_words").alias("n_words"), (F.sum("value") - F.sum("ends") * rest).alias("log_prob")))
     some = F.col("n_words") > 0
     return per_doc.select("doc_id", "n_words", F.when(some, F.col("log_prob")).alias("log_prob"),
                           F.when(some, F.col("log_prob") / F.col("n_words")).alias("lm_score"))
