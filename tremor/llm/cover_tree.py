@@ -178,7 +178,9 @@ def _block_search(k: int):
 
 
 def quantised(vectors: DataFrame, scale: int = 256, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
-    """(vec_id, vector, row) of the vectors that take part."""
+    """(vec_id, vector, row) of the vectors that take part: valid ones of rows
+    with an id.  A row without one can be neither named nor told from the
+    query's own (the SQL twin's ``a.vec_id <> b.vec_id`` leaves it out too)."""
     v = F.col(vector_col)
     bad = F.exists(v, lambda x: x.isNull() | F.isnan(x.cast("double")) | (F.abs(x.cast("double")) == float("inf")))
     ints = F.transform(v, lambda x: F.floor(x.cast("double") * scale))
