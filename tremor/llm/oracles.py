@@ -64,3 +64,37 @@ TOP_K = """WITH v AS (SELECT vec_id, [floor(256 * CAST(x AS DOUBLE)) FOR x IN em
         FROM v a JOIN v b ON a.vec_id <> b.vec_id WHERE a.vec_id % 50 = 0)
     SELECT * FROM (SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM s)
     WHERE rank <= 5"""
+
+
+def _crc32_sql(words: str, name: str) -> str:
+    """CTEs: ``name`` holds (w, crc) for the distinct texts w of the CTE ``words``.
+    The table of CRC-32 (reflected polynomial 0xEDB88320) by eight shifts."""
+    step = "CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384::UBIGINT) ELSE c >> 1 END AS c"
+    shifts = "SELECT i, i::UBIGINT AS c FROM range(256) t(i)"
+    for _ in range(8):
+        shifts = f"SELECT i, {step} FROM ({shifts})"
+    return f"""{name}_table AS MATERIALIZED (SELECT list(c ORDER BY i) AS t FROM ({shifts})),
+        {name}_bytes AS (SELECT w, hex(encode(w)) AS x FROM (SELECT DISTINCT w FROM {words})),
+        {name} AS MATERIALIZED (SELECT w, xor(4294967295::UBIGINT, list_reduce(list_concat([4294967295::UBIGINT],
+            [CAST('0x' || substr(x, CAST(2 * k - 1 AS BIGINT), 2) AS UBIGINT) FOR k IN range(1, length(x) // 2 + 1)]),
+            lambda c, b: xor(c >> 8, t[CAST((xor(c, b) & 255) + 1 AS BIGINT)]))) AS crc FROM {name}_bytes, {name}_table)"""
+
+
+def resampling_sql(buckets: int = 10_000, percent: int = 10, min_words: int = 20, seed: int = 2024) -> str:
+    """Single words only, as the query draws."""
+    upper = "".join(map(chr, range(65, 91)))
+    words = rf"unnest(regexp_extract_all(translate(text, '{upper}', '{upper.lower()}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS w"
+    return f"""WITH docs AS (SELECT row_number() OVER () AS r, doc_id, text FROM documents),
+        dw AS MATERIALIZED (SELECT r, {words} FROM docs), bw AS MATERIALIZED (SELECT {words} FROM benchmark),
+        every AS (SELECT w FROM dw UNION ALL SELECT w FROM bw), {_crc32_sql("every", "hashed")},
+        placed AS (SELECT w, crc % {buckets} AS b FROM hashed),
+        s AS (SELECT b, count(*) AS n FROM dw JOIN placed USING (w) GROUP BY b), t AS (SELECT b, count(*) AS n FROM bw JOIN placed USING (w) GROUP BY b),
+        gain AS (SELECT b, CAST(floor(1000 * ln((coalesce(t.n, 0) + 1e0) * ((SELECT coalesce(sum(n), 0) FROM s) + {buckets}e0)
+            / ((s.n + 1e0) * ((SELECT coalesce(sum(n), 0) FROM t) + {buckets}e0)))) AS BIGINT) AS gain FROM s LEFT JOIN t USING (b)),
+        own AS (SELECT r, count(*) AS n_features, CAST(sum(gain) AS BIGINT) AS weight FROM dw JOIN placed USING (w) JOIN gain USING (b) GROUP BY r),
+        scored AS (SELECT r, doc_id, coalesce(n_features, 0) AS n_features, coalesce(weight, 0) AS weight,
+            coalesce(weight, 0) + CAST(floor(-1000 * ln(-ln((CAST('0x' || substr(sha256('{seed}:' || coalesce(CAST(doc_id AS VARCHAR), 'null')), 1, 8) AS BIGINT)
+                + 0.5e0) / 4294967296e0))) AS BIGINT) AS score FROM docs LEFT JOIN own USING (r)),
+        ranked AS (SELECT *, row_number() OVER (PARTITION BY n_features >= {min_words} ORDER BY score DESC, doc_id NULLS LAST) AS k,
+            count(*) OVER (PARTITION BY n_features >= {min_words}) AS n FROM scored)
+        SELECT doc_id, n_features, weight, score, CASE WHEN n_features >= {min_words} AND k <= {percent} * n // 100 THEN k END AS rank FROM ranked"""

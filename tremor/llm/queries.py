@@ -18,6 +18,7 @@ from tremor.llm import (
     quality_ordinal,
     repetition,
     simhash_trie,
+    target_resampling,
 )
 from tremor.llm.common import table
 
@@ -84,3 +85,8 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_stupid_backoff")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_backoff.score(table(spark, sf_dir, "documents"))
+
+
+@query("op11_byte_resampling", oracles.resampling_sql())
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return target_resampling.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
