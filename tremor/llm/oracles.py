@@ -98,3 +98,46 @@ def resampling_sql(buckets: int = 10_000, percent: int = 10, min_words: int = 20
         ranked AS (SELECT *, row_number() OVER (PARTITION BY n_features >= {min_words} ORDER BY score DESC, doc_id NULLS LAST) AS k,
             count(*) OVER (PARTITION BY n_features >= {min_words}) AS n FROM scored)
         SELECT doc_id, n_features, weight, score, CASE WHEN n_features >= {min_words} AND k <= {percent} * n // 100 THEN k END AS rank FROM ranked"""
+
+
+def turn_repair_sql() -> str:
+    """The search as a recursion over rows that carries whole audits and texts."""
+    states = "('E', 'E', '', ''), ('E', 'U', 'I', 'u'), ('E', 'A', 'II', 'ua'), ('S', 'S', '', ''), ('S', 'U', 'I', 'u'), ('S', 'A', 'II', 'ua'), " \
+             "('U', 'U', '', ''), ('U', 'A', 'I', 'a'), ('A', 'A', '', ''), ('A', 'U', 'I', 'u')"
+    edits = "('E', 'K', 's', 'S', NULL), ('E', 'K', 'u', 'U', NULL), ('S', 'K', 'u', 'U', NULL), ('U', 'K', 'a', 'A', NULL), ('A', 'K', 'u', 'U', NULL), " \
+            "('E', 'R', NULL, 'U', 'user'), ('S', 'R', NULL, 'U', 'user'), ('U', 'R', NULL, 'A', 'assistant'), ('A', 'R', NULL, 'U', 'user'), " \
+            "('E', 'D', NULL, 'E', NULL), ('S', 'D', NULL, 'S', NULL), ('U', 'D', NULL, 'U', NULL), ('A', 'D', NULL, 'A', NULL)"
+    inserted = "CASE ins WHEN 'u' THEN chr(10) || 'user:' WHEN 'a' THEN chr(10) || 'assistant:' WHEN 'ua' THEN chr(10) || 'user:' || chr(10) || 'assistant:' ELSE '' END"
+    return rf"""WITH RECURSIVE src AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+            coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS w FROM conversations),
+        {_crc32_sql("src", "hashed")},
+        convs AS MATERIALIZED (SELECT conv_id, row_number() OVER () AS c FROM (SELECT DISTINCT conv_id FROM src)),
+        marked AS (SELECT c, turn, role, text, crc % 20 AS k FROM src JOIN hashed USING (w) JOIN convs ON src.conv_id IS NOT DISTINCT FROM convs.conv_id),
+        damaged AS (SELECT c, turn, CASE WHEN k = 4 THEN 'user' ELSE role END AS role,
+            CASE k WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text, unnest(range(CASE WHEN k = 3 THEN 2 ELSE 1 END)) AS copy
+            FROM marked WHERE k <> 0),
+        placed AS (SELECT *, row_number() OVER (PARTITION BY c ORDER BY turn NULLS FIRST, role, text) AS i FROM damaged),
+        seen AS (SELECT *, min(i) OVER (PARTITION BY c, role, text) < i AS again, regexp_extract(text, '([^ 	-])[ 	-]*$', 1) AS tail,
+            lag(left(role, 1)) OVER (PARTITION BY c ORDER BY i) AS before FROM placed),
+        faulty AS MATERIALIZED (SELECT c, i, turn, role, text, before, CASE WHEN tail = '' THEN 'b' WHEN again THEN 'd' WHEN tail NOT IN ('.', '!', '?') THEN 't' ELSE '' END AS fault FROM seen),
+        ways(state, at_, ins_edits, ins) AS (VALUES {states}), edits(at_, edit, initial, next_, new_role) AS (VALUES {edits}),
+        dp AS (SELECT c, CAST(0 AS BIGINT) AS i, 'E' AS state, CAST(0 AS BIGINT) AS cost, '' AS audit, '' AS lines FROM convs
+            UNION ALL
+            SELECT c, i, state, cost, audit, lines FROM (
+                SELECT dp.c AS c, f.i AS i, next_ AS state, dp.cost + 2 * length(ins_edits)
+                        + CASE edit WHEN 'K' THEN 0 WHEN 'R' THEN 2 ELSE 3 END + CASE WHEN edit <> 'D' AND fault = 't' THEN 1 ELSE 0 END AS cost,
+                    dp.audit || ins_edits || edit AS audit,
+                    dp.lines || {inserted} || CASE WHEN edit = 'D' THEN '' ELSE chr(10) || coalesce(new_role, role) || ':' || text END AS lines
+                FROM dp JOIN faulty f ON f.c = dp.c AND f.i = dp.i + 1 JOIN ways ON ways.state = dp.state JOIN edits ON edits.at_ = ways.at_
+                WHERE (initial IS NULL OR initial = left(role, 1)) AND (edit = 'D' OR fault NOT IN ('b', 'd')))
+            QUALIFY row_number() OVER (PARTITION BY c, state ORDER BY cost, audit) = 1),
+        last_ AS (SELECT c, coalesce(max(f.i), 0) AS i FROM convs LEFT JOIN faulty f USING (c) GROUP BY c),
+        ends AS (SELECT dp.c, cost + 2 * length(ins_edits) AS cost, audit || ins_edits AS audit, lines || {inserted} AS lines
+            FROM dp JOIN last_ ON dp.c = last_.c AND dp.i = last_.i JOIN ways ON ways.state = dp.state
+            WHERE at_ = 'A' OR (at_ = 'E' AND dp.state = 'E') QUALIFY row_number() OVER (PARTITION BY dp.c ORDER BY cost + 2 * length(ins_edits), audit || ins_edits) = 1),
+        counted AS (SELECT c, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (WHERE fault = 'b') AS blank,
+            count(*) FILTER (WHERE fault = 'd') AS duplicate, count(*) FILTER (WHERE fault = 't') AS truncated,
+            count(*) FILTER (WHERE before IS NOT NULL AND before || left(role, 1) NOT IN ('su', 'ua', 'au')) AS illegal FROM faulty GROUP BY c)
+        SELECT conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated,
+            coalesce(illegal, 0) AS illegal, CAST(cost AS BIGINT) AS cost, audit, sha256(substr(lines, 2)) AS repaired_sha256
+        FROM convs JOIN ends USING (c) LEFT JOIN counted USING (c)"""

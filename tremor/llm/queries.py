@@ -19,6 +19,7 @@ from tremor.llm import (
     repetition,
     simhash_trie,
     target_resampling,
+    turn_repair,
 )
 from tremor.llm.common import table
 
@@ -90,3 +91,8 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op11_byte_resampling", oracles.resampling_sql())
 def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
     return target_resampling.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query("op13_survivor_repair", oracles.turn_repair_sql())
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return turn_repair.repair_conversations(table(spark, sf_dir, "conversations"), damaged=True)
