@@ -19,6 +19,7 @@ from tremor.llm import (
     repetition,
     simhash_trie,
     target_resampling,
+    token_counts,
     turn_repair,
 )
 from tremor.llm.common import table
@@ -93,6 +94,11 @@ def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
     return target_resampling.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+@query("op12_pretoken_counts")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.count_tokens(table(spark, sf_dir, "documents"))
+
+
 @query("op13_survivor_repair", oracles.turn_repair_sql())
 def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
     return turn_repair.repair_conversations(table(spark, sf_dir, "conversations"), damaged=True)
