@@ -1,12 +1,15 @@
 """Scalar functions and labelling on hand-made rows."""
 
 import json
+import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
 
 from tremor import dims
 from tremor.functions import exprs as X
+from tremor.functions import phrases as PH
 from tremor.functions import text as TX
 from tremor.operators import labels as L
 
@@ -68,12 +71,30 @@ def test_price_delta(spark):
     ("opec+s", "opec+", False), ("trade  war", "trade war", False), ("trade war!", "trade war", True), ("a cross-strait visit", "cross-strait", True),
 ])
 def test_keyword_boundaries(spark, text, kw, want):
-    df = spark.createDataFrame([(text,)], "t string").withColumn("w", TX.known_words("t", [kw, "other words"]))
-    df = df.withColumn("k", TX.found_keywords("t", [kw, "other words"], "w"))
+    df = spark.createDataFrame([(text,)], "t string").withColumn("k", PH.found_keywords("t", [kw, "other words"]))
     row = df.select(TX.keyword_hit("t", kw).alias("a"), TX.keyword_hit("t", kw, "k").alias("b"), TX.any_hit("t", [kw], "k").alias("c")).first()
     assert tuple(row) == (want, want, want)
 
 
+def test_phrase_walk_keeps_overlapping_and_inner_keywords():
+    """Against a regular expression per keyword, on texts made of their pieces."""
+    keys = ("trade", "trade war", "war", "war room", "opec+", "+", "u.s.", "s", "a", "aa", "é", "_x", "trade  war")
+    rng = random.Random(2)
+    pieces = [*keys, " ", " ", "-", "_", "1", "x", ".", "日"]
+    for _ in range(3000):
+        text = "".join(rng.choices(pieces, k=rng.randint(0, 9)))
+        want = [k for k in keys if re.search(r"(?<!\w)" + re.escape(k) + r"(?!\w)", text)]
+        assert PH.standing_alone(text, keys) == want, text
+    assert PH.standing_alone("anything", ()) == [] and PH.standing_alone("", keys) == []
+
+
+def test_texts_are_walked_once(spark):
+    """One walk in the plan, however many lists and tests follow it."""
+    df = spark.createDataFrame([("1", "War", None)], "id string, title string, text string")
+    plan = L.label_by_rules(df)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1
+
+
 def test_rule_label_rows(spark):
     rows = [("1", "US weighs export ban on chips", "New tariffs and sanctions on Taiwan; TSMC falls"), ("2", None, None), ("3", "", "quiet day for us"),
             ("4", "War and merger", None), ("5", "Banks rally in America", ""), ("6", "Charles Schwab beats earnings guidance", "")]

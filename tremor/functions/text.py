@@ -1,12 +1,9 @@
 """Keyword matching on whole texts.
 
-A keyword stands alone when no word character touches it on either side.  Then
-each of its own words is a whole word of the text.  So a text is split into
-words once and the few that occur in any keyword are kept; keywords of one word
-are found by that alone, the others look at the text only where all their words
-are there.  :func:`found_keywords` does this once for all lists; testing a list
-is then an overlap of two short arrays.  Cost: one pass over the text, whatever
-the number of keywords.
+A keyword stands alone when no word character touches it on either side.  Two
+ways lead to the same answer: single keywords are tested by an expression, and
+many keywords are found by one walk over the text (:mod:`phrases`), after which
+testing a list is an overlap of two short arrays.
 """
 
 from __future__ import annotations
@@ -28,17 +25,6 @@ def quote(kw: str) -> str:
     return re.sub(r"([\\.^$|?*+(){}\[\]\-])", r"\\\1", kw)
 
 
-def words_of(keyword: str) -> list[str]:
-    return re.findall(r"\w+", keyword.lower())
-
-
-def known_words(lowered: Column | str, keywords: Iterable[str]) -> Column:
-    """Distinct words of the text that occur in any of the keywords."""
-    vocabulary = sorted({w for k in keywords for w in words_of(k)})
-    words = F.regexp_extract_all(col(lowered), F.lit(f"{WORD}+"), F.lit(0))
-    return F.array_distinct(F.filter(words, lambda w: w.isin(vocabulary)))
-
-
 def _alone(keyword: str) -> str:
     return f"(?<!{WORD}){quote(keyword)}(?!{WORD})"
 
@@ -47,24 +33,9 @@ def _in_text(text: Column, keyword: str) -> Column:
     return text.contains(keyword) & text.rlike(_alone(keyword))
 
 
-def found_keywords(lowered: Column | str, keywords: Iterable[str], known: Column | str) -> Column:
-    """The distinct keywords that stand alone in the text, in no set order.
-    ``known`` is the text's :func:`known_words` column for these keywords."""
-    lists = sorted({k.lower() for k in keywords})
-    plain = [k for k in lists if words_of(k) == [k]]
-    others = [F.struct(F.lit(k).alias("k"), F.array(*[F.lit(w) for w in words_of(k)]).cast("array<string>").alias("words"), F.lit(_alone(k)).alias("alone"))
-              for k in lists if words_of(k) != [k]]
-    single = F.filter(col(known), lambda w: w.isin(plain))
-    if not others:
-        return single
-    there = lambda p: (F.forall(p["words"], lambda w: F.array_contains(col(known), w))
-                       & F.contains(col(lowered), p["k"]) & F.regexp_like(col(lowered), p["alone"]))
-    return F.concat(single, F.transform(F.filter(F.array(*others), there), lambda p: p["k"]))
-
-
 def keyword_hit(lowered: Column | str, keyword: str, found: Column | str | None = None) -> Column:
     """``keyword`` stands alone in an already lower-cased text.  ``found`` is
-    the text's :func:`found_keywords` column, if there is one."""
+    the text's ``phrases.found_keywords`` column, if there is one."""
     kw = keyword.lower()
     return _in_text(col(lowered), kw) if found is None else F.array_contains(col(found), kw)
 

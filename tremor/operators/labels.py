@@ -12,6 +12,7 @@ from tremor import dims
 from tremor import schemas as S
 from tremor.functions import exprs as X
 from tremor.functions import text as TX
+from tremor.functions.phrases import found_keywords
 
 # Fixed values of the coded-event transform.
 GOLDSTEIN_WEIGHT, MENTIONS_WEIGHT, MENTIONS_CAP = 0.65, 0.35, 20
@@ -91,8 +92,7 @@ def label_by_rules(events: DataFrame, d: Dictionary | None = None, event_id: str
     """Full rule label of each (title, text) row: a map-only projection."""
     d = d or Dictionary()
     rows = events.withColumn("_all", TX.combined_text(title, text)).withColumn("_low", F.lower("_all"))
-    rows = rows.withColumn("_words", TX.known_words("_low", d.all_keywords()))
-    rows = rows.withColumn("_found", TX.found_keywords("_low", d.all_keywords(), "_words"))
+    rows = rows.withColumn("_found", found_keywords("_low", d.all_keywords()))
     rows = rows.withColumn("_m", event_type_match("_low", d, "_found"))
     typed, n = F.col("_m").isNotNull(), F.col("_m.n")
     severity = F.when(~typed, F.lit(1)).otherwise(F.coalesce(severity_match("_low", d, "_found"), F.lit(2)))
@@ -156,12 +156,11 @@ def screen_headlines(rows: DataFrame, title: str = "title", confirm: list[str] |
                      reject: list[str] | None = None, out: str = "screen") -> DataFrame:
     """Adds confirm / reject / uncertain: a hit in one list only decides."""
     confirm, reject = confirm or headline_tension_words(), reject or dims.HEADLINE_REJECT
-    rows = rows.withColumn("_low", F.lower(title)).withColumn("_words", TX.known_words("_low", [*confirm, *reject]))
-    rows = rows.withColumn("_found", TX.found_keywords("_low", [*confirm, *reject], "_words"))
+    rows = rows.withColumn("_low", F.lower(title)).withColumn("_found", found_keywords("_low", [*confirm, *reject]))
     rows = rows.withColumn("_geo", TX.any_hit("_low", confirm, "_found")).withColumn("_rej", TX.any_hit("_low", reject, "_found"))
     geo, rej = F.col("_geo"), F.col("_rej")
     return (rows.withColumn(out, F.when(geo & ~rej, "confirm").when(rej & ~geo, "reject").otherwise("uncertain"))
-            .drop("_low", "_words", "_found", "_geo", "_rej"))
+            .drop("_low", "_found", "_geo", "_rej"))
 
 
 def fold_verdicts(answers: DataFrame, event_id: str = "event_id", answer: str = "answer",

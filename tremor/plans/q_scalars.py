@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from tremor import dims
 from tremor.functions import exprs as X
 from tremor.functions import text as TX
+from tremor.functions.phrases import found_keywords
 from tremor.operators import labels as L
 from tremor.operators import ranks
 from tremor.operators import views as V
@@ -218,8 +219,7 @@ TEXT = {"dlow": "SELECT *, lower(alltext) AS low FROM doc", "dcnt": f"SELECT *,
 
 def _low(f):
     d = f.docs.withColumn("all", TX.combined_text("title", "text")).withColumn("low", F.lower("all"))
-    d = d.withColumn("words", TX.known_words("low", D.all_keywords()))
-    return d.withColumn("known", TX.found_keywords("low", D.all_keywords(), "words"))
+    return d.withColumn("known", found_keywords("low", D.all_keywords()))
 
 
 @query("T2_event_type", f"SELECT id, {_TYPE} AS event_type, {_BEST} AS n_hits FROM dcnt", **TEXT)
