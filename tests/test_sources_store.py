@@ -131,6 +131,63 @@ def test_only_touched_partitions_are_read(spark, folder):
         ST.Table(spark, f"{folder}/u", SCHEMA, ["k"], ["d"]).insert_or_replace(t.read())
 
 
+def scan(df):
+    """The file scan of a plan: its partition filters, and the folders it read."""
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    return plan[plan.index("PartitionFilters: ["):].split("]")[0], {os.path.dirname(f).rsplit("/t/")[-1] for f in df.inputFiles()}
+
+
+def test_insert_looks_keys_up_in_their_buckets_only(spark, folder):
+    bucket = "pmod(xxhash64(k), 512)"
+    t = ST.Table(spark, f"{folder}/t", SCHEMA, ["k"], ["b", "m"], {"b": (bucket, ["k"]), "m": ("trunc(d, 'MM')", ["d"])}, sort_by=["d"], ascending=["m"])
+    many = spark.range(4000).select(F.concat(F.lit("k"), "id").alias("k"), F.lit(1).alias("v"), F.date_add(F.lit(D1), (F.col("id") % 60).cast("int")).alias("d"))
+    assert t.insert_or_ignore(many, ["v"]) == {"attempted": 4000, "inserted": 4000, "deduplicated": 0}
+    batch = many.limit(60).unionByName(spark.createDataFrame([(f"n{i}", 2, D2) for i in range(40)], SCHEMA))
+    want = {r[0] for r in batch.select(F.expr(bucket)).distinct().collect()}
+    looked_up = t.stored_keys(batch)
+    filters, folders = scan(looked_up)
+    assert f"b#" in filters and len(want) < 101
+    read = {r[0] for r in looked_up.select(F.expr(bucket)).distinct().collect()}
+    assert read <= want
+    assert {f.split("/")[0] for f in {os.path.dirname(x).split("/t/")[-1] for x in t._stored().where(F.col("b").isin(list(want))).inputFiles()}} >= {f"b={b}" for b in read}
+    assert t.insert_or_ignore(batch, ["v"]) == {"attempted": 100, "inserted": 40, "deduplicated": 60}
+    assert t.insert_or_ignore(batch, ["v"])["inserted"] == 0 and t.read().count() == 4040
+
+
+def test_slice_reads_one_bucket_and_its_months(spark, folder):
+    t = ST.Table(spark, f"{folder}/t", SCHEMA, ["k", "d"], ["b", "m"], {"b": ("pmod(xxhash64(k), 8)", ["k"]), "m": ("trunc(d, 'MM')", ["d"])}, sort_by=["k", "d"], ascending=["m"])
+    rows_ = spark.range(0, 3000).select(F.concat(F.lit("k"), (F.col("id") % 20)).alias("k"), F.col("id").cast("int").alias("v"), F.date_add(F.lit(D1), F.floor(F.col("id") / 20).cast("int")).alias("d"))
+    t.insert_or_ignore(rows_, ["v"])
+    one = t.slice({"k": "k3"}, ("d", D2, dt.date(2024, 2, 10)))
+    filters, _ = scan(one)
+    assert "(b#" in filters and "m#" in filters
+    assert one.count() == 40 and {r.k for r in one.collect()} == {"k3"}
+    assert t.slice(span=("d", None, D1)).count() == 20 and t.slice().count() == 3000
+
+
+def test_compaction_follows_size(spark, folder):
+    t = ST.Table(spark, f"{folder}/t", SCHEMA, ["k"], ["b"], {"b": ("pmod(xxhash64(k), 2)", ["k"])}, sort_by=["d"])
+    for i in range(5):
+        t.insert_or_ignore(spark.createDataFrame([(f"{i}-{j}", j, D1) for j in range(20)], SCHEMA), ["v"])
+    before = rows(t)
+    assert min(r.files for r in t.file_counts().collect()) >= 5
+    assert t.compact() == 2 and rows(t) == before
+    assert [r.files for r in t.file_counts().collect()] == [1, 1] and t.compact() == 0
+    assert ST.Table(spark, f"{folder}/none", SCHEMA, ["k"], ["d"]).compact() == 0
+
+
+def test_failure_between_commit_and_removal_is_reported_and_repaired(spark, table, monkeypatch):
+    """A folder that loses its last row goes after the commit of the others: if
+    that fails the call fails, and running it again ends the work."""
+    gone = spark.createDataFrame([("c", D2), ("a", D1)], "k string, d date")
+    monkeypatch.setattr(table, "_path", lambda p: (_ for _ in ()).throw(OSError("lost")) if "d=2024" in p else ST.Table._path(table, p))
+    with pytest.raises(OSError):
+        table.delete(gone, ["k", "d"])
+    monkeypatch.undo()
+    table.delete(gone, ["k", "d"])
+    assert rows(table) == [("b", 2, D1)]
+
+
 @pytest.mark.parametrize("bad", ["<![foo[ x", "<![ ]><title>t</title>"])
 def test_bad_markup_costs_one_title(spark, bad):
     pages = spark.createDataFrame([("a", bad), ("b", "<title>fine</title>")], "url string, html string")

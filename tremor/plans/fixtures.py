@@ -6,6 +6,7 @@ limits or samples: work grows with the tables.
 
 from __future__ import annotations
 
+import uuid
 from functools import cached_property
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -17,7 +18,9 @@ from tremor.operators import features as FE
 from tremor.operators import graph as G
 from tremor.operators import labels as L
 from tremor.operators import scoring as SC
-from tremor.session import materialize
+from tremor.plans.jobs import Store
+from tremor.session import materialize, shared_dir
+from tremor.sources.store import Table
 
 NATIONS = [f"NATION_{i}" for i in range(25)]
 NATION_MAP = {n: n for n in NATIONS}
@@ -199,6 +202,22 @@ class Fixture:
         t = self.raw.select(F.col("id").alias("event_id"), "title", "url")
         return SC.event_catalog(self.clusters).join(t, "event_id", "left")
 
+    # -- stored tables ------------------------------------------------------
+    @cached_property
+    def store(self) -> Store:
+        """The jobs' tables in a folder of their own, empty at first."""
+        return Store(self.spark, f"{shared_dir(self.spark)}/store-{uuid.uuid4().hex}")
+
+    @cached_property
+    def stored_bars(self) -> Table:
+        self.store.bars.insert_or_ignore(self.bars, ["volume"])
+        return self.store.bars
+
+    @cached_property
+    def stored_scores(self) -> Table:
+        self.store.scores.insert_or_replace(self.daily)
+        return self.store.scores
+
     # -- prices -------------------------------------------------------------
     @cached_property
     def bars(self) -> DataFrame:

@@ -50,8 +50,10 @@ PREDICTIONS = T.StructType([
     T.StructField("predicted", T.DoubleType()), T.StructField("split", T.StringType()), T.StructField("label_date", T.DateType())])
 
 
-#: folders per label source: deletes and rewrites touch the buckets of their ids
+#: folders of ids: inserts look keys up in the buckets of their ids, deletes and rewrites touch those
 BUCKETS = 32
+#: folders of tickers: a history reads one
+TICKER_BUCKETS = 8
 
 
 SPLIT_BOUNDS = T.StructType([
@@ -90,25 +92,44 @@ class Graph:
 class Store:
     """The tables under one root folder."""
 
-    def __init__(self, spark: SparkSession, root: str) -> None:
-        def table(name: str, schema: T.StructType, keys: list[str], part: list[str], derive: dict | None = None) -> Table:
-            return Table(spark, f"{root.rstrip('/')}/{name}", schema, keys, part, derive)
+    def __init__(self, spark: SparkSession, root: str, buckets: int = BUCKETS, ticker_buckets: int = TICKER_BUCKETS) -> None:
+        def of(name: str, made_of: str, n: int) -> dict:
+            return {name: (f"pmod(xxhash64({made_of}), {n})", [made_of])}
 
-        bucket = {"bucket": (f"pmod(xxhash64(event_id), {BUCKETS})", ["event_id"])}
+        def table(name: str, schema: T.StructType, keys: list[str], part: list[str], **layout) -> Table:
+            return Table(spark, f"{root.rstrip('/')}/{name}", schema, keys, part, **layout)
 
+        def series(name: str, schema: T.StructType, keys: list[str], period: str, date: str = "date", lead: tuple = ()) -> Table:
+            """Folders of a ticker bucket and a period, rows by ticker and date."""
+            step = {"year": f"year({date})", "month": f"trunc({date}, 'MM')"}[period]
+            return table(name, schema, keys, [*lead, "bucket", period], derive={**of("bucket", "ticker", ticker_buckets), period: (step, [date])},
+                         sort_by=[k for k in keys if k not in lead], ascending=[period])
+
+        event = of("bucket", "event_id", buckets)
         self.spark = spark
-        self.raw_events = table("raw_events", S.RAW_EVENTS, ["id"], ["day"], {"day": ("to_date(published_at)", ["published_at"])})
-        self.labels = table("classified_events", S.CLASSIFIED, ["event_id", "label_source"], ["label_source", "bucket"], bucket)
-        self.ledger = table("content_checked", S.CONTENT_LEDGER, ["event_id"], ["bucket"], bucket)
-        self.bars = table("daily_prices", S.DAILY_BARS, ["ticker", "date"], ["date"])
-        self.scores = table("scores_daily", S.DAILY_SCORES, ["ticker", "date"], ["date"])
-        self.attribution = table("attribution_daily", ATTRIBUTION, ["ticker", "date", "rank"], ["date"])
-        self.catalog = table("event_catalog", CATALOG, ["event_id", "label_source"], ["published_date"])
-        self.features = table("features_daily", FEATURES, ["ticker", "date"], ["date"])
+        self.raw_events = table("raw_events", S.RAW_EVENTS, ["id"], ["bucket", "month"], sort_by=["published_at"], ascending=["month"],
+                                derive={**of("bucket", "id", buckets), "month": ("trunc(published_at, 'MM')", ["published_at"])})
+        self.labels = table("classified_events", S.CLASSIFIED, ["event_id", "label_source"], ["label_source", "bucket"], derive=event)
+        self.ledger = table("content_checked", S.CONTENT_LEDGER, ["event_id"], ["bucket"], derive=event)
+        self.bars = series("daily_prices", S.DAILY_BARS, ["ticker", "date"], "year")
+        self.scores = series("scores_daily", S.DAILY_SCORES, ["ticker", "date"], "month")
+        self.attribution = series("attribution_daily", ATTRIBUTION, ["ticker", "date", "rank"], "month")
+        self.catalog = table("event_catalog", CATALOG, ["event_id", "label_source"], ["month"], sort_by=["published_at"], ascending=["month"],
+                             derive={"month": ("trunc(published_date, 'MM')", ["published_date"])})
+        self.features = series("features_daily", FEATURES, ["ticker", "date"], "year")
         self.bounds = table("walk_forward_bounds", SPLIT_BOUNDS, ["fold_id", "ticker", "split"], ["fold_id"])
         self.calibration = table("calibration", CALIBRATION, ["variant", "step"], ["variant"])
-        self.forecasts = table("forecasts", FORECAST, ["ticker", "variant", "as_of_date", "horizon_step"], ["as_of_date"])
-        self.predictions = table("predictions", PREDICTIONS, ["ticker", "variant", "label_date"], ["variant", "label_date"])
+        self.forecasts = table("forecasts", FORECAST, ["ticker", "variant", "as_of_date", "horizon_step"], ["as_of_date"], sort_by=["ticker"])
+        self.predictions = series("predictions", PREDICTIONS, ["variant", "ticker", "label_date"], "year", "label_date", ("variant",))
+
+    def tables(self) -> dict[str, Table]:
+        return {name: t for name, t in vars(self).items() if isinstance(t, Table)}
+
+
+def compact(store: Store, max_files: int = 4) -> dict[str, int]:
+    """Folds the files of folders that many inserts have filled; a table's
+    number of files then follows its size.  Gives the folders rewritten."""
+    return {name: t.compact(max_files) for name, t in store.tables().items()}
 
 
 def ingest(store: Store, sources: dict[str, DataFrame]) -> list[dict]:
@@ -152,8 +173,8 @@ def rebuild_scores(store: Store, graph: Graph, start: Column, end: Column, since
                    titles: DataFrame | None = None) -> None:
     """Clusters once; then catalog, daily scores and attribution from them."""
     ledger = store.ledger.read() if store.ledger.exists() else None
-    # the day folder bounds what is read; the scorable filter then cuts at the instant
-    raw = store.raw_events.read(None if since is None else F.col("day") >= F.to_date(since))
+    # the month folder bounds what is read; the scorable filter then cuts at the instant
+    raw = store.raw_events.read(None if since is None else F.col("month") >= F.trunc(since, "MM"))
     events = L.scorable(store.labels.read(), raw, ledger, since=since)
     clusters = materialize(SC.build_clusters(events, graph.country_nodes), "clusters")
 
@@ -167,7 +188,7 @@ def rebuild_scores(store: Store, graph: Graph, start: Column, end: Column, since
     catalog = (catalog.withColumn("title", F.coalesce("own_title", "scraped"))
                .withColumn("published_date", F.to_date("published_at")))
     first = F.lit("1900-01-01").cast("timestamp") if since is None else since
-    store.catalog.rebuild_window(catalog, "published_at", first, F.col("published_date") >= F.to_date(first))
+    store.catalog.rebuild_window(catalog, "published_at", first, F.col("month") >= F.trunc(first, "MM"))
 
     spread = materialize(SC.spread_days(SC.cluster_reach(clusters, graph.reach()), start, end), "contributions")
     store.scores.insert_or_replace(SC.daily_scores(spread, graph.stocks(), start, end))

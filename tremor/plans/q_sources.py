@@ -1,8 +1,10 @@
 """Sources, sinks and set operations."""
 
 import uuid
+from datetime import date
 
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tremor import schemas as S
 from tremor.functions import exprs as X
@@ -16,7 +18,7 @@ from tremor.sources import bars as B
 from tremor.sources import coded as C
 from tremor.sources import feeds as FD
 from tremor.sources import store as ST
-from tremor.session import shared_dir
+from tremor.session import materialize, shared_dir
 
 NOW = "2024-02-01 00:00:00"
 
@@ -165,7 +167,8 @@ def s9(f):
 
 @query("S10_table_scan", "SELECT ticker, date, adj_close, volume FROM bars WHERE date >= DATE '1998-01-01'")
 def s10(f):
-    return V.history(f.bars, start="1998-01-01").select("ticker", "date", "adj_close", "volume")
+    rows = f.stored_bars.slice(span=("date", date(1998, 1, 1), None))
+    return V.history(rows).select("ticker", "date", "adj_close", "volume")
 
 
 @query("S11_unlabelled_scan", "SELECT id FROM rawev r WHERE source = 'gdelt' AND NOT EXISTS (SELECT 1 FROM lab l WHERE l.event_id = r.id AND l.label_source = 'gdelt_derived')")
@@ -274,13 +277,30 @@ def w7(f):
     return ST.day_ledger(seen, FX.day("2023-12-30"), FX.day("2024-02-02"), f.spark)
 
 
+@query("W1_stored_insert", """SELECT event_id, d, round(v, 4) AS v, attempted, inserted FROM
+    (SELECT event_id, d, v, (SELECT count(*) FROM oldt) AS attempted, (SELECT count(*) FROM oldt) AS inserted FROM oldt
+     UNION ALL SELECT event_id, d, v, (SELECT count(*) FROM bat), (SELECT count(*) FROM one WHERE event_id NOT IN (SELECT event_id FROM oldt))
+     FROM one WHERE event_id NOT IN (SELECT event_id FROM oldt))""", **MERGE)
+def w1_stored(f):
+    """The stored form: the old pull, then the overlapping one, twice; every
+    row with the counts of the run that inserted it."""
+    schema = T.StructType([T.StructField("event_id", T.StringType()), T.StructField("v", T.DoubleType()), T.StructField("d", T.DateType())])
+    path = f"{shared_dir(f.spark)}/w1-{uuid.uuid4().hex}"
+    t = ST.Table(f.spark, path, schema, ["event_id"], ["bucket", "month"], sort_by=["d"], ascending=["month"],
+                 derive={"bucket": ("pmod(xxhash64(event_id), 16)", ["event_id"]), "month": ("trunc(d, 'MM')", ["d"])})
+    first = t.insert_or_ignore(_old(f), ["v"])
+    before = t.read().select("event_id", F.lit(True).alias("was_there"))
+    before = materialize(before, "w1-before")
+    second = t.insert_or_ignore(_batch(f), ["v"])
+    third = t.insert_or_ignore(_batch(f), ["v"])
+    assert third["inserted"] == 0 and third["attempted"] == second["attempted"]
+    of = lambda c: F.when(F.col("was_there"), F.lit(first[c])).otherwise(F.lit(second[c])).cast("bigint").alias(c)
+    return t.read().join(before, "event_id", "left").select("event_id", "d", F.round("v", 4).alias("v"), of("attempted"), of("inserted"))
+
+
 @query("W1_table_append_twice", "SELECT CAST(count(*) AS BIGINT) AS n_rows, CAST(count(*) AS BIGINT) AS first_inserted, CAST(0 AS BIGINT) AS second_inserted FROM ev")
 def w1_table(f):
     """The stored form: two runs of the same batch, the second inserts none."""
-    import uuid
-
-    from pyspark.sql import types as T
-
     schema = T.StructType([T.StructField("event_id", T.StringType()), T.StructField("v", T.DoubleType()), T.StructField("d", T.DateType())])
     path = f"{shared_dir(f.spark)}/w1-{uuid.uuid4().hex}"
     t = ST.Table(f.spark, path, schema, ["event_id"], ["d"])

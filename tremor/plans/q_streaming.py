@@ -40,8 +40,10 @@ def _place(f: Fixture, name: str) -> str:
     return f"{shared_dir(f.spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def _table(f: Fixture, place: str, schema: T.StructType, keys: list[str], part: list[str]) -> Table:
-    return Table(f.spark, f"{place}/table", schema, keys, part)
+def _table(f: Fixture, place: str, schema: T.StructType, keys: list[str], part: list[str], bucket_of: str | None = None) -> Table:
+    """``bucket_of``: a key column whose buckets bound a batch's look-up."""
+    derive = {"bucket": (f"pmod(xxhash64({bucket_of}), 16)", [bucket_of])} if bucket_of else {}
+    return Table(f.spark, f"{place}/table", schema, keys, [*derive, *part], derive)
 
 
 IDS = T.StructType([T.StructField("id", T.StringType()), T.StructField("d", T.DateType()), T.StructField("published_us", T.LongType())])
@@ -56,7 +58,7 @@ def _repeated(s: StreamFixture) -> DataFrame:
 
 def _ingest(f: Fixture):
     place = _place(f, "r1")
-    table = _table(f, place, IDS, ["id"], ["d"])
+    table = _table(f, place, IDS, ["id"], [], "id")
     stream = ST.deduplicated(_repeated(StreamFixture(f.spark, f.dir)))
     # The keyed sink runs a shuffle per micro-batch, as a batch job would.
     q = ST.start(stream, ST.insert_sink(table, ["published_us"]), f"{place}/checkpoint", place.rsplit("/", 1)[-1])
@@ -82,7 +84,7 @@ def r2(f):
     s = StreamFixture(f.spark, f.dir).events
     lab = L.label_coded(s, F.col("event_id"), F.col("quad"), F.col("goldstein"), F.col("k0"),
                         X.coded_countries("actor1", "actor2", F.lit("-"), FX.NATION_MAP, {"x": "x"}))
-    table = _table(f, place, LABELS, ["event_id", "label_source"], ["label_source"])
+    table = _table(f, place, LABELS, ["event_id", "label_source"], ["label_source"], "event_id")
     ST.start(lab.select(*LABELS.fieldNames()), ST.insert_sink(table, ["event_id"]), f"{place}/checkpoint", place.rsplit("/", 1)[-1]).awaitTermination()
     return table.read()
 

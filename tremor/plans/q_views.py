@@ -1,5 +1,7 @@
 """Read queries and the joins behind them."""
 
+from datetime import date
+
 from pyspark.sql import functions as F
 
 from tremor.operators import graph as G
@@ -50,12 +52,13 @@ def j18(f):
 
 @query("Q1_score_history", "SELECT ticker, date, round(score, 8) AS score, n_clusters FROM dly WHERE date BETWEEN DATE '2024-01-05' AND DATE '2024-01-20'")
 def q1(f):
-    return V.history(f.daily, None, "2024-01-05", "2024-01-20").select("ticker", "date", F.round("score", 8).alias("score"), "n_clusters")
+    rows = f.stored_scores.slice(span=("date", date(2024, 1, 5), date(2024, 1, 20)))
+    return V.history(rows).select("ticker", "date", F.round("score", 8).alias("score"), "n_clusters")
 
 
 @query("Q2_price_history", "SELECT ticker, date, open, high, low, close, volume FROM (SELECT *, max(date) OVER (PARTITION BY ticker) AS newest FROM bars) WHERE date >= newest - 730")
 def q2(f):
-    return V.last_days(f.bars).select("ticker", "date", "open", "high", "low", "close", "volume")
+    return V.last_days(f.stored_bars.read()).select("ticker", "date", "open", "high", "low", "close", "volume")
 
 
 @query("Q3_new_event_dates", "SELECT ticker, date, event_id, event_type, label_source, ck AS corridor FROM att WHERE rank = 1 AND days_since = 0")
@@ -146,6 +149,6 @@ def q15(f):
 
 @query("V13_price_ticker_tape", "SELECT ticker, date, close, prior AS prior_close, round((close - prior) / prior * 100, 6) AS pct, CASE WHEN prior IS NULL THEN '' WHEN close >= prior THEN 'yes' ELSE 'no' END AS direction FROM (SELECT *, lag(close) OVER (PARTITION BY ticker ORDER BY date) AS prior FROM bars) QUALIFY row_number() OVER (PARTITION BY ticker ORDER BY date DESC) = 1")
 def v13b(f):
-    d = V.deltas(B.latest_bars(f.bars))
+    d = V.deltas(B.latest_bars(f.stored_bars.read()))
     return d.withColumn("pct", F.round("pct", 6))
 
