@@ -62,6 +62,68 @@ def test_pipeline(spark, world):
     assert jobs.label(store)["gdelt"]["inserted"] == 0
 
 
+def stored(store):
+    r6 = lambda r, *c: tuple(round(r[x], 9) if isinstance(r[x], float) else str(r[x]) for x in c)
+    return (sorted(r6(r, "ticker", "date", "score", "direction", "direction_coverage", "n_clusters") for r in store.scores.read().collect()),
+            sorted(r6(r, "ticker", "date", "rank", "event_id", "contribution", "path") for r in store.attribution.read().collect()),
+            sorted(r6(r, "event_id", "label_source", "title", "published_at") for r in store.catalog.read().collect()))
+
+
+def labelled_events(spark, n):
+    """Labels with publish times over half a year, several to a cluster."""
+    import random
+
+    rng = random.Random(n)
+    kinds, places = [dims.TENSION, "natural_disaster", "trade_export_control"], [["Taiwan"], ["United States"], ["South Korea", "Taiwan"]]
+    rows = []
+    for i in range(n):
+        t = dt.datetime(2024, 1, 1, 6) + dt.timedelta(days=rng.randrange(180), minutes=rng.randrange(600))
+        rows.append((f"e{i}", rng.choice(kinds), rng.choice([.2, .5, .8]), .5, rng.choice([None, -.5]), rng.choice(places), "rule_based", t))
+    schema = "event_id string, event_type string, severity_score double, confidence double, polarity double, countries array<string>, label_source string, published_at timestamp"
+    return spark.createDataFrame(rows, schema)
+
+
+def test_late_rows_reach_their_days_and_no_others(spark, tmp_path):
+    """Three batches, each late for the ones before, against one rebuild; a
+    batch that comes twice; folders of days out of reach keep their files."""
+    import os
+
+    from tremor.operators import scoring as SC
+
+    graph = jobs.Graph.builtin(spark)
+    reach, stocks = graph.reach().cache(), graph.stocks()
+    start, end = (F.lit(d).cast("date") for d in ("2024-01-01", "2024-07-15"))
+    events = labelled_events(spark, 120)
+    raw_rows = events.select(F.col("event_id").alias("id"), F.lit("rss").alias("source"), F.col("event_id").alias("source_id"), "published_at",
+                             F.col("published_at").alias("ingested_at"), F.concat(F.lit("title "), "event_id").alias("title"), F.lit("x").alias("text"),
+                             F.lit("http://x").alias("url"), F.lit(None).cast("string").alias("raw_metadata"))
+    whole, live = jobs.Store(spark, str(tmp_path / "whole"), ticker_buckets=2), jobs.Store(spark, str(tmp_path / "live"), ticker_buckets=2)
+    for s in (whole, live):
+        s.raw_events.insert_or_ignore(raw_rows, ["source"])
+    clusters = SC.build_clusters(events, graph.country_nodes)
+    spread = SC.spread_days(SC.cluster_reach(clusters, reach), start, end)
+    whole.scores.insert_or_replace(SC.daily_scores(spread, stocks, start, end))
+    whole.attribution.replace_groups(SC.attribution(spread), ["ticker", "date"])
+    whole.catalog.insert_or_replace(jobs.catalog_rows(clusters, whole.raw_events.read(), None))
+
+    assert jobs.extend_days(live, stocks, reach, start, F.lit("2024-06-30").cast("date")) == 23 * 182
+    batch = lambda i: events.where(F.pmod(F.xxhash64("event_id"), F.lit(3)) == i)
+    seen = [jobs.refresh_scores(live, batch(i), reach, graph.country_nodes, start, end) for i in range(3)]
+    assert seen[0]["clusters"] and any(s["replaced"] for s in seen[1:])
+    assert jobs.refresh_scores(live, batch(1), reach, graph.country_nodes, start, end) == {"clusters": 0, "replaced": 0, "days": 0}
+    jobs.extend_days(live, stocks, reach, start, end)  # days of July that no event reaches
+    assert jobs.extend_days(live, stocks, reach, start, end) == 0
+    assert stored(live) == stored(whole)
+
+    files = lambda: {f: os.stat(f.removeprefix("file:")).st_mtime_ns for f in live.scores.read().inputFiles()}
+    before = files()
+    late = labelled_events(spark, 1).withColumn("published_at", F.lit("2024-04-02 10:00:00").cast("timestamp")).withColumn("event_id", F.lit("late")).withColumn("severity_score", F.lit(.9))
+    assert jobs.refresh_scores(live, late, reach, graph.country_nodes, start, end)["clusters"] == 1
+    after = files()
+    months = {f.split("month=")[1][:7] for f in set(before.items()) ^ set(after.items()) for f in [f[0]]}
+    assert months <= {"2024-04", "2024-05"} and months
+
+
 def test_features_and_forecast(spark, world, tmp_path):
     import math
 

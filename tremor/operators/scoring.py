@@ -56,6 +56,29 @@ def build_clusters(events: DataFrame, country_nodes: Sequence[str],
             .select(*CLUSTER_KEY, (-F.col("r.neg_k")).alias("k"), "r.corridor", *[f"r.{c}" for c in cols]))
 
 
+def changed_clusters(stored: DataFrame, fresh: DataFrame) -> DataFrame:
+    """The clusters of new events that have no stored representative or beat
+    it (larger k, then event id and source), with the one they replace as
+    ``old_event_id``, ``old_label_source``.  What ties with the stored one is
+    the same event again and changes nothing."""
+    old = stored.select(*CLUSTER_KEY, F.col("k").alias("old_k"), F.col("event_id").alias("old_event_id"), F.col("label_source").alias("old_label_source"))
+    new_is = F.struct((-F.col("k")).alias("n"), F.col("event_id").alias("e"), F.col("label_source").alias("l"))
+    old_is = F.struct((-F.col("old_k")).alias("n"), F.col("old_event_id").alias("e"), F.col("old_label_source").alias("l"))
+    return fresh.join(old, CLUSTER_KEY, "left").where(F.col("old_k").isNull() | (new_is < old_is)).drop("old_k")
+
+
+def with_changes(stored: DataFrame, changed: DataFrame) -> DataFrame:
+    """The stored clusters with the changed ones in their place."""
+    return stored.join(changed.select(*CLUSTER_KEY), CLUSTER_KEY, "left_anti").unionByName(changed.select(*stored.columns))
+
+
+def reached_days(changed: DataFrame, reach_table: DataFrame, start: Column, end: Column,
+                 half_life: float = dims.HALF_LIFE_DAYS, epsilon: float = dims.EPSILON) -> DataFrame:
+    """(ticker, date) pairs whose score the changed clusters enter: the stocks
+    they reach, on the days from their own date until decay ends."""
+    return spread_days(cluster_reach(changed, reach_table), start, end, half_life, epsilon).select("ticker", "date").distinct()
+
+
 def cluster_reach(clusters: DataFrame, reach_table: DataFrame) -> DataFrame:
     """Clusters x the stocks they reach with a non-zero impact."""
     pairs = clusters.select("corridor_key", "corridor", "event_type").dropDuplicates(["corridor_key", "event_type"])
@@ -101,8 +124,13 @@ def calendar(stocks: DataFrame, start: Column, end: Column) -> DataFrame:
 
 def daily_scores(contributions: DataFrame, stocks: DataFrame, start: Column, end: Column) -> DataFrame:
     """One row per (stock, calendar day), also where nothing contributes."""
+    return scores_of(calendar(stocks, start, end), contributions)
+
+
+def scores_of(pairs: DataFrame, contributions: DataFrame) -> DataFrame:
+    """Scores of given (ticker, date) pairs; 0 where nothing contributes."""
     agg = contributions.groupBy("ticker", "date").agg(*score_columns())
-    return (calendar(stocks, start, end).join(agg, ["ticker", "date"], "left")
+    return (pairs.join(agg, ["ticker", "date"], "left")
             .select("ticker", "date", F.coalesce("score", F.lit(0.0)).alias("score"), "direction",
                     F.coalesce("direction_coverage", F.lit(0.0)).alias("direction_coverage"),
                     F.coalesce("n_clusters", F.lit(0)).alias("n_clusters")))

@@ -40,6 +40,11 @@ CATALOG = T.StructType([
     T.StructField("severity_score", T.DoubleType()), T.StructField("confidence", T.DoubleType()), T.StructField("polarity", T.DoubleType()),
     T.StructField("countries", _ARRAY), T.StructField("published_at", T.TimestampType()), T.StructField("url", T.StringType()),
     T.StructField("title", T.StringType()), T.StructField("published_date", T.DateType())])
+CLUSTERS = T.StructType([
+    T.StructField("cluster_date", T.DateType()), T.StructField("event_type", T.StringType()), T.StructField("corridor_key", T.StringType()),
+    T.StructField("k", T.DoubleType()), T.StructField("corridor", _ARRAY), T.StructField("event_id", T.StringType()),
+    T.StructField("label_source", T.StringType()), T.StructField("polarity", T.DoubleType()), T.StructField("severity_score", T.DoubleType()),
+    T.StructField("confidence", T.DoubleType()), T.StructField("countries", _ARRAY), T.StructField("published_at", T.TimestampType())])
 FEATURES = T.StructType([
     T.StructField("ticker", T.StringType()), T.StructField("adj_close", T.DoubleType()), T.StructField("daily_return", T.DoubleType()),
     T.StructField("sma_short", T.DoubleType()), T.StructField("sma_long", T.DoubleType()), T.StructField("volatility_10", T.DoubleType()),
@@ -112,9 +117,11 @@ class Store:
         self.labels = table("classified_events", S.CLASSIFIED, ["event_id", "label_source"], ["label_source", "bucket"], derive=event)
         self.ledger = table("content_checked", S.CONTENT_LEDGER, ["event_id"], ["bucket"], derive=event)
         self.bars = series("daily_prices", S.DAILY_BARS, ["ticker", "date"], "year")
+        self.clusters = table("event_clusters", CLUSTERS, SC.CLUSTER_KEY, ["month"], sort_by=["cluster_date"], ascending=["month"],
+                              derive={"month": ("trunc(cluster_date, 'MM')", ["cluster_date"])})
         self.scores = series("scores_daily", S.DAILY_SCORES, ["ticker", "date"], "month")
         self.attribution = series("attribution_daily", ATTRIBUTION, ["ticker", "date", "rank"], "month")
-        self.catalog = table("event_catalog", CATALOG, ["event_id", "label_source"], ["month"], sort_by=["published_at"], ascending=["month"],
+        self.catalog = table("event_catalog", CATALOG, ["event_id", "label_source", "published_date"], ["month"], sort_by=["published_at"], ascending=["month"],
                              derive={"month": ("trunc(published_date, 'MM')", ["published_date"])})
         self.features = series("features_daily", FEATURES, ["ticker", "date"], "year")
         self.bounds = table("walk_forward_bounds", SPLIT_BOUNDS, ["fold_id", "ticker", "split"], ["fold_id"])
@@ -178,20 +185,77 @@ def rebuild_scores(store: Store, graph: Graph, start: Column, end: Column, since
     events = L.scorable(store.labels.read(), raw, ledger, since=since)
     clusters = materialize(SC.build_clusters(events, graph.country_nodes), "clusters")
 
-    catalog = SC.event_catalog(clusters)
+    first = F.lit("1900-01-01").cast("timestamp") if since is None else since
+    store.clusters.rebuild_window(clusters, "cluster_date", F.to_date(first), F.col("month") >= F.trunc(first, "MM"))
+    store.catalog.rebuild_window(catalog_rows(clusters, raw, titles), "published_at", first, F.col("month") >= F.trunc(first, "MM"))
+
+    spread = materialize(SC.spread_days(SC.cluster_reach(clusters, graph.reach()), start, end), "contributions")
+    store.scores.insert_or_replace(SC.daily_scores(spread, graph.stocks(), start, end))
+    store.attribution.replace_groups(SC.attribution(spread), ["ticker", "date"])
+
+
+def catalog_rows(clusters: DataFrame, raw: DataFrame, titles: DataFrame | None) -> DataFrame:
+    """Catalog of the clusters' representatives; scraped titles fill gaps."""
     own = raw.select(F.col("id").alias("event_id"), "url", F.col("title").alias("own_title"))
-    catalog = catalog.join(own, "event_id", "left")
+    catalog = SC.event_catalog(clusters).join(own, "event_id", "left")
     if titles is not None:
         catalog = catalog.join(titles.where("status = 'ok'").select("url", F.col("title").alias("scraped")), "url", "left")
     else:
         catalog = catalog.withColumn("scraped", F.lit(None).cast("string"))
-    catalog = (catalog.withColumn("title", F.coalesce("own_title", "scraped"))
-               .withColumn("published_date", F.to_date("published_at")))
-    first = F.lit("1900-01-01").cast("timestamp") if since is None else since
-    store.catalog.rebuild_window(catalog, "published_at", first, F.col("month") >= F.trunc(first, "MM"))
+    return (catalog.withColumn("title", F.coalesce("own_title", "scraped"))
+            .withColumn("published_date", F.to_date("published_at")).select(*CATALOG.fieldNames()))
 
-    spread = materialize(SC.spread_days(SC.cluster_reach(clusters, graph.reach()), start, end), "contributions")
-    store.scores.insert_or_replace(SC.daily_scores(spread, graph.stocks(), start, end))
+
+def refresh_scores(store: Store, events: DataFrame, reach: DataFrame, country_nodes: Sequence[str], start: Column, end: Column,
+                   titles: DataFrame | None = None) -> dict[str, int]:
+    """Brings clusters, catalog, scores and attribution up to date with events
+    that became scorable, however late they are.
+
+    Only what they change is computed again: the clusters they win, and the
+    (stock, day) pairs those reach until decay ends.  Of the stored clusters the
+    months that those days can see are read, and only folders that hold changed
+    rows are written.  The clusters are stored last: if a run is lost on the
+    way, running it again finds the same changes and ends the work, and a batch
+    seen before changes nothing.
+    """
+    fresh = materialize(SC.build_clusters(events, country_nodes), "fresh-clusters")
+    changed = materialize(SC.changed_clusters(store.clusters.near(fresh), fresh), "changed-clusters")
+    replaced = changed.where("old_event_id is not null")
+    pairs = materialize(SC.reached_days(changed, reach, start, end), "changed-days")
+    n = {"clusters": changed.count(), "replaced": replaced.count(), "days": pairs.count()}
+    if n["clusters"]:
+        _score_days(store, pairs, lambda stored: SC.with_changes(stored, changed), reach, start, end)
+        # a cluster's date is the day its representative was published
+        gone = replaced.select(F.col("old_event_id").alias("event_id"), F.col("old_label_source").alias("label_source"),
+                               F.col("cluster_date").alias("published_date"))
+        store.catalog.delete(gone, store.catalog.keys)
+        ids = changed.select(F.col("event_id").alias("id"))
+        store.catalog.insert_or_replace(catalog_rows(changed, store.raw_events.near(ids), titles))
+        store.clusters.insert_or_replace(changed.drop("old_event_id", "old_label_source"))
+    return n
+
+
+def extend_days(store: Store, stocks: DataFrame, reach: DataFrame, start: Column, end: Column) -> int:
+    """Scores and attribution of the days in [start, end] that have none yet,
+    for every stock; gives the number of (stock, day) pairs added."""
+    days = SC.calendar(stocks, start, end)
+    pairs = materialize(days.join(store.scores.near(days), ["ticker", "date"], "left_anti"), "new-days")
+    n = pairs.count()
+    if n:
+        _score_days(store, pairs, lambda stored: stored, reach, start, end)
+    return n
+
+
+def _score_days(store: Store, pairs: DataFrame, clusters_now, reach: DataFrame, start: Column, end: Column) -> None:
+    """Scores and attribution of (ticker, date) pairs from the clusters that
+    their days can see: those of the day itself and of the days before it
+    until decay ends."""
+    back = F.sequence(F.date_sub("date", dims.lookback_days()), F.col("date"))
+    seen = pairs.select("date").distinct().select(F.explode(back).alias("cluster_date")).distinct()
+    clusters = clusters_now(store.clusters.near(seen, ["cluster_date"])).join(seen, "cluster_date", "left_semi")
+    spread = SC.spread_days(SC.cluster_reach(clusters, reach), start, end).join(pairs, ["ticker", "date"], "left_semi")
+    spread = materialize(spread, "changed-contributions")
+    store.scores.insert_or_replace(SC.scores_of(pairs, spread))
     store.attribution.replace_groups(SC.attribution(spread), ["ticker", "date"])
 
 

@@ -12,9 +12,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tremor import dims
 from tremor.functions import exprs as X
+from tremor.operators import graph as G
 from tremor.operators import labels as L
 from tremor.plans import fixtures as FX
+from tremor.plans import jobs
 from tremor.plans.fixtures import Fixture
 from tremor.plans.oracle import band
 from tremor.plans.registry import query
@@ -101,6 +104,54 @@ def r3(f):
     return table.read().withColumn("k", F.round("k", 9))
 
 
+PARTS = 2
+
+
+def _maintained(f: Fixture):
+    """Scores kept up to date by micro-batches: the events land in files by a
+    hash of their id, so every batch holds days of the whole span, and most of
+    its rows are late."""
+    place = _place(f, "upkeep")
+    parts = f.spark.read.schema(RAW).parquet(f"{f.dir}/events.parquet").withColumn("part", F.pmod(F.xxhash64("event_id"), F.lit(PARTS)))
+    for i in range(PARTS):
+        parts.where(F.col("part") == i).drop("part").coalesce(1).write.mode("append").parquet(f"{place}/in")
+
+    class Landed(StreamFixture):
+        def table(self, name: str) -> DataFrame:
+            if name != "events":
+                return Fixture.table(self, name)
+            return ST.landing(self.spark, f"{place}/in", RAW, max_files=1)
+
+    # The gate's verdicts are those of the ledger; each event meets its own only.
+    events = Landed(f.spark, f.dir).labels
+    confirmed = f.ledger.where(F.col("verdict") == dims.CONFIRMED).select("event_id", F.lit(True).alias("ok"))
+    store, reach, stocks = f.store, f.reach, f.stocks
+    start, end = f.span
+    jobs.extend_days(store, stocks, reach, start, end)
+
+    def refresh(batch: DataFrame) -> None:
+        gated = (F.col("label_source") == dims.CODED_SOURCE) & (F.col("event_type") == dims.TENSION)
+        rows = batch.join(confirmed, "event_id", "left").where(~gated | F.col("ok")).drop("ok", "eid")
+        jobs.refresh_scores(store, rows, reach, FX.NATIONS, start, end)
+
+    q = ST.start(events, ST.refresh_sink(refresh), f"{place}/checkpoint", place.rsplit("/", 1)[-1])
+    q.awaitTermination()
+    return store
+
+
+@query("R3_maintained_scores", "SELECT ticker, date, round(score, 8) AS score, round(direction, 8) AS direction, round(direction_coverage, 8) AS direction_coverage, n_clusters FROM dly")
+def r3_scores(f):
+    r = _maintained(f).scores.read()
+    return r.select("ticker", "date", *[F.round(c, 8).alias(c) for c in ("score", "direction", "direction_coverage")], "n_clusters")
+
+
+@query("R3_maintained_attribution", "SELECT ticker, date, rank, event_id, label_source, event_type, ck AS corridor, cluster_date, round(contribution, 9) AS contribution, days_since FROM att")
+def r3_attribution(f):
+    r = _maintained(f).attribution.read()
+    return r.select("ticker", "date", "rank", "event_id", "label_source", "event_type", G.corridor_key("corridor").alias("corridor"), "cluster_date",
+                    F.round("contribution", 9).alias("contribution"), "days_since")
+
+
 @query("R4_one_shot_trigger", "SELECT CAST(count(*) AS BIGINT) AS n_rows, CAST(count(DISTINCT event_id) AS BIGINT) AS n_ids FROM ev")
 def r4(f):
     """The one-shot mode stops by itself once the landed files are read."""

@@ -202,17 +202,23 @@ class Table:
     def _made_of(self, column: str) -> set[str]:
         return set(self.derive[column][1]) if column in self.derive else {column}
 
-    def stored_keys(self, batch: DataFrame) -> DataFrame:
-        """The keys stored in the partitions that the batch's keys can lie in."""
-        stored = self._stored()
-        own = [c for c in self.partition_by if self._made_of(c) <= set(self.keys)]
+    def near(self, batch: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
+        """The stored rows of the partitions in which rows with the batch's
+        values of ``columns`` (by default the key) can lie."""
+        columns, stored = list(columns or self.keys), self._stored()
+        batch = batch.select(*columns)
+        own = [c for c in self.partition_by if self._made_of(c) <= set(columns)]
         for c in own:
-            values = self._with_partitions(batch).select(c).distinct().limit(LISTED + 1).collect()  # partition values, at most LISTED + 1
+            value = F.expr(self.derive[c][0]) if c in self.derive else F.col(c)
+            values = batch.select(value.alias(c)).distinct().limit(LISTED + 1).collect()  # partition values, at most LISTED + 1
             if len(values) <= LISTED:
                 known = [F.lit(r[c]) for r in values if r[c] is not None]
                 here = F.col(c).isin(known) if known else F.lit(False)
                 stored = stored.where(here | F.col(c).isNull() if len(known) < len(values) else here)
-        return stored.select(*self.keys)
+        return stored.select(*self.schema.fieldNames())
+
+    def stored_keys(self, batch: DataFrame) -> DataFrame:
+        return self.near(batch).select(*self.keys)
 
     def insert_or_ignore(self, batch: DataFrame, order: Sequence[str]) -> dict[str, int]:
         """Appends new keys only.  The batch is computed once, into one row per

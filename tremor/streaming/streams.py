@@ -54,6 +54,16 @@ def upsert_sink(table: Table) -> Callable[[DataFrame, int], None]:
     return sink
 
 
+def refresh_sink(refresh: Callable[[DataFrame], object]) -> Callable[[DataFrame, int], None]:
+    """Keeps derived tables up to date with each batch of new rows; ``refresh``
+    must give the same tables when a batch comes again (``jobs.refresh_scores``)."""
+
+    def sink(batch: DataFrame, _batch_id: int) -> None:
+        refresh(batch)
+
+    return sink
+
+
 def daily_clusters(labelled: DataFrame, country_nodes: Sequence[str], delay: str = "3 days") -> DataFrame:
     """Running max-k representative per (day, type, corridor).  In update mode
     a late row within the watermark may replace the winner."""
