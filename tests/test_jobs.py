@@ -160,8 +160,21 @@ def test_multi_step_chain(spark, tmp_path):
     jobs.build_features(store)
     bounds = jobs.walk_forward(store, n_folds=2, test_days=30)
     assert bounds.count() == 2 * 2 * 3 and FE.fold_violations(bounds.where("ticker = 'A'")).count() == 0
-    projected = spark.createDataFrame([("A", d0 + dt.timedelta(days=259), d0 + dt.timedelta(days=260), 0.5)], "ticker string, as_of date, target date, score double")
-    jobs.calibrate_and_forecast(store, projected, lookback=10, horizon=5, n_samples=10)
+    reach = spark.createDataFrame([("X", "strike", "A", .5, ["X", "A"]), ("X", "strike", "B", .25, ["X", "B"])],
+                                  "country string, event_type string, stock string, imp double, path array<string>")
+    events = [(d0 + dt.timedelta(days=i), "strike", "X", .4, ["X"], f"e{i}", "manual", None, .4, 1.0, ["X"], dt.datetime(2022, 1, 3) + dt.timedelta(days=i)) for i in range(0, 270, 3)]
+    store.clusters.insert_or_replace(spark.createDataFrame(events, jobs.CLUSTERS))
+    asked = jobs.project_paths(store, reach, lookback=10, horizon=5).collect()
+    days = {r["date"] for r in store.features.read().select("date").collect()}
+    assert len(asked) == len({(r["ticker"], r["as_of"], r["target"]) for r in asked}) > 5 * (len(days) - 20)
+    for r in asked:  # from what was known when the path began, and nothing later
+        left = 1.0
+        for day, *_ in events:
+            age = (r["target"] - day).days
+            if day <= r["as_of"] and 0 <= age and .5 ** (age / 5) >= .01:
+                left *= 1 - .4 * (.5 if r["ticker"] == "A" else .25) * .5 ** (age / 5)
+        assert r["score"] == pytest.approx(1 - left, abs=1e-12) and r["score"] > 0
+    jobs.calibrate_and_forecast(store, reach, lookback=10, horizon=5, n_samples=10)
     cal = store.calibration.read().collect()
     assert len(cal) == 2 * 5 and all(r["q_hat"] < float("inf") and r["calibrated_pct"] >= 50 for r in cal)
     fc = store.forecasts.read()

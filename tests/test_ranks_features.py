@@ -4,6 +4,7 @@ import datetime as dt
 import math
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -145,3 +146,26 @@ def test_encode_and_weights(spark):
     sup = spark.createDataFrame([("x", 0), ("y", 4)], "label string, support long")
     w = {r["label"]: r["weight"] for r in CO.class_weights(sup).collect()}
     assert w == {"x": pytest.approx(1.6), "y": pytest.approx(.4)}
+
+
+def test_path_residuals_hang_together_as_the_pool_does(spark):
+    """Residuals with a lag-1 correlation of 0.8: within a stretch the paths
+    show it too; drawn one by one they would show none."""
+    from tremor.operators import forecast as FC
+
+    rng, x, pool = random.Random(4), 0.0, []
+    for i in range(1500):
+        x = 0.8 * x + rng.gauss(0, 1)
+        pool.append(("A", dt.date(2020, 1, 1) + dt.timedelta(days=i), x))
+    residuals = spark.createDataFrame(pool, "ticker string, date date, residual double")
+    steps = spark.createDataFrame([("A", w, s, 0.0) for w in range(40) for s in range(1, 21)], "ticker string, window_id long, step int, predicted double")
+
+    def lag1(block):
+        rows = FC.bootstrap_paths(steps, residuals, 20, block=block).toPandas().sort_values(["window_id", "sample_id", "step"])
+        assert len(rows) == 40 * 20 * 20
+        v = rows["value"].to_numpy().reshape(-1, 20)
+        inside = [k for k in range(19) if (k + 1) % block]  # pairs of steps of one stretch
+        return np.corrcoef(v[:, inside].ravel(), v[:, [k + 1 for k in inside]].ravel())[0, 1] if inside else np.corrcoef(v[:, :-1].ravel(), v[:, 1:].ravel())[0, 1]
+
+    own = np.corrcoef([r[2] for r in pool[:-1]], [r[2] for r in pool[1:]])[0, 1]
+    assert abs(lag1(5) - own) < 0.05 and abs(lag1(20) - own) < 0.05 and abs(lag1(1)) < 0.05

@@ -36,21 +36,29 @@ def predict(model: Transformer, windows: DataFrame, cols: Sequence[str]) -> Data
         "ticker", "label_date", "split", "y", "y_prior", F.col("prediction").alias("predicted"))
 
 
-def bootstrap_paths(steps: DataFrame, residuals: DataFrame, n_samples: int = 50, seed: int = 42) -> DataFrame:
-    """``n_samples`` paths per window: the point forecast plus a residual of
-    the same ticker, drawn by hash.
+#: steps of a path that share one stretch of residuals
+BLOCK = 5
 
-    ``steps``: (ticker, window_id, step, predicted); ``residuals``: (ticker,
-    date, residual), one per day, so numbering them per ticker is bounded by
-    the calendar and a draw is an equi-join on (ticker, number).
+
+def bootstrap_paths(steps: DataFrame, residuals: DataFrame, n_samples: int = 50, seed: int = 42, block: int = BLOCK) -> DataFrame:
+    """``n_samples`` paths per window: the point forecast plus residuals of the
+    same ticker.  A path takes them in stretches of ``block`` days in a row (the
+    last day is followed by the first), each from a start drawn by hash, so its
+    steps are correlated as the residuals are.
+
+    ``steps``: (ticker, window_id, step, predicted), steps from 1 on;
+    ``residuals``: (ticker, date, residual), one per day, so numbering them per
+    ticker is bounded by the calendar and a draw is an equi-join on (ticker,
+    number).
     """
     whole = Window.partitionBy("ticker")
     pool = residuals.select("ticker", "residual", F.row_number().over(whole.orderBy("date")).cast("bigint").alias("i"))
     n = pool.groupBy("ticker").agg(F.count("*").alias("n"))
     draws = steps.join(n, "ticker").withColumn("sample_id", F.explode(F.sequence(F.lit(1), F.lit(n_samples))))
-    key = F.md5(F.concat_ws("|", "ticker", *[F.col(c).cast("string") for c in ("window_id", "step", "sample_id")], F.lit(str(seed))))
-    pick = F.conv(F.substring(key, 1, 15), 16, 10).cast("bigint") % F.col("n") + 1
-    return (draws.withColumn("i", pick).join(pool, ["ticker", "i"])
+    stretch, within = F.floor((F.col("step") - 1) / block), (F.col("step") - 1) % block
+    key = F.md5(F.concat_ws("|", "ticker", F.col("window_id").cast("string"), stretch.cast("string"), F.col("sample_id").cast("string"), F.lit(str(seed))))
+    start = F.conv(F.substring(key, 1, 15), 16, 10).cast("bigint") % F.col("n")
+    return (draws.withColumn("i", (start + within) % F.col("n") + 1).join(pool, ["ticker", "i"])
             .select("ticker", "window_id", "step", "sample_id", (F.col("predicted") + F.col("residual")).alias("value")))
 
 
@@ -84,6 +92,15 @@ def future_steps(rows: DataFrame, cols: Sequence[str], lookback: int = FE.LOOKBA
     return _with_projection(steps, projected)
 
 
+def projection_requests(rows: DataFrame, lookback: int = FE.LOOKBACK, horizon: int = FE.HORIZON) -> DataFrame:
+    """(ticker, as_of, target) of every step of every label path, whatever its
+    split, and of the path after each ticker's last day."""
+    every = FE.path_steps(FE.path_windows(rows.withColumn("split", F.lit("train")), lookback, horizon, strict_tail=False))
+    ahead = future_steps(rows, ["adj_close"], lookback, horizon)
+    ask = lambda s: s.select("ticker", F.col("feature_end").alias("as_of"), "target")
+    return ask(every).unionByName(ask(ahead)).distinct()
+
+
 def _with_projection(steps: DataFrame, projected: DataFrame | None) -> DataFrame:
     if projected is None:
         return steps.withColumn("projected_score", F.lit(0.0))

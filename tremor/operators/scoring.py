@@ -192,20 +192,23 @@ def instant_top(contributions: DataFrame, k: int = 3) -> DataFrame:
 # -- projection of known events onto future days ----------------------------
 def projected_scores(cr: DataFrame, requests: DataFrame, start: Column, end: Column,
                      half_life: float = dims.HALF_LIFE_DAYS, epsilon: float = dims.EPSILON) -> DataFrame:
-    """``requests``: (ticker, as_of, target).  Score on the target day from
-    clusters dated at or before ``as_of`` only.
-
-    Contributions are first multiplied up per (ticker, target, cluster_date):
-    at most one row per age, so the join with the requests is bounded by the
-    look-back length and never sees single clusters.
+    """``requests``: (ticker, as_of, target), targets within [start, end].
+    Score on the target day from clusters dated at or before ``as_of`` only.
+
+    Per (ticker, target) the survival of each cluster date, at most one per
+    age, is multiplied up in the order of dates; requests lie among them at
+    their ``as_of`` and read off what has been reached.  A request costs one
+    row of one sort, whatever the number of dates before it, and a group is
+    bounded by the look-back and the horizon.
     """
     survive = (spread_days(cr, start, end, half_life, epsilon)
-               .groupBy("ticker", F.col("date").alias("target"), "cluster_date")
+               .groupBy("ticker", F.col("date").alias("target"), F.col("cluster_date").alias("at"))
                .agg(F.product(F.lit(1.0) - F.col("contribution")).alias("survive")))
-    hit = requests.join(survive, ["ticker", "target"], "left")
-    visible = F.when(F.col("cluster_date") <= F.col("as_of"), F.col("survive")).otherwise(F.lit(1.0))
-    return (hit.groupBy("ticker", "as_of", "target")
-            .agg((F.lit(1.0) - F.product(visible)).alias("score")))
+    asked = requests.select("ticker", "target", F.col("as_of").alias("at"), F.lit(None).cast("double").alias("survive"), F.lit(True).alias("asks")).distinct()
+    rows = survive.withColumn("asks", F.lit(False)).unionByName(asked)
+    upto = Window.partitionBy("ticker", "target").orderBy("at", "asks").rowsBetween(Window.unboundedPreceding, 0)
+    known = rows.withColumn("left", F.product(F.coalesce("survive", F.lit(1.0))).over(upto))
+    return known.where("asks").select("ticker", F.col("at").alias("as_of"), "target", (F.lit(1.0) - F.col("left")).alias("score"))
 
 
 def series_stats(scores: DataFrame) -> DataFrame:

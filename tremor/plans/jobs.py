@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass
+from datetime import timedelta
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -300,9 +301,26 @@ def walk_forward(store: Store, n_folds: int = 4, test_days: int = 50) -> DataFra
     return store.bounds.read()
 
 
-def calibrate_and_forecast(store: Store, projected: DataFrame | None = None, lookback: int = FE.LOOKBACK, horizon: int = FE.HORIZON,
-                           n_samples: int = 50) -> None:
-    """Multi-step chain: per stored fold a model on its train paths, sample
+def project_paths(store: Store, reach: DataFrame, lookback: int = FE.LOOKBACK, horizon: int = FE.HORIZON) -> DataFrame:
+    """(ticker, as_of, target, score): for every step of every path of the
+    stored features, and of the path ahead, the score from the stored clusters
+    that were known when the path began."""
+    asked = materialize(FC.projection_requests(FE.derived_ratios(store.features.read()), lookback, horizon), "requests")
+    first, last = asked.agg(F.min("target"), F.max("target")).first()
+    if first is None:
+        return asked.withColumn("score", F.lit(0.0))
+    start, end = (F.lit(d).cast("date") for d in (first, last))
+    # only clusters whose decay has not ended by the first target count
+    clusters = store.clusters.slice(span=("cluster_date", first - timedelta(days=dims.lookback_days()), last))
+    return materialize(SC.projected_scores(SC.cluster_reach(clusters, reach), asked, start, end), "projected")
+
+
+def calibrate_and_forecast(store: Store, reach: DataFrame | None = None, projected: DataFrame | None = None, lookback: int = FE.LOOKBACK,
+                           horizon: int = FE.HORIZON, n_samples: int = 50) -> None:
+    """``reach``: the graph's reach table, from which the projected scores of
+    all paths are built; ``projected`` gives them ready made instead.
+
+    Multi-step chain: per stored fold a model on its train paths, sample
     paths and bands on its test paths; conformal widths from all folds but the
     last, coverage on the last; then the stored forecast of each ticker's next
     ``horizon`` days with calibrated bands.
@@ -312,6 +330,8 @@ def calibrate_and_forecast(store: Store, projected: DataFrame | None = None, loo
     """
     features = store.features.read()
     rows = FE.derived_ratios(features)
+    if projected is None and reach is not None:
+        projected = project_paths(store, reach, lookback, horizon)
     bounds = store.bounds.read()
     folds = sorted(r["fold_id"] for r in bounds.select("fold_id").distinct().collect())
     keys = ["ticker", "window_id", "step"]

@@ -13,7 +13,7 @@ from tremor.operators import portfolio as PF
 from tremor.operators import scoring as SC
 from tremor.plans import fixtures as FX
 from tremor.plans.q_features import PATHW
-from tremor.plans.q_scoring import PROJ, requests
+from tremor.plans.q_scoring import PROJ, projected, requests
 from tremor.plans.q_scalars import _TYPE as TYPE_SQL
 from tremor.plans.q_scalars import TEXT
 from tremor.plans.q_scalars import _low as low_docs
@@ -136,25 +136,27 @@ def e12(f):
     return t.select(*[F.round(c, 4).alias(c) for c in t.columns])
 
 
-@query("E18_projection_check", "SELECT count(*) AS n_rows, CAST(0 AS BIGINT) AS n_different FROM req", **PROJ)
+@query("E18_projection_check", """SELECT ticker, as_of, count(*) AS n_rows, CAST(0 AS BIGINT) AS n_different, round(sum(score), 6) AS total
+    FROM prj GROUP BY ticker, as_of""", **PROJ)
 def e18(f):
     """Projected scores against a recompute from the events themselves: highest
     k of a day, type and corridor, highest impact over its countries, decay to
     the target's midnight.  Neither clusters nor their reach are shared."""
     ev = f.scorable.withColumn("published_at", F.to_date("published_at").cast("timestamp"))
-    proj = SC.projected_scores(SC.cluster_reach(SC.build_clusters(ev, FX.NATIONS), f.reach), requests(f), f.span[0], FX.day("2024-02-24"))
     key = [F.to_date("published_at").alias("day"), "event_type", "corridor_key"]
     top = SC.with_k(ev, FX.NATIONS).groupBy(*key).agg(F.max("k").alias("k"), F.max("corridor").alias("corridor"))
     reached = top.withColumn("country", F.explode("corridor")).join(f.reach, ["country", "event_type"])
     reached = reached.groupBy("day", "event_type", "corridor_key", F.col("stock").alias("ticker")).agg(F.max("k").alias("k"), F.max("imp").alias("imp"))
-    pairs = F.broadcast(requests(f).select("as_of", "target").distinct())  # 150 pairs of days
+    # the ages a day's events live are spelled out, so that targets meet them by equality
+    aged = reached.withColumn("target", F.explode(F.sequence(F.col("day"), F.date_add("day", dims.lookback_days()))))
     age = X.fractional_days(F.col("target").cast("timestamp"), F.col("day").cast("timestamp"))
-    tau = F.pow(F.lit(0.5), age / F.lit(dims.HALF_LIFE_DAYS))
-    seen = reached.join(pairs, (F.col("day") <= F.col("as_of")) & (F.col("day") >= F.date_sub("target", dims.lookback_days())))
-    again = (seen.withColumn("tau", tau).where(F.col("tau") >= dims.EPSILON).groupBy("ticker", "as_of", "target")
-             .agg((1 - F.product(1 - F.col("k") * F.col("imp") * F.col("tau"))).alias("again")))
-    j = proj.join(again, ["ticker", "as_of", "target"], "left")
-    return j.agg(F.count("*").alias("n_rows"), F.count_if(F.abs(F.col("score") - F.coalesce("again", F.lit(0.0))) > 1e-9).alias("n_different"))
+    aged = aged.withColumn("tau", F.pow(F.lit(0.5), age / F.lit(dims.HALF_LIFE_DAYS))).where(F.col("tau") >= dims.EPSILON)
+    days = aged.groupBy("ticker", "target", "day").agg(F.product(1 - F.col("k") * F.col("imp") * F.col("tau")).alias("survive"))
+    again = (requests(f).join(days, ["ticker", "target"]).where(F.col("day") <= F.col("as_of")).groupBy("ticker", "as_of", "target")
+             .agg((1 - F.product("survive")).alias("again")))
+    j = projected(f).join(again, ["ticker", "as_of", "target"], "left").withColumn("again", F.coalesce("again", F.lit(0.0)))
+    return j.groupBy("ticker", "as_of").agg(F.count("*").alias("n_rows"), F.count_if(F.abs(F.col("score") - F.col("again")) > 1e-9).alias("n_different"),
+                                            F.round(F.sum("again"), 6).alias("total"))
 
 
 @query("E19_directional_accuracy", "SELECT variant, count(*) AS n, round(avg(CAST(sign(actual) = sign(predicted) AS DOUBLE)), 6) AS directional_accuracy FROM prd GROUP BY variant")
@@ -298,13 +300,13 @@ def e21(f):
     return out
 
 
-@query("E22_sample_paths", """SELECT ticker, step, count(*) AS n, round(sum(predicted + residual), 4) AS total FROM
-    (SELECT f.ticker, (f.rn - 1) // 5 AS window_id, CAST((f.rn - 1) % 5 + 1 AS INTEGER) AS step, p.predicted, CAST(s AS INTEGER) AS sample_id
-     FROM ftr f JOIN prd p ON p.ticker = f.ticker AND p.label_date = f.date AND p.variant = 'baseline' CROSS JOIN range(1, 51) t(s)) d
-    JOIN (SELECT ticker, actual - predicted AS residual, row_number() OVER (PARTITION BY ticker ORDER BY label_date) AS i, count(*) OVER (PARTITION BY ticker) AS n
-      FROM prd WHERE variant = 'baseline') r ON r.ticker = d.ticker
-      AND r.i = CAST('0x' || substr(md5(concat_ws('|', d.ticker, window_id, step, sample_id, 42)), 1, 15) AS BIGINT) % r.n + 1
-    GROUP BY d.ticker, step""".replace("SELECT ticker, step, count(*) AS n, round", "SELECT d.ticker AS ticker, step, count(*) AS n, round", 1))
+@query("E22_sample_paths", """SELECT w.ticker AS ticker, step, count(*) AS n, round(sum(predicted + residual), 4) AS total FROM drw w JOIN res r ON r.ticker = w.ticker AND r.i = w.i
+    GROUP BY w.ticker, step""",
+       res="SELECT ticker, actual - predicted AS residual, row_number() OVER (PARTITION BY ticker ORDER BY label_date) AS i, count(*) OVER (PARTITION BY ticker) AS n FROM prd WHERE variant = 'baseline'",
+       rsn="SELECT ticker, max(n) AS n FROM res GROUP BY ticker",
+       stp="SELECT f.ticker, (f.rn - 1) // 5 AS window_id, CAST((f.rn - 1) % 5 + 1 AS INTEGER) AS step, p.predicted FROM ftr f JOIN prd p ON p.ticker = f.ticker AND p.label_date = f.date AND p.variant = 'baseline'",
+       drw="""SELECT stp.ticker AS ticker, step, predicted, (CAST('0x' || substr(md5(concat_ws('|', stp.ticker, window_id, (step - 1) // 5, s, 42)), 1, 15) AS BIGINT) % n + (step - 1) % 5) % n + 1 AS i
+           FROM stp JOIN rsn USING (ticker) CROSS JOIN range(1, 51) t(s)""")
 def e22(f):
     point = f.predictions.where("variant = 'baseline'").select("ticker", F.col("label_date").alias("date"), "actual", "predicted")
     steps = f.path_steps.drop("actual").join(point, ["ticker", "date"])

@@ -85,21 +85,25 @@ def j9(f):
     return FE.asof_scores(f.bars.select("ticker", "date"), f.score_days).select("ticker", "date", r9("score"), "score_source_date")
 
 
-PROJ = {"req": "SELECT ticker, CAST(DATE '2024-01-05' + CAST(i * 5 AS INTEGER) AS DATE) AS as_of, CAST(DATE '2024-01-05' + CAST(i * 5 + j AS INTEGER) AS DATE) AS target FROM stk CROSS JOIN range(0, 5) a(i) CROSS JOIN range(1, 31) b(j)",
-        "exp": "SELECT cre.stock AS ticker, cluster_date, CAST(cluster_date + CAST(a AS INTEGER) AS DATE) AS target, k * imp * pow(0.5e0, a / 5e0) AS c FROM clu JOIN cre USING (ck, event_type) CROSS JOIN range(0, 34) t(a)"}
+PROJ = {"req": "SELECT ticker, date AS as_of, CAST(date + CAST(j AS INTEGER) AS DATE) AS target FROM cal CROSS JOIN range(1, 31) b(j)",
+        "exp": "SELECT cre.stock AS ticker, cluster_date, CAST(cluster_date + CAST(a AS INTEGER) AS DATE) AS target, k * imp * pow(0.5e0, a / 5e0) AS c FROM clu JOIN cre USING (ck, event_type) CROSS JOIN range(0, 34) t(a)",
+        "exq": "SELECT ticker, target, cluster_date, product(1 - c) AS p FROM exp GROUP BY ALL",
+        "prj": "SELECT r.ticker, as_of, r.target, 1 - coalesce(product(p), 1e0) AS score FROM req r LEFT JOIN exq e ON e.ticker = r.ticker AND e.target = r.target AND e.cluster_date <= r.as_of GROUP BY ALL"}
+HORIZON = 30
 
 
 def requests(f):
-    base = FX.day("2024-01-05")
-    r = f.stocks.withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(4)))).withColumn("j", F.explode(F.sequence(F.lit(1), F.lit(30))))
-    return r.select("ticker", F.date_add(base, F.col("i") * 5).alias("as_of"), F.date_add(base, F.col("i") * 5 + F.col("j")).alias("target"))
+    """Every stock at every day of the span, for each of the next 30 days."""
+    ahead = F.explode(F.sequence(F.lit(1), F.lit(HORIZON)))
+    return SC.calendar(f.stocks, *f.span).select("ticker", F.col("date").alias("as_of"), ahead.alias("j")).select(
+        "ticker", "as_of", F.date_add("as_of", F.col("j")).alias("target"))
 
 
 def projected(f):
-    return SC.projected_scores(f.cluster_reach, requests(f), f.span[0], FX.day("2024-02-24"))
+    return SC.projected_scores(f.cluster_reach, requests(f), f.span[0], F.date_add(f.span[1], HORIZON))
 
 
-@query("J10_projected_scores", "SELECT r.ticker, as_of, r.target, round(1 - coalesce(product(1 - c), 1e0), 8) AS score FROM req r LEFT JOIN exp e ON e.ticker = r.ticker AND e.target = r.target AND e.cluster_date <= r.as_of GROUP BY ALL", **PROJ)
+@query("J10_projected_scores", "SELECT ticker, as_of, target, round(score, 8) AS score FROM prj", **PROJ)
 def j10(f):
     return projected(f).select("ticker", "as_of", "target", F.round("score", 8).alias("score"))
 
