@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tremor import dims
 
@@ -174,5 +175,58 @@ def finite_or_null(c: Column | str) -> Column:
     return F.when(~F.isnan(x) & (F.abs(x) != float("inf")), x)
 
 
+def _holds_floats(kind: T.DataType) -> bool:
+    if isinstance(kind, T.StructType):
+        return any(_holds_floats(f.dataType) for f in kind)
+    if isinstance(kind, T.ArrayType):
+        return _holds_floats(kind.elementType)
+    if isinstance(kind, T.MapType):
+        return _holds_floats(kind.valueType)
+    return isinstance(kind, (T.DoubleType, T.FloatType))
+
+
+def finite_within(c: Column | str, kind: T.DataType) -> Column:
+    """Non-finite numbers become null at every level of a value of type
+    ``kind``: fields of structs, elements of arrays, values of maps.  The
+    expression is built once from the type; parts without floating-point numbers
+    stay as they are, and null containers stay null."""
+    x = col(c)
+    if not _holds_floats(kind):
+        return x
+    if isinstance(kind, T.StructType):
+        whole = F.struct(*[finite_within(x.getField(f.name), f.dataType).alias(f.name) for f in kind])
+        return F.when(x.isNotNull(), whole)
+    if isinstance(kind, T.ArrayType):
+        return F.transform(x, lambda e: finite_within(e, kind.elementType))
+    if isinstance(kind, T.MapType):
+        return F.transform_values(x, lambda _, v: finite_within(v, kind.valueType))
+    return finite_or_null(x)
+
+
+def finite_rows(df: DataFrame) -> DataFrame:
+    """Every column of a stored artefact with its non-finite numbers as null."""
+    quoted = lambda n: F.col("`" + n.replace("`", "``") + "`")
+    return df.select(*[finite_within(quoted(f.name), f.dataType).alias(f.name) for f in df.schema])
+
+
+def json_list(c: Column | str, element: str = "string") -> Column:
+    """A stored JSON list; bad JSON and nulls give an empty one."""
+    kind = f"array<{element}>"
+    parsed = F.from_json(col(c), kind)
+    return F.filter(F.coalesce(parsed, F.array().cast(kind)), lambda x: x.isNotNull())
+
+
+def json_object(c: Column | str, ddl: str) -> Column:
+    """A stored JSON object as a struct; bad JSON gives one of nulls."""
+    parsed = F.from_json(col(c), ddl)
+    fields = [f.strip().split()[0] for f in ddl.split(",")]
+    return F.struct(*[parsed.getField(n).alias(n) for n in fields])
+
+
+def lookback_days(half_life: Column | str, epsilon: float) -> Column:
+    """Days after which decay with this half-life lies below ``epsilon``."""
+    return F.ceil(col(half_life) * F.log2(F.lit(1.0 / epsilon)))
+
+
 def fractional_days(later: Column | str, earlier: Column | str) -> Column:
     return (F.unix_micros(col(later)) - F.unix_micros(col(earlier))) / F.lit(86400e6)

@@ -128,3 +128,9 @@ def majority_class(train: DataFrame, label: str) -> DataFrame:
     """Most frequent label (ties: the smaller label); one row."""
     counts = train.groupBy(F.col(label).alias("label")).agg(F.count("*").alias("n"))
     return counts.agg(F.min_by("label", F.struct(-F.col("n"), F.col("label"))).alias("majority"))
+
+
+def pool_folds(scores: DataFrame, folds: list[int]) -> DataFrame:
+    """Scores of several folds as one pool.  Folds are disjoint rows of one long
+    table, so this is a filter and never a union of runs."""
+    return scores.where(F.col("fold_id").isin(folds))

@@ -199,6 +199,12 @@ def path_steps(windows: DataFrame) -> DataFrame:
                        (F.col("i") + 1).alias("step"), F.col("z.d").alias("target"), F.col("z.y").alias("y"))
 
 
+def prior_returns(rows: DataFrame, value: str = "daily_return") -> DataFrame:
+    """(ticker, date, prior): the return of the row before, for the persistence
+    baseline."""
+    return rows.select("ticker", "date", F.lag(value).over(by_ticker()).alias("prior"))
+
+
 # -- walk-forward folds -----------------------------------------------------
 def walk_forward_folds(label_days: DataFrame, first_day: DataFrame, n_folds: int, test_days: int,
                        val_frac: float = VAL_FRAC) -> DataFrame:

@@ -148,3 +148,61 @@ def by_sector_order(rows: DataFrame, sectors: list[str], value: str) -> DataFram
 def deltas(latest: DataFrame) -> DataFrame:
     return latest.select("ticker", "date", "close", "prior_close", X.price_delta_pct("close", "prior_close").alias("pct"),
                          X.price_delta_dir("close", "prior_close").alias("direction"))
+
+
+# -- look-ups and small aggregates --------------------------------------------
+def lookup(rows: DataFrame, source: DataFrame, key: str, source_key: str, columns: list[str]) -> DataFrame:
+    """``columns`` of ``source`` by id; rows without a match keep nulls."""
+    return rows.join(source.select(F.col(source_key).alias(key), *columns), key, "left")
+
+
+def not_in(rows: DataFrame, ledger: DataFrame, key: str) -> DataFrame:
+    """Rows whose key a ledger lacks (an anti join: nulls in it match nothing)."""
+    return rows.join(ledger.select(key), key, "left_anti")
+
+
+def sector_of(rows: DataFrame, scope: DataFrame) -> DataFrame:
+    """Adds the sector of each ticker: the smallest name if ``scope``
+    (sector, ticker) lists several, null if none."""
+    one = scope.groupBy("ticker").agg(F.min("sector").alias("sector"))
+    return rows.join(one, "ticker", "left")
+
+
+def scope_union(scope: DataFrame, name: str, *values: str) -> DataFrame:
+    """Union of all sectors' entries: one row per ``name`` with the number of
+    different ``values`` that sectors give it, and whether they conflict."""
+    return (scope.select(name, F.struct(*values).alias("_v")).distinct().groupBy(name)
+            .agg(F.count("*").alias("n_codes")).withColumn("conflict", F.col("n_codes") > 1))
+
+
+def require_no_conflict(union: DataFrame, name: str) -> DataFrame:
+    """The union, or an error that names an entry on which sectors disagree."""
+    text = F.concat(F.lit("sectors disagree on "), F.col(name))
+    return union.withColumn("conflict", F.when(F.col("conflict"), F.raise_error(text).cast("boolean")).otherwise(F.lit(False)))
+
+
+def counts_by(rows: DataFrame, *keys: str) -> DataFrame:
+    return rows.groupBy(*keys).agg(F.count("*").alias("n"))
+
+
+def coverage_by(rows: DataFrame, key: str, date: str = "date") -> DataFrame:
+    """Rows, first and last date of each key."""
+    return rows.groupBy(key).agg(F.count("*").alias("n"), F.min(date).alias("first_date"), F.max(date).alias("last_date"))
+
+
+def freshness(rows: DataFrame, time: str) -> DataFrame:
+    return rows.agg(F.max(time).alias("latest"))
+
+
+def dedup_ratio(rows: DataFrame, key: str) -> DataFrame:
+    """Rows per distinct key.  Distinct by grouping, so that a hot key is
+    counted in each task first."""
+    per = rows.groupBy(key).agg(F.count("*").alias("_c"))
+    t = per.agg(F.coalesce(F.sum("_c"), F.lit(0)).alias("n_attempted"), F.count("*").alias("n_unique"))
+    return t.withColumn("ratio", F.col("n_attempted") / F.nullif(F.col("n_unique"), F.lit(0)))
+
+
+def stored_report(reports: DataFrame, variant: str, scope: str) -> DataFrame:
+    """Rows of a stored report of one variant as they are, numbers that JSON
+    cannot hold as null, with the scope they speak of in front."""
+    return X.finite_rows(reports.where(F.col("variant") == variant)).select(F.lit(scope).alias("scope"), "*")

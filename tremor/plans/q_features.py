@@ -145,7 +145,7 @@ def f20b(f):
 
 @query("J16_prior_return", "SELECT ticker, date, round(lag(daily_return) OVER (PARTITION BY ticker ORDER BY date), 6) AS prior FROM ftr")
 def j16(f):
-    return f.features.select("ticker", "date", F.round(F.lag("daily_return").over(FE.by_ticker()), 6).alias("prior"))
+    return FE.prior_returns(f.features).withColumn("prior", F.round("prior", 6))
 
 
 @query("J17_bounds_join_windows", "SELECT ticker, split, count(*) AS n_windows, min(date) AS first_label, max(date) AS last_label, bool_and(date BETWEEN start_date AND end_date) AS inside FROM (SELECT ticker, split, date FROM ftr WHERE rn > 60) JOIN bnd USING (ticker, split) GROUP BY ticker, split")

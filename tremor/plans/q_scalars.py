@@ -98,9 +98,7 @@ def f8(f):
 
 @query("F9_lookback_days", "SELECT quad, CAST(ceil((quad + 4) * log2(100e0)) AS BIGINT) AS days, count(*) AS n FROM ev GROUP BY ALL")
 def f9(f):
-    days = F.ceil((F.col("quad") + 4) * F.log2(F.lit(100.0)))
-    assert dims.lookback_days() == 34
-    return f.events.select("quad", days.alias("days")).groupBy("quad", "days").agg(F.count("*").alias("n"))
+    return f.events.select("quad", X.lookback_days(F.col("quad") + 4, dims.EPSILON).alias("days")).groupBy("quad", "days").agg(F.count("*").alias("n"))
 
 
 @query("F10_path_impact", "SELECT src, round(product(weight) * pow(0.9e0, count(*) - 1), 9) AS imp FROM edg WHERE channel IS NULL GROUP BY src")
@@ -152,8 +150,8 @@ def f16(f):
 
 @query("F17_sector_of_ticker", "SELECT ticker, seg AS sector, volume FROM (SELECT ticker, sum(volume)::BIGINT AS volume FROM bars GROUP BY ticker) b LEFT JOIN (SELECT stock, min(seg) AS seg FROM rev GROUP BY stock) r ON r.stock = b.ticker")
 def f17(f):
-    sector = f.revenue.groupBy(F.col("stock").alias("ticker")).agg(F.min("seg").alias("sector"))
-    return f.bars.groupBy("ticker").agg(F.sum("volume").alias("volume")).join(sector, "ticker", "left").select("ticker", "sector", "volume")
+    scope = f.revenue.select(F.col("stock").alias("ticker"), F.col("seg").alias("sector"))
+    return V.sector_of(f.bars.groupBy("ticker").agg(F.sum("volume").alias("volume")), scope).select("ticker", "sector", "volume")
 
 
 @query("F18_coded_countries", """SELECT eid, array_to_string(list_sort(list_distinct(list_filter([

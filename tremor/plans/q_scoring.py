@@ -45,7 +45,7 @@ def j3(f):
 
 @query("J4_not_in_ledger", "SELECT event_id FROM lab WHERE event_id NOT IN (SELECT event_id FROM led) AND event_type <> 'unclassified'")
 def j4(f):
-    return f.labels.where("event_type <> 'unclassified'").join(f.ledger.select("event_id"), "event_id", "left_anti").select("event_id")
+    return V.not_in(f.labels.where("event_type <> 'unclassified'"), f.ledger, "event_id").select("event_id")
 
 
 SCRAPED = {"scr": "SELECT 'http://example.com/' || i AS url, CASE WHEN i % 3 <> 0 THEN 'page ' || i END AS title, CASE WHEN i % 3 <> 0 THEN 'ok' ELSE 'no_title' END AS status FROM (SELECT DISTINCT eid % 997 AS i FROM ev WHERE d < DATE '2024-01-03')"}
@@ -61,8 +61,7 @@ def scraped(f):
 
 @query("J5_lookup_by_id", "SELECT c.event_id, c.label_source, r.url, r.title FROM clu c LEFT JOIN rawev r ON r.id = c.event_id")
 def j5(f):
-    r = f.raw.select(F.col("id").alias("event_id"), "url", "title")
-    return f.clusters.select("event_id", "label_source").join(r, "event_id", "left")
+    return V.lookup(f.clusters.select("event_id", "label_source"), f.raw, "event_id", "id", ["url", "title"])
 
 
 @query("J6_title_fallback", "SELECT c.event_id, r.url, coalesce(r.title, s.title) AS title FROM (SELECT DISTINCT event_id FROM clu) c LEFT JOIN rawev r ON r.id = c.event_id LEFT JOIN scr s ON s.url = r.url AND s.status = 'ok'", **SCRAPED)
@@ -274,12 +273,12 @@ def a12(f):
 
 @query("A13_counts_by_source", "SELECT label_source, count(*) AS n FROM scorable GROUP BY label_source")
 def a13(f):
-    return f.scorable.groupBy("label_source").agg(F.count("*").alias("n"))
+    return V.counts_by(f.scorable, "label_source")
 
 
 @query("A14_count_min_max", "SELECT ticker, count(*) AS n, min(date) AS first_date, max(date) AS last_date FROM bars GROUP BY ticker")
 def a14(f):
-    return f.bars.groupBy("ticker").agg(F.count("*").alias("n"), F.min("date").alias("first_date"), F.max("date").alias("last_date"))
+    return V.coverage_by(f.bars, "ticker")
 
 
 @query("A15_narrative_candidates", "SELECT a.event_id, c.title, c.event_type, a.corridor FROM (SELECT event_id, min(ck) AS corridor FROM att GROUP BY event_id) a JOIN cat c USING (event_id) WHERE c.published_at >= TIMESTAMP '2024-01-15 00:00:00'")
@@ -290,7 +289,7 @@ def a15(f):
 
 @query("A16_freshness", "SELECT epoch_us(max(published_at)) AS latest_us FROM ev")
 def a16(f):
-    return f.events.agg(F.max(F.unix_micros("published_at")).alias("latest_us"))
+    return V.freshness(f.events, "published_at").select(F.unix_micros("latest").alias("latest_us"))
 
 
 @query("A18_review_sample", "SELECT l.event_id, r.title, r.url FROM lab l JOIN rawev r ON r.id = l.event_id WHERE l.label_source = 'rule_based' ORDER BY sha256(l.event_id || '|42') LIMIT 25")
@@ -300,10 +299,7 @@ def a18(f):
 
 @query("A19_dedup_ratio", "SELECT count(*) AS n_attempted, count(DISTINCT url) AS n_unique, round(count(*) / CAST(count(DISTINCT url) AS DOUBLE), 6) AS ratio FROM rawev")
 def a19(f):
-    # Distinct via group-by, so a hot URL is pre-aggregated in each task.
-    per = f.raw.groupBy("url").agg(F.count("*").alias("c"))
-    t = per.agg(F.sum("c").alias("n_attempted"), F.count("*").alias("n_unique"))
-    return t.withColumn("ratio", F.round(F.col("n_attempted") / F.col("n_unique"), 6))
+    return V.dedup_ratio(f.raw, "url").withColumn("ratio", F.round("ratio", 6))
 
 
 assert dims.TOP_K == 5

@@ -181,9 +181,8 @@ def s11(f):
 @query("S12_json_columns", """SELECT eid, k0 AS k, CASE WHEN eid % 5 = 0 THEN 0 ELSE 2 END AS n_items FROM ev""")
 def s12(f):
     bad = F.when(F.col("eid") % 5 == 0, F.lit("[oops")).otherwise(F.lit('["a","b"]'))
-    e = f.table("events").select(F.col("event_id").alias("eid"), F.from_json("props", "k int").alias("p"))
-    items = F.coalesce(F.from_json(bad, "array<string>", {"mode": "PERMISSIVE"}), F.array().cast("array<string>"))
-    return e.select("eid", F.col("p.k").alias("k"), F.size(F.filter(items, lambda x: x.isNotNull())).alias("n_items"))
+    e = f.table("events").select(F.col("event_id").alias("eid"), X.json_object("props", "k int").alias("p"))
+    return e.select("eid", F.col("p.k").alias("k"), F.size(X.json_list(bad)).alias("n_items"))
 
 
 @query("S13_page_titles", """SELECT url, nullif(trim(replace(replace(replace(replace(replace(regexp_extract(html, '<title>(.*?)</title>', 1),
@@ -203,6 +202,24 @@ def s14(f):
     return d.select("doc_id", F.round(X.finite_or_null("raw"), 4).alias("v"), F.size(F.filter(arr, lambda x: x.isNotNull())).alias("n_kept"))
 
 
+@query("S14_nested_report", """SELECT doc_id, CASE WHEN b1 THEN NULL ELSE n_chars / 3e0 END AS top, CASE WHEN b2 THEN NULL ELSE n_chars / 4e0 END AS inner_value,
+    CAST((NOT b1)::INT + (NOT b2)::INT AS INTEGER) AS n_list, CASE WHEN b3 THEN NULL ELSE n_chars / 5e0 END AS mapped,
+    CASE WHEN b1 THEN NULL ELSE n_chars / 6e0 END AS deep, lang FROM
+    (SELECT *, n_chars % 7 = 0 AS b1, n_chars % 5 = 0 AS b2, n_chars % 3 = 0 AS b3 FROM documents)""")
+def s14_nested(f):
+    """A report with bad numbers in a field, a nested struct, an array, a map
+    and a struct within an array."""
+    n = F.col("n_chars")
+    num = lambda k, by, bad: F.when(n % k == 0, F.lit(float(bad))).otherwise(n / F.lit(float(by)))
+    report = f.table("documents").select(
+        "doc_id", "lang", num(7, 3, "nan").alias("top"), F.struct(num(5, 4, "inf").alias("value"), F.col("lang").alias("name")).alias("inner"),
+        F.array(num(7, 3, "nan"), num(5, 4, "-inf")).alias("list"), F.create_map(F.lit("m"), num(3, 5, "nan")).alias("map"),
+        F.array(F.struct(F.map_from_arrays(F.array(F.lit("d")), F.array(num(7, 6, "inf"))).alias("x"))).alias("rows"))
+    r = X.finite_rows(report)
+    return r.select("doc_id", "top", F.col("inner.value").alias("inner_value"), F.size(F.array_compact("list")).alias("n_list"), F.col("map")["m"].alias("mapped"),
+                    F.col("rows")[0]["x"]["d"].alias("deep"), F.col("inner.name").alias("lang"))
+
+
 # -- write semantics: the merge of an old table and a batch -----------------
 # Two overlapping pulls: days before the 20th are stored, days from the 10th
 # on arrive, each row twice.
@@ -324,9 +341,8 @@ def u1(f):
 @query("U2_scope_union", """SELECT actor1 AS country, count(DISTINCT user_id % 25 || '|' || (user_id % 50)) AS n_codes,
     count(DISTINCT user_id % 25 || '|' || (user_id % 50)) > 1 AS conflict FROM ev GROUP BY actor1""")
 def u2(f):
-    code = F.struct((F.col("user_id") % 25).alias("a"), (F.col("user_id") % 50).alias("b"))
-    return (f.events.select(F.col("actor1").alias("country"), code.alias("c")).distinct().groupBy("country")
-            .agg(F.count("*").alias("n_codes")).withColumn("conflict", F.col("n_codes") > 1))
+    scope = f.events.select(F.col("actor1").alias("country"), (F.col("user_id") % 25).alias("a"), (F.col("user_id") % 50).alias("b"))
+    return V.scope_union(scope, "country", "a", "b")
 
 
 @query("U3_pooled_windows", "SELECT split, count(*) AS n_windows FROM ftr WHERE rn > 60 GROUP BY split")
@@ -341,14 +357,13 @@ def u4(f):
 
     keys = ["ticker", "window_id", "step", "fold_id"]
     s = E.nonconformity(E.band_quantiles(f.samples, keys), f.path_steps, keys)
-    # Folds are disjoint, so pooling them is a filter on the long table.
-    return (s.where(F.col("fold_id").isin(0, 1, 2)).groupBy("step")
+    return (E.pool_folds(s, [0, 1, 2]).groupBy("step")
             .agg(F.count("*").alias("n"), F.round(F.sum("s"), 6).alias("total")))
 
 
 @query("U5_checked_difference", "SELECT event_id FROM ev WHERE event_id NOT IN (SELECT event_id FROM led)")
 def u5(f):
-    return f.events.select("event_id").join(f.ledger.select("event_id"), "event_id", "left_anti")
+    return V.not_in(f.events.select("event_id"), f.ledger, "event_id")
 
 
 @query("N1_tokenize", """SELECT tok, count(*) AS n FROM (SELECT unnest(regexp_extract_all(lower(text), '[a-z0-9'']+')) AS tok FROM documents) GROUP BY tok""")

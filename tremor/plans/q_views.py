@@ -10,6 +10,7 @@ from tremor.operators import views as V
 from tremor.plans import fixtures as FX
 from tremor.plans.q_scoring import INST, P, SCRAPED, _event_reach, instant, path_text, r9, scraped
 from tremor.plans.registry import query
+from tremor.session import materialize
 from tremor.sources import bars as B
 
 
@@ -131,8 +132,8 @@ def q12(f):
 
 @query("Q13_report_with_scope", "SELECT 'all_tickers' AS scope, variant, count(*) AS n, round(avg(actual), 6) AS mean_actual FROM prd WHERE variant = 'baseline' GROUP BY variant")
 def q13(f):
-    r = f.predictions.where("variant = 'baseline'").groupBy("variant").agg(F.count("*").alias("n"), F.round(F.avg("actual"), 6).alias("mean_actual"))
-    return r.select(F.lit("all_tickers").alias("scope"), "*")
+    reports = materialize(f.predictions.groupBy("variant").agg(F.count("*").alias("n"), F.round(F.avg("actual"), 6).alias("mean_actual")), "reports")
+    return V.stored_report(reports, "baseline", "all_tickers")
 
 
 @query("Q14_instant_top", "SELECT ticker, event_id, round(c, 9) AS contribution, CAST(row_number() OVER (PARTITION BY ticker ORDER BY c DESC, cluster_date DESC, event_id) AS INTEGER) AS rank FROM ico QUALIFY row_number() OVER (PARTITION BY ticker ORDER BY c DESC, cluster_date DESC, event_id) <= 3", **INST)
