@@ -39,6 +39,29 @@ def test_zipped_live_export(spark, folder):
     assert got["4"]["url"] is None and got["4"]["metadata"]["NumMentions"] is None and got["4"]["metadata"]["SOURCEURL"] == "BBC"
 
 
+def test_members_of_one_archive_are_several_tasks(spark, folder):
+    """Members dealt by packed size; nothing but lines leaves a task."""
+    from tremor.sources import archives as A
+
+    with zipfile.ZipFile(f"{folder}/a.zip", "w", zipfile.ZIP_DEFLATED) as z:
+        z.mkdir("sub")
+        for i in range(6):
+            z.writestr(f"sub/m{i}.csv", "".join(f"{i}-{j}\t{'x' * (j % 50)}\r\n" for j in range(2000)))
+        z.writestr("empty.csv", "")
+    with zipfile.ZipFile(f"{folder}/b.zip", "w") as z:
+        z.writestr("only.csv", b"one\ntwo \xff")
+    open(f"{folder}/notes.txt", "w").close()
+    df = A.read_archive_lines(spark, folder, task_bytes=6_000, batch_lines=300)
+    assert df.rdd.getNumPartitions() >= 4
+    rows_ = df.collect()
+    assert len(rows_) == 12_002 and len({(r.file, r.member) for r in rows_}) == 7
+    assert sorted(r.value for r in rows_ if r.file.endswith("b.zip")) == ["one", "two \ufffd"]
+    assert sum(r.value.startswith("3-") for r in rows_) == 2000 and not any(r.value.endswith("\r") for r in rows_)
+    assert A.read_archive_lines(spark, f"file:{folder}/b.zip").count() == 2
+    tasks = A.ArchiveReader({"path": folder, "taskBytes": "6000"}).partitions()
+    assert sum(len(t.parts) for t in tasks) == 8
+
+
 def test_daily_export_falls_back_to_file_date(spark, folder):
     rows = [line(58, {0: "1", 7: "TWN", 56: "20240105"}), line(58, {0: "2", 17: "KOR", 56: "n/a"})]
     with open(f"{folder}/20240106.export.CSV", "w") as f:

@@ -57,13 +57,13 @@ def standing_alone(text: str, keywords: tuple[str, ...]) -> list[str]:
     return [keywords[i] for i in sorted(found)]
 
 
-def found_keywords(lowered: Column | str, keywords: Iterable[str]) -> Column:
-    """The distinct keywords, lower-cased, that stand alone in a lower-cased
+def found_keywords(text: Column | str, keywords: Iterable[str]) -> Column:
+    """The distinct keywords, lower-cased, that stand alone in the lower-cased
     text, in alphabetical order; none for a null text."""
     lists = tuple(sorted({k.lower() for k in keywords}))
 
     @F.arrow_udf(returnType="array<string>")
     def walk(texts: pa.Array) -> pa.Array:
-        return pa.array([standing_alone(t.as_py(), lists) if t.is_valid else [] for t in texts], pa.list_(pa.string()))
+        return pa.array([standing_alone(t.as_py().lower(), lists) if t.is_valid else [] for t in texts], pa.list_(pa.string()))
 
-    return walk(col(lowered))
+    return walk(col(text))

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tremor.functions import exprs as X
+from tremor.session import materialize
 
 
 def paths(edges: DataFrame, nodes: DataFrame, max_hops: int = 2) -> DataFrame:
@@ -36,6 +37,47 @@ def paths(edges: DataFrame, nodes: DataFrame, max_hops: int = 2) -> DataFrame:
             .select("country", "stock", "channel", "weight", "path"))
 
 
+def strongest_paths(edges: DataFrame, nodes: DataFrame, max_hops: int) -> DataFrame:
+    """(country, stock, channel, weight, path): of the simple paths of at most
+    ``max_hops`` edges those that can be a strongest one, for edges of positive
+    weight.
+
+    Of two ways from a country to a node over the same first channel, the one
+    that is no stronger and has visited all the other has, and more, can be
+    left: whatever continues it continues the other as well.  So the frontier
+    holds, per country, first channel and node, only ways that trade strength
+    against freedom to go on, and it stays small where the number of simple
+    paths explodes.  Equal sets of visited nodes keep the strongest way, then
+    the smaller path.
+    """
+    e = edges.where("weight > 0").select("src", "dst", F.col("channel").alias("edge_channel"), F.col("weight").alias("edge_weight"))
+    countries = nodes.where("node_type = 'country'").select(F.col("name").alias("src"))
+    stocks = nodes.where("node_type = 'stock'").select(F.col("name").alias("stock"))
+    key = ["country", "channel", "node"]
+
+    def one_per_set(ways: DataFrame) -> DataFrame:
+        best = F.min(F.struct((-F.col("weight")).alias("neg"), "path")).alias("b")
+        return (ways.withColumn("visited", F.array_sort("path")).groupBy(*key, "visited").agg(best)
+                .select(*key, "visited", (-F.col("b.neg")).alias("weight"), F.col("b.path").alias("path")))
+
+    frontier = one_per_set(e.join(countries, "src").where("src <> dst").select(
+        F.col("src").alias("country"), F.col("edge_channel").alias("channel"), F.col("edge_weight").alias("weight"),
+        F.col("dst").alias("node"), F.array("src", "dst").alias("path")))
+    kept = frontier = materialize(frontier, "ways")
+    for _ in range(max_hops - 1):
+        longer = (frontier.drop("visited").join(e, F.col("node") == F.col("src")).where(~F.array_contains("path", F.col("dst")))
+                  .select("country", "channel", (F.col("weight") * F.col("edge_weight")).alias("weight"), F.col("dst").alias("node"),
+                          F.concat("path", F.array("dst")).alias("path")))
+        longer = materialize(one_per_set(longer), "ways")
+        # what came with fewer hops, and what came now with another set of as many nodes, which is no subset
+        old = kept.select(*[F.col(c).alias(f"o_{c}") for c in (*key, "visited", "weight")])
+        same = [F.col(c).eqNullSafe(F.col(f"o_{c}")) for c in key]
+        covers = (F.col("o_weight") >= F.col("weight")) & (F.size(F.array_except("o_visited", "visited")) == 0)
+        frontier = materialize(longer.join(old, [*same, covers], "left_anti"), "ways")
+        kept = kept.unionByName(frontier)
+    return kept.join(stocks, F.col("node") == F.col("stock")).select("country", "stock", "channel", "weight", "path")
+
+
 def _best(group: list[str], df: DataFrame) -> DataFrame:
     """Best path per group: one partial + final aggregate, no window."""
     return (df.groupBy(*group)
@@ -48,8 +90,10 @@ def reach(edges: DataFrame, nodes: DataFrame, activation: DataFrame, max_hops: i
 
     Each country is traversed on its own visited set, so the impact of a set
     of countries is exactly the max over its members (:func:`corridor_reach`).
+    Two hops are enumerated; more go over :func:`strongest_paths`.
     """
-    p = paths(edges, nodes, max_hops).join(activation, "channel")
+    p = paths(edges, nodes, max_hops) if max_hops <= 2 else strongest_paths(edges, nodes, max_hops)
+    p = p.join(activation, "channel")
     scored = p.select("country", "event_type", "stock", "path",
                       (F.col("activation") * F.col("weight")).alias("imp"))
     return _best(["country", "event_type", "stock"], scored)

@@ -91,11 +91,11 @@ def label_by_rules(events: DataFrame, d: Dictionary | None = None, event_id: str
                    title: str = "title", text: str = "text", version: str = "rules-1") -> DataFrame:
     """Full rule label of each (title, text) row: a map-only projection."""
     d = d or Dictionary()
-    rows = events.withColumn("_all", TX.combined_text(title, text)).withColumn("_low", F.lower("_all"))
-    rows = rows.withColumn("_found", found_keywords("_low", d.all_keywords()))
-    rows = rows.withColumn("_m", event_type_match("_low", d, "_found"))
+    rows = events.withColumn("_all", TX.combined_text(title, text))
+    rows = rows.withColumn("_found", found_keywords("_all", d.all_keywords()))
+    rows = rows.withColumn("_m", event_type_match("_all", d, "_found"))
     typed, n = F.col("_m").isNotNull(), F.col("_m.n")
-    severity = F.when(~typed, F.lit(1)).otherwise(F.coalesce(severity_match("_low", d, "_found"), F.lit(2)))
+    severity = F.when(~typed, F.lit(1)).otherwise(F.coalesce(severity_match("_all", d, "_found"), F.lit(2)))
     rows = rows.withColumn("_sev", severity)
     reasoning = (F.when(F.col("_all") == "", "no title/text available for keyword matching")
                  .when(~typed, "no event-type keyword matched title/text")
@@ -108,9 +108,9 @@ def label_by_rules(events: DataFrame, d: Dictionary | None = None, event_id: str
         X.severity_midpoint("_sev").alias("severity_score"),
         F.when(typed, rule_confidence(n)).otherwise(F.lit(0.0)).alias("confidence"),
         F.lit(None).cast("double").alias("polarity"),
-        match_countries("_all", "_low", d, "_found").alias("countries"),
-        match_sector("_low", d, "_found").alias("sector"),
-        match_companies("_low", d, "_found").alias("companies"),
+        match_countries("_all", "_all", d, "_found").alias("countries"),
+        match_sector("_all", d, "_found").alias("sector"),
+        match_companies("_all", d, "_found").alias("companies"),
         reasoning.alias("reasoning"),
         F.lit(version).alias("labeler_version"))
 
@@ -156,11 +156,11 @@ def screen_headlines(rows: DataFrame, title: str = "title", confirm: list[str] |
                      reject: list[str] | None = None, out: str = "screen") -> DataFrame:
     """Adds confirm / reject / uncertain: a hit in one list only decides."""
     confirm, reject = confirm or headline_tension_words(), reject or dims.HEADLINE_REJECT
-    rows = rows.withColumn("_low", F.lower(title)).withColumn("_found", found_keywords("_low", [*confirm, *reject]))
-    rows = rows.withColumn("_geo", TX.any_hit("_low", confirm, "_found")).withColumn("_rej", TX.any_hit("_low", reject, "_found"))
+    rows = rows.withColumn("_found", found_keywords(title, [*confirm, *reject]))
+    rows = rows.withColumn("_geo", TX.any_hit(title, confirm, "_found")).withColumn("_rej", TX.any_hit(title, reject, "_found"))
     geo, rej = F.col("_geo"), F.col("_rej")
     return (rows.withColumn(out, F.when(geo & ~rej, "confirm").when(rej & ~geo, "reject").otherwise("uncertain"))
-            .drop("_low", "_found", "_geo", "_rej"))
+            .drop("_found", "_geo", "_rej"))
 
 
 def fold_verdicts(answers: DataFrame, event_id: str = "event_id", answer: str = "answer",

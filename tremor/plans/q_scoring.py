@@ -118,6 +118,13 @@ def g2(f):
     return f.reach.select("country", "event_type", "stock", r9("imp"), path_text().alias("path"))
 
 
+@query("G2_reach_three_hops", f"SELECT country, event_type, stock, round(imp, 9) AS imp, {P} AS path FROM rch WHERE imp > 0")
+def g2_three(f):
+    """Three hops by the pruned frontier; these graphs end after two."""
+    r = G.reach(f.edges, f.nodes, f.activation, 3).where("imp > 0")
+    return r.select("country", "event_type", "stock", r9("imp"), path_text().alias("path"))
+
+
 @query("G3_ranked_stocks", "SELECT country, event_type, stock, round(imp, 9) AS imp, row_number() OVER (PARTITION BY country, event_type ORDER BY imp DESC, stock) AS rank FROM rch")
 def g3(f):
     return G.ranked_stocks(f.reach).select("country", "event_type", "stock", r9("imp"), "rank")

@@ -2,17 +2,15 @@
 
 from __future__ import annotations
 
-import io
-import zipfile
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 from dataclasses import dataclass
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tremor import dims
 from tremor.functions import exprs as X
+from tremor.sources import archives
 
 # Zero-based column positions shared by both layouts.
 POSITIONS = {
@@ -49,30 +47,9 @@ def read_lines(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path).select("value", F.input_file_name().alias("file"))
 
 
-def read_zipped_lines(spark: SparkSession, path: str, batch_lines: int = 50_000) -> DataFrame:
-    """Zipped exports, all members: one task per archive, streamed out in batches
-    so that an archive is never held decompressed as a whole."""
-
-    def unzip(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for name, content in zip(pdf["path"], pdf["content"]):
-                with zipfile.ZipFile(io.BytesIO(content)) as zf:
-                    for member in zf.infolist():
-                        if member.is_dir():
-                            continue
-                        with zf.open(member) as raw:
-                            text = io.TextIOWrapper(raw, encoding="utf-8", errors="replace")
-                            chunk: list[str] = []
-                            for line in text:
-                                chunk.append(line.rstrip("\r\n"))
-                                if len(chunk) >= batch_lines:
-                                    yield pd.DataFrame({"value": chunk, "file": name})
-                                    chunk = []
-                            if chunk:
-                                yield pd.DataFrame({"value": chunk, "file": name})
-
-    return (spark.read.format("binaryFile").load(path).select("path", "content")
-            .mapInPandas(unzip, "value string, file string"))
+def read_zipped_lines(spark: SparkSession, path: str, batch_lines: int = archives.BATCH_LINES) -> DataFrame:
+    """Zipped exports, all members, as (value, file)."""
+    return archives.read_archive_lines(spark, path, batch_lines=batch_lines).select("value", "file")
 
 
 def split_columns(lines: DataFrame, layout: Layout, value: str = "value") -> DataFrame:
