@@ -128,3 +128,31 @@ def test_parities_never_exceed_the_difference():
         x, y = near_copies.shingles(" ".join(a)), near_copies.shingles(" ".join(b))
         apart = sum(int(v).bit_count() for v in (near_copies.parities(x) ^ near_copies.parities(y)).view("uint64"))
         assert apart <= len(set(x.tolist()) ^ set(y.tolist()))
+
+
+def test_fingerprints_meet_most_light_copies_through_the_trie(spark):
+    """One pair per set of a fingerprint component, from the trie join; wider
+    budgets than op8's meet what any two blocks in common allow."""
+    from tremor.llm import simhash_trie
+
+    rng = random.Random(3)
+    words = [f"w{i}" for i in range(3000)]
+    rows = []
+    for g in range(20):
+        base = rng.choices(words, k=300)
+        for i in range(10):
+            copy = list(base)
+            copy[rng.randrange(300)] = f"own{g}x{i}"
+            h = near_copies.shingle_hashes(" ".join(copy), 5)
+            rows.append((10 * g + i, simhash_trie._signed(simhash_trie.folded(h))))
+    sketches = spark.createDataFrame(rows, "fp bigint, sim bigint")
+    pairs = [(r.a, r.b) for r in near_copies.fingerprint_pairs(sketches).collect()]
+    assert all(a // 10 == b // 10 and a < b for a, b in pairs) and len(set(pairs)) == len(pairs)
+    assert 0.9 * 180 <= len(pairs) <= 180
+
+    fps = {s for _, s in rows}
+    apart = lambda x, y: ((x ^ y) & (2 ** 64 - 1)).bit_count()
+    root = {s: s for s in fps}
+    for r in simhash_trie.connected(simhash_trie.near_links(sketches.selectExpr("sim fp").distinct(), 10, 8)).collect():
+        root[r.fp] = r.root
+    assert all(root[x] == root[y] for x in fps for y in fps if apart(x, y) <= 6)

@@ -1,10 +1,17 @@
-"""Near copies by exact Jaccard similarity of word shingles.
+"""Near copies by SimHash and the trie join, completed to exact Jaccard similarity.
 
 Sets.  A text is the set of its shingles of ``SHINGLE`` words (a shorter text
 is one shingle, a text without words the empty set), each a 62-bit token of
 XXH64.  Two sets tie if their Jaccard similarity is ``SIMILAR`` (4/5) or more;
 the groups are the components of that graph.  Equal sets always tie.
 
+SimHash.  Texts get 64-bit fingerprints of their shingles, and the trie join of
+``simhash_trie`` links those within ``BUDGET`` bits, about the distance at 4/5.
+Every set is verified against one set of its fingerprint component, and groups
+are formed of the ties.  That melts large groups of near copies at one pair per
+set.  A distance of 64 random bits is a matter of chance, so what follows finds
+the ties between the groups that fingerprints miss, exactly.
+
 Prefixes.  In any fixed order of the tokens, two sets that tie share a token
 among the first ``n - ceil(0.8 n) + 1`` of each.  Only these prefixes are dealt,
 by token, so every tie is met, at any number of texts (no recall loss).  Tokens
@@ -23,12 +30,11 @@ number.  Two sets differ in at least as many shingles as slots, so more than a
 ninth of their sizes together in differing slots rules a tie out: that parts
 texts that share a passage, without a look at them.
 
-Rounds.  Within each token's rows, first one set is paired with the others, the
-pairs are verified on their texts, and components formed.  Tokens at which many
-components still meet get further rounds, each with other centres per token,
-paired with the sets of other components only.  So a group of n near copies
-costs about n pairs a round and melts into one component, where all its pairs
-would be n squared.  The rounds end when few of their pairs tie.  They only save
+Rounds.  Tokens at which many groups still meet get rounds: some sets of the
+token are paired with the sets of other components, the pairs are verified on
+their texts, and components formed; each round takes other centres per token.
+So what fingerprints leave of a group of n near copies costs about n pairs a
+round, where all its pairs would be n squared.  The rounds end when few of their pairs tie.  They only save
 work: last, every pair of *different* components that positions and parities
 allow is verified.
 
@@ -50,12 +56,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tremor.llm.common import bounded_sample, map_batches
-from tremor.llm.simhash_trie import connected, first_rows, keep_first, narrow_rows
+from tremor.llm.simhash_trie import _signed, connected, first_rows, folded, keep_first, narrow_rows, near_links, shingle_hashes
 from tremor.session import materialize
 
 SHINGLE = 5
 SEED = 42
 SAMPLE = 4096
+#: differing bits of fingerprints that are looked at, and the blocks of which two must agree
+BUDGET, BLOCKS = 10, 8
 #: rows a task gives out at a time
 CHUNK = 1 << 18
 #: components at a token from which on it takes part in further rounds, and how many rounds there are at most
@@ -68,15 +76,7 @@ _TOKEN = np.uint64(1) << np.uint64(62)
 
 def shingles(text: str | None, k: int = SHINGLE) -> np.ndarray:
     """Sorted distinct hashes of the word shingles."""
-    words = (text or "").encode().lower().split()
-    if not words:
-        return np.zeros(0, dtype=np.uint64)
-    joined = b" ".join(words)
-    ends = np.cumsum(np.fromiter(map(len, words), dtype=np.int64, count=len(words)) + 1) - 1
-    k = min(k, len(words))
-    starts = [0, *(ends[: len(words) - k] + 1).tolist()]
-    digest = xxhash.xxh64_intdigest
-    return np.unique(np.array([digest(joined[s:e], SEED) for s, e in zip(starts, ends[k - 1:].tolist())], dtype=np.uint64))
+    return np.unique(shingle_hashes(text, k))
 
 
 def parities(hashes: np.ndarray) -> np.ndarray:
@@ -237,8 +237,7 @@ def _pair_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _verified(pairs: DataFrame, texts) -> DataFrame:
-    """(fp, root) of the pairs whose texts tie."""
-    pairs = materialize(pairs, "copies-pairs")
+    """(fp, root) of the pairs, a stored table, whose texts tie."""
     text = materialize(texts(pairs.select(F.col("a").alias("fp")).unionByName(pairs.select(F.col("b").alias("fp"))).distinct()), "copies-texts")
     of = lambda s: text.select(F.col("fp").alias(s), F.col("text").alias(f"text_{s}"))
 
@@ -255,9 +254,18 @@ def _verified(pairs: DataFrame, texts) -> DataFrame:
     return map_batches(pairs.join(of("a"), "a").join(of("b"), "b").select("a", "b", "text_a", "text_b"), check, "fp bigint,root bigint", slice_on=2)
 
 
+def fingerprint_pairs(sketches: DataFrame) -> DataFrame:
+    """(a, b): each set with the smallest one of its fingerprint component."""
+    roots = connected(near_links(sketches.select(F.col("sim").alias("fp")).distinct(), BUDGET, BLOCKS))
+    sets = (sketches.select("fp", "sim").join(roots.select(F.col("fp").alias("sim"), "root"), "sim", "left")
+            .select("fp", F.coalesce("root", "sim").alias("root")))
+    low = sets.groupBy("root").agg(F.min("fp").alias("a"), F.max("fp").alias("b")).where("a < b").select("root", "a")
+    return sets.join(low, "root").where("a < fp").select("a", F.col("fp").alias("b"))
+
+
 def near_copy_links(narrow: DataFrame, sketches: DataFrame, common, texts) -> DataFrame:
     """(fp, root) of every linked set: the smallest of its component.
-    ``narrow`` has a text column; ``sketches`` the parities of each fp;
+    ``narrow`` has a text column; ``sketches`` fingerprint and parities of each fp;
     ``texts`` gives (fp, text) for a table of fp."""
 
     def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -281,13 +289,12 @@ def near_copy_links(narrow: DataFrame, sketches: DataFrame, common, texts) -> Da
     rows = narrow.select("text").mapInArrow(prefixes, kinds)
     shared = materialize(rows.repartition("token").sortWithinPartitions("token", "fp").mapInArrow(_shared_task, kinds), "copies-shared")
 
-    def labelled(of: DataFrame, roots: DataFrame | None) -> DataFrame:
-        root = F.col("fp") if roots is None else F.coalesce("root", "fp")
-        return (of if roots is None else of.join(roots, "fp", "left")).select("token", root.alias("root"), "fp", "size", "pos")
+    def labelled(of: DataFrame, roots: DataFrame) -> DataFrame:
+        return of.join(roots, "fp", "left").select("token", F.coalesce("root", "fp").alias("root"), "fp", "size", "pos")
 
-    def stars(of: DataFrame, roots: DataFrame | None, turn: int, many: int, centres: int) -> DataFrame:
+    def stars(of: DataFrame, roots: DataFrame, turn: int) -> DataFrame:
         dealt = labelled(of, roots).repartition("token").sortWithinPartitions("token", "root", "fp")
-        return dealt.mapInArrow(_star_task(turn, many, centres), "a bigint,b bigint").distinct()
+        return dealt.mapInArrow(_star_task(turn, MANY, CENTRES), "a bigint,b bigint").distinct()
 
     def crossing(roots: DataFrame) -> DataFrame:
         rows = labelled(shared, roots)
@@ -296,13 +303,13 @@ def near_copy_links(narrow: DataFrame, sketches: DataFrame, common, texts) -> Da
         dealt = rows.repartition("token").sortWithinPartitions("token", "size", "fp")
         return dealt.mapInArrow(_pair_task, "a bigint,b bigint").distinct()
 
-    tested = materialize(stars(shared, None, 0, 2, 1), "copies-stars")
+    tested = materialize(fingerprint_pairs(sketches), "copies-fingerprints")
     links = materialize(_verified(tested, texts), "copies-links")
     roots = connected(links)
     crowded = labelled(shared, roots).groupBy("token").agg(F.count_distinct("root").alias("n")).where(F.col("n") >= MANY)
     crowded = materialize(shared.join(crowded, "token", "left_semi"), "copies-crowded")
     for turn in range(TURNS):
-        pairs = materialize(stars(crowded, roots, turn, MANY, CENTRES).join(tested, ["a", "b"], "left_anti"), "copies-stars")
+        pairs = materialize(stars(crowded, roots, turn).join(tested, ["a", "b"], "left_anti"), "copies-stars")
         found = materialize(_verified(pairs, texts), "copies-links")
         n, n_ties = pairs.count(), found.count()
         links, tested = links.unionByName(found), tested.unionByName(pairs)
@@ -310,7 +317,7 @@ def near_copy_links(narrow: DataFrame, sketches: DataFrame, common, texts) -> Da
             roots = connected(links)
         if n_ties * 20 <= n:
             break
-    pairs = crossing(roots).join(tested, ["a", "b"], "left_anti")
+    pairs = materialize(crossing(roots).join(tested, ["a", "b"], "left_anti"), "copies-pairs")
     return connected(links.unionByName(_verified(pairs, texts)))
 
 
@@ -322,12 +329,15 @@ def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     common = docs.sparkSession.sparkContext.broadcast(common_shingles(narrow.select("order", "text")))
 
     def own(batch):
-        sets = [shingles(t) for t in batch.column(2).to_pylist()]
+        hashes = [shingle_hashes(t, SHINGLE) for t in batch.column(2).to_pylist()]
+        sets = [np.unique(h) for h in hashes]
         bits = np.stack([parities(h) for h in sets])
-        return {"order": batch.column(0), "tie": batch.column(1), "fp": [set_id(h) for h in sets], **{p: bits[:, i] for i, p in enumerate(PARITIES)}}
+        return {"order": batch.column(0), "tie": batch.column(1), "fp": [set_id(h) for h in sets], "sim": [_signed(folded(h)) for h in hashes],
+                **{p: bits[:, i] for i, p in enumerate(PARITIES)}}
 
-    prints = materialize(map_batches(narrow, own, "order bigint,tie bigint,fp bigint,p0 bigint,p1 bigint,p2 bigint,p3 bigint"), "copies")
-    sketches = prints.groupBy("fp").agg(*[F.min(p).alias(p) for p in PARITIES])  # equal sets have equal parities
+    prints = materialize(map_batches(narrow, own, "order bigint,tie bigint,fp bigint,sim bigint,p0 bigint,p1 bigint,p2 bigint,p3 bigint"), "copies")
+    # equal sets have equal parities; their fingerprints may differ by repeats, one will do
+    sketches = prints.groupBy("fp").agg(*[F.min(p).alias(p) for p in ("sim", *PARITIES)])
     by_print = first_rows(prints)
 
     def texts(wanted: DataFrame) -> DataFrame:

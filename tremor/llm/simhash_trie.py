@@ -14,7 +14,9 @@ Distribution.  The 64 bits are cut into 4 blocks.  Two fingerprints that
 differ in at most 2 bits agree on 2 whole blocks, so each of the 6 choices of
 2 blocks gives a trie whose upper 32 levels allow no error: subtries with
 different 32-bit prefixes never meet, and Spark deals them by that prefix.
-Every link inside the budget is met in at least one of the six.  A task
+Every link inside the budget is met in at least one of the six.  Wider budgets
+(``blocks`` = 8: the 28 choices of 2 of 8 blocks) meet every pair of up to 6
+differing bits, and beyond that the pairs that agree on two blocks.  A task
 returns, for each subtrie, one link per fingerprint and component (at most as
 many rows as it read), never all pairs.
 
@@ -49,17 +51,21 @@ CHUNK = 1 << 17
 
 # ---------------------------------------------------------------- fingerprints
 
-def fingerprint(text: str | None, shingle: int = 3) -> int:
-    """Unsigned 64-bit fingerprint of a whole text."""
+def shingle_hashes(text: str | None, shingle: int) -> np.ndarray:
+    """Hash of every shingle of a text, in order, repeats included."""
     words = (text or "").encode().lower().split()  # bytes: ASCII case and ASCII white space only
     if not words:
-        return 0
+        return np.zeros(0, dtype="<u8")
     joined = b" ".join(words)
     ends = np.cumsum(np.fromiter(map(len, words), dtype=np.int64, count=len(words)) + 1) - 1
     k = min(shingle, len(words))
     starts = [0, *(ends[: len(words) - k] + 1).tolist()]
     digest = xxhash.xxh64_intdigest
-    hashes = np.array([digest(joined[s:e], SEED) for s, e in zip(starts, ends[k - 1:].tolist())], dtype="<u8")
+    return np.array([digest(joined[s:e], SEED) for s, e in zip(starts, ends[k - 1:].tolist())], dtype="<u8")
+
+
+def folded(hashes: np.ndarray) -> int:
+    """A bit is set if it is set in over half of the hashes; none give zero."""
     ones = np.zeros(BITS, dtype=np.int64)
     for i in range(0, len(hashes), 1 << 16):
         part = hashes[i:i + (1 << 16)].view(np.uint8).reshape(-1, 8)
@@ -67,6 +73,11 @@ def fingerprint(text: str | None, shingle: int = 3) -> int:
     return int(np.packbits(2 * ones > len(hashes), bitorder="little").view("<u8")[0])
 
 
+def fingerprint(text: str | None, shingle: int = 3) -> int:
+    """Unsigned 64-bit fingerprint of a whole text."""
+    return folded(shingle_hashes(text, shingle))
+
+
 def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
@@ -81,16 +92,16 @@ def fingerprints(docs: DataFrame, shingle: int = 3, id_col: str = "doc_id", text
 
 # ---------------------------------------------------------------- trie self-join
 
-def _choices() -> list[tuple[int, ...]]:
-    return list(combinations(range(BLOCKS), 2))
+def _choices(blocks: int = BLOCKS) -> list[tuple[int, ...]]:
+    return list(combinations(range(blocks), 2))
 
 
-def _permuted(fp: np.ndarray, choice: tuple[int, ...]) -> np.ndarray:
+def _permuted(fp: np.ndarray, choice: tuple[int, ...], blocks: int = BLOCKS) -> np.ndarray:
     """The chosen blocks first, the others after them."""
-    width = np.uint64(BITS // BLOCKS)
+    width = np.uint64(BITS // blocks)
     mask = (np.uint64(1) << width) - np.uint64(1)
     out = np.zeros(len(fp), dtype=np.uint64)
-    for block in [*choice, *(b for b in range(BLOCKS) if b not in choice)]:
+    for block in [*choice, *(b for b in range(blocks) if b not in choice)]:
         out = (out << width) | ((fp >> np.uint64(int(width) * block)) & mask)
     return out
 
@@ -183,9 +194,8 @@ def _split(keys: np.ndarray, lo: np.ndarray, hi: np.ndarray, bit: int) -> np.nda
     return np.clip(np.searchsorted(keys, border), lo, hi)
 
 
-def _join_task(budget: int):
+def _join_task(budget: int, free: int):
     schema = pa.schema([("fp", pa.int64()), ("root", pa.int64())])
-    free = BITS // 2
 
     def links(trie: int, keys: np.ndarray, fps: np.ndarray) -> pa.RecordBatch | None:
         comp = trie_components(keys, free, budget)
@@ -193,8 +203,8 @@ def _join_task(budget: int):
         return pa.RecordBatch.from_pydict({"fp": fps[tied], "root": fps[comp[tied]]}, schema=schema) if len(tied) else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows come sorted by (trie, key).  A block ends where the 32-bit
-        prefix changes, so a subtrie is never torn."""
+        """Rows come sorted by (trie, key).  A block ends where the prefix
+        changes, so a subtrie is never torn."""
         trie, keys, fps = -1, [], []
         held = 0
         for batch in batches:
@@ -223,22 +233,24 @@ def _join_task(budget: int):
     return run
 
 
-def near_links(distinct: DataFrame, budget: int = 2) -> DataFrame:
+def near_links(distinct: DataFrame, budget: int = 2, blocks: int = BLOCKS) -> DataFrame:
     """(fp, root): links between distinct fingerprints within the budget, as
-    stars; together they connect what any pair within the budget connects."""
-    assert budget == BLOCKS - 2, "four blocks leave two whole for two differing bits"
+    stars; together they connect what any pair connects that is within the
+    budget and agrees on two blocks, as any does within ``blocks`` - 2 bits."""
+    assert BITS % blocks == 0 and budget >= blocks - 2
+    free = BITS - 2 * (BITS // blocks)
     schema = "trie int,key bigint,fp bigint"
 
     def spread(batch):
         fp = batch.column(0).to_numpy()
-        keys = [(_permuted(fp.view(np.uint64), c) ^ np.uint64(1 << 63)).view(np.int64) for c in _choices()]
+        keys = [(_permuted(fp.view(np.uint64), c, blocks) ^ np.uint64(1 << 63)).view(np.int64) for c in _choices(blocks)]
         return {"trie": np.repeat(np.arange(len(keys), dtype=np.int32), len(fp)), "key": np.concatenate(keys),
                 "fp": np.tile(fp, len(keys))}
 
     rows = map_batches(distinct.select("fp"), spread, schema)
-    subtrie = F.shiftright("key", BITS // 2)
+    subtrie = F.shiftright("key", free)
     return (rows.repartition("trie", subtrie).sortWithinPartitions("trie", "key")
-            .mapInArrow(_join_task(budget), "fp bigint,root bigint"))
+            .mapInArrow(_join_task(budget, free), "fp bigint,root bigint"))
 
 
 # ---------------------------------------------------------------- components
