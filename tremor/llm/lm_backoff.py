@@ -11,16 +11,22 @@ large as the corpus makes it.  Each document is scored by the counts of all
 and by the last two without the first factor for the first word.  The score is
 the mean logarithm per word.
 
-Documents are exploded into (pair, document) rows dealt by the pair, where
-counts meet the documents' rows: a found pair then asks for the count of its
-first word, any other for that of its second.  These requests and the
-(word, document) rows are dealt by the word, where counts meet them in the same
-way, and one more aggregate sums per document.
-
-Hot keys.  Words and pairs found in at least ``HOT_SHARE`` of ``HOT_SAMPLE``
+Count tables.  A task cuts its documents into bundles of about ``BUNDLE_BYTES``
+of text.  The distinct keys of a bundle, with their counts in it, are dealt by
+key range: one row per bundle and range holds them as packed arrays, so a pair
+costs about 8 bytes of shuffle once per bundle and not once per document.  Each
+range is one part of the count table: it sums the bundles' counts and answers
+each bundle with what the others hold, in the order of the keys asked for.  The
+answers meet the bundle's texts, where every document is scored.  The number of
+ranges follows the words of the corpus, so neither a range nor a bundle grows
+with it, and a key has at most one row per bundle: there is no hot key.
+
+The texts are read twice and must be cut alike: a bundle's name holds a hash of
+its texts, and one without its answers is an error, not a wrong score.
+
+Frequent keys.  Words and pairs found in at least ``HOT_SHARE`` of ``HOT_SAMPLE``
 sampled documents (a bounded set) are summed per task instead, exactly, and
 broadcast; the sample decides where a key is counted, never what its count is.
-What remains has no hot key.
 
 Defined results: null and empty texts have no words and a null score; repeated
 rows are scored one by one and count as other documents to each other; an
@@ -35,16 +41,20 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark import TaskContext
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tremor.llm.common import bounded_sample, id_text, map_batches
+from tremor.llm.common import bounded_sample, id_text, map_batches, schema_of
 
 #: bits of a word's key
 CLASS_BITS = 64
 BACKOFF = 0.4
 HOT_SAMPLE = 4096
 HOT_SHARE = 0.01
+BUNDLE_BYTES = 5 << 20
+#: words of the corpus for each range of the count table
+RANGE_WORDS = 1 << 20
 
 
 def word_keys(text: str | None) -> np.ndarray:
@@ -124,106 +134,154 @@ def count(docs: DataFrame) -> Counts:
     return Counts(words, sums[1:1 + len(words)], hot, sums[1 + len(words):], int(sums[0]))
 
 
-_COLUMNS = ("pair", "word", "word2", "times", "own", "starts", "ends", "log1", "log2", "settled")
-_ROWS = ("row bigint,doc_id bigint,n_words bigint,pair bigint,word bigint,word2 bigint,times int,own int,starts int,ends int,"
-         "log1 float,log2 float,settled double")
-
-
-def _explode(text: str | None, k: Counts) -> dict[str, np.ndarray]:
-    """Rows of a document: its own, with what is settled here; a row per cold
-    word, with its own count and the requests that hot pairs make; a row per
-    cold pair.  A hot word's logarithm takes the place of its key (log1 of the
-    count, log2 of the backoff value); a pair row has own = -1."""
-    c = word_keys(text)
-    n, rest = len(c), max(1, k.total - len(c))
-    if not n:
-        kinds, at, own = c, c, c
-    else:
-        kinds, at, own = np.unique(c, return_inverse=True, return_counts=True)
-    place, is_hot = _among(k.words, kinds)
-    other = np.where(is_hot, k.word_counts[place] if len(k.words) else 0, 0) - own
-    log1 = np.log(np.maximum(other, 1))
-    log2 = np.log(np.where(other > 0, other, BACKOFF) / rest)
-    starts, ends = np.zeros(len(kinds), np.int64), np.zeros(len(kinds), np.int64)
-    settled = 0.0
-    keys, first, times = np.unique(pairs(c), return_index=True, return_counts=True)
-    if n:
-        ends[at[0]] += 1
-    v, w = at[first], at[first + 1] if len(first) else at[first]
-    p, hot = _among(k.pairs, keys)
-    others = (k.pair_counts[p] if len(k.pairs) else np.zeros(len(keys), np.int64)) - times
-    found, missed = hot & (others > 0), hot & (others <= 0)
-    settled += float((times[found] * np.log(others[found])).sum() + times[missed].sum() * np.log(BACKOFF))
-    np.add.at(starts, v[found], times[found])
-    np.add.at(ends, w[missed], times[missed])
-    settled += float((ends * log2 - starts * log1)[is_hot].sum())
-    cold, cold_words = ~hot, ~is_hot
-    a, b, m = int(cold_words.sum()), int(cold.sum()), 1
-    out = {name: np.zeros(m + a + b, dtype=np.float64 if name in ("log1", "log2", "settled") else np.int64) for name in _COLUMNS}
-    out["settled"][0] = settled
-    words_, pairs_ = slice(m, m + a), slice(m + a, m + a + b)
-    out["word"][words_], out["own"][words_] = kinds[cold_words], own[cold_words]
-    out["starts"][words_], out["ends"][words_] = starts[cold_words], ends[cold_words]
-    v, w = v[cold], w[cold]
-    out["pair"][pairs_], out["times"][pairs_], out["own"][pairs_] = keys[cold], times[cold], -1
-    # most of a shuffled row's bytes are these: a key or a logarithm, not both
-    out["word"][pairs_], out["word2"][pairs_] = np.where(is_hot[v], 0, kinds[v]), np.where(is_hot[w], 0, kinds[w])
-    out["log1"][pairs_] = np.where(is_hot[v], log1[v], np.nan)
-    out["log2"][pairs_] = np.where(is_hot[w], log2[w], np.nan)
-    out["n"] = n
-    return out
+def packed(counts: np.ndarray) -> bytes:
+    """Counts as planes of equal bytes: small numbers leave runs of zeros."""
+    return counts.astype("<i8").view(np.uint8).reshape(-1, 8).T.tobytes()
+
+
+def unpacked(data: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(8, -1).T).view("<i8").ravel()
+
+
+def bundles(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[tuple[int, list, list]]:
+    """(name, ids, texts) of the bundles of a task's rows (doc_id, text), cut
+    at ``size`` bytes of text."""
+    task, number, ids, texts, held, mark = TaskContext.get().partitionId(), 0, [], [], 0, xxhash.xxh64()
+
+    def named() -> int:
+        return int(np.array([xxhash.xxh64_intdigest(f"{task},{number},{len(ids)},{mark.intdigest()}")], np.uint64).view(np.int64)[0])
+
+    for batch in batches:
+        for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            raw = (text or "").encode()
+            ids.append(doc_id)
+            texts.append(text)
+            mark.update(b"%d," % len(raw))
+            mark.update(raw)
+            held += len(raw)
+            if held >= size:
+                yield named(), ids, texts
+                number, ids, texts, held, mark = number + 1, [], [], 0, xxhash.xxh64()
+    if ids:
+        yield named(), ids, texts
+
+
+@dataclass
+class Bundle:
+    """Keys of a bundle's words and then its pairs, and the counts of the hot
+    ones; which are cold, the distinct cold ones and their counts in the bundle."""
+
+    words: list[np.ndarray]
+    flat: np.ndarray
+    counts: np.ndarray
+    cold: np.ndarray
+    keys: np.ndarray
+    own: np.ndarray
+
+    @classmethod
+    def of(cls, texts: list[str | None], k: Counts) -> Bundle:
+        words = [word_keys(t) for t in texts]
+        parts = []
+        for keys, known, sums in ((words, k.words, k.word_counts), ([pairs(c) for c in words], k.pairs, k.pair_counts)):
+            flat = np.concatenate(keys)
+            place, hot = _among(known, flat)
+            parts.append((flat, hot, np.where(hot, sums[place] if len(known) else 0, 0)))
+        flat, hot, counts = (np.concatenate(x) for x in zip(*parts))
+        keys, own = np.unique(flat[~hot].view(np.uint64), return_counts=True)
+        return cls(words, flat, counts, ~hot, keys, own)
+
+    def cuts(self, ranges: int) -> np.ndarray:
+        """Where the sorted keys pass from one range to the next."""
+        borders = np.array([(i << 64) // ranges for i in range(1, ranges)], dtype=np.uint64)
+        return np.concatenate([[0], np.searchsorted(self.keys, borders), [len(self.keys)]]).astype(np.int64)
+
+
+_ASKED = "part int,bundle bigint,keys binary,own binary"
+_MET = "bundle bigint,part int,doc_id bigint,text string,elsewhere binary"
+_SCORES = "doc_id bigint,n_words bigint,log_prob double,lm_score double"
+
+
+def _asked_task(shared, ranges: int, size: int):
+    """A row per bundle and key range: its distinct cold keys and their counts."""
+    schema = schema_of(_ASKED)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for name, _, texts in bundles(batches, size):
+            b = Bundle.of(texts, shared.value)
+            cuts = b.cuts(ranges)
+            full = np.flatnonzero(np.diff(cuts))
+            for some in np.array_split(full, 1 + len(full) // 4096):
+                yield pa.RecordBatch.from_pydict({
+                    "part": some, "bundle": [name] * len(some), "keys": [b.keys[cuts[i]:cuts[i + 1]].tobytes() for i in some],
+                    "own": [packed(b.own[cuts[i]:cuts[i + 1]]) for i in some]}, schema=schema)
+
+    return run
+
+
+def _range_counts(rows: pa.Table) -> pa.Table:
+    """One range of the count table, answered to each bundle that asked."""
+    asked = [np.frombuffer(x, np.uint64) for x in rows["keys"].to_pylist()]
+    own = np.concatenate([unpacked(x) for x in rows["own"].to_pylist()])
+    _, at = np.unique(np.concatenate(asked), return_inverse=True)
+    sums = np.zeros(int(at.max()) + 1, dtype=np.int64)
+    np.add.at(sums, at, own)
+    ends = np.cumsum([len(x) for x in asked])[:-1]
+    n = rows.num_rows
+    return pa.Table.from_pydict({"bundle": rows["bundle"], "part": rows["part"], "doc_id": [None] * n, "text": [None] * n,
+                                 "elsewhere": [packed(x) for x in np.split(sums[at] - own, ends)]}, schema=schema_of(_MET))
+
+
+def _texts_task(size: int):
+    schema = schema_of(_MET)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for name, ids, texts in bundles(batches, size):
+            n = len(ids)
+            yield pa.RecordBatch.from_pydict({"bundle": [name] * n, "part": [-1] * n, "doc_id": ids, "text": texts, "elsewhere": [None] * n}, schema=schema)
+
+    return run
+
+
+def log_prob(c: np.ndarray, word_counts: np.ndarray, pair_counts: np.ndarray, total: int) -> float:
+    """Of a document's words, given the counts of each word and pair in all
+    documents."""
+    _, at, own = np.unique(c, return_inverse=True, return_counts=True)
+    other = word_counts - own[at]
+    back = np.log(np.where(other > 0, other, BACKOFF) / max(1, total - len(c)))
+    if len(c) == 1:
+        return float(back[0])
+    _, at, own = np.unique(pairs(c), return_inverse=True, return_counts=True)
+    others = pair_counts - own[at]
+    found = others > 0
+    seen = np.log(np.where(found, others, 1)) - np.log(np.where(found, other[:-1], 1))
+    return float(back[0] + np.where(found, seen, np.log(BACKOFF) + back[1:]).sum())
+
+
+def _score_bundle(shared, name: int, rows: pa.Table) -> pa.Table:
+    """Scores of a bundle's documents: its texts and the answers of all ranges."""
+    part = rows["part"].to_numpy()
+    texts, ids = (rows[x].filter(pa.array(part < 0)).to_pylist() for x in ("text", "doc_id"))
+    told = rows.filter(pa.array(part >= 0)).sort_by("part")["elsewhere"].to_pylist()
+    b = Bundle.of(texts, shared.value) if texts else None
+    elsewhere = np.concatenate([unpacked(x) for x in told]) if told else np.zeros(0, np.int64)
+    if b is None or len(elsewhere) != len(b.keys):
+        raise RuntimeError(f"bundle {name}: the documents were not read alike in both passes; store them first")
+    b.counts[b.cold] = (elsewhere + b.own)[np.searchsorted(b.keys, b.flat[b.cold].view(np.uint64))]
+    sizes = [len(c) for c in b.words]
+    word_counts = np.split(b.counts[:sum(sizes)], np.cumsum(sizes)[:-1])
+    pair_counts = np.split(b.counts[sum(sizes):], np.cumsum([max(0, n - 1) for n in sizes])[:-1])
+    logs = [log_prob(c, w, p, shared.value.total) if len(c) else None for c, w, p in zip(b.words, word_counts, pair_counts)]
+    return pa.Table.from_pydict({"doc_id": ids, "n_words": sizes, "log_prob": logs,
+                                 "lm_score": [x / n if n else None for x, n in zip(logs, sizes)]}, schema=schema_of(_SCORES))
 
 
 def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_words, log_prob, lm_score), one row per document."""
     own = id_text(docs, id_col, text_col)
     counts = count(own)
-    total = counts.total
     shared = docs.sparkSession.sparkContext.broadcast(counts)
-
-    def explode(batch):
-        rows = batch.column(2).to_numpy()
-        out = [_explode(t, shared.value) for t in batch.column(1).to_pylist()]
-        sizes = [len(o["pair"]) for o in out]
-        heads = np.concatenate([[0], np.cumsum(sizes)[:-1]]).astype(np.int64)
-        inner = np.ones(sum(sizes), dtype=bool)
-        inner[heads] = False
-        columns = {name: np.concatenate([o[name] for o in out]) for name in _COLUMNS}
-        for name in ("times", "own", "starts", "ends"):
-            columns[name] = columns[name].astype(np.int32)
-        # words and a document's own row are spread over the tasks by their row
-        columns["log1"], columns["log2"] = columns["log1"].astype(np.float32), columns["log2"].astype(np.float32)
-        not_pair = columns["own"] >= 0
-        row = np.repeat(rows, sizes)
-        columns["pair"] = np.where(not_pair, columns["word"] ^ row, columns["pair"])
-        return {"row": row, "doc_id": batch.column(0).take(pa.array(np.repeat(np.arange(len(out)), sizes), mask=inner)),
-                "n_words": np.where(inner, 0, np.repeat(np.array([o["n"] for o in out], np.int64), sizes)), **columns}
-
-    exploded = map_batches(own.withColumn("row", F.monotonically_increasing_id()), explode, _ROWS, slice_on=1)
-    is_pair = F.col("own") < 0
-    elsewhere = F.sum(F.when(is_pair, F.col("times")).otherwise(0)).over(Window.partitionBy("pair")) - F.col("times")
-    met = exploded.withColumn("elsewhere", elsewhere)
-    found, missed = is_pair & (F.col("elsewhere") > 0), is_pair & (F.col("elsewhere") <= 0)
-    known = lambda c: ~F.isnan(c)
-    # what a pair row still asks for: its first word's count, or its second word's
-    gain = (F.when(found, F.col("times") * (F.log("elsewhere") - F.when(known("log1"), F.col("log1")).otherwise(0.0)))
-            .when(missed, F.col("times") * (F.lit(float(np.log(BACKOFF))) + F.when(known("log2"), F.col("log2")).otherwise(0.0)))
-            .otherwise(F.col("settled")))
-    asks = (found & ~known("log1")) | (missed & ~known("log2")) | (F.col("own") > 0)
-    word = F.when(~asks, F.xxhash64("row")).when(missed, F.col("word2")).otherwise(F.col("word"))
-    requests = met.select(
-        "row", "doc_id", "n_words", word.alias("word"), F.greatest("own", F.lit(0)).alias("own"),
-        F.when(found & asks, F.col("times")).otherwise(F.col("starts")).alias("starts"),
-        F.when(missed & asks, F.col("times")).otherwise(F.col("ends")).alias("ends"), gain.alias("gain"))
-    per_word = (requests.repartition("word").groupBy("word", "row")
-                .agg(F.max("doc_id").alias("doc_id"), F.max("n_words").alias("n_words"), F.sum("own").alias("own"),
-                     F.sum("starts").alias("starts"), F.sum("ends").alias("ends"), F.sum("gain").alias("gain")))
-    other = F.sum("own").over(Window.partitionBy("word")) - F.col("own")
-    rest = F.log(F.greatest(F.lit(1), F.lit(total) - F.max("n_words")))
-    value = (F.col("gain") + F.col("ends") * F.log(F.when(F.col("other") > 0, F.col("other")).otherwise(F.lit(BACKOFF)))
-             - F.col("starts") * F.log(F.greatest("other", F.lit(1))))
-    per_doc = (per_word.withColumn("other", other).select("row", "doc_id", "n_words", "ends", value.alias("value"))
-               .groupBy("row").agg(F.max("doc_id").alias("doc_id"), F.max("n_words").alias("n_words"), (F.sum("value") - F.sum("ends") * rest).alias("log_prob")))
-    some = F.col("n_words") > 0
-    return per_doc.select("doc_id", "n_words", F.when(some, F.col("log_prob")).alias("log_prob"),
-                          F.when(some, F.col("log_prob") / F.col("n_words")).alias("lm_score"))
+    ranges = 1 + counts.total // RANGE_WORDS
+    asked = own.mapInArrow(_asked_task(shared, ranges, BUNDLE_BYTES), _ASKED)
+    answers = asked.groupBy("part").applyInArrow(_range_counts, _MET)
+    met = own.mapInArrow(_texts_task(BUNDLE_BYTES), _MET).unionByName(answers)
+    return met.groupBy("bundle").applyInArrow(lambda key, rows: _score_bundle(shared, key[0].as_py(), rows), _SCORES)
