@@ -108,22 +108,20 @@ PARTS = 2
 
 
 def _maintained(f: Fixture):
-    """Scores kept up to date by micro-batches: the events land in files by a
+    """Scores kept up to date by micro-batches: the events land in parts by a
     hash of their id, so every batch holds days of the whole span, and most of
-    its rows are late."""
+    its rows are late.  A part lands in as many files as tasks read the events,
+    and the one-shot query is started again for it."""
     place = _place(f, "upkeep")
     parts = f.spark.read.schema(RAW).parquet(f"{f.dir}/events.parquet").withColumn("part", F.pmod(F.xxhash64("event_id"), F.lit(PARTS)))
-    for i in range(PARTS):
-        parts.where(F.col("part") == i).drop("part").coalesce(1).write.mode("append").parquet(f"{place}/in")
 
     class Landed(StreamFixture):
         def table(self, name: str) -> DataFrame:
             if name != "events":
                 return Fixture.table(self, name)
-            return ST.landing(self.spark, f"{place}/in", RAW, max_files=1)
+            return ST.landing(self.spark, f"{place}/in", RAW)
 
     # The gate's verdicts are those of the ledger; each event meets its own only.
-    events = Landed(f.spark, f.dir).labels
     confirmed = f.ledger.where(F.col("verdict") == dims.CONFIRMED).select("event_id", F.lit(True).alias("ok"))
     store, reach, stocks = f.store, f.reach, f.stocks
     start, end = f.span
@@ -134,8 +132,10 @@ def _maintained(f: Fixture):
         rows = batch.join(confirmed, "event_id", "left").where(~gated | F.col("ok")).drop("ok", "eid")
         jobs.refresh_scores(store, rows, reach, FX.NATIONS, start, end)
 
-    q = ST.start(events, ST.refresh_sink(refresh), f"{place}/checkpoint", place.rsplit("/", 1)[-1])
-    q.awaitTermination()
+    for i in range(PARTS):
+        parts.where(F.col("part") == i).drop("part").write.mode("append").parquet(f"{place}/in")
+        events = Landed(f.spark, f.dir).labels
+        ST.start(events, ST.refresh_sink(refresh), f"{place}/checkpoint", place.rsplit("/", 1)[-1]).awaitTermination()
     return store
 
 
