@@ -32,3 +32,36 @@ def test_parts_of_the_maintained_scores_land_by_all_tasks(spark, folder, monkeyp
     assert len(batches) == Q.PARTS
     digits = lambda t: sorted(t.select("ticker", "date", F.round("score", 8), "n_clusters").collect())
     assert digits(got) == digits(f.daily)
+
+
+def test_classifier_reads_stored_counts_not_texts(spark, monkeypatch):
+    """Each text meets the keyword walk and the tokenizer once, however often
+    the split and the fit pass over the rows."""
+    from tremor.plans import q_evaluation as Q
+    from tremor.plans.fixtures import Fixture
+
+    seen = {}
+
+    def watch(name):
+        whole = getattr(Q.C, name)
+        monkeypatch.setattr(Q.C, name, lambda rows, *a, **k: seen.setdefault(name, rows) is not None and whole(rows, *a, **k))
+
+    watch("stratified_split")
+    watch("fit_classifier")
+    out = Q.n11(Fixture(spark, SF))
+    assert out.where("beats_majority").count() == out.count() > 1
+    assert set(seen) == {"stratified_split", "fit_classifier"}
+    for rows in seen.values():
+        plan = rows._jdf.queryExecution().optimizedPlan().toString()
+        assert "EvalPython" not in plan and "UDF" not in plan and "text" not in rows.columns
+
+
+def test_hashed_counts_hold_every_token(spark):
+    from tremor.functions import text as TX
+    from tremor.operators import corpus as C
+
+    docs = spark.createDataFrame([(1, "It's a b, A b-c 7"), (2, "")], "id int, text string")
+    got = C.hashed_counts(docs, "text").select("id", F.size(TX.tokenize("text")).alias("n"), "features").collect()
+    assert {r["id"]: (r["n"], int(r["features"].values.sum())) for r in got} == {1: (7, 7), 2: (0, 0)}
+    one = next(r for r in got if r["id"] == 1)["features"]
+    assert one.size == 1 << 16 and sorted(one.values) == [1, 1, 1, 2, 2]

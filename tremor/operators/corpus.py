@@ -84,15 +84,23 @@ def label_agreement(pairs: DataFrame, a: str, b: str) -> DataFrame:
     return pairs.agg(F.count("*").alias("n"), F.avg((F.col(a) == F.col(b)).cast("double")).alias("agreement"))
 
 
-def fit_classifier(train: DataFrame, text: str, label: str, weight: str, n_features: int = 1 << 16):
+def hashed_counts(rows: DataFrame, text: str, out: str = "features", n_features: int = 1 << 16) -> DataFrame:
+    """Hashed token counts of a text as a sparse vector: what the classifier
+    reads.  A fit passes over its rows some twenty times, so store these once
+    where the texts are long."""
+    from pyspark.ml.feature import HashingTF, RegexTokenizer
+
+    tokens = RegexTokenizer(inputCol=text, outputCol="_tok", pattern="[a-z0-9']+", gaps=False).transform(rows)
+    return HashingTF(inputCol="_tok", outputCol=out, numFeatures=n_features).transform(tokens).drop("_tok")
+
+
+def fit_classifier(train: DataFrame, features: str, label: str, weight: str):
     """Class-weighted multinomial model over hashed token counts."""
     from pyspark.ml import Pipeline
     from pyspark.ml.classification import LogisticRegression
-    from pyspark.ml.feature import HashingTF, RegexTokenizer, StringIndexer
+    from pyspark.ml.feature import StringIndexer
 
     return Pipeline(stages=[
         StringIndexer(inputCol=label, outputCol="_y", handleInvalid="keep", stringOrderType="alphabetAsc"),
-        RegexTokenizer(inputCol=text, outputCol="_tok", pattern="[a-z0-9']+", gaps=False),
-        HashingTF(inputCol="_tok", outputCol="_x", numFeatures=n_features),
-        LogisticRegression(featuresCol="_x", labelCol="_y", weightCol=weight, maxIter=20, regParam=0.01),
+        LogisticRegression(featuresCol=features, labelCol="_y", weightCol=weight, maxIter=20, regParam=0.01),
     ]).fit(train)
