@@ -1,7 +1,7 @@
 """A corpus pipeline: quality rules, near duplicates, personal data, source
 mixture, packing.  Every stage takes (spark, docs, sf_dir) and returns a
-DataFrame; ``run`` writes each stage's rows to the shared folder and reads
-them back for the next."""
+DataFrame; ``run`` writes each stage's rows to the shared folder, reads them
+back for the next and deletes them once that one is written."""
 
 from __future__ import annotations
 
@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tremor.llm import mixing, near_copies, packing, pii_crf, repetition
-from tremor.session import materialize
+from tremor.session import discard, materialize
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -55,5 +55,6 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
-        docs = materialize(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        done, docs = docs, materialize(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        discard(done)
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -2,6 +2,8 @@
 
 import random
 
+import pytest
+
 import corpus_pipeline
 from tremor.llm import near_copies
 
@@ -156,3 +158,94 @@ def test_fingerprints_meet_most_light_copies_through_the_trie(spark):
     for r in simhash_trie.connected(simhash_trie.near_links(sketches.selectExpr("sim fp").distinct(), 10, 8)).collect():
         root[r.fp] = r.root
     assert all(root[x] == root[y] for x in fps for y in fps if apart(x, y) <= 6)
+
+
+def shuffled_bytes(spark):
+    """Bytes that the session's stages have written for shuffles."""
+    store = spark.sparkContext._jsc.sc().statusStore()
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    stages = store.stageList(None, False, False, spark.sparkContext._gateway.new_array(spark._jvm.double, 0), None)
+    return {(s.stageId(), s.attemptId()): s.shuffleWriteBytes() for s in (stages.apply(i) for i in range(stages.size()))}
+
+
+def shuffle_files(spark):
+    """Bytes of shuffle files on the local disk."""
+    import os
+
+    dirs = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString()
+    return sum(os.path.getsize(os.path.join(d, f)) for top in dirs for d, _, files in os.walk(top) for f in files if f.startswith("shuffle_"))
+
+
+def long_texts():
+    """Long texts of which twelve have a near copy, and two each share a passage."""
+    rng = random.Random(11)
+    words = lambda n: [f"{rng.getrandbits(48):x}" for _ in range(n)]
+    texts = []
+    for g in range(110):
+        passage = words(30)
+        for _ in range(2):
+            texts.append(" ".join(words(450) + passage + words(450)))
+        if g < 12:
+            texts.append(texts[-1] + " own")
+    return list(enumerate(texts))
+
+
+@pytest.fixture()
+def no_broadcasts(spark):
+    """Joins as on large tables."""
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    yield
+    spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_texts_are_dealt_for_pairs_only_and_disk_is_given_back(spark, no_broadcasts):
+    """The texts used to be dealt out whole in each round and for the result,
+    and all shuffle files and tables stayed."""
+    from tremor import session
+
+    rows = long_texts()
+    docs = session.materialize(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4), "texts")
+    size = sum(len(t) for _, t in rows)
+    written, on_disk, tables = shuffled_bytes(spark), shuffle_files(spark), len(session._WRITTEN[spark])
+    kept = near_copies.drop_near_copies(docs)
+    got = sorted(r.doc_id for r in kept.collect())
+    assert got == slow_kept(rows)[0] and len(got) == len(rows) - 12
+    shuffled, left = sum(v for k, v in shuffled_bytes(spark).items() if k not in written), shuffle_files(spark) - on_disk
+    assert shuffled < 3 * size and left < size // 10, (shuffled, left, size)  # the bounded sample holds all texts here: one time their size
+    assert len(session._WRITTEN[spark]) - tables < 20
+
+
+def test_wide_sketches_rule_out_long_texts_that_share_a_passage(spark, monkeypatch):
+    rows = long_texts()
+    pairs, verified = [], near_copies._verified
+
+    def counted(of, texts):
+        pairs.append(of.count())
+        return verified(of, texts)
+
+    monkeypatch.setattr(near_copies, "_verified", counted)
+    monkeypatch.setattr(near_copies, "SAMPLE", 4)  # passages that the sample does not know
+    near_copies.drop_near_copies(spark.createDataFrame(rows, "doc_id bigint, text string")).count()
+    assert 12 <= sum(pairs) < 40, pairs
+
+
+def test_sketches_never_differ_by_more_than_the_sets():
+    rng = random.Random(6)
+    for _ in range(300):
+        a = [f"w{rng.randrange(3000)}" for _ in range(rng.randint(0, 2500))]
+        b = a[:rng.randint(0, len(a))] + [f"w{rng.randrange(60)}" for _ in range(rng.randint(0, 40))]
+        x, y = near_copies.shingles(" ".join(a)), near_copies.shingles(" ".join(b))
+        n = near_copies.apart(near_copies.sketch(x), near_copies.sketch(y))
+        assert n <= len(set(x.tolist()) ^ set(y.tolist())) and n == near_copies.apart(near_copies.sketch(y), near_copies.sketch(x))
+        assert near_copies.apart(near_copies.sketch(x), near_copies.sketch(x)) == 0
+
+
+def test_shared_bits_change_no_row(spark, odd_documents, monkeypatch):
+    """One word of 64 bits for all keys: nearly every row is in doubt and joined on its key."""
+    from tremor.llm import key_bitmaps
+
+    monkeypatch.setattr(key_bitmaps, "WORDS", 1)
+    assert sorted(r.doc_id for r in near_copies.drop_near_copies(odd_documents).collect()) == [1, 2, 4, 5]
+    rows = near_texts(4)
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    assert sorted(r.doc_id for r in near_copies.drop_near_copies(docs).collect()) == slow_kept(rows)[0]

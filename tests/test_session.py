@@ -30,3 +30,21 @@ def test_release_deletes_what_was_written(spark):
     assert os.path.exists(path) and kept.count() == 3
     assert session.release(spark) == 1 and not os.path.exists(path)
     assert session.release(spark) == 0
+
+
+def test_discard_deletes_the_tables_it_is_given(spark):
+    a, b = (session.materialize(spark.range(3).toDF("x"), n) for n in ("one", "two"))
+    session.discard(a, spark.range(1))
+    session.discard(a)
+    assert not os.path.exists(a._tremor_path.removeprefix("file:")) and b.count() == 3
+    session.discard(b)
+
+
+def test_brief_shuffles_end_with_their_block(spark):
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key, None)
+    with session.brief_shuffles(spark):
+        assert spark.conf.get(key) == "true"
+        df = spark.range(1000).repartition("id")
+        assert df.count() == df.count() == len(df.collect()) == 1000
+    assert spark.conf.get(key, None) == before

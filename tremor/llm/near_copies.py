@@ -38,6 +38,9 @@ round, where all its pairs would be n squared.  The rounds end when few of their
 work: last, every pair of *different* components that positions and parities
 allow is verified.
 
+Disk.  Tables are deleted once nothing reads them, shuffle files as the action
+that made them ends; at most one action's shuffle lies on disk.
+
 Defined results: a null text has no shingles, as an empty one; all texts without
 words are one set; letter case of A-Z and white space do not tell texts apart;
 repeated rows are one document; rows without an id come last in the choice of
@@ -48,6 +51,7 @@ gives an empty result.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -56,8 +60,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tremor.llm.common import bounded_sample, map_batches
-from tremor.llm.simhash_trie import _signed, connected, first_rows, folded, keep_first, narrow_rows, near_links, shingle_hashes
-from tremor.session import materialize
+from tremor.llm.key_bitmaps import bitmaps, sifted
+from tremor.llm.simhash_trie import _signed, connected, folded, keep_first, narrow_rows, near_links, shingle_hashes
+from tremor.session import brief_shuffles, discard, materialize
 
 SHINGLE = 5
 SEED = 42
@@ -85,6 +90,22 @@ def parities(hashes: np.ndarray) -> np.ndarray:
     return np.packbits(odd.astype(np.uint8)).view(np.int64)
 
 
+def sketch(hashes: np.ndarray) -> bytes:
+    """The same over one to two slots per shingle (a power of two, 256 at least)."""
+    bits = max(8, len(hashes).bit_length())
+    odd = np.bincount((hashes >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits) & 1
+    return np.packbits(odd.astype(np.uint8)).tobytes()
+
+
+def apart(a: bytes, b: bytes) -> int:
+    """Slots in which two sketches differ, the longer folded to the shorter: no
+    more than the shingles in which their sets differ."""
+    x, y = (np.unpackbits(np.frombuffer(s, np.uint8)) for s in (a, b))
+    n = min(len(x), len(y))
+    x, y = (np.bitwise_xor.reduce(s.reshape(n, -1), axis=1) for s in (x, y))
+    return int(np.count_nonzero(x != y))
+
+
 def set_id(hashes: np.ndarray) -> int:
     """Signed 64-bit name of a set; all texts without words share one."""
     x = xxhash.xxh64_intdigest(hashes.tobytes(), SEED)
@@ -236,9 +257,24 @@ def _pair_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield flush()
 
 
+def _possible(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
+    """The pairs that sketches of their sets do not rule out."""
+    of = lambda s: sketches.select(F.col("fp").alias(s), F.col("size").alias(f"size_{s}"), F.col("sketch").alias(f"sketch_{s}"))
+
+    def check(batch):
+        sizes = batch.column(2).to_numpy().astype(np.int64) + batch.column(4).to_numpy()
+        n = np.array([apart(x.as_py(), y.as_py()) for x, y in zip(batch.column(3), batch.column(5))], dtype=np.int64)
+        ok = 9 * n <= sizes
+        return {"a": batch.column(0).to_numpy()[ok], "b": batch.column(1).to_numpy()[ok]}
+
+    dealt = pairs.join(of("a"), "a").join(of("b"), "b").select("a", "b", "size_a", "sketch_a", "size_b", "sketch_b")
+    return map_batches(dealt, check, "a bigint,b bigint")
+
+
 def _verified(pairs: DataFrame, texts) -> DataFrame:
-    """(fp, root) of the pairs, a stored table, whose texts tie."""
-    text = materialize(texts(pairs.select(F.col("a").alias("fp")).unionByName(pairs.select(F.col("b").alias("fp"))).distinct()), "copies-texts")
+    """(fp, root) of the pairs, a stored table, whose texts tie; stored."""
+    wanted = materialize(pairs.select(F.col("a").alias("fp")).unionByName(pairs.select(F.col("b").alias("fp"))).distinct(), "copies-wanted")
+    text = materialize(texts(wanted), "copies-texts")
     of = lambda s: text.select(F.col("fp").alias(s), F.col("text").alias(f"text_{s}"))
 
     def check(batch):
@@ -251,7 +287,10 @@ def _verified(pairs: DataFrame, texts) -> DataFrame:
         ok = np.array([ties(known[x], known[y]) for x, y in zip(a.tolist(), b.tolist())], dtype=bool)
         return {"fp": a[ok], "root": b[ok]}
 
-    return map_batches(pairs.join(of("a"), "a").join(of("b"), "b").select("a", "b", "text_a", "text_b"), check, "fp bigint,root bigint", slice_on=2)
+    dealt = pairs.join(of("a"), "a").join(of("b"), "b").select("a", "b", "text_a", "text_b")
+    links = materialize(map_batches(dealt, check, "fp bigint,root bigint", slice_on=2), "copies-links")
+    discard(wanted, text)
+    return links
 
 
 def fingerprint_pairs(sketches: DataFrame) -> DataFrame:
@@ -265,8 +304,8 @@ def fingerprint_pairs(sketches: DataFrame) -> DataFrame:
 
 def near_copy_links(narrow: DataFrame, sketches: DataFrame, common, texts) -> DataFrame:
     """(fp, root) of every linked set: the smallest of its component.
-    ``narrow`` has a text column; ``sketches`` fingerprint and parities of each fp;
-    ``texts`` gives (fp, text) for a table of fp."""
+    ``narrow`` has a text column; ``sketches`` fingerprint, parities, size and sketch
+    of each fp; ``texts`` gives (fp, text) for a stored table of fp."""
 
     def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()  # of the task; spares the rows of exact copies
@@ -299,32 +338,49 @@ def near_copy_links(narrow: DataFrame, sketches: DataFrame, common, texts) -> Da
     def crossing(roots: DataFrame) -> DataFrame:
         rows = labelled(shared, roots)
         mixed = rows.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("token")
-        rows = rows.join(mixed, "token", "left_semi").join(sketches, "fp").select("token", "size", "fp", "root", "pos", *PARITIES)
+        rows = rows.join(mixed, "token", "left_semi").join(sketches.select("fp", *PARITIES), "fp").select("token", "size", "fp", "root", "pos", *PARITIES)
         dealt = rows.repartition("token").sortWithinPartitions("token", "size", "fp")
         return dealt.mapInArrow(_pair_task, "a bigint,b bigint").distinct()
 
-    tested = materialize(fingerprint_pairs(sketches), "copies-fingerprints")
-    links = materialize(_verified(tested, texts), "copies-links")
-    roots = connected(links)
-    crowded = labelled(shared, roots).groupBy("token").agg(F.count_distinct("root").alias("n")).where(F.col("n") >= MANY)
-    crowded = materialize(shared.join(crowded, "token", "left_semi"), "copies-crowded")
+    def verified(pairs: DataFrame) -> DataFrame:
+        left = materialize(_possible(pairs, sketches), "copies-possible")
+        links = _verified(left, texts)
+        discard(left)
+        return links
+
+    tested = [materialize(fingerprint_pairs(sketches), "copies-fingerprints")]
+    links = [verified(tested[0])]
+    new = lambda pairs: pairs.join(reduce(DataFrame.unionByName, tested), ["a", "b"], "left_anti")
+    roots = connected(links[0])
+    many = labelled(shared, roots).groupBy("token").agg(F.count_distinct("root").alias("n")).where(F.col("n") >= MANY)
+    crowded = materialize(shared.join(many, "token", "left_semi"), "copies-crowded")
     for turn in range(TURNS):
-        pairs = materialize(stars(crowded, roots, turn).join(tested, ["a", "b"], "left_anti"), "copies-stars")
-        found = materialize(_verified(pairs, texts), "copies-links")
+        pairs = materialize(new(stars(crowded, roots, turn)), "copies-stars")
+        found = verified(pairs)
         n, n_ties = pairs.count(), found.count()
-        links, tested = links.unionByName(found), tested.unionByName(pairs)
+        links.append(found)
+        tested.append(pairs)
         if n_ties:
-            roots = connected(links)
+            roots = connected(reduce(DataFrame.unionByName, links))
         if n_ties * 20 <= n:
             break
-    pairs = materialize(crossing(roots).join(tested, ["a", "b"], "left_anti"), "copies-pairs")
-    return connected(links.unionByName(_verified(pairs, texts)))
+    pairs = materialize(new(crossing(roots)), "copies-pairs")
+    discard(shared, crowded, *tested)
+    links.append(verified(pairs))
+    roots = connected(reduce(DataFrame.unionByName, links))
+    discard(pairs, *links)
+    return roots
 
 
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One document of each group, every column kept: the smallest id (nulls
     last), then the smallest hash of the whole row.  Rows that are equal in
     every column count as one document."""
+    with brief_shuffles(docs.sparkSession):
+        return _drop_near_copies(docs, id_col, text_col)
+
+
+def _drop_near_copies(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     narrow = narrow_rows(docs, id_col, text_col)
     common = docs.sparkSession.sparkContext.broadcast(common_shingles(narrow.select("order", "text")))
 
@@ -333,15 +389,20 @@ def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
         sets = [np.unique(h) for h in hashes]
         bits = np.stack([parities(h) for h in sets])
         return {"order": batch.column(0), "tie": batch.column(1), "fp": [set_id(h) for h in sets], "sim": [_signed(folded(h)) for h in hashes],
-                **{p: bits[:, i] for i, p in enumerate(PARITIES)}}
+                **{p: bits[:, i] for i, p in enumerate(PARITIES)}, "size": [len(h) for h in sets], "sketch": [sketch(h) for h in sets]}
 
-    prints = materialize(map_batches(narrow, own, "order bigint,tie bigint,fp bigint,sim bigint,p0 bigint,p1 bigint,p2 bigint,p3 bigint"), "copies")
-    # equal sets have equal parities; their fingerprints may differ by repeats, one will do
-    sketches = prints.groupBy("fp").agg(*[F.min(p).alias(p) for p in ("sim", *PARITIES)])
-    by_print = first_rows(prints)
+    kinds = "order bigint,tie bigint,fp bigint,sim bigint,p0 bigint,p1 bigint,p2 bigint,p3 bigint,size int,sketch binary"
+    prints = materialize(map_batches(narrow, own, kinds), "copies")
+    # equal sets have equal parities and sketches; their fingerprints may differ by repeats, one will do
+    sets = materialize(prints.groupBy("fp").agg(F.min(F.struct("order", "tie")).alias("first"), *[F.min(p).alias(p) for p in ("sim", *PARITIES, "size", "sketch")]),
+                       "copies-sets")
 
     def texts(wanted: DataFrame) -> DataFrame:
-        rows = wanted.join(by_print, "fp").select("fp", F.col("first.order").alias("order"), F.col("first.tie").alias("tie"))
-        return narrow.join(rows, ["order", "tie"]).groupBy("fp").agg(F.first("text").alias("text"))
-
-    return keep_first(docs, prints, by_print, near_copy_links(narrow, sketches, common, texts), id_col)
+        rows = materialize(sets.join(wanted, "fp", "left_semi").select("fp", F.col("first.order").alias("order"), F.col("first.tie").alias("tie")), "copies-rows")
+        words = bitmaps(rows, ["order", "tie"], wanted=F.lit(True))
+        some = sifted(narrow, ["order", "tie"], words, wanted=True)
+        return some.join(rows, ["order", "tie"]).groupBy("order", "tie").agg(F.first("fp").alias("fp"), F.first("text").alias("text")).select("fp", "text")
+
+    kept = keep_first(docs, prints, sets.select("fp", "first"), near_copy_links(narrow, sets, common, texts), id_col)
+    discard(prints, sets)  # what is kept reads the stored keys of keep_first only
+    return kept

@@ -41,7 +41,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tremor.llm.common import columns, fresh, id_text, map_batches, quoted
-from tremor.session import materialize
+from tremor.llm.key_bitmaps import bitmaps, sifted
+from tremor.session import discard, materialize
 
 SEED = 42
 BITS = 64
@@ -272,7 +273,8 @@ def connected(links: DataFrame) -> DataFrame:
         low2 = large.groupBy("a").agg(F.min("b").alias("m"))
         small = (large.join(low2, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
                  .unionByName(low2.select("a", F.col("m").alias("b"))).filter("a <> b").distinct())
-        edges = materialize(small, "simhash-links")
+        done, edges = edges, materialize(small, "simhash-links")
+        discard(done)
         # equal sums of the same number of links mark the fixed point
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if now == before:
@@ -322,20 +324,26 @@ def first_rows(prints: DataFrame) -> DataFrame:
 
 
 def keep_first(docs: DataFrame, prints: DataFrame, by_print: DataFrame, roots: DataFrame, id_col: str) -> DataFrame:
-    """The first document of each component; n counts rows equal to it."""
+    """The first document of each component; n counts rows equal to it.  What
+    bitmaps of the keys tell apart is not dealt out: only rows whose bit both
+    kept and other rows have are joined."""
     mark_o, mark_t = fresh(docs, "row_order"), fresh(docs, "row_tie")
     order, row = _order_and_tie(docs, id_col)
     best = (by_print.join(roots, "fp", "left").groupBy(F.coalesce("root", "fp").alias("root")).agg(F.min("first").alias("first"))
-            .select(F.col("first.order").alias("order"), F.col("first.tie").alias("tie")))
+            .select(F.col("first.order").alias("order"), F.col("first.tie").alias("tie"), F.lit(True).alias("kept")))
     counts = prints.groupBy("order", "tie").agg(F.count("*").alias("n"))
-    winners = materialize(best.join(counts, ["order", "tie"]), "simhash-winners")
+    known = materialize(counts.join(best, ["order", "tie"], "left"), "simhash-winners")
+    once, more = known.filter("kept and n = 1"), known.filter("kept and n > 1")
+    is_once, is_more = F.coalesce("kept", F.lit(False)) & (F.col("n") == 1), F.coalesce("kept", F.lit(False)) & (F.col("n") > 1)
+    words = materialize(bitmaps(known, ["order", "tie"], once=is_once, more=is_more, other=~is_once), "simhash-bitmaps")
     key = docs.select(*columns(docs), order.alias(mark_o), row.alias(mark_t))
+    of = lambda **groups: sifted(key, [mark_o, mark_t], words, **groups)
     on = lambda w: (F.col(mark_o) == w["order"]) & (F.col(mark_t) == w["tie"])
-    once, more = winners.filter("n = 1"), winners.filter("n > 1")
-    single = key.join(once, on(once), "left_semi").select(columns(docs))
+    sure = of(once=True, other=False).select(columns(docs))
+    single = sure.unionByName(of(once=True, other=True).join(once, on(once), "left_semi").select(columns(docs)))
     if more.isEmpty():
         return single
-    repeated = key.join(more, on(more), "left_semi").dropDuplicates([mark_o, mark_t]).select(columns(docs))
+    repeated = of(more=True).join(more, on(more), "left_semi").dropDuplicates([mark_o, mark_t]).select(columns(docs))
     return single.unionByName(repeated)
 
 

@@ -6,6 +6,8 @@ import os
 import tempfile
 import uuid
 import weakref
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -67,7 +69,35 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     _WRITTEN.setdefault(spark, []).append(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._tremor_path = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes tables that ``materialize`` has returned and nothing reads any
+    more; other DataFrames are left alone."""
+    for table in tables:
+        path, paths = getattr(table, "_tremor_path", None), _WRITTEN.get(table.sparkSession, [])
+        if path in paths:
+            paths.remove(path)
+            _delete(table.sparkSession, path)
+
+
+#: Spark's own switch: an action's shuffle files go when it ends
+_SHUFFLES_END = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextmanager
+def brief_shuffles(spark: SparkSession) -> Iterator[None]:
+    """Within it, each action's shuffle files are deleted as it ends.  Else they
+    lie on the executors' disks until the driver happens to collect garbage."""
+    before = spark.conf.get(_SHUFFLES_END, None)
+    spark.conf.set(_SHUFFLES_END, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(_SHUFFLES_END) if before is None else spark.conf.set(_SHUFFLES_END, before)
 
 
 def release(spark: SparkSession) -> int:
